@@ -39,3 +39,101 @@ ORACLE["daily_counts"] = f"""WITH {RAW_ITEMS}
 SELECT published_date, source_name, count(*) AS article_count,
   count(*) FILTER (WHERE content_length > 0) AS sentiment_ready_count
 FROM processed GROUP BY 1, 2"""
+
+PARSED_ITEMS = f"""
+items AS ({adapter_sql('items')}),
+parsed AS (SELECT *, TRY_CAST(NULLIF(trim(published_at_text), '') AS TIMESTAMP) AS published_at FROM items)
+"""
+
+ORACLE["newest_items_topk"] = f"""WITH {PARSED_ITEMS}
+SELECT item_ord, published_at_text, published_at, title FROM parsed
+ORDER BY published_at DESC NULLS LAST, item_ord LIMIT 500"""
+
+ORACLE["pipeline_summary"] = f"""WITH {RAW_ITEMS}
+SELECT count(*) AS article_count, count(DISTINCT source_name) AS source_count,
+  CAST(to_json(list_sort(list(DISTINCT source_name))) AS VARCHAR) AS sources_json,
+  {D.iso('max(published_at)')} AS latest_published_at
+FROM processed"""
+
+ORACLE["quality_summary"] = f"""WITH {RAW_ITEMS}, c AS (
+  SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM clean_raw) AS k)
+SELECT r AS raw_article_count, k AS cleaned_article_count, greatest(r - k, 0) AS duplicate_article_count,
+  CASE WHEN r = 0 THEN 1.0 ELSE round(k / r, 4) END AS deduplication_rate FROM c"""
+
+ORACLE["training_metadata"] = f"""WITH {RAW_ITEMS}
+SELECT 'news_pipeline_processed_table' AS training_source, count(*) AS article_count,
+  {D.iso('max(published_at)')} AS latest_published_at,
+  'published_date, source_name, content_length, sentiment_placeholder' AS feature_hint
+FROM processed"""
+
+ORACLE["training_snapshot"] = f"""WITH {RAW_ITEMS}
+SELECT article_id, strftime(published_date, '%Y-%m-%d') AS published_date, source_name, content_length,
+  sentiment_placeholder, query FROM processed"""
+
+_kw = [p.strip().lower() for p in P.KEYWORDS.split(" OR ")]
+_kw_pred = " OR ".join(f"contains(lower(coalesce({c}, '')), '{p}')" for p in _kw
+                       for c in ("title", "description", "content"))
+ORACLE["keyword_filter"] = f"WITH {RAW_ITEMS} SELECT article_id, title, source_name FROM raw WHERE {_kw_pred}"
+
+ORACLE["source_list_filter"] = f"""WITH {RAW_ITEMS}
+SELECT article_id, source_name, url FROM raw
+WHERE list_contains(list_filter(list_transform(string_split('{P.SOURCE_LIST}', ','), lambda x: trim(x)), lambda x: x <> ''),
+                    source_name)"""
+
+ORACLE["language_filter"] = f"WITH {RAW_ITEMS} SELECT article_id, language, title FROM raw WHERE language = '{P.LANGUAGE}'"
+
+
+def elt_sql(src: str) -> str:
+    return f"""
+SELECT article_id, {D.utrim('title')} AS title, {D.utrim('source_name')} AS source_name, published_at,
+  CAST(published_at AS DATE) AS published_date, {D.trim_null('content')} AS content,
+  {D.trim_null('description')} AS description,
+  CAST(coalesce(length({D.trim_null('content')}), length({D.trim_null('description')}), 0) AS BIGINT) AS content_length,
+  {D.utrim('url')} AS url, 'unknown' AS sentiment_placeholder, batch_id AS ingestion_batch_id, query
+FROM (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY fetched_at DESC, batch_id DESC) AS rn
+  FROM {src} WHERE article_id IS NOT NULL AND title IS NOT NULL AND source_name IS NOT NULL
+    AND published_at IS NOT NULL AND url IS NOT NULL) WHERE rn = 1)"""
+
+
+RAW = f"raw AS ({raw_landed_sql()})"
+STG = f"""stg AS (
+  SELECT article_id, {D.utrim('title')} AS title, {D.utrim('source_name')} AS source_name, source_id,
+    {D.trim_null('author')} AS author, {D.trim_null('description')} AS description,
+    {D.trim_null('content')} AS content, {D.utrim('url')} AS url, published_at, fetched_at, query, batch_id,
+    language, CAST(published_at AS DATE) AS published_date,
+    CAST(length(coalesce(content, description, '')) AS BIGINT) AS content_length
+  FROM raw)"""
+MART = """
+SELECT published_date, source_name, count(*) AS article_count,
+  count(*) FILTER (WHERE content_length > 0) AS sentiment_ready_count,
+  count(DISTINCT article_id) AS distinct_article_count
+FROM stg GROUP BY 1, 2"""
+
+ORACLE["elt_processed"] = f"WITH {RAW} {elt_sql('raw')}"
+ORACLE["stg_articles"] = f"WITH {RAW}, {STG} SELECT * FROM stg"
+ORACLE["fct_daily_counts"] = f"WITH {RAW}, {STG} {MART}"
+ORACLE["model_build"] = ORACLE["fct_daily_counts"]
+ORACLE["retention_filter"] = f"""WITH {RAW}
+SELECT article_id, batch_id, fetched_at, url FROM raw
+WHERE fetched_at >= {D.ts(P.RETENTION_AS_OF)} - INTERVAL {P.RETENTION_DAYS} DAY"""
+
+_stored = P.SINCE.replace(" ", "T") + "+00:00"
+ORACLE["watermark_next"] = f"""WITH {RAW_ITEMS}
+SELECT '{P.MARK_NAME}' AS name, '{_stored}' AS stored, {D.ts(P.SINCE)} AS since,
+  coalesce({D.iso('max(published_at)')}, '{_stored}') AS value, {D.ts(P.AS_OF)} AS updated_at
+FROM raw"""
+
+ORACLE["landing_roundtrip"] = f"""WITH {RAW_ITEMS}
+SELECT DISTINCT article_id, title, source_name, source_id, author, description, content, url, published_at,
+  fetched_at, query, batch_id, language FROM raw"""
+
+ORACLE["elt_upsert"] = f"""WITH {RAW},
+b1 AS ({elt_sql("(SELECT * FROM raw WHERE batch_id = 'batch_1')")}),
+b2 AS ({elt_sql("(SELECT * FROM raw WHERE batch_id = 'batch_2')")})
+SELECT * FROM b1 WHERE article_id NOT IN (SELECT article_id FROM b2)
+UNION ALL SELECT * FROM b2"""
+
+ORACLE["batch_replace"] = f"""WITH {RAW}
+SELECT article_id, CASE WHEN batch_id = 'batch_2' THEN {D.utrim('title')} ELSE title END AS title,
+  source_name, description, content, url, published_at, fetched_at, query, language, batch_id FROM raw"""

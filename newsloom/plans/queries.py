@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import unicode_trim
 from newsloom.operators import ingest, transform
+from newsloom.plans import models
 from newsloom.plans import params as P
 from newsloom.plans.output import finalize
-from newsloom.session import ensure_session_defaults
+from newsloom.session import ensure_session_defaults, scratch_path
 from newsloom.sources import fixtures as fx
+from newsloom.sources import landing, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -68,3 +71,150 @@ def q_processed_articles(spark, d):
 def q_daily_counts(spark, d):
     """A1: daily counts per source over the processed rows."""
     return transform.daily_counts(processed_items(spark, d))
+
+
+@register("newest_items_topk")
+def q_newest_items_topk(spark, d):
+    """The newest 500 source items before any drop (the page cap)."""
+    top = ingest.newest_items(fx.items(spark, d))
+    return top.select("item_ord", "published_at_text", "published_at", "title")
+
+
+@register("pipeline_summary")
+def q_pipeline_summary(spark, d):
+    """Count, distinct sources, sorted source list, newest instant as ISO."""
+    s = transform.pipeline_summary(processed_items(spark, d))
+    return s.select("article_count", "source_count", F.to_json("sources").alias("sources_json"),
+                    "latest_published_at")
+
+
+@register("quality_summary")
+def q_quality_summary(spark, d):
+    """Raw vs cleaned counts and the dedup rate."""
+    raw = raw_items(spark, d)
+    return transform.quality_summary(raw, ingest.keep_first_by_id(raw))
+
+
+@register("training_metadata")
+def q_training_metadata(spark, d):
+    """Training hand-off metadata."""
+    return transform.training_metadata(processed_items(spark, d))
+
+
+@register("training_snapshot")
+def q_training_snapshot(spark, d):
+    """The training snapshot rows."""
+    return transform.training_snapshot(processed_items(spark, d))
+
+
+@register("keyword_filter")
+def q_keyword_filter(spark, d):
+    """Keyword query (``a OR b``) as case-insensitive phrase matches over the raw rows."""
+    return ingest.filter_keywords(raw_items(spark, d), P.KEYWORDS).select("article_id", "title", "source_name")
+
+
+@register("source_list_filter")
+def q_source_list_filter(spark, d):
+    """Configured source list (blanks and empties cleaned) as a filter."""
+    return ingest.filter_sources(raw_items(spark, d), P.SOURCE_LIST).select("article_id", "source_name", "url")
+
+
+@register("language_filter")
+def q_language_filter(spark, d):
+    """The language parameter as a filter."""
+    return ingest.filter_language(raw_items(spark, d), P.LANGUAGE).select("article_id", "language", "title")
+
+
+# ---- ELT path, staging and mart over the landed raw table -------------------------------------
+
+@register("elt_processed")
+def q_elt_processed(spark, d):
+    """P7, P8, F2, F6-B, W2: the upsert source of the ELT."""
+    return transform.elt_source(fx.raw_landed(spark, d))
+
+
+@register("stg_articles")
+def q_stg_articles(spark, d):
+    """P9, F6-C: the staging view."""
+    return transform.staging(fx.raw_landed(spark, d)).drop("raw_payload")
+
+
+@register("fct_daily_counts")
+def q_fct_daily_counts(spark, d):
+    """A3: daily mart over staging (adds the distinct id count)."""
+    return transform.daily_mart(transform.staging(fx.raw_landed(spark, d)))
+
+
+@register("retention_filter")
+def q_retention_filter(spark, d):
+    """Landing rows younger than 30 days at the run instant."""
+    kept = storage.retention_filter(fx.raw_landed(spark, d), P.RETENTION_AS_OF, P.RETENTION_DAYS)
+    return kept.select("article_id", "batch_id", "fetched_at", "url")
+
+
+@register("watermark_next")
+def q_watermark_next(spark, d):
+    """Read the stored mark, load newer rows, write the next mark."""
+    state = storage.state_row(spark, P.MARK_NAME, ingest_iso(P.SINCE), P.SINCE)
+    return storage.next_mark(state, raw_items(spark, d), P.MARK_NAME, now=P.AS_OF)
+
+
+def ingest_iso(text: str) -> str:
+    return text.replace(" ", "T") + "+00:00"
+
+
+# ---- storage round trips -------------------------------------------------------------------------
+
+@register("landing_roundtrip")
+def q_landing_roundtrip(spark, d):
+    """Land raw rows as JSON lines per batch, load them back typed."""
+    raw = raw_items(spark, d).drop("item_ord")
+    path = scratch_path(spark, "landing")
+    for b in ("scheduled_2024-02-01T00_00_00_00_00", "scheduled_2024-02-02T00_00_00_00_00"):
+        landing.write_jsonl(raw.filter(F.col("batch_id") == b), path)     # one append per run
+    back = landing.load_jsonl(spark, path)
+    return back.drop("raw_payload", "_corrupt").distinct()
+
+
+@register("model_build")
+def q_model_build(spark, d):
+    """Staging view -> mart table through the model registry."""
+    reg = (models.ModelRegistry(spark)
+           .source("news_articles_raw", fx.raw_landed(spark, d))
+           .model("stg_news_articles", ["news_articles_raw"], transform.staging, "view")
+           .model("fct_daily_article_counts", ["stg_news_articles"], MART_SQL, "table"))
+    return reg.ref("fct_daily_article_counts")
+
+
+MART_SQL = """
+WITH staged AS (SELECT * FROM IDENTIFIER(:stg_news_articles))
+SELECT published_date, source_name, count(*) AS article_count,
+  count_if(content_length > 0) AS sentiment_ready_count,
+  count(DISTINCT article_id) AS distinct_article_count
+FROM staged GROUP BY 1, 2
+"""
+
+
+@register("elt_upsert")
+def q_elt_upsert(spark, d):
+    """Batch 2 upserted onto the processed table of batch 1, partition-scoped."""
+    raw = fx.raw_landed(spark, d)
+    path = scratch_path(spark, "processed")
+    storage.create_table(spark, storage.PROCESSED_DDL, f"processed_{path.rsplit('-', 1)[1]}", path)
+    first = transform.elt_source(raw.filter(F.col("batch_id") == "batch_1"))
+    first.write.mode("overwrite").partitionBy("published_date").parquet(path)
+    second = transform.elt_source(raw.filter(F.col("batch_id") == "batch_2"))
+    storage.upsert_partitioned(spark, path, second)
+    return spark.read.parquet(path)
+
+
+@register("batch_replace")
+def q_batch_replace(spark, d):
+    """Land both batches, then replace batch 2 with a re-cleaned version."""
+    raw = fx.raw_landed(spark, d)
+    path = scratch_path(spark, "raw")
+    landing.load_rows(raw, path)
+    again = raw.filter(F.col("batch_id") == "batch_2").withColumn("title", unicode_trim("title"))
+    storage.replace_batch(again, path)
+    storage.replace_batch(again, path)                                   # idempotent re-run
+    return spark.read.parquet(path).drop("raw_payload", "source_id", "author")
