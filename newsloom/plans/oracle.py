@@ -137,3 +137,177 @@ UNION ALL SELECT * FROM b2"""
 ORACLE["batch_replace"] = f"""WITH {RAW}
 SELECT article_id, CASE WHEN batch_id = 'batch_2' THEN {D.utrim('title')} ELSE title END AS title,
   source_name, description, content, url, published_at, fetched_at, query, language, batch_id FROM raw"""
+
+# ---- property graph ---------------------------------------------------------------------------------
+from newsloom.functions.text import STATUS_SYNONYMS  # noqa: E402
+from newsloom.operators import extract as _X  # noqa: E402
+
+NODES = f"nodes AS ({adapter_sql('nodes')})"
+EDGES = f"edges AS ({adapter_sql('edges')})"
+G = f"{NODES}, {EDGES}"
+RESOLVED = """resolved AS (
+  SELECT e.source_id, e.target_id, e.type, s.label AS source_label, s.name AS source_name,
+    t.label AS target_label, t.name AS target_name
+  FROM edges e JOIN nodes s ON e.source_id = s.id JOIN nodes t ON e.target_id = t.id)"""
+_NEG = -(1 << 62)
+
+ORACLE["node_upsert"] = f"""WITH {NODES}, b0 AS ({adapter_sql('node_batch')}),
+b AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY label, id ORDER BY ord DESC, name DESC NULLS LAST, a1 DESC NULLS LAST, a2 DESC NULLS LAST) AS rn FROM b0) WHERE rn = 1)
+SELECT coalesce(t.label, b.label) AS label, coalesce(t.id, b.id) AS id,
+  CASE WHEN b.id IS NOT NULL THEN b.name ELSE t.name END AS name,
+  CASE WHEN b.id IS NOT NULL THEN b.a1 ELSE t.a1 END AS a1,
+  CASE WHEN b.id IS NOT NULL THEN b.a2 ELSE t.a2 END AS a2,
+  {D.ts(P.GRAPH_AS_OF)} AS created_at,
+  CASE WHEN b.id IS NOT NULL THEN {D.ts(P.GRAPH_AS_OF)} END AS last_updated
+FROM nodes t FULL OUTER JOIN b ON t.label = b.label AND t.id = b.id"""
+
+ORACLE["edge_resolve"] = f"WITH {G}, {RESOLVED} SELECT source_id, target_id, type, source_label, target_label FROM resolved"
+
+ORACLE["edge_upsert"] = f"""WITH {G}, batch AS ({adapter_sql('edge_batch')}),
+ids AS (SELECT DISTINCT id FROM nodes),
+b AS (SELECT * FROM batch WHERE source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids)),
+ent AS (
+  SELECT source_id, type, target_id, {_NEG} AS ord, 'origin' AS k, 'seed' AS v FROM edges
+  UNION ALL SELECT source_id, type, target_id, {_NEG}, 'kind', type FROM edges
+  UNION ALL SELECT source_id, type, target_id, ord, 'qty', qty FROM b
+  UNION ALL SELECT source_id, type, target_id, ord, 'flag', flag FROM b),
+win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, type, target_id, k ORDER BY ord DESC, v DESC NULLS LAST) AS rn
+                       FROM ent) WHERE rn = 1 AND v IS NOT NULL),
+props AS (SELECT source_id, type, target_id, string_agg(k || '=' || v, ';' ORDER BY k) AS props FROM win GROUP BY 1, 2, 3),
+allk AS (SELECT DISTINCT source_id, type, target_id FROM ent),
+touched AS (SELECT DISTINCT source_id, type, target_id FROM b)
+SELECT a.source_id, a.type, a.target_id, p.props,
+  CASE WHEN t.source_id IS NOT NULL THEN {D.ts(P.GRAPH_AS_OF)} ELSE {D.ts(P.EDGE_SEED_TIME)} END AS ingested_at
+FROM allk a LEFT JOIN props p USING (source_id, type, target_id) LEFT JOIN touched t USING (source_id, type, target_id)"""
+
+ORACLE["orphan_edges"] = f"""WITH {G}, ids AS (SELECT DISTINCT id FROM nodes)
+SELECT source_id, target_id, type,
+  CASE WHEN source_id NOT IN (SELECT id FROM ids) AND target_id NOT IN (SELECT id FROM ids) THEN 'missing_both'
+       WHEN source_id NOT IN (SELECT id FROM ids) THEN 'missing_source' ELSE 'missing_target' END AS reason
+FROM edges WHERE source_id NOT IN (SELECT id FROM ids) OR target_id NOT IN (SELECT id FROM ids)"""
+
+ORACLE["model_details"] = f"""WITH {G},
+runs AS (SELECT id AS run_id, name AS run_name, a1 AS run_status FROM nodes WHERE label = 'Run'),
+produced AS (SELECT e.source_id AS model_id, r.* FROM edges e JOIN runs r ON e.target_id = r.run_id WHERE e.type = 'PRODUCED_BY')
+SELECT m.id AS model_id, m.name AS model_name, m.a1 AS model_version, p.run_id, p.run_name, p.run_status
+FROM nodes m LEFT JOIN produced p ON p.model_id = m.id WHERE m.label = 'Model'"""
+
+ORACLE["deployment_status"] = f"""WITH {G}
+SELECT d.id AS deployment_id, d.name AS deployment_name, d.a1 AS cluster, m.id AS model_id, m.name AS model_name
+FROM nodes d JOIN edges e ON e.source_id = d.id AND e.type = 'SERVES' JOIN nodes m ON e.target_id = m.id AND m.label = 'Model'
+WHERE d.label = 'Deployment'"""
+
+
+def _typed(etype, sl, tl, a, b):
+    return (f"(SELECT DISTINCT e.source_id AS {a}, e.target_id AS {b} FROM edges e WHERE e.type = '{etype}' "
+            f"AND e.source_id IN (SELECT id FROM nodes WHERE label = '{sl}') "
+            f"AND e.target_id IN (SELECT id FROM nodes WHERE label = '{tl}'))")
+
+
+ORACLE["lineage"] = f"""WITH {G},
+serves AS (SELECT * FROM {_typed('SERVES', 'Deployment', 'Model', 'deployment_id', 'model_id')}),
+produced AS (SELECT * FROM {_typed('PRODUCED_BY', 'Model', 'Run', 'model_id', 'run_id')}),
+belongs AS (SELECT * FROM {_typed('BELONGS_TO', 'Run', 'Experiment', 'run_id', 'experiment_id')})
+SELECT s.deployment_id, b.experiment_id, count(*) AS path_count, count(DISTINCT s.model_id) AS model_count
+FROM serves s JOIN produced p USING (model_id) JOIN belongs b USING (run_id) GROUP BY 1, 2"""
+
+_status_case = ("CASE lower(trim(a1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_SYNONYMS.items())
+                + " ELSE a1 END")
+ORACLE["node_projection"] = f"""WITH {NODES}
+SELECT id, label, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+  CASE WHEN label = 'Model' THEN a1 END AS version,
+  CASE WHEN label = 'Model' THEN coalesce(a2, 'pytorch') END AS framework,
+  CASE WHEN label = 'Experiment' THEN coalesce({_status_case}, 'active')
+       WHEN label = 'Run' THEN coalesce({_status_case}, 'completed') END AS status,
+  CASE WHEN label = 'Deployment' THEN coalesce(a1, 'local-k8s') END AS cluster,
+  CASE WHEN label = 'Deployment' THEN CAST(1 AS BIGINT) END AS replicas
+FROM nodes"""
+
+ORACLE["name_lookup"] = f"WITH {NODES} SELECT id, label, name, a1 FROM nodes WHERE name = '{P.LOOKUP_NAME}'"
+ORACLE["graph_schema"] = f"""WITH {G}, {RESOLVED}
+SELECT source_label, type, target_label, count(*) AS edge_count FROM resolved GROUP BY 1, 2, 3"""
+ORACLE["label_scan"] = f"WITH {NODES} SELECT id, name, a1 FROM nodes WHERE label = 'Model' ORDER BY id LIMIT {P.LABEL_SCAN_LIMIT}"
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+ORACLE["prompt_extract"] = f"""SELECT doc_id,
+  {_sql_lit(_X.EXTRACT_INSTRUCTIONS + chr(10) + chr(10) + 'Text:' + chr(10))} || text || {_sql_lit(chr(10) + chr(10) + _X.EXTRACT_TAIL)} AS prompt
+FROM documents"""
+ORACLE["prompt_judge"] = f"""WITH {G}, {RESOLVED}
+SELECT source_id, type, target_id,
+  {_sql_lit(_X.JUDGE_INSTRUCTIONS + chr(10) + chr(10) + 'Triple: ')} || coalesce(source_name, '?') || ' -[' || type || ']-> '
+  || coalesce(target_name, '?') AS prompt
+FROM resolved"""
+
+_t = D.utrim("response")
+_u = f"trim({_t}, '`')"
+_fence = (f"CASE WHEN starts_with({_t}, '```') THEN (CASE WHEN starts_with({_u}, 'json') "
+          f"THEN {D.utrim(f'substr({_u}, 5)')} ELSE {_u} END) ELSE {_t} END")
+_shape = ('{"models":[{"id":"VARCHAR","name":"VARCHAR","version":"VARCHAR","framework":"VARCHAR","description":"VARCHAR"}],'
+          '"experiments":[{"id":"VARCHAR","name":"VARCHAR","status":"VARCHAR"}],'
+          '"runs":[{"id":"VARCHAR","name":"VARCHAR","status":"VARCHAR"}],'
+          '"deployments":[{"id":"VARCHAR","name":"VARCHAR","cluster":"VARCHAR","image":"VARCHAR","replicas":"BIGINT"}],'
+          '"relationships":[{"source_id":"VARCHAR","target_id":"VARCHAR","type":"VARCHAR"}]}')
+
+
+def _miss(lst, fields):
+    cond = " OR ".join(f"e.{f} IS NULL" for f in fields)
+    return f"coalesce(list_bool_or(list_transform(j.{lst}, lambda e: {cond})), false)"
+
+
+PARSED = f"""r AS ({adapter_sql('responses')}),
+s AS (SELECT doc_id, response, {_fence} AS body FROM r),
+x AS (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN from_json(body, '{_shape}') END AS j FROM s),
+f AS (SELECT *,
+  ({_miss('models', ('id', 'name', 'version'))} OR {_miss('experiments', ('id', 'name'))} OR {_miss('runs', ('id', 'name'))}
+   OR {_miss('deployments', ('id', 'name', 'image'))} OR {_miss('relationships', ('source_id', 'target_id', 'type'))}) AS missing,
+  coalesce(list_bool_or(list_transform(j.models, lambda m: coalesce(contains(lower(m.name), 'flux capacitor'), false))), false) AS deny
+  FROM x),
+parsed AS (SELECT doc_id,
+  CASE WHEN NOT ok THEN 'junk' WHEN missing THEN 'invalid' WHEN deny THEN 'rejected' ELSE 'valid' END AS status,
+  CASE WHEN NOT ok THEN 'response is not JSON' WHEN missing THEN 'a required field is missing'
+       WHEN deny THEN 'denylisted model name' END AS reason,
+  CAST(length(response) AS BIGINT) AS response_chars,
+  CAST(coalesce(len(j.models), 0) AS BIGINT) AS n_models, CAST(coalesce(len(j.experiments), 0) AS BIGINT) AS n_experiments,
+  CAST(coalesce(len(j.runs), 0) AS BIGINT) AS n_runs, CAST(coalesce(len(j.deployments), 0) AS BIGINT) AS n_deployments,
+  CAST(coalesce(len(j.relationships), 0) AS BIGINT) AS n_relationships
+  FROM f)"""
+
+ORACLE["parse_responses"] = f"WITH {PARSED} SELECT * FROM parsed"
+ORACLE["extraction_counts"] = f"""WITH {PARSED}
+SELECT status, count(*) AS responses, sum(n_models + n_runs + n_deployments) AS entity_count,
+  sum(n_relationships) AS relationship_count, sum(response_chars) AS response_chars FROM parsed GROUP BY 1"""
+ORACLE["schema_compliance"] = f"""WITH {PARSED}
+SELECT count(*) AS responses, count(*) FILTER (WHERE status IN ('valid', 'rejected')) AS compliant,
+  round(avg(CASE WHEN status IN ('valid', 'rejected') THEN 1.0 ELSE 0.0 END), 6) AS compliance_rate FROM parsed"""
+
+ORACLE["judge_metrics"] = f"""WITH v AS ({adapter_sql('verdicts')})
+SELECT type, count(*) AS n, count(*) FILTER (WHERE upper(trim(status)) = 'PASS') AS n_pass,
+  count(*) FILTER (WHERE upper(trim(status)) = 'WARN') AS n_warn,
+  count(*) FILTER (WHERE upper(trim(status)) = 'FAIL') AS n_fail,
+  count(*) FILTER (WHERE upper(trim(status)) NOT IN ('PASS', 'WARN', 'FAIL')) AS n_unknown,
+  round(avg(CASE WHEN upper(trim(status)) = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate
+FROM v GROUP BY 1"""
+
+ORACLE["hallucination_rate"] = f"""WITH {EDGES}, v AS ({adapter_sql('verdicts')}),
+j AS (SELECT NOT coalesce(v.in_truth, false) AS unsup, coalesce(upper(v.status) = 'FAIL', false) AS rej
+      FROM edges e LEFT JOIN v USING (source_id, type, target_id) WHERE e.type = 'SERVES')
+SELECT count(*) AS n_relationships, count(*) FILTER (WHERE unsup) AS n_unsupported,
+  count(*) FILTER (WHERE rej) AS n_rejected,
+  round(avg(CASE WHEN unsup OR rej THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate FROM j"""
+
+ORACLE["coverage"] = f"""WITH d AS ({adapter_sql('diseases')}), c AS ({adapter_sql('covers')}),
+a AS (SELECT DISTINCT id FROM d), k AS (SELECT DISTINCT id FROM a WHERE id IN (SELECT target_id FROM c))
+SELECT (SELECT count(*) FROM a) AS n_total, (SELECT count(*) FROM k) AS n_covered,
+  CASE WHEN (SELECT count(*) FROM a) = 0 THEN NULL
+       ELSE round((SELECT count(*) FROM k) / (SELECT count(*) FROM a), 6) END AS coverage"""
+
+_terms = ", ".join(f"'{t}'" for t in dict.fromkeys(P.SEARCH_TERMS))
+ORACLE["fulltext_lookup"] = f"""WITH t AS (
+  SELECT doc_id, CAST(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                                                                     lambda w: w <> '')), [{_terms}])) AS BIGINT) AS matched_terms
+  FROM documents)
+SELECT * FROM t WHERE matched_terms > 0 ORDER BY matched_terms DESC, doc_id LIMIT {P.SEARCH_TOP}"""

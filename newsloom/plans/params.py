@@ -18,3 +18,8 @@ MODEL_NAME_PREFIX = "a"                # not used for filtering registry queries
 KEYWORDS = "tionha OR Is and OR der die"   # a keyword query whose phrases occur in the test prose
 RETENTION_AS_OF = "2024-03-02 12:00:00"
 MARK_NAME = "news_pipeline_last_published_at"
+GRAPH_AS_OF = "2024-02-03 00:00:00"
+EDGE_SEED_TIME = "2024-01-15 00:00:00"
+LOOKUP_NAME = "small bolt"
+SEARCH_TERMS = ("der", "die", "und", "river", "the")
+SEARCH_TOP = 20

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import unicode_trim
-from newsloom.operators import ingest, transform
+from newsloom.operators import extract, graph, ingest, search, transform
 from newsloom.plans import models
 from newsloom.plans import params as P
 from newsloom.plans.output import finalize
 from newsloom.session import ensure_session_defaults, scratch_path
 from newsloom.sources import fixtures as fx
 from newsloom.sources import landing, storage
+from newsloom.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -218,3 +219,170 @@ def q_batch_replace(spark, d):
     storage.replace_batch(again, path)
     storage.replace_batch(again, path)                                   # idempotent re-run
     return spark.read.parquet(path).drop("raw_payload", "source_id", "author")
+
+
+# ---- property graph ------------------------------------------------------------------------------
+
+def graph_nodes(spark, d):
+    return fx.adapter(spark, d, "nodes")
+
+
+def graph_edges(spark, d):
+    return fx.adapter(spark, d, "edges")
+
+
+def seeded_edges(spark, d):
+    """Existing edge table: every A-graph edge with two seed properties."""
+    e = graph_edges(spark, d)
+    return e.select("source_id", "target_id", "type",
+                    F.create_map(F.lit("origin"), F.lit("seed"), F.lit("kind"), F.col("type")).alias("properties"),
+                    as_ts(P.EDGE_SEED_TIME).alias("ingested_at"))
+
+
+def as_ts(text):
+    return F.lit(text).cast("timestamp")
+
+
+def props_text(c):
+    return F.nullif(F.array_join(F.transform(F.array_sort(F.map_entries(c)),
+                                             lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"), F.lit(""))
+
+
+@register("node_upsert")
+def q_node_upsert(spark, d):
+    """Node batch upsert (last in batch wins, created_at kept, last_updated set)."""
+    out = graph.upsert_nodes(graph_nodes(spark, d), fx.adapter(spark, d, "node_batch"),
+                             ["name", "a1", "a2"], as_of=P.GRAPH_AS_OF,
+                             order=["ord", "name", "a1", "a2"])
+    return out
+
+
+@register("edge_resolve")
+def q_edge_resolve(spark, d):
+    """Edge endpoints resolved against nodes of any label."""
+    return graph.resolve_edges(graph_edges(spark, d), graph_nodes(spark, d)) \
+        .select("source_id", "target_id", "type", "source_label", "target_label")
+
+
+@register("edge_upsert")
+def q_edge_upsert(spark, d):
+    """Relationship batch merged into the edge table (``SET r += props``)."""
+    batch = fx.adapter(spark, d, "edge_batch").select(
+        "source_id", "target_id", "type", "ord",
+        F.create_map(F.lit("qty"), F.col("qty"), F.lit("flag"), F.col("flag")).alias("properties"))
+    out = graph.upsert_edges(seeded_edges(spark, d), batch, graph_nodes(spark, d), as_of=P.GRAPH_AS_OF)
+    return out.select("source_id", "type", "target_id", props_text(F.col("properties")).alias("props"), "ingested_at")
+
+
+@register("orphan_edges")
+def q_orphan_edges(spark, d):
+    """Dangling edges and the missing side."""
+    return graph.orphan_edges(graph_edges(spark, d), graph_nodes(spark, d))
+
+
+@register("model_details")
+def q_model_details(spark, d):
+    """Every model with its runs (OPTIONAL MATCH), one NULL row when it has none."""
+    return graph.model_details(graph_nodes(spark, d), graph_edges(spark, d))
+
+
+@register("deployment_status")
+def q_deployment_status(spark, d):
+    """Deployments with the models they serve."""
+    return graph.deployment_status(graph_nodes(spark, d), graph_edges(spark, d))
+
+
+@register("lineage")
+def q_lineage(spark, d):
+    """Lineage path counts Deployment->Model->Run->Experiment."""
+    return graph.lineage_counts(graph_nodes(spark, d), graph_edges(spark, d))
+
+
+@register("node_projection")
+def q_node_projection(spark, d):
+    """Per-label properties with defaults, slug ids, canonical status."""
+    return graph.project_nodes(graph_nodes(spark, d))
+
+
+@register("name_lookup")
+def q_name_lookup(spark, d):
+    """Nodes by name."""
+    return graph.name_lookup(graph_nodes(spark, d), P.LOOKUP_NAME).select("id", "label", "name", "a1")
+
+
+@register("graph_schema")
+def q_graph_schema(spark, d):
+    """(source label, type, target label) counts over resolved edges."""
+    return graph.graph_schema(graph_nodes(spark, d), graph_edges(spark, d))
+
+
+@register("label_scan")
+def q_label_scan(spark, d):
+    """``MATCH (m:Model) RETURN m LIMIT 25`` (ordered by id)."""
+    return graph.label_scan(graph_nodes(spark, d), "Model", P.LABEL_SCAN_LIMIT)
+
+
+# ---- extraction prompts, replies and evaluation -------------------------------------------------
+
+@register("prompt_extract")
+def q_prompt_extract(spark, d):
+    """One extraction prompt per document (whole text)."""
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", extract.extraction_prompt(F.col("text")).alias("prompt"))
+
+
+@register("prompt_judge")
+def q_prompt_judge(spark, d):
+    """One judge prompt per resolved triple."""
+    r = graph.resolve_edges(graph_edges(spark, d), graph_nodes(spark, d))
+    return r.select("source_id", "type", "target_id",
+                    extract.judge_prompt(F.col("source_name"), F.col("type"), F.col("target_name")).alias("prompt"))
+
+
+def parsed_responses(spark, d):
+    return extract.parse_responses(fx.adapter(spark, d, "responses"))
+
+
+@register("parse_responses")
+def q_parse_responses(spark, d):
+    """Replies -> status, reason, sizes."""
+    p = parsed_responses(spark, d)
+    return p.select("doc_id", "status", "reason", "response_chars", "n_models", "n_experiments", "n_runs",
+                    "n_deployments", "n_relationships")
+
+
+@register("extraction_counts")
+def q_extraction_counts(spark, d):
+    """Entity counts per reply status."""
+    return extract.extraction_counts(parsed_responses(spark, d))
+
+
+@register("schema_compliance")
+def q_schema_compliance(spark, d):
+    """Share of schema-compliant replies."""
+    return extract.schema_compliance(parsed_responses(spark, d))
+
+
+@register("judge_metrics")
+def q_judge_metrics(spark, d):
+    """Verdict counts and pass rate."""
+    return graph.judge_metrics(fx.adapter(spark, d, "verdicts"))
+
+
+@register("hallucination_rate")
+def q_hallucination_rate(spark, d):
+    """Relationships not in ground truth or rejected."""
+    rel = graph_edges(spark, d).filter(F.col("type") == "SERVES")
+    return graph.hallucination_rate(rel, fx.adapter(spark, d, "verdicts"))
+
+
+@register("coverage")
+def q_coverage(spark, d):
+    """Covered diseases / all diseases."""
+    return graph.coverage(fx.adapter(spark, d, "diseases"), fx.adapter(spark, d, "covers"))
+
+
+@register("fulltext_lookup")
+def q_fulltext_lookup(spark, d):
+    """Documents ranked by matched query terms (top results)."""
+    return search.search(read_table(spark, d, "documents"), P.SEARCH_TERMS, P.SEARCH_TOP)

@@ -186,3 +186,26 @@ def raw_landed_sql() -> str:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-requests with ``ts`` as an instant (TIMESTAMP); the tables store ``timestamp_ntz``."""
     return adapter(spark, sf_dir, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# Node updates in one extraction batch (repeated ids: the highest ``ord`` wins), some new ids.
+NODE_BATCH = """
+SELECT 'Model' AS label,
+  CASE WHEN l_linenumber = 7 THEN 'model_x' ELSE 'model_' END || CAST(l_partkey AS STRING) AS id,
+  'model ' || CAST(l_partkey AS STRING) AS name, 'v' || CAST(l_linenumber AS STRING) AS a1,
+  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS a2,
+  l_orderkey * 10 + l_linenumber AS ord
+FROM {lineitem}
+"""
+
+# Relationship updates in one batch, applied in ``ord`` order; some endpoints never resolve.
+EDGE_BATCH = """
+SELECT 'model_' || CAST(l_partkey AS STRING) AS source_id,
+  CASE WHEN l_orderkey % 89 = 0 THEN 'run_gone_' ELSE 'run_' END || CAST(l_orderkey AS STRING) AS target_id,
+  'PRODUCED_BY' AS type, l_orderkey * 10 + l_linenumber AS ord,
+  CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty,
+  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS flag
+FROM {lineitem}
+"""
+
+ADAPTERS.update({"node_batch": NODE_BATCH, "edge_batch": EDGE_BATCH})
