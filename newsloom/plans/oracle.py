@@ -311,3 +311,120 @@ ORACLE["fulltext_lookup"] = f"""WITH t AS (
                                                                      lambda w: w <> '')), [{_terms}])) AS BIGINT) AS matched_terms
   FROM documents)
 SELECT * FROM t WHERE matched_terms > 0 ORDER BY matched_terms DESC, doc_id LIMIT {P.SEARCH_TOP}"""
+
+# ---- telemetry ----------------------------------------------------------------------------------------
+from newsloom.operators import telemetry as _T  # noqa: E402
+
+_tpl = "CASE " + " ".join(f"WHEN regexp_matches(endpoint, '{p}') THEN '{t}'" for p, t in _T.ROUTE_TEMPLATES) \
+       + " ELSE endpoint END"
+REQ = f"r AS ({adapter_sql('requests')})"
+_bvals = ", ".join(f"({i + 1}, '{repr(float(b))}', CAST({float(b)} AS DOUBLE))" for i, b in enumerate(_T.DEFAULT_BUCKETS))
+BUCKETS = f"b AS (SELECT * FROM (VALUES {_bvals}) t(idx, le, v))"
+
+ORACLE["request_counts"] = f"""WITH {REQ}
+SELECT method, {_tpl} AS endpoint, coalesce(status, 500) AS status, count(*) AS requests FROM r GROUP BY ALL"""
+ORACLE["prediction_errors"] = f"""WITH {REQ}
+SELECT {_tpl} AS endpoint, count(*) AS processed, count(*) FILTER (WHERE coalesce(status, 500) >= 500) AS errors
+FROM r GROUP BY ALL"""
+ORACLE["latency_histogram"] = f"""WITH {REQ}, {BUCKETS},
+a AS (SELECT endpoint, round(sum(latency_s), 6) AS latency_sum, count(*) AS latency_count FROM r GROUP BY 1),
+k AS (SELECT r.endpoint, b.le, count(*) FILTER (WHERE r.latency_s <= b.v) AS bucket_count FROM r CROSS JOIN b GROUP BY 1, 2
+      UNION ALL SELECT endpoint, '+Inf', count(*) FROM r GROUP BY 1)
+SELECT a.endpoint, a.latency_sum, a.latency_count, k.le, k.bucket_count FROM a JOIN k USING (endpoint)"""
+
+
+def _quantile_sql(src: str, key: str, out: str) -> str:
+    """histogram_quantile over ``src(key, latency_s)`` grouped by ``key``."""
+    q = P.HIST_QUANTILE
+    last = float(_T.DEFAULT_BUCKETS[-1])
+    return f"""
+c AS (SELECT s.{key}, b.idx, b.v AS le, count(*) FILTER (WHERE s.latency_s <= b.v) AS cum FROM {src} s CROSS JOIN b GROUP BY ALL),
+t AS (SELECT {key}, count(*) AS total FROM {src} GROUP BY 1),
+l AS (SELECT c.*, t.total, {q} * t.total AS rnk,
+        coalesce(lag(le) OVER (PARTITION BY c.{key} ORDER BY idx), 0) AS prev_le,
+        coalesce(lag(cum) OVER (PARTITION BY c.{key} ORDER BY idx), 0) AS prev_cum
+      FROM c JOIN t USING ({key})),
+f AS (SELECT {key}, min(idx) FILTER (WHERE cum >= rnk) AS fidx, max(total) AS total FROM l GROUP BY 1),
+qq AS (SELECT f.{key}, round(CASE WHEN f.total <= 0 THEN NULL WHEN f.fidx IS NULL THEN {last}
+  ELSE (CASE WHEN l.cum - l.prev_cum > 0 THEN l.prev_le + (l.le - l.prev_le) * ((l.rnk - l.prev_cum) / (l.cum - l.prev_cum))
+             ELSE l.prev_le END) END, 6) AS {out}
+FROM f LEFT JOIN l ON l.{key} = f.{key} AND l.idx = f.fidx)"""
+
+
+ORACLE["latency_p95"] = f"WITH {REQ}, {BUCKETS}, {_quantile_sql('r', 'endpoint', 'p95')} SELECT * FROM qq"
+_WIN = "wr AS (SELECT time_bucket(INTERVAL 1 minute, ts) - k * INTERVAL 1 minute AS window_start, latency_s FROM r, range(0, 5) t(k))"
+ORACLE["latency_p95_windows"] = f"""WITH {REQ}, {BUCKETS}, {_WIN}, {_quantile_sql('wr', 'window_start', 'p95')}
+SELECT window_start, window_start + INTERVAL 5 minute AS window_end, p95 FROM qq"""
+
+ORACLE["request_rate"] = f"""WITH {REQ},
+w AS (SELECT time_bucket(INTERVAL 1 minute, ts) - k * INTERVAL 1 minute AS window_start, endpoint FROM r, range(0, 5) t(k))
+SELECT window_start, window_start + INTERVAL 5 minute AS window_end, endpoint, count(*) AS requests,
+  round(count(*) / 300.0, 9) AS rate FROM w GROUP BY ALL"""
+ORACLE["error_rate"] = f"""WITH {REQ},
+w AS (SELECT time_bucket(INTERVAL 1 minute, ts) - k * INTERVAL 1 minute AS window_start FROM r, range(0, 5) t(k)
+      WHERE regexp_full_match(CAST(status AS VARCHAR), '5..'))
+SELECT window_start, window_start + INTERVAL 5 minute AS window_end, count(*) AS requests,
+  round(count(*) / 300.0, 9) AS rate FROM w GROUP BY ALL"""
+ORACLE["counter_rate"] = f"""WITH c AS ({adapter_sql('counters')}),
+l AS (SELECT *, lag(value) OVER (PARTITION BY endpoint ORDER BY ts, event_id) AS prev FROM c),
+i AS (SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS inc FROM l)
+SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, endpoint, CAST(sum(inc) AS BIGINT) AS increase,
+  round(sum(inc) / 3600.0, 9) AS rate FROM i GROUP BY ALL"""
+ORACLE["last_up"] = f"""WITH u AS ({adapter_sql('up')})
+SELECT job, up, last_ts FROM (
+  SELECT job, up, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS rn,
+    max(ts) OVER (PARTITION BY job) AS last_ts FROM u WHERE up IS NOT NULL) WHERE rn = 1"""
+ORACLE["dashboard_range"] = f"""WITH {REQ}
+SELECT endpoint, status, count(*) AS requests FROM r
+WHERE ts >= {D.ts(P.DASHBOARD_NOW)} - INTERVAL {P.DASHBOARD_HOURS} HOUR AND ts <= {D.ts(P.DASHBOARD_NOW)} GROUP BY ALL"""
+
+# ---- data quality and audit ---------------------------------------------------------------------------
+from newsloom.operators import quality as _Q  # noqa: E402
+
+
+def _tests_sql(src: str, model: str, tests: dict) -> list[str]:
+    out = []
+    for c, ts in tests.items():
+        if "not_null" in ts:
+            out.append(f"SELECT '{model}' AS model, '{c}' AS \"column\", 'not_null' AS test, "
+                       f"count(*) FILTER (WHERE {c} IS NULL) AS failures FROM {src}")
+        if "unique" in ts:
+            out.append(f"SELECT '{model}', '{c}', 'unique', (SELECT count(*) FROM (SELECT {c} FROM {src} "
+                       f"WHERE {c} IS NOT NULL GROUP BY 1 HAVING count(*) > 1))")
+    return out
+
+
+_suite = (_tests_sql("raw", "news_articles_raw", _Q.SOURCE_TESTS) + _tests_sql("stg", "stg_news_articles", _Q.STAGING_TESTS)
+          + _tests_sql("mart", "fct_daily_article_counts", _Q.MART_TESTS)
+          + ["SELECT 'nodes', 'label,id', 'unique', (SELECT count(*) FROM (SELECT label, id FROM nodes "
+             "WHERE label IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1))",
+             "SELECT 'edges', 'source_id,target_id', 'relationships', (SELECT count(*) FROM (SELECT DISTINCT source_id, "
+             "target_id, type FROM edges WHERE source_id NOT IN (SELECT id FROM nodes) "
+             "OR target_id NOT IN (SELECT id FROM nodes)))"])
+ORACLE["dq_suite"] = f"""WITH {RAW}, {STG}, mart AS ({MART}), {G},
+s AS ({' UNION ALL '.join(_suite)})
+SELECT model, "column", test, CAST(failures AS BIGINT) AS failures,
+  CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status FROM s"""
+
+ORACLE["dq_freshness"] = f"""WITH {RAW}, m AS (SELECT max(fetched_at) AS max_loaded_at FROM raw)
+SELECT 'news_articles_raw' AS source, max_loaded_at,
+  round((epoch_us({D.ts(P.FRESHNESS_AS_OF)}) - epoch_us(max_loaded_at)) / 3.6e9, 6) AS age_hours,
+  CASE WHEN max_loaded_at IS NULL THEN 'error'
+       WHEN (epoch_us({D.ts(P.FRESHNESS_AS_OF)}) - epoch_us(max_loaded_at)) / 3.6e9 > {_Q.FRESHNESS_ERROR_HOURS} THEN 'error'
+       WHEN (epoch_us({D.ts(P.FRESHNESS_AS_OF)}) - epoch_us(max_loaded_at)) / 3.6e9 > {_Q.FRESHNESS_WARN_HOURS} THEN 'warn'
+       ELSE 'pass' END AS status FROM m"""
+
+ORACLE["dq_ranges"] = f"""WITH runs AS ({adapter_sql('runs')}), {REQ}
+SELECT 'runs' AS "table", count(*) AS "rows", 'accuracy' AS "column", CAST(0.0 AS DOUBLE) AS lo, CAST(1.0 AS DOUBLE) AS hi,
+  count(*) FILTER (WHERE accuracy < 0.0 OR accuracy > 1.0) AS violations FROM runs
+UNION ALL SELECT 'requests', count(*), 'latency_s', 0.0, NULL, count(*) FILTER (WHERE latency_s < 0.0) FROM r
+UNION ALL SELECT 'requests', count(*), 'status', 100.0, 599.0, count(*) FILTER (WHERE status < 100 OR status > 599) FROM r
+UNION ALL SELECT 'documents', count(*), 'n_chars', 1.0, NULL, count(*) FILTER (WHERE n_chars < 1) FROM documents"""
+
+ORACLE["audit_report"] = f"""WITH a AS ({adapter_sql('audit')})
+SELECT pipeline, stage, count(*) AS events, count(*) FILTER (WHERE status = 'failed') AS failures,
+  count(*) FILTER (WHERE status = 'success') AS successes, max(ts) AS last_ts,
+  arg_max(status, ts) AS last_status FROM a GROUP BY 1, 2"""
+
+ORACLE["run_log_pivot"] = f"""WITH runs AS ({adapter_sql('runs')})
+SELECT run_id, round(accuracy, 6) AS accuracy, round(1.0 - accuracy, 6) AS loss FROM runs"""

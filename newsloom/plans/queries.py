@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import unicode_trim
-from newsloom.operators import extract, graph, ingest, search, transform
+from newsloom.operators import extract, graph, ingest, quality, search, telemetry, transform
 from newsloom.plans import models
 from newsloom.plans import params as P
 from newsloom.plans.output import finalize
 from newsloom.session import ensure_session_defaults, scratch_path
 from newsloom.sources import fixtures as fx
-from newsloom.sources import landing, storage
+from newsloom.sources import audit, landing, storage
 from newsloom.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,3 +386,134 @@ def q_coverage(spark, d):
 def q_fulltext_lookup(spark, d):
     """Documents ranked by matched query terms (top results)."""
     return search.search(read_table(spark, d, "documents"), P.SEARCH_TERMS, P.SEARCH_TOP)
+
+
+# ---- telemetry ------------------------------------------------------------------------------------
+
+@register("request_counts")
+def q_request_counts(spark, d):
+    """Requests by method, endpoint template and status."""
+    return telemetry.request_counts(fx.requests(spark, d))
+
+
+@register("prediction_errors")
+def q_prediction_errors(spark, d):
+    """Processed and failed requests per endpoint."""
+    return telemetry.prediction_errors(fx.requests(spark, d))
+
+
+@register("latency_histogram")
+def q_latency_histogram(spark, d):
+    """Cumulative latency buckets, sum and count per endpoint."""
+    h = telemetry.latency_buckets(fx.requests(spark, d))
+    return h.select("endpoint", F.round("latency_sum", 6).alias("latency_sum"), "latency_count", "le", "bucket_count")
+
+
+@register("latency_p95")
+def q_latency_p95(spark, d):
+    """p95 from the histogram buckets per endpoint."""
+    return telemetry.latency_quantile(fx.requests(spark, d), P.HIST_QUANTILE) \
+        .select("endpoint", F.round("quantile", 6).alias("p95"))
+
+
+@register("latency_p95_windows")
+def q_latency_p95_windows(spark, d):
+    """p95 per sliding 5-minute window (1-minute step) over all endpoints."""
+    return telemetry.windowed_latency_quantile(fx.requests(spark, d), P.HIST_QUANTILE, P.RATE_WINDOW, P.RATE_STEP) \
+        .select("window_start", "window_end", F.round("quantile", 6).alias("p95"))
+
+
+@register("request_rate")
+def q_request_rate(spark, d):
+    """Per-endpoint request rate over sliding 5-minute windows."""
+    return telemetry.request_rate(fx.requests(spark, d), P.RATE_WINDOW, P.RATE_STEP)
+
+
+@register("error_rate")
+def q_error_rate(spark, d):
+    """5xx request rate over sliding 5-minute windows."""
+    return telemetry.error_rate(fx.requests(spark, d), P.RATE_WINDOW, P.RATE_STEP)
+
+
+@register("counter_rate")
+def q_counter_rate(spark, d):
+    """Rate from counter samples with resets, hourly windows."""
+    samples = fx.adapter(spark, d, "counters").withColumn("ts", F.col("ts").cast("timestamp"))
+    return telemetry.counter_rate(samples, P.COUNTER_WINDOW)
+
+
+@register("last_up")
+def q_last_up(spark, d):
+    """Last non-NULL ``up`` per job."""
+    up = fx.adapter(spark, d, "up").withColumn("ts", F.col("ts").cast("timestamp"))
+    return telemetry.last_not_null(up)
+
+
+@register("dashboard_range")
+def q_dashboard_range(spark, d):
+    """Requests per endpoint and status in the range ``[now - 6h, now]``."""
+    now = as_ts(P.DASHBOARD_NOW)
+    r = telemetry.time_range(fx.requests(spark, d), now - F.expr(f"INTERVAL {P.DASHBOARD_HOURS} HOURS"), now)
+    return r.groupBy("endpoint", "status").agg(F.count(F.lit(1)).alias("requests"))
+
+
+# ---- data quality and audit -------------------------------------------------------------------------
+
+@register("dq_suite")
+def q_dq_suite(spark, d):
+    """Q1, Q2, Q5, Q8, Q9: the column tests of source, staging and mart, graph key and edge checks."""
+    raw = fx.raw_landed(spark, d)
+    stg = transform.staging(raw)
+    mart = transform.daily_mart(stg)
+    nodes = graph_nodes(spark, d)
+    checks = (quality.column_tests(raw, "news_articles_raw", quality.SOURCE_TESTS)
+              + quality.column_tests(stg, "stg_news_articles", quality.STAGING_TESTS)
+              + quality.column_tests(mart, "fct_daily_article_counts", quality.MART_TESTS)
+              + [quality.unique(nodes, "nodes", ["label", "id"]),
+                 quality.referential(graph_edges(spark, d), nodes)])
+    return quality.suite(checks)
+
+
+@register("dq_freshness")
+def q_dq_freshness(spark, d):
+    """Q3: freshness of the raw source on ``fetched_at``."""
+    return quality.freshness(fx.raw_landed(spark, d), "news_articles_raw", "fetched_at", P.FRESHNESS_AS_OF)
+
+
+@register("dq_ranges")
+def q_dq_ranges(spark, d):
+    """Q6: value ranges (accuracy in [0,1], latency >= 0, document length >= 1)."""
+    a = quality.range_violations(fx.adapter(spark, d, "runs"), "runs", {"accuracy": (0.0, 1.0)})
+    b = quality.range_violations(fx.requests(spark, d), "requests", {"latency_s": (0.0, None), "status": (100, 599)})
+    c = quality.range_violations(read_table(spark, d, "documents"), "documents", {"n_chars": (1, None)})
+    return a.unionByName(b).unionByName(c)
+
+
+@register("dq_schema")
+def q_dq_schema(spark, d):
+    """Q4, Q7: landed raw table against the declared load schema (+ NULLs in required columns)."""
+    from newsloom.sources.landing import RAW_SCHEMA
+    from pyspark.sql import types as T
+    required = T.StructType([T.StructField(f.name, f.dataType, f.name not in ("article_id", "title", "url",
+                                                                                "published_at", "batch_id"))
+                             for f in RAW_SCHEMA.fields])
+    return quality.schema_diff(fx.raw_landed(spark, d), required, "news_articles_raw")
+
+
+@register("audit_report")
+def q_audit_report(spark, d):
+    """Audit events appended as JSON lines, read back, summarised per stage."""
+    events = audit.audit_events(fx.adapter(spark, d, "audit"))
+    path = scratch_path(spark, "audit")
+    audit.append_audit(events, path)
+    return audit.audit_report(audit.read_audit(spark, path))
+
+
+@register("run_log_pivot")
+def q_run_log_pivot(spark, d):
+    """Metrics logged in long form per run, pivoted back to columns."""
+    runs = fx.adapter(spark, d, "runs")
+    log = audit.run_log(runs, "run_id", {"accuracy": F.col("accuracy"), "loss": F.lit(1.0) - F.col("accuracy")},
+                        ts="finished_at")
+    p = audit.pivot_run_log(log, ["accuracy", "loss"])
+    return p.select("run_id", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
