@@ -428,3 +428,23 @@ SELECT pipeline, stage, count(*) AS events, count(*) FILTER (WHERE status = 'fai
 
 ORACLE["run_log_pivot"] = f"""WITH runs AS ({adapter_sql('runs')})
 SELECT run_id, round(accuracy, 6) AS accuracy, round(1.0 - accuracy, 6) AS loss FROM runs"""
+
+# ---- machine learning, chat, streaming ------------------------------------------------------------------
+ORACLE["ml_gate"] = f"""WITH runs AS ({adapter_sql('runs')}),
+b AS (SELECT * FROM runs ORDER BY accuracy DESC, run_id LIMIT 1)
+SELECT b.run_id, round(b.accuracy, 6) AS accuracy, (SELECT count(*) FROM runs) AS n_runs,
+  (SELECT count(*) FROM runs WHERE accuracy >= {P.ACCURACY_GATE}) AS n_passing,
+  CASE WHEN b.accuracy >= {P.ACCURACY_GATE} THEN 'register_model' ELSE 'notify_training_failure' END AS next_task,
+  'v' || strftime(b.finished_at, '%Y%m%d%H%M%S') AS model_version FROM b"""
+
+_role = "CASE WHEN lower(role) IN ('ai', 'assistant') THEN 'assistant' ELSE 'user' END"
+ORACLE["transcripts"] = f"""SELECT conv_id, string_agg({_role} || ': ' || text, chr(10) ORDER BY turn) AS transcript,
+  count({_role} || ': ' || text) AS n_turns FROM conversations GROUP BY 1"""
+ORACLE["last_message"] = f"""SELECT conv_id, turn AS last_turn, {_role} AS last_role, CAST(length(text) AS BIGINT) AS last_chars,
+  'end' AS next_step FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+WHERE rn = 1"""
+
+ORACLE["stream_ingest"] = ORACLE["processed_articles"]
+ORACLE["stream_dedup"] = f"WITH {RAW_ITEMS} SELECT DISTINCT article_id, published_at FROM raw"
+ORACLE["stream_request_rate"] = ORACLE["request_rate"]
+ORACLE["stream_audit"] = ORACLE["audit_report"]

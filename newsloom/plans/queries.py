@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import unicode_trim
-from newsloom.operators import extract, graph, ingest, quality, search, telemetry, transform
+from newsloom.operators import chat, extract, graph, ingest, ml, quality, search, telemetry, transform
 from newsloom.plans import models
 from newsloom.plans import params as P
 from newsloom.plans.output import finalize
@@ -20,6 +20,9 @@ from newsloom.session import ensure_session_defaults, scratch_path
 from newsloom.sources import fixtures as fx
 from newsloom.sources import audit, landing, storage
 from newsloom.sources.tables import read_table
+from newsloom.streaming import audit as s_audit
+from newsloom.streaming import ingest as s_ingest
+from newsloom.streaming import telemetry as s_tel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -517,3 +520,102 @@ def q_run_log_pivot(spark, d):
                         ts="finished_at")
     p = audit.pivot_run_log(log, ["accuracy", "loss"])
     return p.select("run_id", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
+
+
+# ---- machine learning ---------------------------------------------------------------------------------
+
+def _embeddings(spark, d):
+    return ml.hash_split(read_table(spark, d, "embeddings"), "vec_id")
+
+
+def _train_and_score(spark, d):
+    data = ml.with_features(_embeddings(spark, d))
+    model = ml.train_forest(data.filter(F.col("split") == "train"))
+    path = ml.save_model(model, scratch_path(spark, "model"))                     # S21
+    loaded = ml.load_model(path)
+    test = data.filter(F.col("split") == "test").select("vec_id", "label", "features")
+    return ml.batch_predict(loaded, test, "vec_id", ML_VERSION).drop("features")
+
+
+ML_VERSION = "v20240202000000"
+
+
+@register("ml_split")
+def q_ml_split(spark, d):
+    """M1: stable 80/20 hash split of the embeddings."""
+    return _embeddings(spark, d).select("vec_id", "label", "split")
+
+
+@register("ml_gate")
+def q_ml_gate(spark, d):
+    """Best run against the accuracy gate, version from its finish time."""
+    return ml.gate(fx.adapter(spark, d, "runs"), P.ACCURACY_GATE)
+
+
+@register("ml_train_predict")
+def q_ml_train_predict(spark, d):
+    """Random forest trained on the train split, saved, loaded, batch-scored on test."""
+    return _train_and_score(spark, d)
+
+
+@register("ml_accuracy")
+def q_ml_accuracy(spark, d):
+    """Processed count and accuracy of the batch predictions."""
+    return ml.accuracy(_train_and_score(spark, d))
+
+
+# ---- chat --------------------------------------------------------------------------------------------
+
+@register("transcripts")
+def q_transcripts(spark, d):
+    """One transcript per conversation."""
+    return chat.transcripts(read_table(spark, d, "conversations"))
+
+
+@register("last_message")
+def q_last_message(spark, d):
+    """Last message per conversation and the next step."""
+    return chat.last_message(read_table(spark, d, "conversations"))
+
+
+# ---- streaming ---------------------------------------------------------------------------------------
+
+@register("stream_ingest")
+def q_stream_ingest(spark, d):
+    """ST1: items landed in four arrivals, ingested with availableNow; processed rows read back."""
+    landing_path, raw_path = scratch_path(spark, "items"), scratch_path(spark, "raw")
+    s_ingest.land_items(fx.items(spark, d), landing_path)
+    s_ingest.ingest_stream(spark, landing_path, raw_path, scratch_path(spark, "ckpt"), since=P.SINCE,
+                           fetched_at=P.AS_OF)
+    raw = spark.read.parquet(raw_path).drop("epoch")
+    return transform.processed_rows(ingest.reclean_raw(ingest.keep_first_by_id(raw)))
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, d):
+    """ST2: streaming dedup by article id within the watermark."""
+    landing_path, sink = scratch_path(spark, "items"), scratch_path(spark, "dedup")
+    s_ingest.land_items(fx.items(spark, d), landing_path)
+    s_ingest.dedup_stream(spark, landing_path, sink, scratch_path(spark, "ckpt"), since=P.SINCE, fetched_at=P.AS_OF)
+    return spark.read.parquet(sink).select("article_id", "published_at")
+
+
+@register("stream_request_rate")
+def q_stream_request_rate(spark, d):
+    """ST3: request rate per endpoint on a stream, equal to the batch W3 result."""
+    reqs = fx.adapter(spark, d, "requests")
+    landing_path, result = scratch_path(spark, "requests"), scratch_path(spark, "rate")
+    s_tel.land_by_time(reqs, landing_path)
+    s_tel.rate_stream(spark, landing_path, reqs.schema, result, scratch_path(spark, "ckpt"),
+                      length=P.RATE_WINDOW, step=P.RATE_STEP)
+    return spark.read.parquet(result).drop("window_date")
+
+
+@register("stream_audit")
+def q_stream_audit(spark, d):
+    """ST4: audit events appended by a stream, summarised like the batch report."""
+    a = fx.adapter(spark, d, "audit")
+    landing_path, sink = scratch_path(spark, "audit-in"), scratch_path(spark, "audit")
+    s_audit.land_events(a, landing_path)
+    s_audit.audit_stream(spark, landing_path, a.schema, sink, scratch_path(spark, "ckpt"))
+    return audit.audit_report(audit.read_audit(spark, sink))
