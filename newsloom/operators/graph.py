@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.maps import merge_properties  # noqa: F401  (re-exported for users)
+from newsloom.functions.maps import merge_properties
 from newsloom.functions.text import canonical_status, slugify
 from newsloom.functions.time import as_timestamp
 
@@ -105,37 +105,41 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .select(*edges.columns, reason.alias("reason")))
 
 
-def _exploded_props(df: DataFrame, ord_col: Column) -> DataFrame:
-    return df.select(*EDGE_KEY, ord_col.alias("_ord"),
+def fold_properties(batch: DataFrame, order="ord") -> DataFrame:
+    """Fold a batch of ``SET r += props`` updates into one update map per edge.
+
+    Per (edge, property key) the value of the last update wins (equal orders: the larger value),
+    NULL included, so a later NULL still removes the key when merged. One aggregate over the
+    exploded entries with map-side combine, then one small collect per edge (bounded by the
+    number of distinct property keys, not by the number of updates).
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    e = batch.select(*EDGE_KEY, F.struct(*[F.col(o) for o in order]).alias("_ord"),
                      F.explode_outer(F.map_entries(F.col("properties"))).alias("_e"))
+    per_key = (e.groupBy(*EDGE_KEY, F.col("_e.key").alias("k"))
+               .agg(F.max_by(F.struct(F.col("_e.value").alias("v")), F.struct("_ord", F.col("_e.value"))).alias("_w")))
+    return per_key.groupBy(*EDGE_KEY).agg(
+        F.map_from_entries(F.filter(F.collect_list(F.struct(F.col("k"), F.col("_w.v").alias("v"))),
+                                    lambda x: x["k"].isNotNull())).alias("_update"))
 
 
-def upsert_edges(target: DataFrame, batch: DataFrame, nodes: DataFrame, as_of=None, order: str = "ord") -> DataFrame:
+def upsert_edges(target: DataFrame, batch: DataFrame, nodes: DataFrame, as_of=None, order="ord") -> DataFrame:
     """``MATCH (s), (t) MERGE (s)-[r:TYPE]->(t) SET r += props, r.ingested_at = now``.
 
-    Batch edges are applied in ``order``; keys in later maps overwrite, other keys stay, a NULL
-    value removes the key (equal orders: the larger value wins, so the result is deterministic). Because the merge is last-writer-wins per (edge, property key), it is
-    one aggregate over exploded entries (map-side combined), not a sequential loop. Batch edges
-    whose endpoints do not resolve (J3) are not created.
+    Batch edges whose endpoints do not resolve (J3) are not created. The batch is folded to one
+    update map per edge (:func:`fold_properties`), then a single full outer join on the edge key
+    applies it with the map merge F13; untouched edges pass through unchanged.
     """
-    resolved = batch.join(nodes.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi") \
-                    .join(nodes.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi")
-    old = _exploded_props(target, F.lit(None).cast("bigint"))
-    new = _exploded_props(resolved, F.col(order).cast("bigint"))
-    entries = (old.unionByName(new)
-               .groupBy(*EDGE_KEY, F.col("_e.key").alias("k"))
-               .agg(F.max_by(F.struct(F.col("_e.value").alias("v")),
-                             F.struct(F.coalesce("_ord", F.lit(-(1 << 62))), F.col("_e.value"))).alias("_w"),
-                    F.max(F.col("_ord").isNotNull()).alias("_touched")))
-    edges = (entries.groupBy(*EDGE_KEY).agg(
-                F.map_from_entries(F.array_sort(F.filter(
-                    F.collect_list(F.struct(F.col("k"), F.col("_w.v").alias("v"))),
-                    lambda e: e["k"].isNotNull() & e["v"].isNotNull()))).alias("properties"),
-                F.max("_touched").alias("_touched")))
-    prev = target.select(*EDGE_KEY, "ingested_at")
-    return (edges.join(prev, EDGE_KEY, "left")
-            .select(*EDGE_KEY, "properties",
-                    F.when(F.col("_touched"), as_timestamp(as_of)).otherwise(F.col("ingested_at")).alias("ingested_at")))
+    ids = nodes.select("id").distinct()
+    resolved = (batch.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+                .join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
+    updates = fold_properties(resolved, order).withColumn("_touched", F.lit(True))
+    j = target.join(updates, EDGE_KEY, "full_outer")
+    touched = F.coalesce(F.col("_touched"), F.lit(False))
+    return j.select(*EDGE_KEY,
+                    F.when(touched, merge_properties(F.col("properties"), F.col("_update")))
+                     .otherwise(F.col("properties")).alias("properties"),
+                    F.when(touched, as_timestamp(as_of)).otherwise(F.col("ingested_at")).alias("ingested_at"))
 
 
 def model_details(nodes: DataFrame, edges: DataFrame, name: str | None = None) -> DataFrame:
@@ -189,19 +193,24 @@ def lineage_paths(nodes: DataFrame, edges: DataFrame, deployment_id: str) -> Dat
 
 
 def lineage_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """J7 over the whole graph: number of lineage paths per (deployment, experiment).
+    """J7 over the whole graph, per deployment: served models, model->run paths and
+    model->run->experiment paths along Deployment SERVES Model PRODUCED_BY Run BELONGS_TO Experiment.
 
-    Paths are counted, not listed: runs are first reduced to (model, experiment, n) so the
-    fan-out of a hub model never materialises deployment x run pairs.
+    Counts are pushed down the chain (runs per model first), so every join is linear in the
+    edge count; no deployment x run or deployment x experiment pairs are formed, however many
+    edges a hub model has.
     """
     serves = _typed_edges(nodes, edges, "SERVES", "Deployment", "Model", "deployment_id", "model_id")
     produced = _typed_edges(nodes, edges, "PRODUCED_BY", "Model", "Run", "model_id", "run_id")
     belongs = _typed_edges(nodes, edges, "BELONGS_TO", "Run", "Experiment", "run_id", "experiment_id")
-    per_model = (produced.join(belongs, "run_id")
-                 .groupBy("model_id", "experiment_id").agg(F.count(F.lit(1)).alias("n")))
-    return (serves.join(per_model, "model_id")
-            .groupBy("deployment_id", "experiment_id")
-            .agg(F.sum("n").alias("path_count"), F.count(F.lit(1)).alias("model_count")))
+    exp_per_run = belongs.groupBy("run_id").agg(F.count(F.lit(1)).alias("_e"))
+    per_model = (produced.join(exp_per_run, "run_id", "left")
+                 .groupBy("model_id").agg(F.count(F.lit(1)).alias("_r"), F.sum(F.coalesce("_e", F.lit(0))).alias("_p")))
+    return (serves.join(per_model, "model_id", "left")
+            .groupBy("deployment_id")
+            .agg(F.count(F.lit(1)).alias("model_count"),
+                 F.sum(F.coalesce("_r", F.lit(0))).cast("bigint").alias("run_paths"),
+                 F.sum(F.coalesce("_p", F.lit(0))).cast("bigint").alias("experiment_paths")))
 
 
 def graph_schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:

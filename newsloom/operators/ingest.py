@@ -142,13 +142,18 @@ def filter_language(items: DataFrame, language: str, column: str = "language") -
 
 
 def keyword_predicate(query: str, columns=("title", "description", "content")) -> Column:
-    """``a OR b OR c`` -> case-insensitive phrase match in any of the text columns."""
+    """``a OR b OR c`` -> case-insensitive phrase match in any of the text columns.
+
+    The columns are lower-cased once, joined by NUL (which no phrase contains, so a phrase
+    cannot match across two columns), and all phrases are one quoted alternation, so the
+    (possibly long) text is scanned once per row however many phrases the query has.
+    """
     phrases = [p.strip().lower() for p in query.split(" OR ") if p.strip()]
-    preds = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(p)) for p in phrases for c in columns]
-    out = F.lit(False)
-    for p in preds:
-        out = out | p
-    return out
+    if not phrases:
+        return F.lit(False)
+    text = F.lower(F.concat_ws("\u0000", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    pattern = "|".join("\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in phrases)
+    return text.rlike(pattern)
 
 
 def filter_keywords(items: DataFrame, query: str = DEFAULT_QUERY, columns=("title", "description", "content")) -> DataFrame:

@@ -89,7 +89,7 @@ def histogram_quantile(q: float, group_cols=("endpoint",), buckets=DEFAULT_BUCKE
         cums = F.array(*[F.col(f"_c{i}").cast("double") for i in range(n)])
         total = F.col("_total").cast("double")
         rank = F.lit(float(q)) * total
-        idx = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(cums, i) >= rank), 1)
+        idx = F.try_element_at(F.filter(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(cums, i) >= rank), F.lit(1))
         prev_le = F.when(idx > 1, F.element_at(les, F.greatest(idx - 1, F.lit(1)))).otherwise(F.lit(0.0))
         prev_cum = F.when(idx > 1, F.element_at(cums, F.greatest(idx - 1, F.lit(1)))).otherwise(F.lit(0.0))
         le = F.element_at(les, F.coalesce(idx, F.lit(1)))

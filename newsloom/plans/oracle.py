@@ -208,8 +208,10 @@ ORACLE["lineage"] = f"""WITH {G},
 serves AS (SELECT * FROM {_typed('SERVES', 'Deployment', 'Model', 'deployment_id', 'model_id')}),
 produced AS (SELECT * FROM {_typed('PRODUCED_BY', 'Model', 'Run', 'model_id', 'run_id')}),
 belongs AS (SELECT * FROM {_typed('BELONGS_TO', 'Run', 'Experiment', 'run_id', 'experiment_id')})
-SELECT s.deployment_id, b.experiment_id, count(*) AS path_count, count(DISTINCT s.model_id) AS model_count
-FROM serves s JOIN produced p USING (model_id) JOIN belongs b USING (run_id) GROUP BY 1, 2"""
+SELECT s.deployment_id, count(DISTINCT s.model_id) AS model_count,
+  CAST(count(DISTINCT (s.model_id, p.run_id)) AS BIGINT) AS run_paths,
+  CAST(count(b.experiment_id) AS BIGINT) AS experiment_paths
+FROM serves s LEFT JOIN produced p USING (model_id) LEFT JOIN belongs b USING (run_id) GROUP BY 1"""
 
 _status_case = ("CASE lower(trim(a1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_SYNONYMS.items())
                 + " ELSE a1 END")

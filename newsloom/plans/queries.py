@@ -297,7 +297,7 @@ def q_deployment_status(spark, d):
 
 @register("lineage")
 def q_lineage(spark, d):
-    """Lineage path counts Deployment->Model->Run->Experiment."""
+    """Per deployment, lineage path counts Deployment->Model->Run->Experiment."""
     return graph.lineage_counts(graph_nodes(spark, d), graph_edges(spark, d))
 
 

@@ -83,3 +83,16 @@ def load_rows(df: DataFrame, path: str, partition_by: str = "batch_id") -> None:
     """Direct load of rows into the raw table (same batch-replace contract as S6)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(partition_by).parquet(path))
+
+
+def split_corrupt(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S4 quarantine: (parsed rows, malformed lines).
+
+    The parse is materialised once with a reliable checkpoint (shared checkpoint folder): Spark
+    rejects plans over raw JSON that reference only the corrupt-record column, and both halves
+    then read the same parsed rows instead of parsing twice.
+    """
+    loaded = loaded.checkpoint(eager=True)
+    good = loaded.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    bad = loaded.filter(F.col("_corrupt").isNotNull())
+    return good, bad
