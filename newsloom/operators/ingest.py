@@ -158,3 +158,8 @@ def keyword_predicate(query: str, columns=("title", "description", "content")) -
 
 def filter_keywords(items: DataFrame, query: str = DEFAULT_QUERY, columns=("title", "description", "content")) -> DataFrame:
     return items.filter(keyword_predicate(query, columns))
+
+
+def has_rows(df: DataFrame) -> bool:
+    """The load branch; a one-row probe (``LIMIT 1``), never a full count."""
+    return not df.isEmpty()

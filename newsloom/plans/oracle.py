@@ -280,8 +280,9 @@ parsed AS (SELECT doc_id,
 
 ORACLE["parse_responses"] = f"WITH {PARSED} SELECT * FROM parsed"
 ORACLE["extraction_counts"] = f"""WITH {PARSED}
-SELECT status, count(*) AS responses, sum(n_models + n_runs + n_deployments) AS entity_count,
-  sum(n_relationships) AS relationship_count, sum(response_chars) AS response_chars FROM parsed GROUP BY 1"""
+SELECT status, count(*) AS responses, CAST(sum(n_models + n_runs + n_deployments) AS BIGINT) AS entity_count,
+  CAST(sum(n_relationships) AS BIGINT) AS relationship_count, CAST(sum(response_chars) AS BIGINT) AS response_chars
+FROM parsed GROUP BY 1"""
 ORACLE["schema_compliance"] = f"""WITH {PARSED}
 SELECT count(*) AS responses, count(*) FILTER (WHERE status IN ('valid', 'rejected')) AS compliant,
   round(avg(CASE WHEN status IN ('valid', 'rejected') THEN 1.0 ELSE 0.0 END), 6) AS compliance_rate FROM parsed"""
@@ -450,3 +451,13 @@ ORACLE["stream_ingest"] = ORACLE["processed_articles"]
 ORACLE["stream_dedup"] = f"WITH {RAW_ITEMS} SELECT DISTINCT article_id, published_at FROM raw"
 ORACLE["stream_request_rate"] = ORACLE["request_rate"]
 ORACLE["stream_audit"] = ORACLE["audit_report"]
+
+ORACLE["elt_daily_counts"] = f"""WITH {RAW}, p AS ({elt_sql('raw')})
+SELECT published_date, source_name, count(*) AS article_count,
+  count(*) FILTER (WHERE content_length > 0) AS sentiment_ready_count FROM p GROUP BY 1, 2"""
+ORACLE["extracted_entities"] = f"""WITH {PARSED.replace("parsed AS (SELECT doc_id,", "parsed AS (SELECT doc_id, j,")}
+SELECT doc_id, m.id AS id, m.name AS name, m.version AS version
+FROM (SELECT doc_id, unnest(j.models) AS m FROM parsed WHERE status = 'valid') WHERE m.id IS NOT NULL"""
+ORACLE["graph_labels"] = f"""WITH {NODES}
+SELECT label, count(*) AS node_count, count(name) AS with_name, count(a1) AS with_a1, count(a2) AS with_a2
+FROM nodes GROUP BY 1"""

@@ -619,3 +619,22 @@ def q_stream_audit(spark, d):
     s_audit.land_events(a, landing_path)
     s_audit.audit_stream(spark, landing_path, a.schema, sink, scratch_path(spark, "ckpt"))
     return audit.audit_report(audit.read_audit(spark, sink))
+
+
+@register("elt_daily_counts")
+def q_elt_daily_counts(spark, d):
+    """A2: daily counts rebuilt over the ELT-processed table (both batches merged, latest wins)."""
+    return transform.daily_counts(transform.elt_source(fx.raw_landed(spark, d)))
+
+
+@register("extracted_entities")
+def q_extracted_entities(spark, d):
+    """Models of the valid replies, one row per extracted model."""
+    valid, _ = extract.route(parsed_responses(spark, d))
+    return extract.explode_entities(valid, "models").select("doc_id", "id", "name", "version")
+
+
+@register("graph_labels")
+def q_graph_labels(spark, d):
+    """Labels with node counts and how many nodes set each property."""
+    return graph.label_properties(graph_nodes(spark, d))
