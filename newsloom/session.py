@@ -20,6 +20,11 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Broadcast policy: never broadcast on a planning-time estimate (a compressed file size is
+    # no bound on the in-memory size); AQE converts a join to a broadcast join only when the
+    # measured size of a materialised shuffle stage is below the adaptive threshold.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
 }
 
 

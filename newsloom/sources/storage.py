@@ -27,25 +27,49 @@ def append(df: DataFrame, path: str, partition_col: str | None = None) -> None:
     w.parquet(path)
 
 
-def upsert_partitioned(spark: SparkSession, target_path: str, source: DataFrame, key: str = "article_id",
-                       partition_col: str = "published_date") -> None:
-    """``MERGE ON key`` (update all columns / insert) as anti-join + union.
+# Largest number of touched partitions turned into a literal partition filter; above it the
+# target is scoped by a semi join instead (correct, but without planning-time pruning).
+MAX_PRUNED_PARTITIONS = 10000
+
 
-    Only the partitions the source touches are read and rewritten: the semi join on the
-    partition column lets dynamic partition pruning skip the rest of the target, and the
-    dynamic overwrite replaces just those partitions. Valid while a key fixes its partition
-    (true for fingerprint ids, whose date is part of the id). ``source`` must be unique by key.
+def merge_partitions(spark: SparkSession, target_path: str, source: DataFrame, keys, partition_col: str,
+                     target_schema=None) -> None:
+    """Anti-join + union of ``source`` into the partitions of ``target_path`` it touches.
+
+    The distinct touched partition values (at most one per partition, checked against
+    ``MAX_PRUNED_PARTITIONS``) become a literal ``IN`` filter, which prunes the target's files
+    at planning time; the dynamic overwrite then replaces just those partitions, removing the
+    old files only at job commit (after every task has read them). ``source`` should be
+    materialised by the caller, since it is read three times.
     """
-    source = source.checkpoint(eager=True)  # reliable checkpoint: cuts lineage, survives executor loss
-    target = spark.read.parquet(target_path)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    reader = spark.read.schema(target_schema) if target_schema is not None else spark.read
+    target = reader.parquet(target_path)
     touched = source.select(partition_col).distinct()
-    scoped = target.join(touched, partition_col, "left_semi")
-    kept = scoped.join(source.select(key), key, "left_anti")
+    values = [r[0] for r in touched.limit(MAX_PRUNED_PARTITIONS + 1).collect()]   # partition keys only
+    if not values:
+        return
+    if len(values) <= MAX_PRUNED_PARTITIONS:
+        scoped = target.filter(F.col(partition_col).isin(values))
+    else:
+        scoped = target.join(touched, partition_col, "left_semi")
+    kept = scoped.join(source.select(*keys), keys, "left_anti")
     merged = kept.unionByName(source.select(*target.columns))
     (merged.repartition(partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(target_path))
 
 
+def upsert_partitioned(spark: SparkSession, target_path: str, source: DataFrame, key="article_id",
+                       partition_col: str = "published_date") -> None:
+    """``MERGE ON key`` (update all columns / insert) as a partition-scoped anti-join + union.
+
+    Valid while a key fixes its partition (true for fingerprint ids, whose date is part of the
+    id). ``source`` must be unique by key; it is cut from its lineage with a reliable checkpoint
+    first (shared checkpoint folder), so a lost executor never recomputes the source.
+    """
+    merge_partitions(spark, target_path, source.checkpoint(eager=True), key, partition_col)
+
+
 def upsert_frames(target: DataFrame, source: DataFrame, key: str = "article_id") -> DataFrame:
     """J1 as a pure DataFrame function (no write): target rows not in source, plus source."""
     return target.join(source.select(key), key, "left_anti").unionByName(source.select(*target.columns))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.telemetry import _seconds
+from newsloom.sources.storage import merge_partitions
 
 
 def land_by_time(df: DataFrame, path: str, ts: str = "ts", unit: str = "week") -> None:
@@ -38,16 +39,16 @@ def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoi
     spark.createDataFrame([], result_schema).write.mode("ignore").partitionBy("window_date").parquet(result)
 
     def merge_epoch(batch: DataFrame, epoch_id: int) -> None:
-        upd = (batch.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                            *group_cols, "requests", F.round(F.col("requests") / F.lit(secs), 9).alias("rate"))
-               .withColumn("window_date", F.to_date("window_start")))
-        target = spark.read.schema(result_schema).parquet(result)
-        touched = upd.select("window_date").distinct()
-        kept = target.join(touched, "window_date", "left_semi").join(upd.select(*key), key, "left_anti")
-        # Dynamic overwrite removes a touched partition's old files only at job commit, after
-        # every task has read them; a retried epoch recomputes the same rows.
-        (kept.unionByName(upd).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("window_date").parquet(result))
+        batch.persist()     # read three times below; recomputed from the same offsets if lost
+        try:
+            if batch.isEmpty():
+                return      # watermark-only epoch: nothing changed
+            upd = (batch.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                                *group_cols, "requests", F.round(F.col("requests") / F.lit(secs), 9).alias("rate"))
+                   .withColumn("window_date", F.to_date("window_start")))
+            merge_partitions(spark, result, upd, key, "window_date", result_schema)
+        finally:
+            batch.unpersist()
 
     q = (counts.writeStream.outputMode("update").foreachBatch(merge_epoch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
