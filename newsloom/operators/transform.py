@@ -40,9 +40,12 @@ def content_length_c(content, description) -> Column:
                                F.lit(""))).cast("bigint")
 
 
-def processed_rows(clean_raw: DataFrame) -> DataFrame:
-    """Cleaned raw rows -> processed articles (row path: NULL texts become '')."""
-    return clean_raw.select(
+def processed_rows(clean_raw: DataFrame, carry=()) -> DataFrame:
+    """Cleaned raw rows -> processed articles (row path: NULL texts become '').
+
+    ``carry`` names extra input columns to keep (e.g. the item ordinal for later merges).
+    """
+    return clean_raw.select(*carry,
         "article_id", "title", "source_name", "published_at",
         utc_date("published_at").alias("published_date"),
         F.coalesce("content", F.lit("")).alias("content"),

@@ -448,6 +448,8 @@ ORACLE["last_message"] = f"""SELECT conv_id, turn AS last_turn, {_role} AS last_
 WHERE rn = 1"""
 
 ORACLE["stream_ingest"] = ORACLE["processed_articles"]
+ORACLE["stream_daily_counts"] = ORACLE["daily_counts"]
+ORACLE["stream_raw_epochs"] = ORACLE["processed_articles"]
 ORACLE["stream_dedup"] = f"WITH {RAW_ITEMS} SELECT DISTINCT article_id, published_at FROM raw"
 ORACLE["stream_request_rate"] = ORACLE["request_rate"]
 ORACLE["stream_audit"] = ORACLE["audit_report"]
