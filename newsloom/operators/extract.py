@@ -100,8 +100,15 @@ def parse_responses(responses: DataFrame, text_col: str = "response") -> DataFra
         *EXTRACTION.fieldNames())
 
 
-def route(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows go on to ingestion, the rest to the review quarantine."""
+def route(parsed: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Valid rows go on to ingestion, the rest to the review quarantine.
+
+    Both branches are filters over one materialised parse (reliable checkpoint in the shared
+    checkpoint folder): otherwise each branch re-parses, and the pushed-down status predicate
+    would re-evaluate ``from_json`` once per field it inspects.
+    """
+    if materialize:
+        parsed = parsed.checkpoint(eager=True)
     return parsed.filter(F.col("status") == "valid"), parsed.filter(F.col("status") != "valid")
 
 
