@@ -52,15 +52,24 @@ def get_session(master: str = "local[*]", app: str = "newsloom", shuffle_partiti
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; set one of our own only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (sessions without a local SparkContext)
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current.rstrip("/")
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+    else:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="newsloom-ckpt-")
-    sc.setCheckpointDir(configured)
-    return (sc.getCheckpointDir() or configured).rstrip("/")
+        configured = tempfile.mkdtemp(prefix="newsloom-ckpt-")      # local tests only
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return (sc.getCheckpointDir() or configured).rstrip("/")
+    spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
