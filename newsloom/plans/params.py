@@ -13,7 +13,6 @@ RATE_STEP = "1 minute"
 HIST_QUANTILE = 0.95
 ACCURACY_GATE = 0.82
 LABEL_SCAN_LIMIT = 25
-MODEL_NAME_PREFIX = "a"                # not used for filtering registry queries
 # --------------------------------------------------------------------------------------------
 KEYWORDS = "tionha OR Is and OR der die"   # a keyword query whose phrases occur in the test prose
 RETENTION_AS_OF = "2024-03-02 12:00:00"
