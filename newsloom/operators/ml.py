@@ -22,8 +22,10 @@ FAIL_TASK = "notify_training_failure"
 
 def hash_split(df: DataFrame, id_col: str, train_percent: int = TRAIN_PERCENT) -> DataFrame:
     """M1: deterministic 80/20 split by a hash of the id (stable under repartitioning and retries,
-    unlike ``randomSplit``, whose result depends on the partitioning)."""
-    bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(100))
+    unlike ``randomSplit``, whose result depends on the partitioning). The bucket is the first
+    32 bits of the id's MD5, mod 100."""
+    digest = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("bigint")
+    bucket = F.pmod(digest, F.lit(100))
     return df.withColumn("split", F.when(bucket < train_percent, "train").otherwise("test"))
 
 

@@ -463,3 +463,18 @@ FROM (SELECT doc_id, unnest(j.models) AS m FROM parsed WHERE status = 'valid') W
 ORACLE["graph_labels"] = f"""WITH {NODES}
 SELECT label, count(*) AS node_count, count(name) AS with_name, count(a1) AS with_a1, count(a2) AS with_a2
 FROM nodes GROUP BY 1"""
+
+ORACLE["ml_split"] = f"""SELECT vec_id, label,
+  CASE WHEN CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split
+FROM embeddings"""
+
+from newsloom.sources.landing import RAW_SCHEMA as _RAW_SCHEMA  # noqa: E402
+
+_REQUIRED = ("article_id", "title", "url", "published_at", "batch_id")
+_meta = " UNION ALL ".join(
+    f"SELECT 'news_articles_raw' AS \"table\", '{f.name}' AS \"column\", '{f.dataType.simpleString()}' AS expected, "
+    f"'{f.dataType.simpleString()}' AS actual, 'ok' AS issue" for f in _RAW_SCHEMA.fields)
+_nulls = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM raw"
+                            for c in _REQUIRED)
+ORACLE["dq_schema"] = f"""WITH {RAW}, meta AS ({_meta}), n AS ({_nulls})
+SELECT m."table", m."column", m.expected, m.actual, m.issue, n.null_count FROM meta m LEFT JOIN n USING ("column")"""
