@@ -120,7 +120,8 @@ def windowed_latency_quantile(requests: DataFrame, q: float = 0.95, length: str
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "quantile")
 
 
-def _seconds(length: str) -> float:
+def window_seconds(length: str) -> float:
+    """Seconds in a window length such as ``\"5 minutes\"``."""
     num, unit = length.split()
     scale = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
              "day": 86400, "days": 86400}[unit]
@@ -133,7 +134,7 @@ def request_rate(requests: DataFrame, length: str = "5 minutes", step: str = "1
 
     Half-open windows ``[start, start + length)``, no boundary extrapolation.
     """
-    secs = _seconds(length)
+    secs = window_seconds(length)
     w = requests.groupBy(F.window("ts", length, step).alias("window"), *group_cols).agg(
         F.count(F.lit(1)).alias("requests"))
     return w.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
@@ -176,7 +177,7 @@ def counter_rate(samples: DataFrame, length: str = "1 hour", series=("endpoint",
                  value: str = "value", tiebreak: str | None = "event_id") -> DataFrame:
     """Rate from scraped counter samples: summed increases per tumbling window / seconds."""
     inc = counter_increase(samples, series, ts, value, tiebreak)
-    secs = _seconds(length)
+    secs = window_seconds(length)
     w = inc.groupBy(F.window(ts, length).alias("window"), *series).agg(F.sum("increase").alias("increase"))
     return w.select(F.col("window.start").alias("window_start"), *series,
                     F.col("increase").cast("bigint").alias("increase"),
@@ -194,3 +195,14 @@ def last_not_null(samples: DataFrame, series=("job",), ts: str = "ts", value: st
 def time_range(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:
     """Dashboard range ``[now - 6h, now]`` with an explicit ``now``."""
     return df.filter((F.col(ts) >= as_timestamp(start)) & (F.col(ts) <= as_timestamp(end)))
+
+
+def approx_latency_quantile(requests: DataFrame, q: float = 0.95, group_cols=("endpoint",), latency: str = "latency_s",
+                            accuracy: int = 10000) -> DataFrame:
+    """W5 variant on raw latencies: ``percentile_approx`` (a bounded-size sketch per group).
+
+    An exact ``percentile`` would keep every distinct value of a group in one buffer, which a
+    hot endpoint makes unbounded; the sketch merges map-side like any partial aggregate.
+    """
+    return requests.groupBy(*group_cols).agg(
+        F.percentile_approx(F.col(latency), F.lit(q), F.lit(accuracy)).alias("quantile"))

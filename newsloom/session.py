@@ -64,7 +64,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     else:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="newsloom-ckpt-")      # local tests only
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                               "(lineage cuts, scratch tables and stream checkpoints are written there)")
+        configured = tempfile.mkdtemp(prefix="newsloom-ckpt-")      # local mode (tests) only
     if sc is not None:
         sc.setCheckpointDir(configured)
         return (sc.getCheckpointDir() or configured).rstrip("/")

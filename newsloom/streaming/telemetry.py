@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.telemetry import _seconds
+from newsloom.operators.telemetry import window_seconds
 from newsloom.sources.storage import merge_partitions
 
 
@@ -26,7 +26,7 @@ def land_by_time(df: DataFrame, path: str, ts: str = "ts", unit: str = "week") -
 def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoint: str, *,
                 length: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes",
                 group_cols=("endpoint",), files_per_trigger: int = 1):
-    secs = _seconds(length)
+    secs = window_seconds(length)
     events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
               .withColumn("ts", F.col("ts").cast("timestamp")))
     counts = (events.withWatermark("ts", delay)

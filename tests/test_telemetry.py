@@ -67,3 +67,9 @@ def test_last_not_null(spark):
     df = spark.createDataFrame([("j", "2024-01-01 00:00:00", 1, 1), ("j", "2024-01-01 00:01:00", 2, None)],
                                "job string, ts string, event_id int, up int").withColumn("ts", F.col("ts").cast("timestamp"))
     assert telemetry.last_not_null(df).first().up == 1
+
+
+def test_approx_quantile_close_to_exact(spark):
+    rows = [("2024-01-01 00:00:00", "/p", 200, i / 1000.0, "GET") for i in range(1, 1001)]
+    q = telemetry.approx_latency_quantile(reqs(spark, rows), 0.95).first().quantile
+    assert abs(q - 0.95) <= 0.002
