@@ -45,10 +45,16 @@ def unique(df: DataFrame, model: str, columns, name: str | None = None) -> DataF
         F.lit("unique").alias("test"), "failures")
 
 
-def column_tests(df: DataFrame, model: str, tests: dict) -> list[DataFrame]:
+def column_tests(df: DataFrame, model: str, tests: dict, materialize: bool = True) -> list[DataFrame]:
+    """The declared tests of one model. With several checks on one model, the model is
+    projected to the tested columns and materialised once (reliable checkpoint), so an
+    expensive model (e.g. staging's Unicode trims) is computed once, not once per check."""
     nn = [c for c, ts in tests.items() if "not_null" in ts]
+    uq = [c for c, ts in tests.items() if "unique" in ts]
+    if materialize and (bool(nn) + len(uq)) > 1:
+        df = df.select(*tests.keys()).checkpoint(eager=True)
     out = [not_null(df, model, nn)] if nn else []
-    out += [unique(df, model, c) for c, ts in tests.items() if "unique" in ts]
+    out += [unique(df, model, c) for c in uq]
     return out
 
 
