@@ -175,20 +175,24 @@ def deployment_status(nodes: DataFrame, edges: DataFrame, deployment_id: str | N
             .join(serves, "deployment_id").join(models, "model_id"))
 
 
-def _typed_edges(nodes: DataFrame, edges: DataFrame, etype: str, src_label: str, dst_label: str,
-                 src: str, dst: str) -> DataFrame:
-    s = nodes.filter(F.col("label") == src_label).select(F.col("id").alias(src))
-    t = nodes.filter(F.col("label") == dst_label).select(F.col("id").alias(dst))
-    e = edges.filter(F.col("type") == etype).select(F.col("source_id").alias(src), F.col("target_id").alias(dst))
-    return e.join(s, src, "left_semi").join(t, dst, "left_semi")
+def _typed_edges(resolved: DataFrame, etype: str, src_label: str, dst_label: str, src: str, dst: str) -> DataFrame:
+    """Edges of one type whose endpoints carry the given labels, from the resolved edges.
+
+    Every typed edge set is a filter over the same resolved frame, so the endpoint lookups are
+    done once (their shuffles are reused) instead of two semi joins per edge type.
+    """
+    return (resolved.filter((F.col("type") == etype) & (F.col("source_label") == src_label)
+                            & (F.col("target_label") == dst_label))
+            .select(F.col("source_id").alias(src), F.col("target_id").alias(dst)))
 
 
 def lineage_paths(nodes: DataFrame, edges: DataFrame, deployment_id: str) -> DataFrame:
     """J7 for one deployment: Deployment SERVES Model PRODUCED_BY Run BELONGS_TO Experiment."""
-    serves = _typed_edges(nodes, edges, "SERVES", "Deployment", "Model", "deployment_id", "model_id") \
+    r = resolve_edges(edges, nodes)
+    serves = _typed_edges(r, "SERVES", "Deployment", "Model", "deployment_id", "model_id") \
         .filter(F.col("deployment_id") == deployment_id)
-    produced = _typed_edges(nodes, edges, "PRODUCED_BY", "Model", "Run", "model_id", "run_id")
-    belongs = _typed_edges(nodes, edges, "BELONGS_TO", "Run", "Experiment", "run_id", "experiment_id")
+    produced = _typed_edges(r, "PRODUCED_BY", "Model", "Run", "model_id", "run_id")
+    belongs = _typed_edges(r, "BELONGS_TO", "Run", "Experiment", "run_id", "experiment_id")
     return serves.join(produced, "model_id").join(belongs, "run_id")
 
 
@@ -196,13 +200,14 @@ def lineage_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """J7 over the whole graph, per deployment: served models, model->run paths and
     model->run->experiment paths along Deployment SERVES Model PRODUCED_BY Run BELONGS_TO Experiment.
 
-    Counts are pushed down the chain (runs per model first), so every join is linear in the
-    edge count; no deployment x run or deployment x experiment pairs are formed, however many
-    edges a hub model has.
+    Counts are pushed down the chain (experiments per run, then runs and paths per model), so
+    every join is linear in the edge count; no deployment x run or deployment x experiment pairs
+    are formed, however many edges a hub model has.
     """
-    serves = _typed_edges(nodes, edges, "SERVES", "Deployment", "Model", "deployment_id", "model_id")
-    produced = _typed_edges(nodes, edges, "PRODUCED_BY", "Model", "Run", "model_id", "run_id")
-    belongs = _typed_edges(nodes, edges, "BELONGS_TO", "Run", "Experiment", "run_id", "experiment_id")
+    r = resolve_edges(edges, nodes)
+    serves = _typed_edges(r, "SERVES", "Deployment", "Model", "deployment_id", "model_id")
+    produced = _typed_edges(r, "PRODUCED_BY", "Model", "Run", "model_id", "run_id")
+    belongs = _typed_edges(r, "BELONGS_TO", "Run", "Experiment", "run_id", "experiment_id")
     exp_per_run = belongs.groupBy("run_id").agg(F.count(F.lit(1)).alias("_e"))
     per_model = (produced.join(exp_per_run, "run_id", "left")
                  .groupBy("model_id").agg(F.count(F.lit(1)).alias("_r"), F.sum(F.coalesce("_e", F.lit(0))).alias("_p")))
