@@ -43,22 +43,34 @@ def audit_report(events: DataFrame) -> DataFrame:
         F.max_by("status", F.struct(ts, F.col("status"))).alias("last_status"))
 
 
-def run_log(runs: DataFrame, run_id: str, metrics: dict, ts: str | None = None) -> DataFrame:
-    """Long run log ``(run_id, kind, key, value, ts)`` from metric columns/expressions."""
+def run_log(runs: DataFrame, run_id: str, metrics: dict | None = None, ts: str | None = None,
+            params: dict | None = None, texts: dict | None = None) -> DataFrame:
+    """Long run log ``(run_id, kind, key, value, text, ts)``.
+
+    ``metrics`` (log_metric) fill the numeric ``value``; ``params`` (log_param) and ``texts``
+    (log_text) fill ``text``. Each mapping is key -> column name or Column expression.
+    """
     parts = []
-    for key, expr in metrics.items():
-        parts.append(runs.select(F.col(run_id).alias("run_id"), F.lit("metric").alias("kind"), F.lit(key).alias("key"),
-                                 (F.col(expr) if isinstance(expr, str) else expr).cast("double").alias("value"),
-                                 (F.col(ts) if ts else F.lit(None)).cast("timestamp").alias("ts")))
+    for kind, mapping in (("metric", metrics or {}), ("param", params or {}), ("text", texts or {})):
+        for key, expr in mapping.items():
+            c = F.col(expr) if isinstance(expr, str) else expr
+            parts.append(runs.select(
+                F.col(run_id).alias("run_id"), F.lit(kind).alias("kind"), F.lit(key).alias("key"),
+                (c.cast("double") if kind == "metric" else F.lit(None).cast("double")).alias("value"),
+                (c.cast("string") if kind != "metric" else F.lit(None).cast("string")).alias("text"),
+                (F.col(ts) if ts else F.lit(None)).cast("timestamp").alias("ts")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def pivot_run_log(log: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per run, one column per metric key (explicit keys: no extra distinct job)."""
-    return log.groupBy("run_id").pivot("key", keys).agg(F.max_by("value", F.struct("ts", "value")))
+def pivot_run_log(log: DataFrame, keys: list[str], kind: str = "metric") -> DataFrame:
+    """One row per run, one column per key of one kind (explicit keys: no extra distinct
+    job); the latest logged value wins."""
+    col = "value" if kind == "metric" else "text"
+    return (log.filter(F.col("kind") == kind).groupBy("run_id").pivot("key", keys)
+            .agg(F.max_by(col, F.struct("ts", col))))
 
 
 def write_quarantine(rejected: DataFrame, path: str) -> None:

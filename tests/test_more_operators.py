@@ -47,3 +47,12 @@ def test_append_messages_and_branch(spark):
     both = chat.append_messages(a, b)
     assert chat.transcripts(both).first().transcript == "user: hi\nassistant: yo"
     assert ingest.has_rows(both) and not ingest.has_rows(both.filter(F.lit(False)))
+
+
+def test_run_log_metrics_params_texts(spark):
+    runs = spark.createDataFrame([("r1", 0.9, 32, "ok")], "run_id string, acc double, bs int, note string")
+    log = audit.run_log(runs, "run_id", metrics={"accuracy": "acc"}, params={"batch_size": "bs"}, texts={"note": "note"})
+    assert sorted((r.kind, r.key) for r in log.collect()) == [("metric", "accuracy"), ("param", "batch_size"), ("text", "note")]
+    m = audit.pivot_run_log(log, ["accuracy"]).first()
+    p = audit.pivot_run_log(log, ["batch_size"], kind="param").first()
+    assert m.accuracy == 0.9 and p.batch_size == "32"
