@@ -140,3 +140,28 @@ def parse_verdicts(replies: DataFrame, text_col: str = "reply") -> DataFrame:
     st = F.upper(F.trim(v["status"]))
     return replies.select("*", F.when(st.isin("PASS", "FAIL", "WARN"), st).alias("status"),
                           v["reasoning"].alias("reasoning"), v["suggested_correction"].alias("suggested_correction"))
+
+
+def extraction_batches(valid: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """T5: valid extractions -> (node batch, edge batch) in the generic graph shape.
+
+    Nodes: ``(label, id, name, a1, a2, ord)`` with the per-label property slots of
+    ``graph.project_nodes`` (Model: version/framework, Experiment and Run: status,
+    Deployment: cluster/image). Edges: ``(source_id, target_id, type, properties, ord)``.
+    ``ord`` is the document id, so a later document's values win on repeated ids.
+    """
+    def nodes_of(kind: str, label: str, a1: str | None, a2: str | None) -> DataFrame:
+        e = explode_entities(valid, kind, id_col)
+        return e.select(F.lit(label).alias("label"), "id", "name",
+                        (F.col(a1) if a1 else F.lit(None)).cast("string").alias("a1"),
+                        (F.col(a2) if a2 else F.lit(None)).cast("string").alias("a2"),
+                        F.col(id_col).cast("bigint").alias("ord"))
+    nodes = (nodes_of("models", "Model", "version", "framework")
+             .unionByName(nodes_of("experiments", "Experiment", "status", None))
+             .unionByName(nodes_of("runs", "Run", "status", None))
+             .unionByName(nodes_of("deployments", "Deployment", "cluster", "image")))
+    rel = explode_entities(valid, "relationships", id_col)
+    edges = rel.select("source_id", "target_id", "type",
+                       F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"),
+                       F.col(id_col).cast("bigint").alias("ord"))
+    return nodes, edges

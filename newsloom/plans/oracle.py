@@ -478,3 +478,19 @@ _nulls = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE
                             for c in _REQUIRED)
 ORACLE["dq_schema"] = f"""WITH {RAW}, meta AS ({_meta}), n AS ({_nulls})
 SELECT m."table", m."column", m.expected, m.actual, m.issue, n.null_count FROM meta m LEFT JOIN n USING ("column")"""
+
+ORACLE["kg_ingest"] = f"""WITH {PARSED.replace("parsed AS (SELECT doc_id,", "parsed AS (SELECT doc_id, j,")}, {G},
+valid AS (SELECT doc_id, j FROM parsed WHERE status = 'valid'),
+nb AS (
+  SELECT 'Model' AS label, m.id AS id, doc_id FROM (SELECT doc_id, unnest(j.models) AS m FROM valid) WHERE m.id IS NOT NULL
+  UNION ALL SELECT 'Run', r.id, doc_id FROM (SELECT doc_id, unnest(j.runs) AS r FROM valid) WHERE r.id IS NOT NULL),
+nodes2 AS (SELECT label, id FROM nodes UNION SELECT label, id FROM nb),
+eb AS (SELECT x.source_id, x.target_id, x.type FROM (SELECT unnest(j.relationships) AS x FROM valid) WHERE x.source_id IS NOT NULL),
+ids AS (SELECT DISTINCT id FROM nodes2),
+eb2 AS (SELECT DISTINCT * FROM eb WHERE source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids)),
+edges2 AS (SELECT DISTINCT source_id, target_id, type FROM (SELECT source_id, target_id, type FROM edges UNION ALL SELECT * FROM eb2))
+SELECT 'node' AS kind, label AS name, count(*) AS n,
+  count(*) FILTER (WHERE (label, id) IN (SELECT (label, id) FROM nb)) AS touched FROM nodes2 GROUP BY 1, 2
+UNION ALL
+SELECT 'edge', type, count(*), count(*) FILTER (WHERE (source_id, target_id, type) IN (SELECT (source_id, target_id, type) FROM eb2))
+FROM edges2 GROUP BY 1, 2"""

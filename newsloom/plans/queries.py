@@ -661,3 +661,19 @@ def q_extracted_entities(spark, d):
 def q_graph_labels(spark, d):
     """Labels with node counts and how many nodes set each property."""
     return graph.label_properties(graph_nodes(spark, d))
+
+
+@register("kg_ingest")
+def q_kg_ingest(spark, d):
+    """Valid replies exploded and upserted into the graph; counts per label/type."""
+    valid, _ = extract.route(parsed_responses(spark, d))
+    node_batch, edge_batch = extract.extraction_batches(valid)
+    nodes = graph.upsert_nodes(graph_nodes(spark, d), node_batch, ["name", "a1", "a2"], as_of=P.GRAPH_AS_OF,
+                               order=["ord", "name", "a1", "a2"])
+    edges = graph.upsert_edges(seeded_edges(spark, d), edge_batch, nodes, as_of=P.GRAPH_AS_OF)
+    n = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("last_updated").isNotNull()).alias("touched"))
+    e = edges.groupBy(F.lit("edge").alias("kind"), F.col("type").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("ingested_at") == as_ts(P.GRAPH_AS_OF)).alias("touched"))
+    return n.unionByName(e)
