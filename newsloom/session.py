@@ -79,3 +79,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def sizing_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Spill-aware sizing for a job reading ``input_bytes`` on ``total_cores`` task slots.
+
+    Shuffle partitions are sized so one partition holds about ``target_partition_bytes`` of the
+    input (at least two waves of tasks), file splits never exceed the target, and AQE coalesces
+    small partitions back towards it. At 100 TB and 256 MB that is ~400k shuffle partitions.
+    """
+    by_size = -(-int(input_bytes) // int(target_partition_bytes))
+    parts = max(2 * total_cores, by_size)
+    parts = -(-parts // total_cores) * total_cores          # whole waves
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(target_partition_bytes, 256 << 20)),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+    }

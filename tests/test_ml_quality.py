@@ -63,3 +63,12 @@ def test_ranges_schema_and_required(spark):
     assert d == {"accuracy": ("ok", None), "n": ("ok", 1), "gone": ("missing", None)}
     ok, bad = quality.require(df, ["n"])
     assert ok.count() == 2 and bad.first().reason == "missing required: n"
+
+
+def test_sizing_conf_scales_with_input():
+    from newsloom.session import sizing_conf
+    small = sizing_conf(37 << 20, 8)
+    big = sizing_conf(100 << 40, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert int(big["spark.sql.shuffle.partitions"]) >= (100 << 40) // (256 << 20)
+    assert int(big["spark.sql.shuffle.partitions"]) % 8000 == 0
