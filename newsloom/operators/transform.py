@@ -20,10 +20,18 @@ PROCESSED_COLUMNS = ["article_id", "title", "source_name", "published_at", "publ
 
 
 # three named content-length rules (they differ on untrimmed text; keep all three).
-def content_length_a(content, description) -> Column:
-    """Row path: ``len(clean(content) or clean(description) or "")``."""
-    c = F.nullif(clean_text(content), F.lit(""))
-    d = F.nullif(clean_text(description), F.lit(""))
+def content_length_a(content, description, cleaned: bool = False) -> Column:
+    """Row path: ``len(clean(content) or clean(description) or "")``.
+
+    ``cleaned=True`` states that both inputs already went through F1 (cleaning is idempotent),
+    which saves a second regex pass over the text.
+    """
+    if cleaned:
+        c = F.nullif(F.col(content) if isinstance(content, str) else content, F.lit(""))
+        d = F.nullif(F.col(description) if isinstance(description, str) else description, F.lit(""))
+    else:
+        c = F.nullif(clean_text(content), F.lit(""))
+        d = F.nullif(clean_text(description), F.lit(""))
     return F.length(F.coalesce(c, d, F.lit(""))).cast("bigint")
 
 
@@ -41,7 +49,7 @@ def content_length_c(content, description) -> Column:
 
 
 def processed_rows(clean_raw: DataFrame, carry=()) -> DataFrame:
-    """Cleaned raw rows -> processed articles (row path: NULL texts become '').
+    """Cleaned raw rows (P5 output) -> processed articles (row path: NULL texts become '').
 
     ``carry`` names extra input columns to keep (e.g. the item ordinal for later merges).
     """
@@ -50,7 +58,7 @@ def processed_rows(clean_raw: DataFrame, carry=()) -> DataFrame:
         utc_date("published_at").alias("published_date"),
         F.coalesce("content", F.lit("")).alias("content"),
         F.coalesce("description", F.lit("")).alias("description"),
-        content_length_a("content", "description").alias("content_length"),
+        content_length_a("content", "description", cleaned=True).alias("content_length"),
         "url", F.lit(SENTIMENT_PLACEHOLDER).alias("sentiment_placeholder"),
         F.col("batch_id").alias("ingestion_batch_id"), "query")
 

@@ -46,7 +46,9 @@ def raw_items(spark, d) -> DataFrame:
 
 
 def clean_items(spark, d) -> DataFrame:
-    return ingest.reclean_raw(ingest.keep_first_by_id(raw_items(spark, d)))
+    # raw_payload is dropped before the dedup: inside the packed min_by row Catalyst could not
+    # prune it, so it would be built (a to_json of the whole item) and shuffled for nothing.
+    return ingest.reclean_raw(ingest.keep_first_by_id(raw_items(spark, d).drop("raw_payload")))
 
 
 def processed_items(spark, d) -> DataFrame:
@@ -62,7 +64,7 @@ def q_raw_articles(spark, d):
 @register("dedup_keep_first")
 def q_dedup_keep_first(spark, d):
     """Newest-first keep-first dedup by article id."""
-    return clean_items(spark, d).drop("raw_payload")
+    return clean_items(spark, d)
 
 
 @register("processed_articles")
