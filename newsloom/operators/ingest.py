@@ -7,6 +7,8 @@ shuffle on ``article_id`` with map-side combine.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,27 @@ PAGE_SIZE = 100
 MAX_PAGES = 5
 # --------------------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class PipelineConfig:
+    """Run parameters of the ingestion job, validated on construction (Q6 for configuration)."""
+    query: str = DEFAULT_QUERY
+    language: str = "en"
+    page_size: int = PAGE_SIZE
+    lookback_hours: int = 24
+    sources: tuple[str, ...] = field(default_factory=tuple)
+
+    def __post_init__(self):
+        if not 1 <= self.page_size <= 100:
+            raise ValueError(f"page_size must be within 1..100, got {self.page_size}")
+        if self.lookback_hours < 1:
+            raise ValueError(f"lookback_hours must be >= 1, got {self.lookback_hours}")
+
+    @staticmethod
+    def parse_sources(text: str | None) -> tuple[str, ...]:
+        """``"a, b,,c"`` -> ``("a", "b", "c")`` (driver-side twin of :func:`split_list`)."""
+        return tuple(p.strip() for p in (text or "").split(",") if p.strip())
+
+
 RAW_COLUMNS = ["article_id", "title", "source_name", "source_id", "author", "description", "content",
                "url", "published_at", "fetched_at", "query", "batch_id", "language", "raw_payload"]
 

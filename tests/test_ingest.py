@@ -87,3 +87,12 @@ def test_elt_latest_per_id(spark):
                                "article_id string, title string, fetched_at string, batch_id string") \
         .withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     assert [r.title for r in transform.latest_per_id(df).collect()] == ["x2"]
+
+
+def test_pipeline_config_ranges():
+    import pytest
+    cfg = ingest.PipelineConfig(sources=ingest.PipelineConfig.parse_sources("a, b,,c"))
+    assert cfg.sources == ("a", "b", "c") and cfg.page_size == 100
+    for bad in ({"page_size": 0}, {"page_size": 101}, {"lookback_hours": 0}):
+        with pytest.raises(ValueError):
+            ingest.PipelineConfig(**bad)
