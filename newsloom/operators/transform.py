@@ -133,7 +133,7 @@ def daily_mart(staged: DataFrame) -> DataFrame:
         F.count_distinct("article_id").alias("distinct_article_count"))
 
 
-def pipeline_summary(processed: DataFrame) -> DataFrame:
+def batch_summary(processed: DataFrame) -> DataFrame:
     """A4: row count, distinct sources (count and sorted list), newest ``published_at`` as ISO."""
     return processed.agg(
         F.count(F.lit(1)).alias("article_count"),

@@ -49,7 +49,7 @@ ORACLE["newest_items_topk"] = f"""WITH {PARSED_ITEMS}
 SELECT item_ord, published_at_text, published_at, title FROM parsed
 ORDER BY published_at DESC NULLS LAST, item_ord LIMIT 500"""
 
-ORACLE["pipeline_summary"] = f"""WITH {RAW_ITEMS}
+ORACLE["batch_summary"] = f"""WITH {RAW_ITEMS}
 SELECT count(*) AS article_count, count(DISTINCT source_name) AS source_count,
   CAST(to_json(list_sort(list(DISTINCT source_name))) AS VARCHAR) AS sources_json,
   {D.iso('max(published_at)')} AS latest_published_at

@@ -86,10 +86,10 @@ def q_newest_items_topk(spark, d):
     return top.select("item_ord", "published_at_text", "published_at", "title")
 
 
-@register("pipeline_summary")
-def q_pipeline_summary(spark, d):
+@register("batch_summary")
+def q_batch_summary(spark, d):
     """Count, distinct sources, sorted source list, newest instant as ISO."""
-    s = transform.pipeline_summary(processed_items(spark, d))
+    s = transform.batch_summary(processed_items(spark, d))
     return s.select("article_count", "source_count", F.to_json("sources").alias("sources_json"),
                     "latest_published_at")
 

@@ -55,7 +55,7 @@ def test_empty_input_flows_through(spark):
     assert transform.daily_counts(processed).count() == 0
     q = transform.quality_summary(raw, ingest.keep_first_by_id(raw)).first()
     assert (q.raw_article_count, q.cleaned_article_count, q.deduplication_rate) == (0, 0, 1.0)
-    s = transform.pipeline_summary(processed).first()
+    s = transform.batch_summary(processed).first()
     assert s.article_count == 0 and s.latest_published_at is None
 
 
