@@ -29,3 +29,11 @@ def test_prompts_keep_whole_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     p = df.select(extract.extraction_prompt("text").alias("p")).first().p
     assert text in p
+
+
+def test_long_conversation_spans_many_chunks(spark):
+    rows = [(7, t, "user" if t % 3 else "assistant", f"line {t}") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    out = chat.transcripts(df).first()
+    assert out.n_turns == 3000
+    assert out.transcript == "\n".join(f"{'user' if t % 3 else 'assistant'}: line {t}" for t in range(3000))

@@ -73,3 +73,30 @@ def test_approx_quantile_close_to_exact(spark):
     rows = [("2024-01-01 00:00:00", "/p", 200, i / 1000.0, "GET") for i in range(1, 1001)]
     q = telemetry.approx_latency_quantile(reqs(spark, rows), 0.95).first().quantile
     assert abs(q - 0.95) <= 0.002
+
+
+def _py_histogram_quantile(q, values, buckets=telemetry.DEFAULT_BUCKETS):
+    """Pure-Python model of the bucket rule (cumulative counts, linear interpolation)."""
+    total = len(values)
+    if total == 0:
+        return None
+    cum = [sum(1 for v in values if v <= b) for b in buckets]
+    rank = q * total
+    for i, c in enumerate(cum):
+        if c >= rank:
+            lo = buckets[i - 1] if i > 0 else 0.0
+            prev = cum[i - 1] if i > 0 else 0
+            cnt = c - prev
+            return lo + (buckets[i] - lo) * ((rank - prev) / cnt) if cnt > 0 else lo
+    return buckets[-1]
+
+
+def test_histogram_quantile_matches_python_model(spark):
+    rnd = random.Random(11)
+    groups = {f"/e{g}": [rnd.choice([rnd.random() * 0.1, rnd.random() * 3, rnd.random() * 30]) for _ in range(rnd.randint(1, 60))]
+              for g in range(40)}
+    rows = [("2024-01-01 00:00:00", e, 200, v, "GET") for e, vs in groups.items() for v in vs]
+    for q in (0.5, 0.95, 0.99):
+        got = {r.endpoint: r.quantile for r in telemetry.latency_quantile(reqs(spark, rows), q).collect()}
+        for e, vs in groups.items():
+            assert abs(got[e] - _py_histogram_quantile(q, vs)) < 1e-9, (e, q)
