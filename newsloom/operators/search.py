@@ -47,3 +47,13 @@ def search_postings(index: DataFrame, terms, k: int | None = 20, id_col: str = "
     if k is None:
         return hits
     return hits.orderBy(F.col("matched_terms").desc(), F.col(id_col).asc()).limit(k)
+
+
+def write_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                   files: int | None = None) -> str:
+    """Persist the inverted index range-partitioned and sorted by term, so a lookup of a
+    few terms reads only the row groups whose min/max term range covers them."""
+    p = postings(docs, id_col, text_col)
+    p = p.repartitionByRange(files, "term") if files else p.repartitionByRange("term")
+    p.sortWithinPartitions("term", id_col).write.parquet(path)
+    return path

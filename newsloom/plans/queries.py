@@ -679,3 +679,11 @@ def q_kg_ingest(spark, d):
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ingested_at") == as_ts(P.GRAPH_AS_OF)).alias("touched"))
     return n.unionByName(e)
+
+
+@register("fulltext_index")
+def q_fulltext_index(spark, d):
+    """Postings table (sorted by term) built from the whole documents, then a term lookup."""
+    path = search.write_postings(read_table(spark, d, "documents"), scratch_path(spark, "postings"))
+    return search.search_postings(spark.read.parquet(path), P.SEARCH_TERMS, P.SEARCH_TOP) \
+        .withColumn("matched_terms", F.col("matched_terms").cast("bigint"))
