@@ -495,3 +495,4 @@ UNION ALL
 SELECT 'edge', type, count(*), count(*) FILTER (WHERE (source_id, target_id, type) IN (SELECT (source_id, target_id, type) FROM eb2))
 FROM edges2 GROUP BY 1, 2"""
 ORACLE["fulltext_index"] = ORACLE["fulltext_lookup"]
+ORACLE["node_upsert_bucketed"] = ORACLE["node_upsert"]

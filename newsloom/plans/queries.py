@@ -687,3 +687,14 @@ def q_fulltext_index(spark, d):
     path = search.write_postings(read_table(spark, d, "documents"), scratch_path(spark, "postings"))
     return search.search_postings(spark.read.parquet(path), P.SEARCH_TERMS, P.SEARCH_TOP) \
         .withColumn("matched_terms", F.col("matched_terms").cast("bigint"))
+
+
+@register("node_upsert_bucketed")
+def q_node_upsert_bucketed(spark, d):
+    """J2 against a node table bucketed by (label, id): the batch is the only side shuffled."""
+    path = scratch_path(spark, "nodes")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = storage.write_bucketed(graph_nodes(spark, d), f"nodes_{path.rsplit('-', 1)[1]}", path,
+                                   ["label", "id"], buckets)
+    return graph.upsert_nodes(nodes, fx.adapter(spark, d, "node_batch"), ["name", "a1", "a2"], as_of=P.GRAPH_AS_OF,
+                              order=["ord", "name", "a1", "a2"])

@@ -158,3 +158,14 @@ def apply_retention(spark: SparkSession, path: str, new_path: str, now=None, day
                     ts_col: str = "fetched_at", partition_col: str = "batch_id") -> str:
     """S16 as a job: rewrite the unexpired rows to a new location (never in place)."""
     return rebuild(retention_filter(spark.read.parquet(path), now, days, ts_col), new_path, partition_col)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, keys, buckets: int) -> DataFrame:
+    """A table bucketed and sorted by ``keys`` (catalog table at ``path``).
+
+    Joins and aggregations on ``keys`` against it reuse the bucket partitioning: only the other
+    side is shuffled (into the same number of partitions), the big table never is.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    (df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name))
+    return df.sparkSession.table(name)

@@ -58,3 +58,17 @@ def test_transcripts_assemble_in_two_levels(spark):
     df = spark.createDataFrame([(1, t, "user", "x") for t in range(10)], "conv_id long, turn long, role string, text string")
     p = plan_of(chat.transcripts(df, turns_per_chunk=4))
     assert p.count("collect_list") >= 2
+
+
+def test_bucketed_node_table_is_not_shuffled(spark):
+    df = E.queries()["node_upsert_bucketed"](spark, SF_SMALL)
+    p = plan_of(df)
+    scan_lines = [l for l in p.split("\n") if "FileScan parquet" in l and "label" in l and "a2" in l]
+    assert scan_lines and all("SelectedBucketsCount" in l for l in scan_lines)
+    # the only exchanges hash the batch side (and its pre-aggregation), never the node table scan
+    lines = p.split("\n")
+    for i, l in enumerate(lines):
+        if "FileScan parquet" in l and "SelectedBucketsCount" in l:
+            depth = len(l) - len(l.lstrip(" :+-"))
+            above = [x for x in lines[:i] if len(x) - len(x.lstrip(" :+-")) < depth]
+            assert not any("Exchange" in x for x in above[-2:]), "bucketed side shuffled"
