@@ -62,7 +62,9 @@ def upsert_nodes(target: DataFrame, batch: DataFrame, props: list[str], as_of=No
 
     Listed properties of matched nodes are overwritten (a NULL clears them), unmatched batch
     rows are inserted, untouched nodes stay. ``created_at`` is kept from the first insert and
-    ``last_updated`` is set for every touched node. One full outer join on the key.
+    ``last_updated`` is set for every touched node. One full outer join on the key; both sides
+    are unique by key (the target by definition, the batch after :func:`last_per_id`), so no key
+    can be hot, whatever the batch's duplication.
     """
     b = last_per_id(batch, key, order).select(*key, *[F.col(p).alias(f"_n_{p}") for p in props],
                                               F.lit(True).alias("_touched"))
@@ -128,7 +130,8 @@ def upsert_edges(target: DataFrame, batch: DataFrame, nodes: DataFrame, as_of=No
 
     Batch edges whose endpoints do not resolve (J3) are not created. The batch is folded to one
     update map per edge (:func:`fold_properties`), then a single full outer join on the edge key
-    applies it with the map merge F13; untouched edges pass through unchanged.
+    applies it with the map merge F13; untouched edges pass through unchanged. Both join sides
+    are unique by edge key (the batch after folding), so the outer join cannot be skewed by a key.
     """
     ids = nodes.select("id").distinct()
     resolved = (batch.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
@@ -145,20 +148,25 @@ def upsert_edges(target: DataFrame, batch: DataFrame, nodes: DataFrame, as_of=No
 def model_details(nodes: DataFrame, edges: DataFrame, name: str | None = None) -> DataFrame:
     """``MATCH (m:Model {name}) OPTIONAL MATCH (m)-[:PRODUCED_BY]->(r:Run) RETURN m, r``.
 
-    Edges are joined to runs first (inner), so a dangling edge does not add a row; the model
-    side then left-joins that result.
+    Edges are joined to runs first (inner), so a dangling edge does not add a row. The optional
+    match is an inner join (AQE can split a hub model's many runs across tasks) plus the models
+    without runs from an anti join against the *distinct* producing model ids; a plain left join
+    would leave a hub model's rows on the side AQE cannot split.
     """
     models = nodes.filter(F.col("label") == "Model")
     if name is not None:
         models = models.filter(F.col("name") == name)
+    models = models.select(F.col("id").alias("model_id"), F.col("name").alias("model_name"),
+                           F.col("a1").alias("model_version"))
     runs = nodes.filter(F.col("label") == "Run").select(
         F.col("id").alias("run_id"), F.col("name").alias("run_name"), F.col("a1").alias("run_status"))
     produced = (edges.filter(F.col("type") == "PRODUCED_BY")
                 .select(F.col("source_id").alias("model_id"), F.col("target_id").alias("run_id"))
                 .join(runs, "run_id"))
-    return (models.select(F.col("id").alias("model_id"), F.col("name").alias("model_name"),
-                          F.col("a1").alias("model_version"))
-            .join(produced, "model_id", "left"))
+    matched = models.join(produced, "model_id")
+    lonely = models.join(produced.select("model_id").distinct(), "model_id", "left_anti").select(
+        *models.columns, *[F.lit(None).cast("string").alias(c) for c in ("run_id", "run_name", "run_status")])
+    return matched.select(*lonely.columns).unionByName(lonely)
 
 
 def deployment_status(nodes: DataFrame, edges: DataFrame, deployment_id: str | None = None) -> DataFrame:
