@@ -1,0 +1,16 @@
+"""Structured Streaming forms of ingestion, dedup, request rate and audit."""
+
+from pyspark.sql import SparkSession
+
+# State of the dedup and windowed aggregations can reach many GB at scale (e.g. 31 days of
+# article ids): keep it in RocksDB on local disk with changelog checkpoints, not on the heap.
+STATE_STORE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def prefer_rocksdb_state(spark: SparkSession) -> None:
+    """Use the RocksDB state store unless the session already chose a provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, STATE_STORE_PROVIDER)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")

@@ -26,6 +26,8 @@ def land_by_time(df: DataFrame, path: str, ts: str = "ts", unit: str = "week") -
 def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoint: str, *,
                 length: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes",
                 group_cols=("endpoint",), files_per_trigger: int = 1):
+    # State here is bounded by the watermark (a few open windows per group), so the default
+    # heap-backed state store fits; the id dedup of ST2 is the stream that needs RocksDB.
     secs = window_seconds(length)
     events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
               .withColumn("ts", F.col("ts").cast("timestamp")))
