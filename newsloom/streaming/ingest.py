@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from newsloom.operators.ingest import build_raw_articles, keep_first_by_id, reclean_raw
 from newsloom.operators.transform import daily_counts, processed_rows
 from newsloom.sources.storage import MAX_PRUNED_PARTITIONS
-from newsloom.streaming import prefer_rocksdb_state
+from newsloom.streaming import rocksdb_state
 
 # Flat landed item (one JSON object per line).
 FLAT_ITEM_SCHEMA = T.StructType([
@@ -58,11 +58,11 @@ def dedup_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     ``delay`` must cover the source's event-time disorder, or older duplicates count as late.
     Exactness across longer gaps still comes from the upsert (J1) downstream.
     """
-    prefer_rocksdb_state(spark)
     raw = build_raw_articles(item_stream(spark, landing, files_per_trigger), since=since, fetched_at=fetched_at)
     deduped = raw.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["article_id"])
-    q = (deduped.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+    with rocksdb_state(spark):
+        q = (deduped.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
