@@ -424,10 +424,12 @@ UNION ALL SELECT 'requests', count(*), 'latency_s', 0.0, NULL, count(*) FILTER (
 UNION ALL SELECT 'requests', count(*), 'status', 100.0, 599.0, count(*) FILTER (WHERE status < 100 OR status > 599) FROM r
 UNION ALL SELECT 'documents', count(*), 'n_chars', 1.0, NULL, count(*) FILTER (WHERE n_chars < 1) FROM documents"""
 
-ORACLE["audit_report"] = f"""WITH a AS ({adapter_sql('audit')})
-SELECT pipeline, stage, count(*) AS events, count(*) FILTER (WHERE status = 'failed') AS failures,
-  count(*) FILTER (WHERE status = 'success') AS successes, max(ts) AS last_ts,
-  arg_max(status, ts) AS last_status FROM a GROUP BY 1, 2"""
+ORACLE["audit_report"] = f"""WITH a AS ({adapter_sql('audit')}),
+g AS (SELECT pipeline, stage, count(*) AS events, count(*) FILTER (WHERE status = 'failed') AS failures,
+        count(*) FILTER (WHERE status = 'success') AS successes, max(ts) AS last_ts FROM a GROUP BY 1, 2),
+l AS (SELECT pipeline, stage, status AS last_status FROM (
+        SELECT *, row_number() OVER (PARTITION BY pipeline, stage ORDER BY ts DESC, status DESC) AS rn FROM a) WHERE rn = 1)
+SELECT g.*, l.last_status FROM g JOIN l USING (pipeline, stage)"""
 
 ORACLE["run_log_pivot"] = f"""WITH runs AS ({adapter_sql('runs')})
 SELECT run_id, round(accuracy, 6) AS accuracy, round(1.0 - accuracy, 6) AS loss FROM runs"""
