@@ -73,7 +73,9 @@ def build_raw_articles(items: DataFrame, *, since=None, run_id=None, query: str
 
     * P3: items without a parseable ``publishedAt`` are skipped (malformed text: see
       :func:`malformed_timestamps` for the quarantine side output).
-    * P4: only ``published_at > since`` (strict).
+    * P4: only ``published_at > since`` (strict). The page loop of a paged source stops at the
+      first old item of a newest-first page; the declarative filter keeps every newer item,
+      which is the same set on newest-first input and a superset otherwise.
     * P1: texts cleaned (F1), ``source_name`` defaults to ``unknown``, empty
       author/description/content -> NULL, fingerprint id (F5), constants.
     * P2: rows whose cleaned title or url is empty are dropped.
@@ -126,6 +128,12 @@ def newest_items(items: DataFrame, k: int = PAGE_SIZE * MAX_PAGES) -> DataFrame:
     return df.orderBy(F.col("published_at").desc_nulls_last(), F.col("item_ord").asc()).limit(k)
 
 
+def newest_first(df: DataFrame) -> DataFrame:
+    """O1: newest first, stable by item order; a presentation sort for final output only."""
+    order = [F.col("published_at").desc_nulls_last()] + ([F.col("item_ord")] if "item_ord" in df.columns else [])
+    return df.orderBy(*order)
+
+
 def keep_first_by_id(raw: DataFrame, key: str = "article_id") -> DataFrame:
     """Newest first (stable), keep the first row per ``article_id``.
 

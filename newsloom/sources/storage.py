@@ -19,6 +19,11 @@ def replace_batch(df: DataFrame, path: str, partition_col: str = "batch_id") ->
        .partitionBy(partition_col).parquet(path))
 
 
+def without_batch(raw: DataFrame, batch_id: str) -> DataFrame:
+    """Every row except those of one batch (the delete half of the batch replace)."""
+    return raw.filter(~F.col("batch_id").eqNullSafe(F.lit(batch_id)))
+
+
 def append(df: DataFrame, path: str, partition_col: str | None = None) -> None:
     """Append."""
     w = df.write.mode("append")
@@ -122,11 +127,18 @@ def state_row(spark: SparkSession, name: str, value, updated_at=None) -> DataFra
 
 
 def read_mark(state: DataFrame, name: str, now=None, lookback_hours: int = 24) -> DataFrame:
-    """Stored ISO value, else ``now - lookback``; an unparsable value also falls back."""
+    """Stored ISO value, else ``now - lookback``; an unparsable value also falls back.
+
+    ``mark_source`` carries the warning as data: ``stored``, ``invalid_stored`` (a value that
+    does not parse, replaced by the fallback) or ``lookback`` (nothing stored).
+    """
     fallback = as_timestamp(now) - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(lookback_hours))
     latest = state.filter(F.col("name") == name).agg(F.max_by("value", "updated_at").alias("stored"))
-    return latest.select(F.lit(name).alias("name"), "stored",
-                         F.coalesce(parse_instant("stored"), fallback).alias("since"))
+    parsed = parse_instant("stored")
+    source = (F.when(parsed.isNotNull(), "stored").when(F.col("stored").isNotNull(), "invalid_stored")
+              .otherwise("lookback"))
+    return latest.select(F.lit(name).alias("name"), "stored", F.coalesce(parsed, fallback).alias("since"),
+                         source.alias("mark_source"))
 
 
 def next_mark(state: DataFrame, loaded: DataFrame, name: str, now=None, lookback_hours: int = 24,

@@ -96,3 +96,10 @@ def test_pipeline_config_ranges():
     for bad in ({"page_size": 0}, {"page_size": 101}, {"lookback_hours": 0}):
         with pytest.raises(ValueError):
             ingest.PipelineConfig(**bad)
+
+
+def test_newest_first_is_stable(spark):
+    rows = [(i, "s", "t", "u", "2026-04-01T01:00:00Z" if i % 2 else "2026-04-01T02:00:00Z", None, None, None, "en", "r")
+            for i in range(1, 6)]
+    out = [r.item_ord for r in ingest.newest_first(ingest.with_published_at(items(spark, rows))).collect()]
+    assert out == [2, 4, 1, 3, 5]

@@ -65,3 +65,13 @@ def test_retention(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-02-20 00:00:00",)], "fetched_at string") \
         .withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     assert storage.retention_filter(df, "2024-03-01 00:00:00", 30).count() == 1
+
+
+def test_mark_source_and_without_batch(spark):
+    st = [storage.read_mark(storage.state_row(spark, "m", v, "2024-01-01 00:00:00"), "m", now="2024-02-02 00:00:00")
+          .first().mark_source for v in ("2024-01-01T00:00:00+00:00", "garbage")]
+    assert st == ["stored", "invalid_stored"]
+    empty = storage.state_row(spark, "other", "x").filter(F.lit(False))
+    assert storage.read_mark(empty, "m", now="2024-02-02 00:00:00").first().mark_source == "lookback"
+    df = raw_rows(spark, [("a", "1", "2024-01-01", "b1"), ("b", "1", "2024-01-02", "b2"), ("c", "1", "2024-01-02", None)])
+    assert sorted(r.article_id for r in storage.without_batch(df, "b2").collect()) == ["a", "c"]
