@@ -90,13 +90,12 @@ def incremental_ingest(spark: SparkSession, landing: str, processed_path: str, d
     def epoch(batch: DataFrame, epoch_id: int) -> None:
         batch.persist()     # read more than once; recomputed from the same offsets if lost
         try:
-            if batch.isEmpty():
-                return
             raw = build_raw_articles(batch, since=since, fetched_at=fetched_at)
             new = processed_rows(reclean_raw(keep_first_by_id(raw)), carry=("item_ord",)).persist()
             dates = [r[0] for r in new.select("published_date").distinct()
                      .limit(MAX_PRUNED_PARTITIONS + 1).collect()]            # partition keys only
-            if not dates:
+            if not dates:       # empty epoch (or nothing new): no partition to touch
+                new.unpersist()
                 return
             target = spark.read.schema(proc_schema).parquet(processed_path)
             scoped = (target.filter(F.col("published_date").isin(dates)) if len(dates) <= MAX_PRUNED_PARTITIONS
