@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import clean_text, trim_or_null, unicode_trim
-from newsloom.functions.time import as_timestamp, iso_format, utc_date
+from newsloom.functions.time import iso_format, utc_date
 
 # ---- fixed values ------------------------------------------------------------------------
 SENTIMENT_PLACEHOLDER = "unknown"
