@@ -454,6 +454,8 @@ ORACLE["stream_daily_counts"] = ORACLE["daily_counts"]
 ORACLE["stream_raw_epochs"] = ORACLE["processed_articles"]
 ORACLE["stream_dedup"] = f"WITH {RAW_ITEMS} SELECT DISTINCT article_id, published_at FROM raw"
 ORACLE["stream_request_rate"] = ORACLE["request_rate"]
+ORACLE["stream_error_rate"] = ORACLE["error_rate"]
+ORACLE["stream_latency_p95"] = ORACLE["latency_p95_windows"]
 ORACLE["stream_audit"] = ORACLE["audit_report"]
 
 ORACLE["elt_daily_counts"] = f"""WITH {RAW}, p AS ({elt_sql('raw')})

@@ -625,15 +625,32 @@ def q_stream_dedup(spark, d):
     return spark.read.parquet(sink).select("article_id", "published_at")
 
 
-@register("stream_request_rate")
-def q_stream_request_rate(spark, d):
-    """ST3: request rate per endpoint on a stream, equal to the batch W3 result."""
+def _rate_table(spark, d):
     reqs = fx.adapter(spark, d, "requests")
     landing_path, result = scratch_path(spark, "requests"), scratch_path(spark, "rate")
     s_tel.land_by_time(reqs, landing_path)
     s_tel.rate_stream(spark, landing_path, reqs.schema, result, scratch_path(spark, "ckpt"),
                       length=P.RATE_WINDOW, step=P.RATE_STEP)
-    return spark.read.parquet(result).drop("window_date")
+    return spark.read.parquet(result)
+
+
+@register("stream_request_rate")
+def q_stream_request_rate(spark, d):
+    """ST3: request rate per endpoint on a stream, equal to the batch W3 result."""
+    return _rate_table(spark, d).select("window_start", "window_end", "endpoint", "requests", "rate")
+
+
+@register("stream_error_rate")
+def q_stream_error_rate(spark, d):
+    """ST3, W6: 5xx rate per window from the streamed window table."""
+    return s_tel.error_rate_from(_rate_table(spark, d), P.RATE_WINDOW)
+
+
+@register("stream_latency_p95")
+def q_stream_latency_p95(spark, d):
+    """ST3, W5: p95 per window from the streamed cumulative latency buckets."""
+    out = s_tel.quantile_from(_rate_table(spark, d), P.HIST_QUANTILE)
+    return out.select("window_start", "window_end", F.round("quantile", 6).alias("p95"))
 
 
 @register("stream_audit")

@@ -10,7 +10,9 @@ from tests.conftest import SF_SMALL
 
 # Registry entries whose function performs writes or streams before returning a re-read.
 SIDE_EFFECTS = {"landing_roundtrip", "model_build", "elt_upsert", "batch_replace", "audit_report", "ml_train_predict",
-                "ml_accuracy", "stream_ingest", "stream_dedup", "stream_request_rate", "stream_audit"}
+                "ml_accuracy", "stream_ingest", "stream_dedup", "stream_request_rate", "stream_audit",
+                "stream_daily_counts", "stream_raw_epochs", "stream_error_rate", "stream_latency_p95",
+                "fulltext_index", "node_upsert_bucketed", "kg_ingest", "dq_suite", "extracted_entities"}
 
 
 def plan_of(df):
