@@ -91,7 +91,9 @@ def parse_responses(responses: DataFrame, text_col: str = "response") -> DataFra
               .when(missing, "a required field is missing")
               .when(deny, "denylisted model name")
               .otherwise(None))
-    sizes = {k: F.coalesce(F.size(F.col(k)), F.lit(0)).cast("bigint") for k in EXTRACTION.fieldNames()}
+    # NULL arrays count 0 (explicitly: with ANSI off, size(NULL) is -1 rather than NULL)
+    sizes = {k: F.when(F.col(k).isNull(), F.lit(0)).otherwise(F.size(F.col(k))).cast("bigint")
+             for k in EXTRACTION.fieldNames()}
     return df.select(
         *[c for c in responses.columns],
         status.alias("status"), reason.alias("reason"),

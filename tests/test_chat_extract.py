@@ -37,3 +37,15 @@ def test_long_conversation_spans_many_chunks(spark):
     out = chat.transcripts(df).first()
     assert out.n_turns == 3000
     assert out.transcript == "\n".join(f"{'user' if t % 3 else 'assistant'}: line {t}" for t in range(3000))
+
+
+def test_reply_sizes_do_not_depend_on_ansi_mode(spark):
+    df = spark.createDataFrame([(1, "junk"), (2, "{}")], "doc_id long, response string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            got = {r.doc_id: (r.n_models, r.n_runs) for r in extract.parse_responses(df).collect()}
+            assert got == {1: (0, 0), 2: (0, 0)}, mode
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
