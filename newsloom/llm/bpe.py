@@ -15,11 +15,15 @@ literally in the raw text, as the library does; rows, null ids and repeated rows
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import json
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import slices, small_batches, text_bytes
 
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 250_000
 SLICE_BYTES = 4 << 20
 
 
@@ -71,13 +75,16 @@ class TrieEncoder:
                 node = node[0].setdefault(s, [{}, None])
             node[1] = (token, len(seq))
         self.follows: dict[tuple[int, int], bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        """Empty memos: packed ids and decoded text of pre-tokenised words, and of chunks between blanks."""
+        # packed ids and decoded text of pre-tokenised words, and of chunks between blanks; what was used since the
+        # memo last filled up is young, the rest is old and goes when it fills up again
         self.words: dict[str, tuple[bytes, str]] = {}
         self.chunk_ids: dict[str, bytes] = {}
         self.chunk_text: dict[str, str] = {}
+        self._age()
+
+    def _age(self) -> None:
+        self.old_words, self.old_ids, self.old_text = self.words, self.chunk_ids, self.chunk_text
+        self.words, self.chunk_ids, self.chunk_text = {}, {}, {}
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Merging by rank, leftmost first; only used on the symbols of two tokens."""
@@ -161,8 +168,13 @@ class TrieEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds chunks to the memos; their new words go through one trie."""
-        pieces = {c: self._pieces(c) for c in chunks}
+        for c in chunks & self.old_ids.keys():
+            self.chunk_ids[c], self.chunk_text[c] = self.old_ids[c], self.old_text[c]
+        pieces = {c: self._pieces(c) for c in chunks - self.chunk_ids.keys()}
         new = {w for p in pieces.values() for w in p if type(w) is str} - self.words.keys()
+        for w in new & self.old_words.keys():
+            self.words[w] = self.old_words[w]
+        new -= self.words.keys()
         for w, ids in self.encode_words(new).items():
             self.words[w] = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
         for chunk, parts in pieces.items():
@@ -176,7 +188,7 @@ class TrieEncoder:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """Per text: ids as little-endian unsigned 32-bit integers, and the decoded text."""
         if len(self.chunk_ids) > MEMO_CHUNKS:
-            self._forget()
+            self._age()
         split = [list(filter(None, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
                  for t in texts]
         self._learn(set().union(*split) - self.chunk_ids.keys())
@@ -187,6 +199,18 @@ class TrieEncoder:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
+def _encoder(source: str) -> TrieEncoder:
+    """The worker's encoder for this file. Python workers serve many tasks, so it stays with the process (in a module of
+    its own, since this code travels by value), with what it has learned about pairs and words."""
+    held = sys.modules.setdefault("_newsloom_encoders", ModuleType("_newsloom_encoders")).__dict__
+    digest = hashlib.sha256(source.encode()).hexdigest()
+    if digest not in held:
+        for old in [k for k, v in held.items() if hasattr(v, "encode_words")]:
+            del held[old]
+        held[digest] = TrieEncoder(source)
+    return held[digest]
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` per row: ids packed as little-endian unsigned 32-bit integers, and their decoded text.
 
@@ -196,11 +220,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     source = Path(path).read_text(encoding="utf-8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieEncoder(source)
+        coder = _encoder(source)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for lo, hi in slices([len(t or b"") for t in texts], SLICE_BYTES):
-                ids, decoded = coder.encode([t.decode() if t else None for t in texts[lo:hi]])
+                gc.disable()                    # tries and memos are many small objects without cycles
+                try:
+                    ids, decoded = coder.encode([t.decode() if t else None for t in texts[lo:hi]])
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     ["doc_id", "ids", "decoded"])
