@@ -84,7 +84,8 @@ def split_list(x, sep: str = ",") -> Column:
 
 
 def chat_role(x) -> Column:
-    return F.when(F.lower(_c(x)).isin(*ASSISTANT_ROLES), F.lit("assistant")).otherwise(F.lit("user"))
+    role = F.lower(_c(x))
+    return F.when(role.isin(*ASSISTANT_ROLES) | role.startswith("ai"), F.lit("assistant")).otherwise(F.lit("user"))
 
 
 def slugify(x) -> Column:

@@ -16,9 +16,12 @@ RUN_STAMP_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
 
 
 def parse_instant(x) -> Column:
-    """ISO-8601 text -> TIMESTAMP (UTC); '' and NULL -> NULL; malformed -> NULL (quarantine)."""
+    """ISO-8601 text -> TIMESTAMP (UTC); '' and NULL -> NULL; malformed -> NULL (quarantine).
+
+    The text must start with a whole date: a time alone or a bare year, which a cast would complete, is malformed.
+    """
     s = F.nullif(F.trim(_c(x)), F.lit(""))
-    return F.try_to_timestamp(s)
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(s))
 
 
 def iso_format(ts) -> Column:

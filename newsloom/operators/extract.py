@@ -46,6 +46,9 @@ EXTRACTION = T.StructType([
 VERDICT = T.StructType([T.StructField("status", _S), T.StructField("reasoning", _S),
                         T.StructField("suggested_correction", _S)])
 
+METRIC_TEXTS = T.StructType([T.StructField("runs", T.ArrayType(T.StructType([
+    T.StructField("metrics", T.MapType(_S, _S))])))])
+
 ENTITY_LISTS = ("models", "experiments", "runs", "deployments")
 
 
@@ -70,7 +73,8 @@ def _missing(arr: str, fields: tuple[str, ...]) -> Column:
 def parse_responses(responses: DataFrame, text_col: str = "response") -> DataFrame:
     """Fence strip -> JSON -> schema checks -> status and reason.
 
-    ``status``: ``junk`` (not JSON), ``invalid`` (a required field missing), ``rejected``
+    ``status``: ``junk`` (not JSON), ``invalid`` (no JSON object, a list or field of the
+    wrong type, or a required field missing), ``rejected``
     (denylisted model name), else ``valid``. Junk is detected with ``try_parse_json`` because a
     PERMISSIVE ``from_json`` turns junk and ``{}`` alike into an all-NULL struct.
     """
@@ -78,7 +82,19 @@ def parse_responses(responses: DataFrame, text_col: str = "response") -> DataFra
     df = responses.withColumn("_body", body)
     df = df.withColumn("_ok", F.try_parse_json("_body").isNotNull()) \
            .withColumn("_x", F.when(F.col("_ok"), F.from_json("_body", EXTRACTION)))
-    df = df.select("*", *[F.col(f"_x.{k}").alias(k) for k in EXTRACTION.fieldNames()])
+    df = df.select("*", F.try_parse_json("_body").alias("_v"),
+                   *[F.col(f"_x.{k}").alias(k) for k in EXTRACTION.fieldNames()])
+    # a list that the JSON holds but the schema can't read has the wrong type; so has one with an unreadable element
+    is_object = F.col("_body").startswith("{")
+    mistyped = F.lit(False)
+    for k in EXTRACTION.fieldNames():
+        present = F.try_variant_get("_v", f"$.{k}", "variant").isNotNull()
+        mistyped = mistyped | (is_object & present & F.col(k).isNull()) | F.exists(
+            F.coalesce(F.col(k), F.array()), lambda e: e.isNull())
+    # metric values must be numbers: read as text, each must cast
+    values = F.flatten(F.transform(F.coalesce(F.from_json("_body", METRIC_TEXTS)["runs"], F.array()),
+                                   lambda r: F.coalesce(F.map_values(r["metrics"]), F.array())))
+    mistyped = mistyped | (is_object & F.exists(values, lambda v: v.try_cast("double").isNull()))
     missing = (_missing("models", ("id", "name", "version")) | _missing("experiments", ("id", "name"))
                | _missing("runs", ("id", "name")) | _missing("deployments", ("id", "name", "image"))
                | _missing("relationships", ("source_id", "target_id", "type")))
@@ -86,8 +102,10 @@ def parse_responses(responses: DataFrame, text_col: str = "response") -> DataFra
     for term in DENYLIST:
         deny = deny | F.exists(F.coalesce(F.col("models"), F.array()),
                                lambda m: F.coalesce(contains_ci(m["name"], term), F.lit(False)))
-    status = (F.when(~F.col("_ok"), "junk").when(missing, "invalid").when(deny, "rejected").otherwise("valid"))
+    status = (F.when(~F.col("_ok"), "junk").when(~is_object | mistyped | missing, "invalid").when(deny, "rejected").otherwise("valid"))
     reason = (F.when(~F.col("_ok"), "response is not JSON")
+              .when(~is_object, "response is not a JSON object")
+              .when(mistyped, "a field has the wrong type")
               .when(missing, "a required field is missing")
               .when(deny, "denylisted model name")
               .otherwise(None))

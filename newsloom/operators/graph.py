@@ -61,8 +61,8 @@ def upsert_nodes(target: DataFrame, batch: DataFrame, props: list[str], as_of=No
     """``MERGE (n:Label {id}) SET n.p = batch.p, ...``.
 
     Listed properties of matched nodes are overwritten (a NULL clears them), unmatched batch
-    rows are inserted, untouched nodes stay. ``created_at`` is kept from the first insert and
-    ``last_updated`` is set for every touched node. One full outer join on the key; both sides
+    rows are inserted, untouched nodes stay as they are. Other columns of the target are kept (NULL for
+    inserted rows). ``created_at`` is kept from the first insert and ``last_updated`` is set for every touched node. One full outer join on the key; both sides
     are unique by key (the target by definition, the batch after :func:`last_per_id`), so no key
     can be hot, whatever the batch's duplication.
     """
@@ -78,7 +78,8 @@ def upsert_nodes(target: DataFrame, batch: DataFrame, props: list[str], as_of=No
     touched = F.coalesce(F.col("_touched"), F.lit(False))
     out = [F.col(k) for k in key]
     out += [F.when(touched, F.col(f"_n_{p}")).otherwise(F.col(p)).alias(p) for p in props]
-    out += [F.coalesce(F.col("created_at"), now).alias("created_at"),
+    out += [F.col(c) for c in target.columns if c not in {*key, *props, "created_at", "last_updated"}]
+    out += [F.when(touched, F.coalesce(F.col("created_at"), now)).otherwise(F.col("created_at")).alias("created_at"),
             F.when(touched, now).otherwise(F.col("last_updated")).alias("last_updated")]
     return j.select(*out)
 

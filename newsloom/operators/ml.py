@@ -66,16 +66,17 @@ def accuracy(predictions: DataFrame, label: str = "label") -> DataFrame:
 
 def gate(runs: DataFrame, threshold: float = ACCURACY_GATE, run_id: str = "run_id", metric: str = "accuracy",
          finished_at: str = "finished_at") -> DataFrame:
-    """The best run (ties by run id) decides: register above the gate, else notify.
+    """The best run (ties by run id; NULL and NaN never win) decides: register above the gate, else notify.
 
     The version string is the finish time of that run (``vYYYYmmddHHMMSS``).
     """
+    measured = F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double"))
     best = runs.agg(
         F.min_by(F.struct(F.col(run_id).alias("run_id"), F.col(metric).alias("accuracy"),
                           F.col(finished_at).alias("finished_at")),
-                 F.struct(-F.col(metric), F.col(run_id))).alias("b"),
+                 F.when(measured, F.struct(-F.col(metric), F.col(run_id)))).alias("b"),
         F.count(F.lit(1)).alias("n_runs"),
-        F.count_if(F.col(metric) >= F.lit(threshold)).alias("n_passing"))
+        F.count_if(measured & (F.col(metric) >= F.lit(threshold))).alias("n_passing"))
     return best.select(
         "b.run_id", F.round("b.accuracy", 6).alias("accuracy"), "n_runs", "n_passing",
         F.when(F.col("b.accuracy") >= F.lit(threshold), PASS_TASK).otherwise(FAIL_TASK).alias("next_task"),

@@ -62,7 +62,7 @@ def latency_buckets(requests: DataFrame, group_cols=("endpoint",), buckets=DEFAU
     """
     lat = F.col(latency)
     aggs = [F.count_if(lat <= F.lit(b)).alias(f"_b{i}") for i, b in enumerate(buckets)]
-    aggs += [F.count(F.lit(1)).alias("_b_inf"), F.sum(lat).alias("latency_sum")]
+    aggs += [F.count(lat).alias("_b_inf"), F.sum(lat).alias("latency_sum")]
     wide = requests.groupBy(*group_cols).agg(*aggs)
     pairs = ", ".join([f"'{_le_text(b)}', {float(b)}D, _b{i}" for i, b in enumerate(buckets)]
                       + [f"'{INF_LABEL}', CAST('Infinity' AS DOUBLE), _b_inf"])
@@ -81,7 +81,7 @@ def histogram_quantile(q: float, group_cols=("endpoint",), buckets=DEFAULT_BUCKE
     """
     def aggs(latency: Column):
         return ([F.count_if(latency <= F.lit(b)).alias(f"_c{i}") for i, b in enumerate(buckets)]
-                + [F.count(F.lit(1)).alias("_total")])
+                + [F.count(latency).alias("_total")])
 
     def finish(df: DataFrame) -> DataFrame:
         n = len(buckets)

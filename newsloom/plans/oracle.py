@@ -157,7 +157,7 @@ SELECT coalesce(t.label, b.label) AS label, coalesce(t.id, b.id) AS id,
   CASE WHEN b.id IS NOT NULL THEN b.name ELSE t.name END AS name,
   CASE WHEN b.id IS NOT NULL THEN b.a1 ELSE t.a1 END AS a1,
   CASE WHEN b.id IS NOT NULL THEN b.a2 ELSE t.a2 END AS a2,
-  {D.ts(P.GRAPH_AS_OF)} AS created_at,
+  CASE WHEN b.id IS NOT NULL THEN {D.ts(P.GRAPH_AS_OF)} END AS created_at,
   CASE WHEN b.id IS NOT NULL THEN {D.ts(P.GRAPH_AS_OF)} END AS last_updated
 FROM nodes t FULL OUTER JOIN b ON t.label = b.label AND t.id = b.id"""
 
@@ -262,15 +262,21 @@ def _miss(lst, fields):
 
 PARSED = f"""r AS ({adapter_sql('responses')}),
 s AS (SELECT doc_id, response, {_fence} AS body FROM r),
-x AS (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN from_json(body, '{_shape}') END AS j FROM s),
+x AS (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN json_type(body) END AS kind, CASE WHEN json_valid(body) THEN from_json(body, '{_shape}') END AS j FROM s),
+g AS (SELECT *, coalesce(kind, '') = 'OBJECT' AS is_object,
+  CASE WHEN kind = 'OBJECT' THEN list_bool_or([coalesce(json_type(body, p), 'ARRAY') <> 'ARRAY' FOR p IN
+    ['$.models', '$.experiments', '$.runs', '$.deployments', '$.relationships']]) ELSE false END AS mistyped,
+  CASE WHEN kind = 'OBJECT' THEN coalesce(list_bool_or([json_type(v) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT')
+    FOR v IN json_extract(body, '$.runs[*].metrics.*')]), false) ELSE false END AS bad_metric FROM x),
 f AS (SELECT *,
-  ({_miss('models', ('id', 'name', 'version'))} OR {_miss('experiments', ('id', 'name'))} OR {_miss('runs', ('id', 'name'))}
+  (NOT is_object OR mistyped OR bad_metric OR {_miss('models', ('id', 'name', 'version'))} OR {_miss('experiments', ('id', 'name'))} OR {_miss('runs', ('id', 'name'))}
    OR {_miss('deployments', ('id', 'name', 'image'))} OR {_miss('relationships', ('source_id', 'target_id', 'type'))}) AS missing,
   coalesce(list_bool_or(list_transform(j.models, lambda m: coalesce(contains(lower(m.name), 'flux capacitor'), false))), false) AS deny
-  FROM x),
+  FROM g),
 parsed AS (SELECT doc_id,
   CASE WHEN NOT ok THEN 'junk' WHEN missing THEN 'invalid' WHEN deny THEN 'rejected' ELSE 'valid' END AS status,
-  CASE WHEN NOT ok THEN 'response is not JSON' WHEN missing THEN 'a required field is missing'
+  CASE WHEN NOT ok THEN 'response is not JSON' WHEN NOT is_object THEN 'response is not a JSON object'
+       WHEN mistyped OR bad_metric THEN 'a field has the wrong type' WHEN missing THEN 'a required field is missing'
        WHEN deny THEN 'denylisted model name' END AS reason,
   CAST(length(response) AS BIGINT) AS response_chars,
   CAST(coalesce(len(j.models), 0) AS BIGINT) AS n_models, CAST(coalesce(len(j.experiments), 0) AS BIGINT) AS n_experiments,
@@ -313,7 +319,7 @@ ORACLE["fulltext_lookup"] = f"""WITH t AS (
   SELECT doc_id, CAST(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
                                                                      lambda w: w <> '')), [{_terms}])) AS BIGINT) AS matched_terms
   FROM documents)
-SELECT * FROM t WHERE matched_terms > 0 ORDER BY matched_terms DESC, doc_id LIMIT {P.SEARCH_TOP}"""
+SELECT * FROM t WHERE matched_terms > 0"""
 
 # ---- telemetry ----------------------------------------------------------------------------------------
 from newsloom.operators import telemetry as _T  # noqa: E402
@@ -487,7 +493,9 @@ ORACLE["kg_ingest"] = f"""WITH {PARSED.replace("parsed AS (SELECT doc_id,", "par
 valid AS (SELECT doc_id, j FROM parsed WHERE status = 'valid'),
 nb AS (
   SELECT 'Model' AS label, m.id AS id, doc_id FROM (SELECT doc_id, unnest(j.models) AS m FROM valid) WHERE m.id IS NOT NULL
-  UNION ALL SELECT 'Run', r.id, doc_id FROM (SELECT doc_id, unnest(j.runs) AS r FROM valid) WHERE r.id IS NOT NULL),
+  UNION ALL SELECT 'Run', r.id, doc_id FROM (SELECT doc_id, unnest(j.runs) AS r FROM valid) WHERE r.id IS NOT NULL
+  UNION ALL SELECT 'Experiment', e.id, doc_id FROM (SELECT doc_id, unnest(j.experiments) AS e FROM valid) WHERE e.id IS NOT NULL
+  UNION ALL SELECT 'Deployment', p.id, doc_id FROM (SELECT doc_id, unnest(j.deployments) AS p FROM valid) WHERE p.id IS NOT NULL),
 nodes2 AS (SELECT label, id FROM nodes UNION SELECT label, id FROM nb),
 eb AS (SELECT x.source_id, x.target_id, x.type FROM (SELECT unnest(j.relationships) AS x FROM valid) WHERE x.source_id IS NOT NULL),
 ids AS (SELECT DISTINCT id FROM nodes2),

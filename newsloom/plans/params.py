@@ -21,7 +21,6 @@ GRAPH_AS_OF = "2024-02-03 00:00:00"
 EDGE_SEED_TIME = "2024-01-15 00:00:00"
 LOOKUP_NAME = "small bolt"
 SEARCH_TERMS = ("der", "die", "und", "river", "the")
-SEARCH_TOP = 20
 COUNTER_WINDOW = "1 hour"
 DASHBOARD_NOW = "2024-01-30 12:00:00"
 DASHBOARD_HOURS = 6

@@ -188,17 +188,14 @@ def q_model_build(spark, d):
     reg = (models.ModelRegistry(spark)
            .source("news_articles_raw", fx.raw_landed(spark, d))
            .model("stg_news_articles", ["news_articles_raw"], transform.staging, "view")
-           .model("fct_daily_article_counts", ["stg_news_articles"], MART_SQL, "table"))
-    return reg.ref("fct_daily_article_counts")
+           .model("staged_days", ["stg_news_articles"], DAYS_SQL, "table")
+           .model("fct_daily_article_counts", ["stg_news_articles"], transform.daily_mart, "table"))
+    mart, days = reg.ref("fct_daily_article_counts"), reg.ref("staged_days")
+    return mart.join(days.select("published_date"), mart["published_date"].eqNullSafe(days["published_date"]), "left_semi")
 
 
-MART_SQL = """
-WITH staged AS (SELECT * FROM IDENTIFIER(:stg_news_articles))
-SELECT published_date, source_name, count(*) AS article_count,
-  count_if(content_length > 0) AS sentiment_ready_count,
-  count(DISTINCT article_id) AS distinct_article_count
-FROM staged GROUP BY 1, 2
-"""
+# A small SQL model of our own: the days of the staging view, for the parameterised-SQL form of a model.
+DAYS_SQL = "SELECT published_date, count(*) AS staged_rows FROM IDENTIFIER(:stg_news_articles) GROUP BY published_date"
 
 
 @register("elt_upsert")
@@ -390,7 +387,7 @@ def q_coverage(spark, d):
 @register("fulltext_lookup")
 def q_fulltext_lookup(spark, d):
     """Documents ranked by matched query terms (top results)."""
-    return search.search(read_table(spark, d, "documents"), P.SEARCH_TERMS, P.SEARCH_TOP)
+    return search.search(read_table(spark, d, "documents"), P.SEARCH_TERMS, None)
 
 
 # ---- telemetry ------------------------------------------------------------------------------------
@@ -702,7 +699,7 @@ def q_kg_ingest(spark, d):
 def q_fulltext_index(spark, d):
     """Postings table (sorted by term) built from the whole documents, then a term lookup."""
     path = search.write_postings(read_table(spark, d, "documents"), scratch_path(spark, "postings"))
-    return search.search_postings(spark.read.parquet(path), P.SEARCH_TERMS, P.SEARCH_TOP) \
+    return search.search_postings(spark.read.parquet(path), P.SEARCH_TERMS, None) \
         .withColumn("matched_terms", F.col("matched_terms").cast("bigint"))
 
 

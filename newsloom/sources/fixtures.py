@@ -15,37 +15,49 @@ from pyspark.sql import functions as F
 
 from newsloom.sources.tables import read_table
 
+# Every document is an item with its whole text; a second run brings every tenth again, and faulty items are extra rows.
 ITEMS = """
 WITH base AS (
-  SELECT doc_id AS item_ord, doc_id, text, lang, source FROM {documents}
+  SELECT doc_id, 0 AS copy, text, lang, source FROM {documents}
   UNION ALL
-  SELECT doc_id + 1000000, doc_id, text || ' (again)', lang, source FROM {documents} WHERE doc_id % 10 = 0)
-SELECT item_ord,
-  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE '  ' || source || ' ' END AS source_name,
-  CASE WHEN doc_id % 19 = 0 THEN NULL ELSE substr(text, 1, 60) END AS title,
-  CASE WHEN doc_id % 23 = 0 THEN '' ELSE 'https://example.com/' || source || '/' || CAST(doc_id AS STRING) END AS url,
-  CASE WHEN doc_id % 29 = 0 THEN NULL
+  SELECT doc_id, 1, text || ' (again)', lang, source FROM {documents} WHERE doc_id % 10 = 0
+  UNION ALL
+  SELECT doc_id, 2, text, lang, source FROM {documents}
+  WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0
+     OR doc_id % 29 = 0)
+SELECT doc_id * 3 + copy AS item_ord,
+  CASE WHEN copy = 2 AND doc_id % 17 = 0 THEN NULL ELSE '  ' || source || ' ' END AS source_name,
+  CASE WHEN copy = 2 AND doc_id % 19 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
+  CASE WHEN copy = 2 AND doc_id % 23 = 0 THEN ''
+       ELSE 'https://example.com/' || source || '/' || CAST(doc_id AS STRING) END AS url,
+  CASE WHEN copy = 2 AND doc_id % 29 = 0 THEN NULL
        ELSE '2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T' || lpad(CAST(doc_id % 24 AS STRING), 2, '0')
             || CASE WHEN doc_id % 4 = 0 THEN ':00:00.120Z' ELSE ':00:00Z' END END AS published_at_text,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS author,
-  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(text, 1, 200) END AS description,
-  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN '   ' ELSE text END AS content,
+  CASE WHEN copy = 2 AND doc_id % 5 = 0 THEN NULL ELSE text END AS description,
+  CASE WHEN copy < 2 THEN text WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ''
+       WHEN doc_id % 13 = 0 THEN '   ' ELSE text END AS content,
   lang AS language,
-  CASE WHEN item_ord >= 1000000 THEN 'scheduled__2024-02-02T00:00:00+00:00'
+  CASE WHEN copy = 1 THEN 'scheduled__2024-02-02T00:00:00+00:00'
        ELSE 'scheduled__2024-02-01T00:00:00+00:00' END AS run_id
 FROM base
 """
 
 RAW_LANDED = """
 WITH base AS (
-  SELECT doc_id, text, lang, source, 1 AS b FROM {documents}
+  SELECT doc_id, 0 AS copy, text, lang, source, 1 AS b FROM {documents}
+  UNION ALL
+  SELECT doc_id, 1, text || ' (v2)', lang, source, 2 FROM {documents} WHERE doc_id % 10 = 0
   UNION ALL
-  SELECT doc_id, text || ' (v2)', lang, source, 2 FROM {documents} WHERE doc_id % 10 = 0)
-SELECT CASE WHEN doc_id % 31 = 0 THEN NULL ELSE 'a' || CAST(doc_id AS STRING) END AS article_id,
-  CASE WHEN doc_id % 19 = 0 THEN NULL ELSE ' ' || substr(text, 1, 60) || ' ' END AS title,
+  SELECT doc_id, 2, text, lang, source, 1 FROM {documents}
+  WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 19 = 0 OR doc_id % 31 = 0)
+SELECT CASE WHEN copy < 2 THEN 'a' || CAST(doc_id AS STRING) WHEN doc_id % 31 = 0 THEN NULL
+            ELSE 'f' || CAST(doc_id AS STRING) END AS article_id,
+  CASE WHEN copy = 2 AND doc_id % 19 = 0 THEN NULL ELSE ' ' || split_part(text, chr(10), 1) || ' ' END AS title,
   ' ' || source AS source_name,
-  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN '   ' ELSE ' ' || text || ' ' END AS content,
-  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(text, 1, 200) END AS description,
+  CASE WHEN copy < 2 THEN ' ' || text || ' ' WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ''
+       WHEN doc_id % 13 = 0 THEN '   ' ELSE ' ' || text || ' ' END AS content,
+  CASE WHEN copy = 2 AND doc_id % 5 = 0 THEN NULL ELSE text END AS description,
   'https://example.com/' || CAST(doc_id AS STRING) AS url,
   '2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || ' 10:00:00' AS published_at_text,
   '2024-02-0' || CAST(b AS STRING) || ' 00:00:00' AS fetched_at_text,
@@ -84,20 +96,35 @@ DISEASES = """
 SELECT 'disease_' || CAST(p_partkey AS STRING) AS id, p_name AS name FROM {part}
 """
 
+# Replies about real texts: the description is the document's whole text, escaped for JSON; all five lists occur, and some
+# replies are junk, of the wrong type, fenced, denylisted or lack a required field.
 RESPONSES = """
+WITH escaped AS (
+  SELECT doc_id, source, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
+    chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS body FROM {documents}),
+parts AS (
+  SELECT doc_id, CAST(doc_id AS STRING) AS k,
+    '"models":[{{"id":"m' || CAST(doc_id AS STRING) || '","name":"'
+      || CASE WHEN doc_id % 31 = 0 THEN 'Flux Capacitor' ELSE 'Net' || CAST(doc_id % 9 AS STRING) END || '"'
+      || CASE WHEN doc_id % 17 = 0 THEN '' ELSE ',"version":"v' || CAST(doc_id % 5 AS STRING) || '"' END
+      || ',"description":"' || body || '"}}]' AS models,
+    '"experiments":[' || CASE WHEN doc_id % 3 = 0 THEN '{{"id":"e' || CAST(doc_id AS STRING) || '","name":"' || source || '"}}'
+      ELSE '' END || ']' AS experiments,
+    '"deployments":[' || CASE WHEN doc_id % 4 = 0 THEN '{{"id":"d' || CAST(doc_id AS STRING) || '","name":"Serving","image":"img:'
+      || CAST(doc_id % 7 AS STRING) || '","replicas":2}}' ELSE '' END || ']' AS deployments
+  FROM escaped)
 SELECT doc_id,
   CASE WHEN doc_id % 11 = 0 THEN 'no json here'
        WHEN doc_id % 13 = 0 THEN '{{}}'
+       WHEN doc_id % 41 = 1 THEN '[]' WHEN doc_id % 41 = 2 THEN '5' WHEN doc_id % 41 = 3 THEN '"text"'
+       WHEN doc_id % 41 = 4 THEN 'null' WHEN doc_id % 41 = 5 THEN '{{"models":"abc"}}'
        ELSE CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) ELSE '' END
-         || '{{"models":[{{"id":"m' || CAST(doc_id AS STRING) || '","name":"'
-         || CASE WHEN doc_id % 31 = 0 THEN 'Flux Capacitor' ELSE 'Net' || CAST(doc_id % 9 AS STRING) END || '"'
-         || CASE WHEN doc_id % 17 = 0 THEN '' ELSE ',"version":"v' || CAST(doc_id % 5 AS STRING) || '"' END
-         || '}}],"experiments":[],"runs":[{{"id":"r' || CAST(doc_id AS STRING)
-         || '","name":"Run","metrics":{{"accuracy":0.9}}}}],"deployments":[],"relationships":[{{"source_id":"m'
-         || CAST(doc_id AS STRING) || '","target_id":"r' || CAST(doc_id AS STRING) || '","type":"PRODUCED_BY"}}]}}'
+         || '{{' || models || ',' || experiments || ',"runs":[{{"id":"r' || k || '","name":"Run","metrics":{{"accuracy":'
+         || CASE WHEN doc_id % 41 = 6 THEN '"high"' ELSE '0.9' END || '}}}}],' || deployments
+         || ',"relationships":[{{"source_id":"m' || k || '","target_id":"r' || k || '","type":"PRODUCED_BY"}}]}}'
          || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END
   END AS response
-FROM {documents}
+FROM parts
 """
 
 REQUESTS = """

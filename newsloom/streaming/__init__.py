@@ -4,6 +4,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+# Input of one micro-batch: sized by bytes, so the number of batches follows the data and not the number of files.
+BYTES_PER_TRIGGER = 8 << 30
+
 # State of the id dedup can reach many GB at scale (e.g. 31 days of article ids): keep it in
 # RocksDB on local disk with changelog checkpoints, not on the JVM heap.
 STATE_STORE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from newsloom.operators.ingest import build_raw_articles, keep_first_by_id, reclean_raw
 from newsloom.operators.transform import daily_counts, processed_rows
-from newsloom.sources.storage import MAX_PRUNED_PARTITIONS
-from newsloom.streaming import rocksdb_state
+from newsloom.sources.storage import in_partitions, write_partitions
+from newsloom.streaming import BYTES_PER_TRIGGER, rocksdb_state
 
 # Flat landed item (one JSON object per line).
 FLAT_ITEM_SCHEMA = T.StructType([
@@ -32,33 +32,33 @@ def land_items(items: DataFrame, path: str, parts: int = 4) -> None:
         items.filter(F.pmod(F.col("item_ord"), F.lit(parts)) == k).write.mode("append").json(path)
 
 
-def item_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(FLAT_ITEM_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+def item_stream(spark: SparkSession, path: str, bytes_per_trigger: int = BYTES_PER_TRIGGER) -> DataFrame:
+    return (spark.readStream.schema(FLAT_ITEM_SCHEMA).option("maxBytesPerTrigger", bytes_per_trigger)
             .json(path))
 
 
 def ingest_stream(spark: SparkSession, landing: str, raw_path: str, checkpoint: str, *, since=None,
-                  fetched_at=None, files_per_trigger: int = 1):
+                  fetched_at=None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
     """ST1: items -> raw rows (P1-P4) per micro-batch, appended idempotently by epoch."""
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
         raw = build_raw_articles(batch, since=since, fetched_at=fetched_at)
         (raw.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(raw_path))
 
-    q = (item_stream(spark, landing, files_per_trigger).writeStream.foreachBatch(write_epoch)
+    q = (item_stream(spark, landing, bytes_per_trigger).writeStream.foreachBatch(write_epoch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
 def dedup_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, *, since=None, fetched_at=None,
-                 delay: str = "31 days", files_per_trigger: int = 1):
+                 delay: str = "31 days", bytes_per_trigger: int = BYTES_PER_TRIGGER):
     """ST2: streaming dedup by ``article_id`` within an event-time watermark.
 
     ``delay`` must cover the source's event-time disorder, or older duplicates count as late.
     Exactness across longer gaps still comes from the upsert (J1) downstream.
     """
-    raw = build_raw_articles(item_stream(spark, landing, files_per_trigger), since=since, fetched_at=fetched_at)
+    raw = build_raw_articles(item_stream(spark, landing, bytes_per_trigger), since=since, fetched_at=fetched_at)
     deduped = raw.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["article_id"])
     with rocksdb_state(spark):
         q = (deduped.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
@@ -67,13 +67,8 @@ def dedup_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     return q
 
 
-def _write_partitions(df: DataFrame, path: str, partition_col: str) -> None:
-    (df.repartition(partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
-
-
 def incremental_ingest(spark: SparkSession, landing: str, processed_path: str, daily_path: str, checkpoint: str, *,
-                       since=None, fetched_at=None, files_per_trigger: int = 1):
+                       since=None, fetched_at=None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
     """ST1 with incremental ELT: each micro-batch touches only the dates it brings.
 
     Per epoch: items -> raw rows (P1-P4) -> processed rows (P5, P6) -> merged into the processed
@@ -92,23 +87,21 @@ def incremental_ingest(spark: SparkSession, landing: str, processed_path: str, d
         try:
             raw = build_raw_articles(batch, since=since, fetched_at=fetched_at)
             new = processed_rows(reclean_raw(keep_first_by_id(raw)), carry=("item_ord",)).persist()
-            dates = [r[0] for r in new.select("published_date").distinct()
-                     .limit(MAX_PRUNED_PARTITIONS + 1).collect()]            # partition keys only
+            dates = [r[0] for r in new.select("published_date").distinct().collect()]     # partition values only
             if not dates:       # empty epoch (or nothing new): no partition to touch
                 new.unpersist()
                 return
             target = spark.read.schema(proc_schema).parquet(processed_path)
-            scoped = (target.filter(F.col("published_date").isin(dates)) if len(dates) <= MAX_PRUNED_PARTITIONS
-                      else target.join(new.select("published_date").distinct(), "published_date", "left_semi"))
+            scoped = in_partitions(target, "published_date", dates)
             merged = keep_first_by_id(scoped.unionByName(new.select(*target.columns)))
-            _write_partitions(merged, processed_path, "published_date")
+            write_partitions(merged, processed_path, "published_date")
             new.unpersist()
-            touched = spark.read.schema(proc_schema).parquet(processed_path).filter(F.col("published_date").isin(dates))
-            _write_partitions(daily_counts(touched), daily_path, "published_date")
+            touched = in_partitions(spark.read.schema(proc_schema).parquet(processed_path), "published_date", dates)
+            write_partitions(daily_counts(touched), daily_path, "published_date")
         finally:
             batch.unpersist()
 
-    q = (item_stream(spark, landing, files_per_trigger).writeStream.foreachBatch(epoch)
+    q = (item_stream(spark, landing, bytes_per_trigger).writeStream.foreachBatch(epoch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

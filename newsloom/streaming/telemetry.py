@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import label_regex_match
 from newsloom.operators.telemetry import DEFAULT_BUCKETS, histogram_quantile, window_seconds
 from newsloom.sources.storage import merge_partitions
+from newsloom.streaming import BYTES_PER_TRIGGER
+
+
+# Longest time span of one arrival of land_by_time, and a margin.
+ARRIVAL_DELAY = "7 days 10 minutes"
 
 
 def land_by_time(df: DataFrame, path: str, ts: str = "ts", unit: str = "week") -> None:
@@ -25,31 +30,32 @@ def land_by_time(df: DataFrame, path: str, ts: str = "ts", unit: str = "week") -
 
 
 def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoint: str, *,
-                length: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes",
-                group_cols=("endpoint",), files_per_trigger: int = 1, buckets=DEFAULT_BUCKETS,
+                length: str = "5 minutes", step: str = "1 minute", delay: str = ARRIVAL_DELAY,
+                group_cols=("endpoint",), bytes_per_trigger: int = BYTES_PER_TRIGGER, buckets=DEFAULT_BUCKETS,
                 status_regex: str = "5.."):
     """ST3: per (window, group): requests, rate, 5xx errors, latency sum and cumulative latency
     buckets ``_c0..`` (the inputs of the histogram quantile), in one streaming aggregation.
 
     Dashboard panels are batch reads of the result table: :func:`error_rate_from` and
-    :func:`quantile_from` sum the groups per window.
+    :func:`quantile_from` sum the groups per window. Files of one arrival are read in any order and may fall into
+    several micro-batches, so ``delay`` must cover the time span of an arrival; then no event comes late.
     """
     # State here is bounded by the watermark (a few open windows per group), so the default
     # heap-backed state store fits; the id dedup of ST2 is the stream that needs RocksDB.
     secs = window_seconds(length)
-    events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    events = (spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(landing)
               .withColumn("ts", F.col("ts").cast("timestamp")))
     lat = F.col("latency_s")
     counts = (events.withWatermark("ts", delay)
               .groupBy(F.window("ts", length, step).alias("window"), *group_cols)
               .agg(F.count(F.lit(1)).alias("requests"),
                    F.count_if(label_regex_match(F.col("status").cast("string"), status_regex)).alias("errors"),
-                   F.sum(lat).alias("latency_sum"),
+                   F.sum(lat).alias("latency_sum"), F.count(lat).alias("latency_count"),
                    *[F.count_if(lat <= F.lit(b)).alias(f"_c{i}") for i, b in enumerate(buckets)]))
     key = ["window_start", *group_cols]
     result_schema = (f"window_start timestamp, window_end timestamp, "
                      + "".join(f"{g} string, " for g in group_cols)
-                     + "requests bigint, rate double, errors bigint, latency_sum double, "
+                     + "requests bigint, rate double, errors bigint, latency_sum double, latency_count bigint, "
                      + "".join(f"_c{i} bigint, " for i in range(len(buckets)))
                      + "window_date date")
     spark.createDataFrame([], result_schema).write.mode("ignore").partitionBy("window_date").parquet(result)
@@ -60,9 +66,9 @@ def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoi
             # a watermark-only epoch has no rows, hence no touched dates: merge_partitions returns
             upd = (batch.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                                 *group_cols, "requests", F.round(F.col("requests") / F.lit(secs), 9).alias("rate"),
-                                "errors", "latency_sum", *[f"_c{i}" for i in range(len(buckets))])
+                                "errors", "latency_sum", "latency_count", *[f"_c{i}" for i in range(len(buckets))])
                    .withColumn("window_date", F.to_date("window_start")))
-            merge_partitions(spark, result, upd, key, "window_date", result_schema)
+            merge_partitions(spark, result, upd, key, "window_date", result_schema, keys_can_move=False)
         finally:
             batch.unpersist()
 
@@ -83,5 +89,5 @@ def quantile_from(result: DataFrame, q: float = 0.95, buckets=DEFAULT_BUCKETS) -
     """W5 over the streamed window table: bucket counts summed over groups, then the quantile."""
     _, finish = histogram_quantile(q, ("window_start",), buckets)
     sums = result.groupBy("window_start", "window_end").agg(
-        *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(buckets))], F.sum("requests").alias("_total"))
+        *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(buckets))], F.sum("latency_count").alias("_total"))
     return finish(sums)
