@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.text import contains_ci, strip_fence
+from newsloom.operators.graph import (DEFAULT_CLUSTER, DEFAULT_EXPERIMENT_STATUS, DEFAULT_FRAMEWORK, DEFAULT_REPLICAS,
+                                      DEFAULT_RUN_STATUS)
 
 # ---- fixed values ------------------------------------------------------------------------------
 # Denylisted model name (a known hallucination probe), matched case-insensitively.
@@ -49,6 +51,10 @@ VERDICT = T.StructType([T.StructField("status", _S), T.StructField("reasoning",
 METRIC_TEXTS = T.StructType([T.StructField("runs", T.ArrayType(T.StructType([
     T.StructField("metrics", T.MapType(_S, _S))])))])
 
+# Properties of single labels: Model description, Run metrics and parameters, Deployment image and replicas.
+NODE_PROPERTIES = {"description": "string", "metrics": "map<string,double>", "parameters": "map<string,string>",
+                   "image": "string", "replicas": "bigint"}
+
 ENTITY_LISTS = ("models", "experiments", "runs", "deployments")
 
 
@@ -166,20 +172,27 @@ def extraction_batches(valid: DataFrame, id_col: str = "doc_id") -> tuple[DataFr
     """T5: valid extractions -> (node batch, edge batch) in the generic graph shape.
 
     Nodes: ``(label, id, name, a1, a2, ord)`` with the per-label property slots of
-    ``graph.project_nodes`` (Model: version/framework, Experiment and Run: status,
-    Deployment: cluster/image). Edges: ``(source_id, target_id, type, properties, ord)``.
+    ``graph.project_nodes`` (Model: version/framework, Experiment and Run: status, Deployment:
+    cluster) and the columns of ``NODE_PROPERTIES``; absent values take the schema defaults. Edges: ``(source_id, target_id, type, properties, ord)``.
     ``ord`` is the document id, so a later document's values win on repeated ids.
     """
-    def nodes_of(kind: str, label: str, a1: str | None, a2: str | None) -> DataFrame:
+    empty = F.create_map().cast("map<string,string>")
+
+    def nodes_of(kind: str, label: str, a1: Column, a2: Column | None = None, **props: Column) -> DataFrame:
         e = explode_entities(valid, kind, id_col)
-        return e.select(F.lit(label).alias("label"), "id", "name",
-                        (F.col(a1) if a1 else F.lit(None)).cast("string").alias("a1"),
-                        (F.col(a2) if a2 else F.lit(None)).cast("string").alias("a2"),
+        return e.select(F.lit(label).alias("label"), "id", "name", a1.cast("string").alias("a1"),
+                        (F.lit(None) if a2 is None else a2).cast("string").alias("a2"),
+                        *[props.get(p, F.lit(None)).cast(t).alias(p) for p, t in NODE_PROPERTIES.items()],
                         F.col(id_col).cast("bigint").alias("ord"))
-    nodes = (nodes_of("models", "Model", "version", "framework")
-             .unionByName(nodes_of("experiments", "Experiment", "status", None))
-             .unionByName(nodes_of("runs", "Run", "status", None))
-             .unionByName(nodes_of("deployments", "Deployment", "cluster", "image")))
+    or_default = lambda c, d: F.coalesce(F.col(c), F.lit(d))                        # noqa: E731
+    nodes = (nodes_of("models", "Model", F.col("version"), or_default("framework", DEFAULT_FRAMEWORK),
+                      description=F.col("description"))
+             .unionByName(nodes_of("experiments", "Experiment", or_default("status", DEFAULT_EXPERIMENT_STATUS)))
+             .unionByName(nodes_of("runs", "Run", or_default("status", DEFAULT_RUN_STATUS),
+                                   metrics=F.coalesce("metrics", empty.cast("map<string,double>")),
+                                   parameters=F.coalesce("parameters", empty)))
+             .unionByName(nodes_of("deployments", "Deployment", or_default("cluster", DEFAULT_CLUSTER),
+                                   image=F.col("image"), replicas=or_default("replicas", DEFAULT_REPLICAS))))
     rel = explode_entities(valid, "relationships", id_col)
     edges = rel.select("source_id", "target_id", "type",
                        F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"),

@@ -73,6 +73,9 @@ def upsert_nodes(target: DataFrame, batch: DataFrame, props: list[str], as_of=No
         t = t.withColumn("created_at", F.lit(None).cast("timestamp"))
     if "last_updated" not in t.columns:
         t = t.withColumn("last_updated", F.lit(None).cast("timestamp"))
+    for p in props:
+        if p not in t.columns:
+            t = t.withColumn(p, F.lit(None).cast(batch.schema[p].dataType))
     j = t.join(b, list(key), "full_outer")
     now = as_timestamp(as_of)
     touched = F.coalesce(F.col("_touched"), F.lit(False))

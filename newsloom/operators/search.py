@@ -51,9 +51,9 @@ def search_postings(index: DataFrame, terms, k: int | None = 20, id_col: str = "
 
 def write_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                    files: int | None = None) -> str:
-    """Persist the inverted index range-partitioned and sorted by term, so a lookup of a
-    few terms reads only the row groups whose min/max term range covers them."""
+    """Persist the inverted index range-partitioned and sorted by (term, id), so a lookup of a
+    few terms reads only the row groups whose min/max term range covers them, and a frequent term spans many files."""
     p = postings(docs, id_col, text_col)
-    p = p.repartitionByRange(files, "term") if files else p.repartitionByRange("term")
+    p = p.repartitionByRange(files, "term", id_col) if files else p.repartitionByRange("term", id_col)
     p.sortWithinPartitions("term", id_col).write.parquet(path)
     return path

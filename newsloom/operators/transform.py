@@ -135,11 +135,12 @@ def daily_mart(staged: DataFrame) -> DataFrame:
 
 def batch_summary(processed: DataFrame) -> DataFrame:
     """A4: row count, distinct sources (count and sorted list), newest ``published_at`` as ISO."""
-    return processed.agg(
-        F.count(F.lit(1)).alias("article_count"),
-        F.count_distinct("source_name").alias("source_count"),
-        F.array_sort(F.collect_set("source_name")).alias("sources"),
-        iso_format(F.max("published_at")).alias("latest_published_at"))
+    per_source = processed.groupBy("source_name").agg(F.count(F.lit(1)).alias("_n"), F.max("published_at").alias("_latest"))
+    return per_source.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("article_count"),
+        F.count("source_name").alias("source_count"),
+        F.array_sort(F.collect_list("source_name")).alias("sources"),           # one row per source
+        iso_format(F.max("_latest")).alias("latest_published_at"))
 
 
 def quality_summary(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

@@ -508,3 +508,45 @@ SELECT 'edge', type, count(*), count(*) FILTER (WHERE (source_id, target_id, typ
 FROM edges2 GROUP BY 1, 2"""
 ORACLE["fulltext_index"] = ORACLE["fulltext_lookup"]
 ORACLE["node_upsert_bucketed"] = ORACLE["node_upsert"]
+
+ORACLE["raw_table"] = f"""WITH {RAW}
+SELECT article_id, title, source_name, description, content, url, published_at, fetched_at, query, language, batch_id FROM raw"""
+ORACLE["source_pages"] = f"""WITH items AS ({adapter_sql('items')})
+SELECT source_name, title, url, published_at_text, author, description, content FROM items"""
+ORACLE["corrupt_lines"] = """SELECT CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id AS VARCHAR) END AS article_id,
+  CASE WHEN doc_id % 9 <> 0 THEN text END AS content, CASE WHEN doc_id % 9 = 0 THEN 'broken {' || doc_id END AS line FROM documents"""
+ORACLE["mark_read"] = f"""SELECT 'click' AS name, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS stored,
+  date_trunc('second', max(ts)) AS since, 'stored' AS mark_source FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'signup', '12:30', {D.ts(P.AS_OF)} - INTERVAL 24 HOUR, 'invalid_stored'
+UNION ALL SELECT 'absent', NULL, {D.ts(P.AS_OF)} - INTERVAL 24 HOUR, 'lookback'"""
+ORACLE["required_columns"] = f"""WITH {RAW},
+r AS (SELECT concat_ws(',', CASE WHEN article_id IS NULL THEN 'article_id' END, CASE WHEN title IS NULL THEN 'title' END,
+  CASE WHEN content IS NULL THEN 'content' END) AS m FROM raw)
+SELECT CASE WHEN m = '' THEN 'ok' ELSE 'missing required: ' || m END AS reason, count(*) AS n FROM r GROUP BY 1"""
+ORACLE["quarantine_artifact"] = f"""WITH {PARSED} SELECT doc_id, status, reason FROM parsed WHERE status <> 'valid'"""
+_reply_body = _fence.replace("response", "reply")
+ORACLE["judge_verdicts"] = f"""WITH r AS ({adapter_sql('judge_replies')}),
+b AS (SELECT source_id, target_id, {_reply_body} AS body FROM r),
+v AS (SELECT *, CASE WHEN json_valid(body) THEN upper(trim(json_extract_string(body, '$.status'))) END AS st,
+  CASE WHEN json_valid(body) THEN json_extract_string(body, '$.reasoning') END AS reasoning FROM b)
+SELECT source_id, target_id, CASE WHEN st IN ('PASS', 'FAIL', 'WARN') THEN st END AS status, reasoning FROM v"""
+ORACLE["unsupported_edges"] = f"""WITH {EDGES}, v AS ({adapter_sql('verdicts')})
+SELECT source_id, target_id, type FROM edges e
+WHERE NOT EXISTS (SELECT 1 FROM v WHERE in_truth AND v.source_id = e.source_id AND v.target_id = e.target_id AND v.type = e.type)"""
+ORACLE["lineage_paths"] = f"""WITH {G},
+serves AS (SELECT * FROM {_typed('SERVES', 'Deployment', 'Model', 'deployment_id', 'model_id')}),
+produced AS (SELECT * FROM {_typed('PRODUCED_BY', 'Model', 'Run', 'model_id', 'run_id')}),
+belongs AS (SELECT * FROM {_typed('BELONGS_TO', 'Run', 'Experiment', 'run_id', 'experiment_id')})
+SELECT deployment_id, model_id, run_id, experiment_id FROM serves JOIN produced USING (model_id) JOIN belongs USING (run_id)
+WHERE deployment_id = '{P.LINEAGE_DEPLOYMENT}'"""
+ORACLE["node_properties"] = f"""WITH {PARSED.replace("parsed AS (SELECT doc_id,", "parsed AS (SELECT doc_id, j,")},
+valid AS (SELECT j FROM parsed WHERE status = 'valid')
+SELECT 'Model' AS label, m.id AS id, m.name AS name, m.version AS a1, coalesce(m.framework, 'pytorch') AS a2,
+  m.description AS description, NULL AS image, CAST(NULL AS BIGINT) AS replicas, CAST(NULL AS DOUBLE) AS accuracy,
+  CAST(NULL AS INTEGER) AS n_parameters FROM (SELECT unnest(j.models) AS m FROM valid)
+UNION ALL SELECT 'Experiment', e.id, e.name, coalesce(e.status, 'active'), NULL, NULL, NULL, NULL, NULL, NULL
+  FROM (SELECT unnest(j.experiments) AS e FROM valid)
+UNION ALL SELECT 'Run', r.id, r.name, coalesce(r.status, 'completed'), NULL, NULL, NULL, NULL, 0.9, 0
+  FROM (SELECT unnest(j.runs) AS r FROM valid)
+UNION ALL SELECT 'Deployment', p.id, p.name, coalesce(p.cluster, 'local-k8s'), NULL, NULL, p.image, coalesce(p.replicas, 1), NULL, NULL
+  FROM (SELECT unnest(j.deployments) AS p FROM valid)"""

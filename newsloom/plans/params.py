@@ -20,6 +20,7 @@ MARK_NAME = "news_pipeline_last_published_at"
 GRAPH_AS_OF = "2024-02-03 00:00:00"
 EDGE_SEED_TIME = "2024-01-15 00:00:00"
 LOOKUP_NAME = "small bolt"
+LINEAGE_DEPLOYMENT = "dep_1"
 SEARCH_TERMS = ("der", "die", "und", "river", "the")
 COUNTER_WINDOW = "1 hour"
 DASHBOARD_NOW = "2024-01-30 12:00:00"

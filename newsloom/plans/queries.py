@@ -176,8 +176,7 @@ def q_landing_roundtrip(spark, d):
     """Land raw rows as JSON lines per batch, load them back typed."""
     raw = raw_items(spark, d).drop("item_ord")
     path = scratch_path(spark, "landing")
-    for b in ("scheduled_2024-02-01T00_00_00_00_00", "scheduled_2024-02-02T00_00_00_00_00"):
-        landing.write_jsonl(raw.filter(F.col("batch_id") == b), path)     # one append per run
+    landing.write_jsonl(raw, path)                                        # one folder per run
     back = landing.load_jsonl(spark, path)
     return back.drop("raw_payload", "_corrupt").distinct()
 
@@ -200,10 +199,9 @@ DAYS_SQL = "SELECT published_date, count(*) AS staged_rows FROM IDENTIFIER(:stg_
 
 @register("elt_upsert")
 def q_elt_upsert(spark, d):
-    """Batch 2 upserted onto the processed table of batch 1, partition-scoped."""
+    """Batch 2 upserted onto the processed table of batch 1, partition-scoped."""
     raw = fx.raw_landed(spark, d)
     path = scratch_path(spark, "processed")
-    storage.create_table(spark, storage.PROCESSED_DDL, f"processed_{path.rsplit('-', 1)[1]}", path)
     first = transform.elt_source(raw.filter(F.col("batch_id") == "batch_1"))
     first.write.mode("overwrite").partitionBy("published_date").parquet(path)
     second = transform.elt_source(raw.filter(F.col("batch_id") == "batch_2"))
@@ -712,3 +710,100 @@ def q_node_upsert_bucketed(spark, d):
                                    ["label", "id"], buckets)
     return graph.upsert_nodes(nodes, fx.adapter(spark, d, "node_batch"), ["name", "a1", "a2"], as_of=P.GRAPH_AS_OF,
                               order=["ord", "name", "a1", "a2"])
+
+
+# ---- operators with a registry entry of their own --------------------------------------------------
+
+@register("raw_table")
+def q_raw_table(spark, d):
+    """The raw article table made by its DDL, partitioned by batch, filled through the table and read back."""
+    path = scratch_path(spark, "raw-table")
+    name = f"raw_{path.rsplit('-', 1)[1]}"
+    storage.create_table(spark, storage.RAW_DDL, name, path)
+    table = spark.table(name)
+    fx.raw_landed(spark, d).select(*table.columns).write.insertInto(name)
+    return spark.table(name).drop("raw_payload", "source_id", "author")
+
+
+@register("source_pages")
+def q_source_pages(spark, d):
+    """Items landed as nested JSON pages, scanned with the declared schema."""
+    path = scratch_path(spark, "pages")
+    i = fx.items(spark, d)
+    (i.select(F.struct(F.lit(None).cast("string").alias("id"), F.col("source_name").alias("name")).alias("source"), "title", "url",
+              "author", "description", "content", F.col("published_at_text").alias("publishedAt")).write.json(path))
+    return landing.read_items(spark, path).select("source_name", "title", "url", "published_at_text", "author",
+                                                  "description", "content")
+
+
+@register("corrupt_lines")
+def q_corrupt_lines(spark, d):
+    """Landed lines that are not JSON go to quarantine, the rest are loaded."""
+    path = scratch_path(spark, "lines")
+    docs = read_table(spark, d, "documents")
+    good = F.to_json(F.struct(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("content")))
+    docs.select(F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("broken {"), F.col("doc_id"))).otherwise(good)
+                .alias("value")).write.text(path)
+    ok, bad = landing.split_corrupt(landing.load_jsonl(spark, path))
+    return (ok.select("article_id", "content", F.lit(None).cast("string").alias("line"))
+            .unionByName(bad.select(F.lit(None).cast("string").alias("article_id"), F.lit(None).cast("string").alias("content"),
+                                    F.col("_corrupt").alias("line"))))
+
+
+@register("mark_read")
+def q_mark_read(spark, d):
+    """Stored mark, invalid stored value, nothing stored."""
+    state = read_table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(
+        F.max(F.col("ts").cast("timestamp")).alias("updated_at"))
+    state = state.withColumn("value", F.when(F.col("name") == "signup", F.lit("12:30"))
+                             .otherwise(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    marks = [storage.read_mark(state, n, now=P.AS_OF) for n in ("click", "signup", "absent")]
+    return marks[0].unionByName(marks[1]).unionByName(marks[2])
+
+
+@register("required_columns")
+def q_required_columns(spark, d):
+    """Q4: rows without a required value go to quarantine, counted by reason."""
+    ok, bad = quality.require(fx.raw_landed(spark, d), ["article_id", "title", "content"])
+    tag = lambda df, reason: df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))       # noqa: E731
+    return tag(ok, F.lit("ok")).unionByName(tag(bad, F.col("reason")))
+
+
+@register("quarantine_artifact")
+def q_quarantine_artifact(spark, d):
+    """Failed replies written as the review artifact and read back."""
+    _, review = extract.route(parsed_responses(spark, d))
+    path = scratch_path(spark, "quarantine")
+    audit.write_quarantine(review.select("doc_id", "status", "reason"), path)
+    return spark.read.schema("doc_id long, status string, reason string").json(path)
+
+
+@register("judge_verdicts")
+def q_judge_verdicts(spark, d):
+    """Judge replies -> status, reasoning."""
+    return extract.parse_verdicts(fx.adapter(spark, d, "judge_replies")).select("source_id", "target_id", "status", "reasoning")
+
+
+@register("unsupported_edges")
+def q_unsupported_edges(spark, d):
+    """Extracted relationships without a ground-truth counterpart, over every edge type."""
+    return graph.unsupported_edges(graph_edges(spark, d), fx.adapter(spark, d, "verdicts").filter("in_truth"))
+
+
+@register("lineage_paths")
+def q_lineage_paths(spark, d):
+    """The paths of one deployment as rows."""
+    return graph.lineage_paths(graph_nodes(spark, d), graph_edges(spark, d), P.LINEAGE_DEPLOYMENT).select(
+        "deployment_id", "model_id", "run_id", "experiment_id")
+
+
+@register("node_properties")
+def q_node_properties(spark, d):
+    """Per-label properties of extracted nodes through the upsert, with the schema defaults."""
+    valid, _ = extract.route(parsed_responses(spark, d))
+    batch, _ = extract.extraction_batches(valid)
+    nodes = graph.upsert_nodes(graph_nodes(spark, d), batch, ["name", "a1", "a2", *extract.NODE_PROPERTIES], as_of=P.GRAPH_AS_OF,
+                               order=["ord", "name", "a1", "a2"])
+    return nodes.filter(F.col("last_updated").isNotNull()).select(
+        "label", "id", "name", "a1", "a2", "description", "image", "replicas", F.get(F.map_values("metrics"), F.lit(0)).alias("accuracy"),
+        F.when(F.col("parameters").isNotNull(), F.size("parameters")).alias("n_parameters"))

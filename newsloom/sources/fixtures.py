@@ -87,6 +87,18 @@ SELECT 'dep_' || CAST(l_suppkey AS STRING) AS source_id, 'model_' || CAST(l_part
 FROM {lineitem} GROUP BY l_suppkey, l_partkey
 """
 
+# Judge replies about the SERVES edges: fenced JSON in lower case, some with an unknown status, some without JSON.
+JUDGE_REPLIES = """
+SELECT 'dep_' || CAST(l_suppkey AS STRING) AS source_id, 'model_' || CAST(l_partkey AS STRING) AS target_id,
+  CASE WHEN l_partkey % 13 = 0 THEN 'cannot say'
+       ELSE CASE WHEN l_partkey % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '{{"status":"'
+         || CASE WHEN l_partkey % 11 = 0 THEN 'maybe' WHEN max(l_linenumber) = 7 THEN 'fail' WHEN max(l_linenumber) = 6 THEN ' Warn '
+                 ELSE 'PASS' END
+         || '","reasoning":"' || CAST(count(*) AS STRING) || ' lines"}}'
+         || CASE WHEN l_partkey % 2 = 0 THEN chr(10) || '```' ELSE '' END END AS reply
+FROM {lineitem} GROUP BY l_suppkey, l_partkey
+"""
+
 COVERS = """
 SELECT DISTINCT 'lo_' || CAST(l_suppkey AS STRING) AS source_id, 'disease_' || CAST(l_partkey AS STRING) AS target_id
 FROM {lineitem} WHERE l_quantity >= 50
@@ -158,7 +170,7 @@ FROM {orders}
 """
 
 ADAPTERS = {
-    "items": ITEMS, "raw_landed": RAW_LANDED, "nodes": NODES, "edges": EDGES, "verdicts": VERDICTS,
+    "items": ITEMS, "raw_landed": RAW_LANDED, "nodes": NODES, "edges": EDGES, "verdicts": VERDICTS, "judge_replies": JUDGE_REPLIES,
     "covers": COVERS, "diseases": DISEASES, "responses": RESPONSES, "requests": REQUESTS,
     "counters": COUNTERS, "up": UP, "audit": AUDIT, "runs": RUNS,
 }

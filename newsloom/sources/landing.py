@@ -44,17 +44,17 @@ JSON_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 def read_items(spark: SparkSession, path: str, pages: bool = True) -> DataFrame:
     """Scan landed source pages (one JSON object per line) with the declared item schema.
 
-    Each item gets ``(page, pos)`` ordinals from its file and line so the source order
-    survives a distributed scan; they combine into ``item_ord``.
+    ``item_ord`` orders items by file name, block and line, however the scan is split into tasks.
     """
     df = spark.read.schema(ITEM_SCHEMA).json(path)
     df = df.select(
         F.col("source.name").alias("source_name"), F.col("source.id").alias("source_id"),
         "title", "url", F.col("publishedAt").alias("published_at_text"), "author", "description",
-        "content", F.input_file_name().alias("_file"))
+        "content", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
     if pages:
-        df = df.withColumn("item_ord", F.monotonically_increasing_id())
-    return df
+        # the last part only orders lines of one block, which one task reads in order
+        df = df.withColumn("item_ord", F.struct("_file", "_start", F.monotonically_increasing_id().alias("_line")))
+    return df.drop("_start")
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: str | None = "batch_id", mode: str = "append") -> None:

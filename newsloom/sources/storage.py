@@ -201,5 +201,6 @@ def write_bucketed(df: DataFrame, name: str, path: str, keys, buckets: int) -> D
     side is shuffled (into the same number of partitions), the big table never is.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    (df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name))
+    # one task per bucket, so one file per bucket
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name))
     return df.sparkSession.table(name)

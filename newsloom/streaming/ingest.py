@@ -8,6 +8,8 @@ replaces exactly what it wrote.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +41,15 @@ def item_stream(spark: SparkSession, path: str, bytes_per_trigger: int = BYTES_P
 
 def ingest_stream(spark: SparkSession, landing: str, raw_path: str, checkpoint: str, *, since=None,
                   fetched_at=None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
-    """ST1: items -> raw rows (P1-P4) per micro-batch, appended idempotently by epoch."""
+    """ST1: items -> raw rows (P1-P4) per micro-batch, appended idempotently by run and epoch.
+
+    A run is one checkpoint: a new checkpoint counts its epochs from 0 again and must not replace another run's.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
         raw = build_raw_articles(batch, since=since, fetched_at=fetched_at)
-        (raw.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+        (raw.withColumn("epoch", F.lit(f"{run}-{epoch_id}")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(raw_path))
 
     q = (item_stream(spark, landing, bytes_per_trigger).writeStream.foreachBatch(write_epoch)
