@@ -17,6 +17,7 @@ NUM_TREES = 100
 ACCURACY_GATE = 0.82
 PASS_TASK = "register_model"
 FAIL_TASK = "notify_training_failure"
+MAX_DEPTH = 30          # the deepest trees Spark grows
 # -------------------------------------------------------------------------------------------------
 
 
@@ -33,9 +34,11 @@ def with_features(df: DataFrame, array_col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array_col).cast("array<double>")))
 
 
-def train_forest(train: DataFrame, label: str = "label", num_trees: int = NUM_TREES, seed: int = SEED) -> PipelineModel:
-    """M2: random forest, 100 trees, fixed seed, on ``features``."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, seed=seed)
+def train_forest(train: DataFrame, label: str = "label", num_trees: int = NUM_TREES, seed: int = SEED,
+                 max_depth: int = MAX_DEPTH) -> PipelineModel:
+    """M2: random forest, 100 trees grown to purity (or Spark's deepest level), fixed seed, on ``features``."""
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, seed=seed, maxDepth=max_depth,
+                                minInstancesPerNode=1)
     return Pipeline(stages=[rf]).fit(train.withColumn(label, F.col(label).cast("double")))
 
 

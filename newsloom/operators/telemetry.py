@@ -149,7 +149,7 @@ def error_rate(requests: DataFrame, length: str = "5 minutes", step: str = "1 mi
 
 
 def counter_increase(samples: DataFrame, series=("endpoint",), ts: str = "ts", value: str = "value",
-                     tiebreak: str | None = "event_id", chunk: str = "hour") -> DataFrame:
+                     tiebreak: str | None = "event_id", chunk: str = "minute") -> DataFrame:
     """Per-sample increase of a cumulative counter that may reset.
 
     ``inc = value - previous`` when the counter grew, ``value`` when it dropped (a reset), and 0

@@ -550,3 +550,6 @@ UNION ALL SELECT 'Run', r.id, r.name, coalesce(r.status, 'completed'), NULL, NUL
   FROM (SELECT unnest(j.runs) AS r FROM valid)
 UNION ALL SELECT 'Deployment', p.id, p.name, coalesce(p.cluster, 'local-k8s'), NULL, NULL, p.image, coalesce(p.replicas, 1), NULL, NULL
   FROM (SELECT unnest(j.deployments) AS p FROM valid)"""
+
+ORACLE["ml_scored"] = f"""SELECT vec_id, label, 'v20240202000000' AS model_version, true AS in_domain
+FROM ({ORACLE["ml_split"]}) WHERE split = 'test'"""

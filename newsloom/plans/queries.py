@@ -807,3 +807,12 @@ def q_node_properties(spark, d):
     return nodes.filter(F.col("last_updated").isNotNull()).select(
         "label", "id", "name", "a1", "a2", "description", "image", "replicas", F.get(F.map_values("metrics"), F.lit(0)).alias("accuracy"),
         F.when(F.col("parameters").isNotNull(), F.size("parameters")).alias("n_parameters"))
+
+
+@register("ml_scored")
+def q_ml_scored(spark, d):
+    """M2-M5: the rows, labels and version of the batch scores, and whether each prediction is a trained class."""
+    classes = _embeddings(spark, d).filter("split = 'train'").select(F.col("label").cast("bigint").alias("prediction"),
+                                                                     F.lit(True).alias("_trained")).distinct()
+    return _train_and_score(spark, d).join(classes, "prediction", "left").select(
+        "vec_id", "label", "model_version", F.coalesce("_trained", F.lit(False)).alias("in_domain"))
