@@ -21,7 +21,7 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from pathlib import Path
 from types import ModuleType
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import slices, small_batches, text_bytes
 
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 200_000
+MEMO_PAIRS = 2_000_000
 SLICE_BYTES = 4 << 20
 
 
@@ -73,8 +74,9 @@ class TrieEncoder:
             node = self.backwards
             for s in reversed(seq):
                 node = node[0].setdefault(s, [{}, None])
-            node[1] = (token, len(seq))
-        self.follows: dict[tuple[int, int], bool] = {}
+            node[1] = token
+        self.follows: dict[int, dict[int, bool]] = {}          # by the token before, then the token
+        self.pairs = 0
         # packed ids and decoded text of pre-tokenised words, and of chunks between blanks; what was used since the
         # memo last filled up is young, the rest is old and goes when it fills up again
         self.words: dict[str, tuple[bytes, str]] = {}
@@ -98,13 +100,14 @@ class TrieEncoder:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether token b may stand after token a (-1: at the start of a word)."""
-        want = [b] if a < 0 else [a, b]
-        if len(self.follows) > 1_000_000:
+        self.pairs += 1
+        if self.pairs > MEMO_PAIRS:
             self.follows.clear()
-        known = self.follows[a, b] = self._merge([s for t in want for s in self.symbols[t]]) == want
-        return known
+            self.pairs = 0
+        want = [b] if a < 0 else [a, b]
+        return self._merge([s for t in want for s in self.symbols[t]]) == want
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    def encode_words(self, words: Collection[str]) -> dict[str, list[int]]:
         """Ids of distinct pre-tokenised words (in the byte alphabet of the file)."""
         trie: dict = {}                         # inner symbols lead to dicts, last symbols to the word itself
         inner, last, follows, names = self.inner, self.last, self.follows, self.backwards
@@ -114,40 +117,46 @@ class TrieEncoder:
                 s = inner[c]
                 node = node[s] if s in node else node.setdefault(s, {})
             node[last[w[-1]]] = w
-        out: dict[str, tuple[int, ...]] = {}
-        path: list[int] = []                    # symbols from the root
-        ends: list[tuple[int, int]] = []        # (last token, its length) of each prefix
+        out: dict[str, list[int]] = {}
+        longest = max(map(len, words), default=0)
+        path = [0] * longest                    # symbols from the root
+        tokens = [0] * longest                  # last token of each prefix, and its length
+        lengths = [0] * longest
         stack = [(0, s, child) for s, child in trie.items()]
         while stack:
             depth, symbol, node = stack.pop()
-            del path[depth:], ends[depth:]
-            path.append(symbol)
-            at, best, back = names, None, depth
-            while back >= 0:
+            path[depth] = symbol
+            at, back = names, depth
+            while True:
                 at = at[0].get(path[back])
                 if at is None:
-                    break
+                    raise ValueError("the vocabulary does not encode this word")
                 token = at[1]
                 if token is not None:
-                    before = ends[back - 1][0] if back else -1
-                    ok = follows.get((before, token[0]))
-                    if ok or ok is None and self._may_follow(before, token[0]):
-                        best = token
+                    before = tokens[back - 1] if back else -1
+                    known = follows.get(before)
+                    if known is None:
+                        known = follows[before] = {}
+                    ok = known.get(token)
+                    if ok is None:
+                        ok = known[token] = self._may_follow(before, token)
+                    if ok:
                         break
+                if not back:
+                    raise ValueError("the vocabulary does not encode this word")
                 back -= 1
-            if best is None:
-                raise ValueError("the vocabulary does not encode this word")
-            ends.append(best)
+            tokens[depth], lengths[depth] = token, depth - back + 1
             if type(node) is dict:
                 depth += 1
-                stack += [(depth, s, child) for s, child in node.items()]
+                for s in node:
+                    stack.append((depth, s, node[s]))
                 continue
             ids = []
             while depth >= 0:
-                token, n = ends[depth]
-                ids.append(token)
-                depth -= n
-            out[node] = tuple(reversed(ids))
+                ids.append(tokens[depth])
+                depth -= lengths[depth]
+            ids.reverse()
+            out[node] = ids
         return out
 
     def _pieces(self, chunk: str) -> list[str | int]:
