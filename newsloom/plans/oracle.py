@@ -553,3 +553,12 @@ UNION ALL SELECT 'Deployment', p.id, p.name, coalesce(p.cluster, 'local-k8s'), N
 
 ORACLE["ml_scored"] = f"""SELECT vec_id, label, 'v20240202000000' AS model_version, true AS in_domain
 FROM ({ORACLE["ml_split"]}) WHERE split = 'test'"""
+
+ORACLE["malformed_items"] = f"""WITH items AS ({adapter_sql('items')})
+SELECT item_ord, published_at_text, 'unparseable publishedAt' AS reason FROM items
+WHERE NULLIF(trim(published_at_text), '') IS NOT NULL AND NOT regexp_matches(trim(published_at_text), '^\\d{{4}}-\\d{{2}}-\\d{{2}}')"""
+ORACLE["gate_each_run"] = f"""WITH runs AS ({adapter_sql('runs')})
+SELECT CASE WHEN accuracy >= {P.ACCURACY_GATE} THEN 'register_model' ELSE 'notify_training_failure' END AS next_task, count(*) AS n
+FROM runs GROUP BY 1"""
+ORACLE["without_batch"] = f"WITH {RAW} SELECT article_id, title, content, batch_id FROM raw WHERE batch_id IS DISTINCT FROM 'batch_2'"
+ORACLE["append_messages"] = "SELECT conv_id, turn, role, text FROM conversations"

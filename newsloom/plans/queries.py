@@ -816,3 +816,28 @@ def q_ml_scored(spark, d):
                                                                      F.lit(True).alias("_trained")).distinct()
     return _train_and_score(spark, d).join(classes, "prediction", "left").select(
         "vec_id", "label", "model_version", F.coalesce("_trained", F.lit(False)).alias("in_domain"))
+
+
+@register("malformed_items")
+def q_malformed_items(spark, d):
+    """Items whose timestamp does not parse go to quarantine."""
+    return ingest.malformed_timestamps(fx.items(spark, d)).select("item_ord", "published_at_text", "reason")
+
+
+@register("gate_each_run")
+def q_gate_each_run(spark, d):
+    """The branch each run takes at the accuracy gate."""
+    return ml.gate_each(fx.adapter(spark, d, "runs"), P.ACCURACY_GATE).groupBy("next_task").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("without_batch")
+def q_without_batch(spark, d):
+    """Every raw row except those of one batch."""
+    return storage.without_batch(fx.raw_landed(spark, d), "batch_2").select("article_id", "title", "content", "batch_id")
+
+
+@register("append_messages")
+def q_append_messages(spark, d):
+    """Later turns appended to the earlier ones of each conversation."""
+    m = read_table(spark, d, "conversations")
+    return chat.append_messages(m.filter("turn < 2"), m.filter("turn >= 2")).select("conv_id", "turn", "role", "text")

@@ -24,13 +24,13 @@ WITH base AS (
   UNION ALL
   SELECT doc_id, 2, text, lang, source FROM {documents}
   WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0
-     OR doc_id % 29 = 0)
+     OR doc_id % 29 = 0 OR doc_id % 37 = 0)
 SELECT doc_id * 3 + copy AS item_ord,
   CASE WHEN copy = 2 AND doc_id % 17 = 0 THEN NULL ELSE '  ' || source || ' ' END AS source_name,
   CASE WHEN copy = 2 AND doc_id % 19 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
   CASE WHEN copy = 2 AND doc_id % 23 = 0 THEN ''
        ELSE 'https://example.com/' || source || '/' || CAST(doc_id AS STRING) END AS url,
-  CASE WHEN copy = 2 AND doc_id % 29 = 0 THEN NULL
+  CASE WHEN copy = 2 AND doc_id % 29 = 0 THEN NULL WHEN copy = 2 AND doc_id % 37 = 0 THEN '12:30'
        ELSE '2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T' || lpad(CAST(doc_id % 24 AS STRING), 2, '0')
             || CASE WHEN doc_id % 4 = 0 THEN ':00:00.120Z' ELSE ':00:00Z' END END AS published_at_text,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS author,
