@@ -6,8 +6,10 @@ A url's possible entries are its host suffixes joined with its path cut at every
 of them in a batch are searched at once, and each hit is confirmed against the stored string, so colliding digests
 never decide. The longest fitting entry wins (of equal lengths the one with the longer host).
 
-Explicit rules win over the list. Arrays are cut into parts of at most ``PART_BYTES``; each part travels with its tasks
-and is probed by a narrow pass of its own, so a list of any size is handled without a shuffle of the urls.
+Explicit rules win over the list. A list of at most ``PART_BYTES`` is one array that travels with the tasks and is probed
+in a narrow pass. A larger list never passes the driver: the distinct possible entries of the crawl meet the list part by
+part (a hash cuts both into parts of about that size), each task maps and probes its own part's array, and the
+longest hit of each distinct host and path start in use is joined back to the urls. Both ways give the same rows.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and fits nothing, which allows it; entries
 that are null or empty are ignored; repeated entries count once (block before allow); rows and null ids are kept; empty
@@ -52,9 +54,9 @@ def build(entries: list[tuple[str, str]]) -> bytes:
             best[entry] = max(verdict, best.get(entry, ""))
     rows = sorted((xxhash.xxh64_intdigest(e.encode()), e.encode(), v) for e, v in best.items())
     ends = np.cumsum([0, *(len(e) for _, e, _ in rows)])
-    paths = sorted({len(e) - e.find(b"/") if b"/" in e else 0 for _, e, _ in rows})
-    return (struct.pack("<qq", len(rows), len(paths)) + np.array(paths, "<u8").tobytes() + np.array([d for d, _, _ in rows], "<u8").tobytes()
-            + ends.astype("<u8").tobytes() + bytes(v == "block" for _, _, v in rows) + b"".join(e for _, e, _ in rows))
+    paths = sorted({len(e) - e.find("/") if "/" in e else 0 for e in best})     # in characters
+    return (struct.pack("<qq", len(rows), len(paths)) + np.array(paths, "<u8").tobytes()
+            + np.array([d for d, _, _ in rows], "<u8").tobytes() + ends.astype("<u8").tobytes() + bytes(v == "block" for _, _, v in rows) + b"".join(e for _, e, _ in rows))
 
 
 class DigestArray:
@@ -114,7 +116,7 @@ class DigestArray:
 
 
 def _probe(rows: DataFrame, data: bytes, entry: str, verdict: str) -> DataFrame:
-    """One narrow pass: raises ``entry`` and ``verdict`` to this part's longest hit where that is longer."""
+    """One narrow pass: sets ``entry`` and ``verdict`` to the longest hit in one array."""
     names = rows.columns
     at = {n: names.index(n) for n in ("host", "path", entry, verdict)}
 
@@ -122,18 +124,55 @@ def _probe(rows: DataFrame, data: bytes, entry: str, verdict: str) -> DataFrame:
         array = DigestArray(data)
         for batch in batches:
             hits = array.longest(batch.column(at["host"]).to_pylist(), batch.column(at["path"]).to_pylist())
-            rank = lambda e: (len(e), len(e.partition("/")[0])) if e else (0, 0)
-            e, v = batch.column(at[entry]).to_pylist(), batch.column(at[verdict]).to_pylist()
-            for i, hit in enumerate(hits):
-                if hit and rank(hit[0]) > rank(e[i]):
-                    e[i], v[i] = hit
             columns = list(batch.columns)
-            columns[at[entry]], columns[at[verdict]] = pa.array(e, pa.string()), pa.array(v, pa.string())
+            columns[at[entry]] = pa.array([h and h[0] for h in hits], pa.string())
+            columns[at[verdict]] = pa.array([h and h[1] for h in hits], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def _pairs(table: pa.Table) -> list[tuple[str, str]]:
+    return list(zip(table["entry"].to_pylist(), table["verdict"].to_pylist(), strict=True))
+
+
+def _probe_parts(rows: DataFrame, table: DataFrame, list_bytes: int, part_bytes: int) -> DataFrame:
+    """``rows`` with ``listed`` and ``list_verdict`` from a list of any size; see the module's text."""
+    slash = F.instr("entry", "/")
+    in_use = table.select(F.when(slash > 0, F.length("entry") - slash + 1).otherwise(0).alias("n")).distinct()
+    lengths = F.array(*[F.lit(r.n) for r in in_use.orderBy("n").collect()])
+    fits = lambda path: F.filter(lengths, lambda n: n <= F.length(path))            # noqa: E731
+    # all that the list can see of a path: its longest start of a length in use
+    rows = rows.drop("listed", "list_verdict").withColumn(
+        "cut", F.substring("path", F.lit(1), F.coalesce(F.array_max(fits("path")), F.lit(0))))
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
+                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    starts = F.transform(fits("cut"), lambda n: F.substring("cut", F.lit(1), n))
+    keyed = (rows.where("host != ''").select("host", "cut").distinct()
+             .select("host", "cut", F.explode(suffixes).alias("suffix"))
+             .select("host", "cut", "suffix", F.explode(starts).alias("start"))
+             .select("host", "cut", F.length("suffix").alias("host_len"), F.concat("suffix", "start").alias("key")))
+    keyed = written(keyed, "url-keys")
+    keys = written(keyed.select("key").distinct(), "url-distinct")
+    key_bytes = keys.agg(F.sum(F.octet_length("key") + 17)).first()[0] or 0
+    n = F.lit(-(-max(list_bytes, key_bytes) * 11 // (10 * part_bytes)) or 1)
+
+    def run(key: tuple, asked: pa.Table, listed: pa.Table) -> pa.Table:
+        array, wanted = DigestArray(build(_pairs(listed))), asked["key"].to_pylist()
+        found = [(wanted[k], "block" if array.block[i] else "allow")
+                 for k, i in enumerate(array.find(wanted).tolist()) if i >= 0]
+        return pa.table({"key": pa.array([e for e, _ in found], pa.string()),
+                         "list_verdict": pa.array([v for _, v in found], pa.string())})
+
+    hits = (keys.groupBy(F.pmod(F.xxhash64("key"), n)).cogroup(table.groupBy(F.pmod(F.xxhash64("entry"), n)))
+            .applyInArrow(run, "key string, list_verdict string"))
+    best = (keyed.join(hits, "key").groupBy("host", "cut")
+            .agg(F.max_by(F.struct("key", "list_verdict"), F.struct(F.length("key"), "host_len")).alias("hit"))
+            .select("host", "cut", F.col("hit.key").alias("listed"), "hit.list_verdict"))
+    return rows.join(best, ["host", "cut"], "left")
+
+
 def host_list(pages: DataFrame) -> DataFrame:
     """``entry, verdict``: the crawl's distinct hosts with a blocked word among the words of their labels."""
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host != ''").distinct()
@@ -142,17 +181,6 @@ def host_list(pages: DataFrame) -> DataFrame:
         F.col("host").alias("entry"), F.lit("block").alias("verdict"))
 
 
-def parts(entries: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[bytes]:
-    """The list as built arrays of bounded size, one after the other."""
-    entries = entries.select("entry", "verdict").where("entry is not null and verdict is not null").distinct()
-    table = written(entries.withColumn("part", F.xxhash64("entry")), "url-list")
-    total = table.agg(F.sum(F.octet_length("entry") + 17)).first()[0] or 0
-    n = -(-int(total * 1.1) // part_bytes)
-    for i in range(n):
-        rows = table.where(F.pmod("part", F.lit(n)) == i).select("entry", "verdict").collect()
-        yield build([(r.entry, r.verdict) for r in rows])
-
-
 def judge(pages: DataFrame, rules: list[tuple[str, str]], entries: DataFrame,
           part_bytes: int = PART_BYTES) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed``: the longest fitting rule decides, else whether a list entry fits."""
@@ -161,7 +189,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], entries: DataFrame,
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                         none.alias("rule"), none.alias("verdict"), none.alias("listed"), none.alias("list_verdict"))
     rows = _probe(rows, build(rules), "rule", "verdict")
-    for data in parts(entries, part_bytes):
-        rows = _probe(rows, data, "listed", "list_verdict")
+    table = written(entries.select("entry", "verdict").where("entry != '' and verdict is not null").distinct(), "url-list")
+    list_bytes = table.agg(F.sum(F.octet_length("entry") + 17)).first()[0] or 0
+    if list_bytes > part_bytes:
+        rows = _probe_parts(rows, table, list_bytes, part_bytes)
+    elif list_bytes:
+        rows = _probe(rows, build(_pairs(table.toArrow())), "listed", "list_verdict")
     return rows.select("page_id", "host", "path", "rule",
                        F.coalesce("verdict", "list_verdict", F.lit("allow")).alias("verdict"), "listed")

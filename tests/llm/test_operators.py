@@ -305,6 +305,20 @@ def test_url_filter_equals_brute_force(spark, part_bytes):
     assert url_filter.judge(pages.limit(0), RULES, listed.limit(0)).count() == 0
 
 
+def test_large_url_lists_give_the_rows_of_small_ones(spark):
+    """A list above one part meets the urls by a shuffle; paths, non-ASCII paths and repeated entries included."""
+    urls = [*URLS, "http://a.b.net/ñandú/x", "http://b.net/ñ", "http://net/news/1", "http://x.net/news", "http://..net./news",
+            "http://b.net/ñandú", *["http://hot.b.net/news/a"] * 50]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    listed = spark.createDataFrame([("b.net/ñandú", "allow"), ("b.net/ñ", "block"), ("net/news", "block"), ("net", "allow"),
+                                    ("net/news", "allow"), ("x.net", "block"), ("b.net", None)], "entry string, verdict string")
+    one, many = (sorted(url_filter.judge(pages, RULES, listed, n).collect()) for n in (32 << 20, 40))
+    assert one == many
+    by = {u: (r.listed, r.verdict) for u, r in zip(urls, one, strict=True)}
+    assert by["http://a.b.net/ñandú/x"] == ("b.net/ñandú", "allow") and by["http://b.net/ñ"] == ("b.net/ñ", "block")
+    assert by["http://x.net/news"] == ("net/news", "block") and by["http://net/news/1"] == ("net/news", "block")
+
+
 def test_colliding_digests_are_confirmed(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b) % 2)
     array = url_filter.DigestArray(url_filter.build([("a.b", "block"), ("c.d", "allow"), ("long.host/p/", "block")]))
