@@ -5,7 +5,8 @@ logistic-loss trees on per-bin gradient histograms; the trees are flattened into
 traverses for all rows and trees at once with numpy. Scoring is a single pass without a shuffle.
 
 The model is fitted on a bounded sample: the ``MAX_TRAIN`` labelled documents of smallest id hash among those that are
-not held out. Their ids are broadcast (at most 16 bytes each) and only their statistics reach the driver.
+not held out. Their ids are broadcast (at most 16 bytes each) and only one vector per id reaches the driver; of rows that
+share an id, the least vector is taken.
 
 Defined cases: null and empty texts get the statistics of an empty text and are scored like any other; a null doc_id
 is kept, is never held out, and has no label; repeated label rows of an id count as the smallest label; without any
@@ -151,11 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            x = [statistics(t) for t in text_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(run, "y int, x array<double>").collect())
+            .join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+            .mapInArrow(run, "doc_id long, y int, x array<double>")
+            .groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect())
     x = np.array([r.x for r in rows], float).reshape(-1, N_STATS)
     y = np.array([r.y for r in rows], float)
     order = np.lexsort([*x.T, y])               # the same model however the rows were partitioned

@@ -127,6 +127,7 @@ def test_classifier_on_held_out_labels(spark, docs):
     flipped = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality"))
                                 .otherwise(F.col("quality")))
     assert np.array_equal(quality_classifier.train(d, flipped).value, model.value)      # held-out labels are never read
+    assert np.array_equal(quality_classifier.train(d.unionAll(d), labels).value, model.value)   # one vector per id
     rows = quality_classifier.score(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert not any(r.held_out for r in rows if r.doc_id is None)
