@@ -158,11 +158,12 @@ class Scanner:
             if hit:
                 found.append(Match(hit[1], hit[0], a, b))
         found.sort(key=lambda m: (-m.dice, m.start - m.end, m.start))
-        out: list[Match] = []
+        out: list[Match] = []                   # kept matches in order of their place; none overlap
         for m in found:                         # the better unit wins where units overlap
-            if all(m.end <= o.start or m.start >= o.end for o in out):
-                out.append(m)
-        return sorted(out, key=lambda m: m.start)
+            at = bisect_left(out, m.end, key=lambda o: o.start)
+            if not at or out[at - 1].end <= m.start:
+                out.insert(at, m)
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:

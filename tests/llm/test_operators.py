@@ -96,6 +96,12 @@ def test_rules_equal_brute_force(spark, docs):
         assert kept.columns == table.columns and sorted((r.doc_id for r in kept.collect()), key=str) == ids
 
 
+def test_rules_pass_columns_of_any_name(spark):
+    odd = spark.createDataFrame([(1, "the cat sat on the mat and " * 3 + " ".join(f"word{i} of" for i in range(30)), 7, "x")],
+                                ["doc_id", "text", "a.b", "_row"])
+    assert quality_rules.keep_good(odd).columns == odd.columns
+
+
 def test_rules_keep_prose(docs):
     kept = {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
     assert {0, 1, 2, 19} <= kept and not kept & {4, 5, 6, 7, 10, 12, 13}
@@ -368,6 +374,14 @@ def test_licences(spark, docs):
     assert scanner.scan(None) == scanner.scan(b"") == scanner.scan(b"license") == []
 
 
+def test_many_notices_in_one_text():
+    """A very long text with a notice on every line: each is found once, in order, in little time."""
+    line = b"Released under the MIT License.\n"
+    got = license_scan.Scanner().scan(line * 20_000)
+    assert [m.start for m in got] == list(range(0, 20_000 * len(line), len(line)))
+    assert {(m.license, m.dice) for m in got} == {("MIT (notice)", 1.0)}
+
+
 def test_size_bounds_never_prune_a_match():
     scanner = license_scan.Scanner(min_dice=0.8)
     for total, name, g in scanner.templates:
