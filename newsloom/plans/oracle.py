@@ -562,3 +562,10 @@ SELECT CASE WHEN accuracy >= {P.ACCURACY_GATE} THEN 'register_model' ELSE 'notif
 FROM runs GROUP BY 1"""
 ORACLE["without_batch"] = f"WITH {RAW} SELECT article_id, title, content, batch_id FROM raw WHERE batch_id IS DISTINCT FROM 'batch_2'"
 ORACLE["append_messages"] = "SELECT conv_id, turn, role, text FROM conversations"
+
+ORACLE["newest_first"] = f"WITH {RAW_ITEMS} SELECT item_ord, article_id, published_at, title FROM raw"
+ORACLE["retention_job"] = ORACLE["retention_filter"]
+ORACLE["upsert_rows"] = f"""WITH {RAW}
+SELECT article_id, title, content, batch_id FROM raw WHERE batch_id = 'batch_2'
+UNION ALL SELECT article_id, title, content, batch_id FROM raw r WHERE batch_id = 'batch_1'
+  AND NOT EXISTS (SELECT 1 FROM raw s WHERE s.batch_id = 'batch_2' AND s.article_id = r.article_id)"""

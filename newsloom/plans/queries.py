@@ -841,3 +841,25 @@ def q_append_messages(spark, d):
     """Later turns appended to the earlier ones of each conversation."""
     m = read_table(spark, d, "conversations")
     return chat.append_messages(m.filter("turn < 2"), m.filter("turn >= 2")).select("conv_id", "turn", "role", "text")
+
+
+@register("newest_first")
+def q_newest_first(spark, d):
+    """O1: every item, newest first and stable by item order."""
+    return ingest.newest_first(raw_items(spark, d).select("item_ord", "article_id", "published_at", "title"))
+
+
+@register("retention_job")
+def q_retention_job(spark, d):
+    """S16 as a job: the landing zone rewritten without expired rows."""
+    landed, kept = scratch_path(spark, "retention-landed"), scratch_path(spark, "retention-kept")
+    storage.rebuild(fx.raw_landed(spark, d), landed, "batch_id")
+    storage.apply_retention(spark, landed, kept, P.RETENTION_AS_OF, P.RETENTION_DAYS)
+    return spark.read.parquet(kept).select("article_id", "batch_id", "fetched_at", "url")
+
+
+@register("upsert_rows")
+def q_upsert_rows(spark, d):
+    """J1 without a table: the first batch with the second merged in by id."""
+    raw = fx.raw_landed(spark, d).select("article_id", "title", "content", "batch_id")
+    return storage.upsert_frames(raw.filter("batch_id = 'batch_1'"), raw.filter("batch_id = 'batch_2'"))
