@@ -8,8 +8,9 @@ Each kind is a bijection on [0, size): a generalised Feistel network over a * b
 function, walked until it lands inside the range.
 
 Defined cases: a null text stays null with 0 findings; texts without a digit or ``@`` are passed on unread; overlapping
-candidates are taken left to right, the longest kind first; numbers that fail their check are left alone. The key is a
-parameter; the default is for tests. Rows, ids and extra columns are kept as they are; an empty table gives no rows.
+candidates are taken left to right, the longest kind first; numbers that fail their check are left alone, and the scan goes
+on behind their first group. A run of digit groups is read at every group border, customary card layouts before any other;
+an IBAN ends where its country's length says. The key is a parameter; the default is for tests. Rows, ids and extra columns are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +40,18 @@ _FIND = re.compile(r"""
  |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]))
  |(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]))
  |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
- |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
+ |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,37}(?![\w-]))
 """, re.VERBOSE)
+_IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}")
+_GROUP = re.compile(r"[0-9]+")
+_FIRST_GROUP = re.compile(r"\W*\w+")
+# Lengths of the IBAN registry.
+_IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (13,), (14,), (15,), (16,), (17,), (18,), (19,)}
 _DATE_FORMS = {"-": "%Y-%m-%d", "/": "%d/%m/%Y", ".": "%d.%m.%Y"}
 _FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 _DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST_DAY
@@ -101,6 +112,63 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _iban_end(text: str, at: int) -> int | None:
+    """The end of the valid IBAN that starts at ``at``, by its country's length."""
+    left, end = _IBAN_LENGTHS.get(text[at:at + 2], 0), at
+    if not left:
+        return None
+    while left and end < len(text):
+        c = text[end]
+        if c == " " and text[end - 1] != " ":
+            end += 1
+            continue
+        if not (c.isascii() and (c.isdigit() or c.isupper())):
+            return None
+        left, end = left - 1, end + 1
+    if left or end < len(text) and (text[end].isalnum() or text[end] == "_"):
+        return None
+    plain = text[at:end].replace(" ", "")
+    return end if _mod97(plain[4:] + plain[:4]) == 1 else None
+
+
+def _iban_span(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The first IBAN of a registered country in a candidate; of any other code, the candidate as a whole."""
+    for m in _IBAN_START.finditer(text, start, end):
+        found = _iban_end(text, m.start())
+        if found:
+            return m.start(), found
+    return None if text[start:start + 2] in _IBAN_LENGTHS else (start, end)
+
+
+def _card_span(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The first card number of a run of digit groups. A customary layout goes before an overlapping other reading;
+    of the others with one start the longest counts."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+
+    def readings(i: int) -> Iterator[tuple[bool, int, int]]:
+        sizes, digits = (), ""
+        for a, b in groups[i:]:
+            sizes, digits = (*sizes, b - a), digits + text[a:b]
+            if len(digits) > 19:
+                return
+            usual = sizes in _CARD_GROUPS
+            # only customary layouts end inside a hyphenated number
+            if len(digits) >= 13 and (usual or text[b:b + 1] != "-") and _luhn(digits[:-1]) == int(digits[-1]):
+                yield usual, groups[i][0], b
+
+    plain = None
+    for i, (a, _) in enumerate(groups):
+        if plain and a >= plain[1]:
+            break
+        found = [*readings(i)]
+        usual = [(x, y) for layout, x, y in found if layout]
+        if usual:
+            return usual[0]                     # 4-4-4-4 before the rare 4-4-4-4-3
+        if found and not plain:
+            plain = found[-1][1:]
+    return plain
+
+
 def pseudonym(kind: str, found: str, key: bytes) -> str | None:
     """The replacement of one candidate; None if it isn't a valid value of its kind."""
     digits = "".join(c for c in found if c.isdigit())
@@ -150,6 +218,9 @@ def pseudonym(kind: str, found: str, key: bytes) -> str | None:
     return _refill(found, body + str(_luhn(body)))
 
 
+_SPANS = {"iban": _iban_span, "card": _card_span}
+
+
 def replace_all(text: bytes | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind."""
     if text is None:
@@ -158,14 +229,19 @@ def replace_all(text: bytes | None, key: bytes = DEFAULT_KEY) -> tuple[str | Non
         return text.decode(), {}
     n: dict[str, int] = {}
 
-    def swap(m: re.Match) -> str:
-        new = pseudonym(m.lastgroup, m[0], key)
+    whole, out, done, at = text.decode(), [], 0, 0
+    while m := _FIND.search(whole, at):
+        kind, span = m.lastgroup, m.span()
+        if kind in _SPANS:
+            span = _SPANS[kind](whole, *span)
+        new = pseudonym(kind, whole[slice(*span)], key) if span else None
         if new is None:
-            return m[0]
-        n[m.lastgroup] = n.get(m.lastgroup, 0) + 1
-        return new
-
-    return _FIND.sub(swap, text.decode()), n
+            at = _FIRST_GROUP.match(whole, m.start()).end()
+            continue
+        n[kind] = n.get(kind, 0) + 1
+        out += [whole[done:span[0]], new]
+        done = at = span[1]
+    return "".join([*out, whole[done:]]), n
 
 
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:

@@ -175,6 +175,24 @@ def test_pii_links_equal_values_and_leaves_the_rest(spark, docs):
     assert "ann.b@mail.example.com" not in (pii.replace_all(b"ANN.B@MAIL.EXAMPLE.COM 1", b"k")[0] or "").lower()
 
 
+@pytest.mark.parametrize("kind,value,around", [
+    ("card", "4111 1111 1111 1111", "{} 12/27"), ("card", "4111 1111 1111 1111", "{} 123"),
+    ("card", "4111-1111-1111-1111", "{}-123"), ("card", "4111 1111 1111 1111", "27 {} 12"),
+    ("card", "4111111111111111", "1234 567 {} 2"), ("card", "3782 822463 10005", "{} 99"),
+    ("iban", "ES9121000418450200051332", "{} EUR"), ("iban", "AT61 1904 3002 3457 3201", "{} BIC"),
+    ("iban", "BE68 5390 0754 7034", "{} USD"), ("iban", "ES91 2100 0418 4502 0005 1332", "AB12 {} X")])
+def test_values_next_to_other_groups_are_replaced(kind, value, around):
+    new, n = pii.replace_all(around.format(value).encode(), b"key")
+    assert n == {kind: 1} and new == around.format(pii.pseudonym(kind, value, b"key")) != around.format(value)
+
+
+def test_ibans_keep_to_their_length_and_rejected_groups_stay():
+    for text in ("DE89370400440532013001", "4111 1111 1111 1112", "2023-02-30", "300.1.1.1"):
+        assert pii.replace_all(text.encode()) == (text, {})
+    text = "2023-02-30 4111 1111 1111 1111 2024-02-29 4111 1111 1111 1111"
+    assert pii.replace_all(text.encode())[1] == {"card": 2, "date": 1}
+
+
 # ---- 6: packing ------------------------------------------------------------------------------------
 
 def brute_padding(lengths, buckets):
