@@ -5,7 +5,8 @@ stay linked across documents and a replaced value is valid again: card numbers k
 mod-97 check, dates stay calendar dates, IPv4 addresses stay addresses. Letter case and separators are kept.
 
 Each kind is a bijection on [0, size): a generalised Feistel network over a * b >= size with a keyed BLAKE2b round
-function, walked until it lands inside the range.
+function, walked until it lands inside the range. Of mail addresses with a very long local part, the two halves of the
+network are lists of letters and digits instead of numbers, so any length takes linear time.
 
 Defined cases: a null text stays null with 0 findings; texts without a digit or ``@`` are passed on unread; overlapping
 candidates are taken left to right, the longest kind first; numbers that fail their check are left alone, and the scan goes
@@ -18,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from math import isqrt
 
@@ -29,6 +31,7 @@ from newsloom.llm.arrow import small_batches, text_bytes
 
 DEFAULT_KEY = b"newsloom test key"
 ROUNDS = 8
+LONG = 64                                       # letters and digits above which a local part is permuted digit by digit
 KINDS = ("email", "iban", "ipv4", "phone", "date", "ssn", "card")
 
 _MAYBE = re.compile(rb"[0-9@]")
@@ -57,6 +60,15 @@ _FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 _DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
 
+def _noise(message: bytes, width: int, key: bytes) -> bytes:
+    """``width`` keyed bytes: one digest, or numbered digests of the message's digest."""
+    if width <= 64:
+        return hashlib.blake2b(message, key=key[:64], digest_size=width).digest()
+    seed = hashlib.blake2b(message, key=key[:64]).digest()
+    return b"".join(hashlib.blake2b(seed + i.to_bytes(8, "big"), key=key[:64]).digest()
+                    for i in range(-(-width // 64)))[:width]
+
+
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of [0, size)."""
     if size < 2:
@@ -66,8 +78,7 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     width = (max(a, b).bit_length() + 7) // 8 + 8
 
     def noise(i: int, v: int) -> int:
-        message = f"{tweak}|{size}|{i}|{v}".encode()
-        return int.from_bytes(hashlib.blake2b(message, key=key[:64], digest_size=min(width, 64)).digest(), "big")
+        return int.from_bytes(_noise(f"{tweak}|{size:x}|{i}|{v:x}".encode(), width, key), "big")
 
     while True:
         left, right = divmod(x, b)
@@ -79,6 +90,17 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
+def _permute_digits(values: list[int], bases: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of the mixed-radix numbers of ``bases``, digit by digit, in time linear in their count."""
+    half = len(values) // 2
+    parts, radix = [values[:half], values[half:]], [bases[:half], bases[half:]]
+    for i in range(ROUNDS):
+        to, other = parts[i % 2], parts[1 - i % 2]
+        noise = _noise(f"{tweak}|{len(values)}|{i}|".encode() + bytes(other), 8 * len(to), key)
+        parts[i % 2] = [(v + x) % n for v, (x,), n in zip(to, struct.iter_unpack(">Q", noise), radix[i % 2], strict=True)]
+    return parts[0] + parts[1]
+
+
 def _luhn(digits: str) -> int:
     """The check digit that follows ``digits``."""
     total = 0
@@ -97,6 +119,12 @@ def _refill(shape: str, chars: str) -> str:
 def _shuffle_chars(text: str, key: bytes, tweak: str) -> str:
     """Permutes ASCII letters among letters and digits among digits, as one mixed-radix number."""
     bases = [(10, 48) if c.isdigit() else (26, 97) for c in text.lower() if c.isascii() and c.isalnum()]
+    if len(bases) > LONG:
+        values = [ord(c) - first for c, (_, first) in zip(
+            (c for c in text.lower() if c.isascii() and c.isalnum()), bases, strict=True)]
+        shape = "".join("d" if n == 10 else "l" for n, _ in bases)
+        values = _permute_digits(values, [n for n, _ in bases], key, f"{tweak}|{shape}")
+        return _refill(text, "".join(chr(first + v) for v, (_, first) in zip(values, bases, strict=True)))
     value, size = 0, 1
     for c, (n, first) in zip((c for c in text.lower() if c.isascii() and c.isalnum()), bases, strict=True):
         value, size = value * n + ord(c) - first, size * n

@@ -186,6 +186,28 @@ def test_values_next_to_other_groups_are_replaced(kind, value, around):
     assert n == {kind: 1} and new == around.format(pii.pseudonym(kind, value, b"key")) != around.format(value)
 
 
+@pytest.mark.parametrize("n", [64, 65, 300, 10_000])
+def test_long_local_parts_are_replaced_throughout(n):
+    local = ("ab1.c" * n)[:n]
+    new, counts = pii.replace_all(f"x {local}@example.com y".encode(), b"key")
+    got = new[2:].partition("@")[0]
+    assert counts == {"email": 1} and new == f"x {got}@example.com y" and len(got) == n
+    for part in range(0, n, 32):                                    # no stretch stays in clear
+        assert got[part:part + 32] != local[part:part + 32] or n - part < 8
+    other = pii.replace_all(f"{local[:-1]}z@example.com".encode(), b"key")[0]
+    assert sum(a == b for a, b in zip(got, other)) < 0.5 * n        # every character depends on the whole
+
+
+def test_wide_noise_covers_every_bit_and_digits_are_permuted():
+    size = 26 ** 3100
+    top = [pii.permute(x, size, b"k", "t") * 2 ** 64 // size for x in range(4)]
+    assert len(set(top)) == 4                                       # neighbours differ in their leading bits
+    from itertools import product
+    bases = [2, 3, 4, 5]
+    every = [list(v) for v in product(*map(range, bases))]
+    assert sorted(pii._permute_digits(v, bases, b"k", "t") for v in every) == every
+
+
 def test_ibans_keep_to_their_length_and_rejected_groups_stay():
     for text in ("DE89370400440532013001", "4111 1111 1111 1112", "2023-02-30", "300.1.1.1"):
         assert pii.replace_all(text.encode()) == (text, {})
