@@ -6,7 +6,10 @@ mod-97 check, dates stay calendar dates, IPv4 addresses stay addresses. Letter c
 
 Each kind is a bijection on [0, size): a generalised Feistel network over a * b >= size with a keyed BLAKE2b round
 function, walked until it lands inside the range. Of mail addresses with a very long local part, the two halves of the
-network are lists of letters and digits instead of numbers, so any length takes linear time.
+network are lists of letters and digits instead of numbers, so any length takes linear time. A local part that is not ASCII, or has no letter
+or digit, becomes ``u`` and a keyed digest of 128 bits instead.
+
+Phone numbers keep their country code and the 0 or 1 dialled before an area; month-first dates stay month-first.
 
 Defined cases: a null text stays null with 0 findings; texts without a digit or ``@`` are passed on unread; overlapping
 candidates are taken left to right, the longest kind first; numbers that fail their check are left alone, and the scan goes
@@ -20,6 +23,7 @@ import datetime as dt
 import hashlib
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 from math import isqrt
 
@@ -35,18 +39,30 @@ LONG = 64                                       # letters and digits above which
 KINDS = ("email", "iban", "ipv4", "phone", "date", "ssn", "card")
 
 _MAYBE = re.compile(rb"[0-9@]")
+# Combining marks: parts of letters that \w leaves out.
+_MARKS = (r"\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u0670\u0900-\u0963\u0966-\u0dff\u0e31-\u0e4e"
+          r"\u1ab0-\u1aff\u1dc0-\u1dff\u3099\u309a")
 # A lookbehind lets each run of characters start a match once, so long runs stay linear.
 _FIND = re.compile(r"""
-  (?P<email>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)
+  (?P<email>(?<![\w.%+MARKS-])[\w.%+MARKS-]+@[\wMARKS-]+(?:\.[\wMARKS-]+)+)
  |(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
  |(?P<ipv4>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
- |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]))
- |(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]))
+ |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])
+   |(?<![\w+])(?:\+|(?<![.-])00)[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]){5,28}(?!\w)
+   |(?<![\w+/-])(?<![0-9]\.)(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<sep>[ .-])[0-9]{3}(?P=sep)[0-9]{4}
+     (?!(?P=sep)[0-9]))(?![\w-])
+   |(?<![\w+/-])(?<![0-9]\.)0[1-9](?P<two>[ .-])[0-9]{2}(?:(?P=two)[0-9]{2}){3}(?!\w|(?P=two)[0-9])
+   |(?<![\w+/-])(?<![0-9]\.)(?:\(0[1-9][0-9]{1,4}\)[ ]?|0[1-9][0-9]{1,4}[ /-])(?:[0-9]{5,8}|[0-9]{3,4}[ -][0-9]{3,4})(?![\w-]))
+ |(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})
+   (?:(?=[Tt][0-9]{2}:?[0-9]{2})|(?![\w/-])))
  |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
  |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,37}(?![\w-]))
-""", re.VERBOSE)
+""".replace("MARKS", _MARKS), re.VERBOSE)
 _IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}")
 _GROUP = re.compile(r"[0-9]+")
+_NANP = re.compile(r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
+_TEN_DIGITS = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}")
+_CARD_16 = re.compile(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _FIRST_GROUP = re.compile(r"\W*\w+")
 # Lengths of the IBAN registry.
 _IBAN_LENGTHS = {c: n for n, cs in {
@@ -54,7 +70,14 @@ _IBAN_LENGTHS = {c: n for n, cs in {
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+_DOUBLED = str.maketrans("0123456789", "0246813579")
 _CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (13,), (14,), (15,), (16,), (17,), (18,), (19,)}
+# The country calling codes of two digits; +1 and +7 have one, all others three.
+_TWO_DIGIT_CODES = frozenset(map(str, (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59),
+                                       *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)))
+# Digits behind the country code where nearly all numbers of a country have as many.
+_BODY_DIGITS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "65": 8,
+                "91": 10, "351": 9, "380": 9, "420": 9}
 _DATE_FORMS = {"-": "%Y-%m-%d", "/": "%d/%m/%Y", ".": "%d.%m.%Y"}
 _FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 _DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST_DAY
@@ -136,6 +159,12 @@ def _shuffle_chars(text: str, key: bytes, tweak: str) -> str:
     return _refill(text, "".join(reversed(out)))
 
 
+def _ascii_name(local: str, host: str, key: bytes) -> str:
+    """The replacement of a local part that has other than ASCII characters, or no letter and no digit: a keyed digest."""
+    plain = unicodedata.normalize("NFC", local).lower()
+    return "u" + hashlib.blake2b(f"email|{host.lower()}|{plain}".encode(), key=key[:64], digest_size=16).hexdigest()
+
+
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
@@ -168,40 +197,77 @@ def _iban_span(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None if text[start:start + 2] in _IBAN_LENGTHS else (start, end)
 
 
+def _is_card(digits: str) -> bool:
+    return sum(map(int, digits[::-2])) % 10 == -sum(map(int, digits[-2::-2].translate(_DOUBLED))) % 10
+
+
 def _card_span(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The first card number of a run of digit groups. A customary layout goes before an overlapping other reading;
-    of the others with one start the longest counts."""
+    """A card number in a run of digit groups: a reading from the first group on, the longest one, unless one in a
+    customary layout starts before its end. Customary layouts also stand inside hyphenated numbers."""
     groups = [m.span() for m in _GROUP.finditer(text, start, end)]
-
-    def readings(i: int) -> Iterator[tuple[bool, int, int]]:
-        sizes, digits = (), ""
-        for a, b in groups[i:]:
-            sizes, digits = (*sizes, b - a), digits + text[a:b]
-            if len(digits) > 19:
-                return
-            usual = sizes in _CARD_GROUPS
-            # only customary layouts end inside a hyphenated number
-            if len(digits) >= 13 and (usual or text[b:b + 1] != "-") and _luhn(digits[:-1]) == int(digits[-1]):
-                yield usual, groups[i][0], b
-
-    plain = None
+    sizes = tuple(b - a for a, b in groups)
+    plain, digits = None, ""
+    for a, b in groups:
+        digits += text[a:b]
+        if len(digits) > 19:
+            break
+        if len(digits) >= 13 and text[b:b + 1] != "-" and _is_card(digits):
+            plain = groups[0][0], b
     for i, (a, _) in enumerate(groups):
         if plain and a >= plain[1]:
             break
-        found = [*readings(i)]
-        usual = [(x, y) for layout, x, y in found if layout]
-        if usual:
-            return usual[0]                     # 4-4-4-4 before the rare 4-4-4-4-3
-        if found and not plain:
-            plain = found[-1][1:]
+        if sizes[i] != 4 and sizes[i] < 13:
+            continue
+        for n in (1, 3, 4, 5):                  # 4-4-4-4 before the rare 4-4-4-4-3
+            b = groups[i + n - 1][1] if i + n <= len(groups) else 0
+            if sizes[i:i + n] in _CARD_GROUPS and b and _is_card("".join(filter(str.isdigit, text[a:b]))):
+                return a, b
     return plain
 
 
+def _phone_prefix(found: str, digits: str) -> str:
+    """The digits of a phone number that stay: its country code with 00, and the 0 or 1 dialled before the area."""
+    lead = "00" if found.startswith("00") else ""
+    if not lead and found[0] != "+":
+        return "" if _NANP.fullmatch(found) else digits[0]
+    rest = digits[len(lead):]
+    code = rest[:1 if rest[0] in "17" else 2 if rest[:2] in _TWO_DIGIT_CODES else 3]
+    if code == "1" and len(rest) != 11 and _TEN_DIGITS.fullmatch(found):
+        return digits[:-10]
+    trunk = "0" if code not in ("1", "39") and rest[len(code):len(code) + 1] == "0" else ""
+    return lead + code + trunk
+
+
+def _phone_span(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """An international number's customary length of its country, if a group ends there; else its longest reading in
+    front of another value."""
+    if text[start] != "+" and not text.startswith("00", start):
+        return start, end
+    best = None
+    for m in _GROUP.finditer(text, start, end):
+        if best:
+            other = _FIND.match(text, m.start())
+            card = _CARD_16.match(text, m.start())
+            if other and other.lastgroup in ("date", "ssn", "ipv4") and pseudonym(other.lastgroup, other[0], b"") or (
+                    card and pseudonym("card", card[0], b"")):
+                break
+        found = text[start:m.end()]
+        if pseudonym("phone", found, b""):
+            best = start, m.end()
+            digits = "".join(filter(str.isdigit, found))
+            kept = _phone_prefix(found, digits)
+            if len(digits) - len(kept) == _BODY_DIGITS.get(kept.lstrip("0").removesuffix("0")):
+                break
+    return best
+
+
 def pseudonym(kind: str, found: str, key: bytes) -> str | None:
     """The replacement of one candidate; None if it isn't a valid value of its kind."""
     digits = "".join(c for c in found if c.isdigit())
     if kind == "email":
         local, _, host = found.partition("@")
+        if not local.isascii() or not any(c.isalnum() for c in local):
+            return f"{_ascii_name(local, host, key)}@{host}"
         return f"{_shuffle_chars(local, key, 'email|' + host.lower())}@{host}"
     if kind == "iban":
         plain = found.replace(" ", "")
@@ -216,18 +282,30 @@ def pseudonym(kind: str, found: str, key: bytes) -> str | None:
         n = permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, kind)
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "phone":
-        body = digits[-10:]
-        return _refill(found, digits[:-10] + f"{permute(int(body), 10 ** 10, key, kind):010d}")
+        kept = _phone_prefix(found, digits)
+        body = digits[len(kept):]
+        if not 6 <= len(body) <= 13 or not 9 <= len(digits) <= 15 or kept in ("1", "001") and len(body) != 10:
+            return None
+        tweak = kind if len(body) == 10 else f"{kind}|{len(body)}"
+        new = permute(int(body), 10 ** len(body), key, tweak)
+        while (new < 10 ** (len(body) - 1)) != (body[0] == "0"):    # a leading 0 stays one and none appears
+            new = permute(new, 10 ** len(body), key, tweak)
+        return _refill(found, kept + f"{new:0{len(body)}d}")
     if kind == "date":
         form = _DATE_FORMS[next(c for c in found if not c.isdigit())]
+        month_first = form == "%d/%m/%Y" and int(found[:2]) <= 12 < int(found[3:5])
+        if month_first:
+            form = "%m/%d/%Y"
         try:
             day = dt.datetime.strptime(found, form).date().toordinal() - _FIRST_DAY
         except ValueError:
             return None
         if not 0 <= day < _DAYS:
             return None
-        new = dt.date.fromordinal(_FIRST_DAY + permute(day, _DAYS, key, kind))
-        return new.strftime(form)
+        day = permute(day, _DAYS, key, kind)
+        while month_first and dt.date.fromordinal(_FIRST_DAY + day).day <= 12:      # never read as a day-first date
+            day = permute(day, _DAYS, key, kind)
+        return dt.date.fromordinal(_FIRST_DAY + day).strftime(form)
     if kind == "ssn":
         def valid(n: int) -> bool:
             area, rest = divmod(n, 10 ** 6)
@@ -246,7 +324,7 @@ def pseudonym(kind: str, found: str, key: bytes) -> str | None:
     return _refill(found, body + str(_luhn(body)))
 
 
-_SPANS = {"iban": _iban_span, "card": _card_span}
+_SPANS = {"iban": _iban_span, "phone": _phone_span, "card": _card_span}
 
 
 def replace_all(text: bytes | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, dict[str, int]]:

@@ -208,6 +208,49 @@ def test_wide_noise_covers_every_bit_and_digits_are_permuted():
     assert sorted(pii._permute_digits(v, bases, b"k", "t") for v in every) == every
 
 
+@pytest.mark.parametrize("kind,value", [
+    ("phone", "(555) 123-4567"), ("phone", "555-123-4567"), ("phone", "1-555-123-4567"), ("phone", "+33 6 12 34 56 78"),
+    ("phone", "+49 30 1234567"), ("phone", "06 12 34 56 78"), ("phone", "0171/1234567"), ("phone", "+44 (0)20 7946 0958"),
+    ("phone", "+12 (345) 678-9012"), ("date", "12/31/2024")])
+def test_phone_and_date_forms(kind, value):
+    new, n = pii.replace_all(f"a {value}, 12 b".encode(), b"key")
+    assert n == {kind: 1} and value not in new and new[-6:] == ", 12 b"
+    assert pii.replace_all(new.encode(), b"key")[1] == n                        # a valid value of its kind again
+    assert [c if not c.isdigit() else "9" for c in new] == [c if not c.isdigit() else "9" for c in f"a {value}, 12 b"]
+
+
+def test_phone_forms_of_one_number_stay_linked_and_end_before_other_values():
+    digits = lambda t: "".join(c for c in pii.replace_all(t.encode(), b"k")[0] if c.isdigit())     # noqa: E731
+    assert digits("+33 6 12 34 56 78") == digits("+33612345678") == "33" + digits("06 12 34 56 78")[1:]
+    assert digits("+1 (603) 555-8791") == "1" + digits("(603) 555-8791") == "1" + digits("603-555-8791")
+    text = "+33 6 12 34 56 78 12 +49 30 1234567 2024-02-28 +49 30 1234567 10.0.0.1 +44 20 7946 0958 4111 1111 1111 1111"
+    assert pii.replace_all(text.encode())[1] == {"phone": 4, "date": 1, "ipv4": 1, "card": 1}
+
+
+def test_timestamps_and_month_first_dates():
+    new, n = pii.replace_all(b"at 2024-01-05T10:00:00Z", b"key")
+    assert n == {"date": 1} and new == f"at {pii.pseudonym('date', '2024-01-05', b'key')}T10:00:00Z"
+    every = [f"{m:02d}/{d}/{y}" for y in (2023, 2024) for m in range(1, 13) for d in range(13, 29)]
+    got = {pii.pseudonym("date", v, b"key") for v in every}
+    assert len(got) == len(every) and all(int(v[3:5]) > 12 for v in got)        # none reads as a day-first date
+
+
+def test_local_parts_of_other_scripts_are_replaced():
+    decomposed = "jose\N{COMBINING ACUTE ACCENT}"
+    for local in ("josé", decomposed, "иван", "张三", "__"):
+        new, n = pii.replace_all(f"{local}@x.com 1".encode(), b"key")
+        assert n == {"email": 1} and new.isascii() and new.endswith("@x.com 1") and "jos" not in new
+    assert pii.replace_all("JOSÉ@x.com".encode()) == pii.replace_all(f"{decomposed}@x.com".encode())
+
+
+def test_digit_tables_take_linear_time():
+    import time
+    start = time.monotonic()
+    for text in (b"0" * 200_000, b"+33 6 12 " * 10_000, b"01-" * 50_000, b"AB12 " * 10_000):
+        pii.replace_all(text)
+    assert time.monotonic() - start < 20
+
+
 def test_ibans_keep_to_their_length_and_rejected_groups_stay():
     for text in ("DE89370400440532013001", "4111 1111 1111 1112", "2023-02-30", "300.1.1.1"):
         assert pii.replace_all(text.encode()) == (text, {})
