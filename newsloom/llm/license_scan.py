@@ -1,12 +1,13 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Units of a text are its lines, the sentences of a line, its paragraphs and the whole text, each normalised to words of
-letters and digits. A unit of u bigrams can only reach a Dice coefficient of ``min_dice`` with a template of t bigrams
+Units of a text are its lines, the sentences of a line, its paragraphs, the whole text, and every run of consecutive
+sentences across lines and paragraphs, each normalised to words of letters and digits. A unit of u bigrams can only reach a Dice coefficient of ``min_dice`` with a template of t bigrams
 if ``min_dice / (2 - min_dice) * u <= t <= (2 - min_dice) / min_dice * u``, which prunes the sorted templates. The best
 template of each unit is reported, unless a unit around it has a match at least as good.
 
 Whole texts are skipped early and exactly: a match shares at least ``ceil(min_dice / (2 - min_dice) * t)`` of t bigrams,
-so it holds one word of any ``t - that + 1`` bigrams of the template; such anchor words are chosen from long words.
+so it holds one word of any ``t - that + 1`` bigrams of the template; such anchor words are chosen from long words. Runs of
+sentences are formed only where that many bigrams of a template lie within the largest size a match can have.
 
 Defined cases: null, empty and wordless texts have no matches; a text with one word has no bigram; rows that repeat
 are scanned each; a null doc_id is kept; an empty table gives no rows; extra columns are ignored. Of equally good
@@ -98,6 +99,20 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, b[g]) for g, n in a.items() if g in b) / total if total else 0.0
 
 
+def _sentences(text: bytes) -> list[tuple[int, int, int, int]]:
+    """First and last byte, first and last word of each sentence of a line that has words."""
+    out, at, word = [], 0, 0
+    for line in text.split(b"\n"):
+        cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
+        for a, b in zip(cuts, cuts[1:]):
+            n = len(words_of(line[a:b]))
+            if n:
+                out.append((at + a, at + b, word, word + n))
+                word += n
+        at += len(line) + 1
+    return out
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -115,6 +130,10 @@ class Scanner:
         self.templates = sorted(((g.total(), name, g) for name, g in grams.items() if g), key=lambda x: x[:2])
         self.sizes = [t[0] for t in self.templates]
         self.ratio = min_dice / (2 - min_dice)
+        self.holders: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, (_, _, g) in enumerate(self.templates):
+            for pair in g:
+                self.holders.setdefault(pair, []).append(i)
         self.anchors: set[bytes] = set()
         for total, _, g in self.templates:
             needed = total - ceil(self.ratio * total - 1e-9) + 1
@@ -134,9 +153,45 @@ class Scanner:
         found = min(((-dice(grams, g), name) for _, name, g in self.templates[lo:hi]), default=None)
         return (-found[0], found[1]) if found and -found[0] >= self.min_dice else None
 
+    def runs(self, text: bytes, words: list[bytes]) -> Iterator[Match]:
+        """Every run of consecutive sentences that reaches the threshold with a template."""
+        places: dict[int, list[int]] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for t in self.holders.get(pair, ()):
+                places.setdefault(t, []).append(i)
+        pieces: list[tuple[int, int, int, int]] = []        # bytes and words of each sentence with words
+        for t, at in places.items():
+            total, name, grams = self.templates[t]
+            needed, most = ceil(self.ratio * total - 1e-9), int(total / self.ratio + 1e-9)
+            if not any(b - a < most for a, b in zip(at, at[needed - 1:])):
+                continue
+            pieces = pieces or _sentences(text)
+            for i, (start, _, first, _) in enumerate(pieces):
+                low = bisect_left(at, first)
+                if low + needed > len(at) or at[low + needed - 1] - first >= most:
+                    continue
+                seen: Counter = Counter()
+                shared, done = 0, first
+                for j in range(i, len(pieces)):
+                    _, end, _, last = pieces[j]
+                    u = last - first - 1
+                    if u > most:
+                        break
+                    for pair in zip(words[done:last - 1], words[done + 1:last]):
+                        if pair in grams:
+                            seen[pair] += 1
+                            shared += seen[pair] <= grams[pair]
+                    done = last - 1
+                    value = 2 * shared / (u + total)
+                    if value >= self.min_dice:
+                        yield Match(name, value, start, end)
+
     def scan(self, text: bytes | None) -> list[Match]:
         """Matches with byte offsets, in order of their place."""
-        if not text or self.anchors.isdisjoint(words_of(text)):
+        if not text:
+            return []
+        words = words_of(text)
+        if self.anchors.isdisjoint(words):
             return []
         units: set[tuple[int, int]] = {(0, len(text))}
         at, paragraph = 0, None
@@ -157,7 +212,8 @@ class Scanner:
             hit = self.best(words_of(text[a:b]))
             if hit:
                 found.append(Match(hit[1], hit[0], a, b))
-        found.sort(key=lambda m: (-m.dice, m.start - m.end, m.start))
+        found += self.runs(text, words)
+        found.sort(key=lambda m: (-m.dice, m.start - m.end, m.start, m.license))
         out: list[Match] = []                   # kept matches in order of their place; none overlap
         for m in found:                         # the better unit wins where units overlap
             at = bisect_left(out, m.end, key=lambda o: o.start)

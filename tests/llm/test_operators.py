@@ -457,6 +457,51 @@ def test_licences(spark, docs):
     assert scanner.scan(None) == scanner.scan(b"") == scanner.scan(b"license") == []
 
 
+FULL = {
+    "MIT": license_scan.TEMPLATES["MIT"].replace("conditions:\n", "conditions:\n\n").replace("\nSoftware.\n", "\nSoftware.\n\n"),
+    "GPL-3.0 (header)": license_scan.TEMPLATES["GPL-3.0 (header)"].replace(" This program is distributed", "\n\nThis program is "
+        "distributed").replace(" You should have", "\n\nYou should have"),
+    "Apache-2.0 (header)": license_scan.TEMPLATES["Apache-2.0 (header)"].replace(" You may obtain", "\n\nYou may obtain")
+        .replace("Unless", "\nUnless")}
+
+
+@pytest.mark.parametrize("name", FULL)
+def test_licences_with_blank_lines_inside_other_text(name):
+    assert FULL[name].count("\n\n") == 2
+    around = "Some words about the tool itself. It runs here.\n" * 5
+    for prefix in ("", "# "):
+        body = "\n".join(prefix + line for line in FULL[name].split("\n"))
+        text = f"{around}\n{body}\n\n{around}".encode()
+        got = license_scan.Scanner().scan(text)
+        assert [m.license for m in got] == [name] and got[0].dice > 0.99
+        assert got[0].start == len(around) + 1 and text[got[0].end:].strip() == around.strip().encode()
+
+
+def test_notices_wrapped_inside_a_paragraph():
+    text = b"It is a tool. It is fine.\nUse it. Licensed under the Apache License,\nVersion 2.0. It has more\nwords after that."
+    got = license_scan.Scanner().scan(text)
+    assert [(m.license, m.dice, text[m.start:m.end].strip()) for m in got] == [
+        ("Apache-2.0 (notice)", 1.0, b"Licensed under the Apache License,\nVersion 2.0.")]
+
+
+def test_sentence_runs_equal_brute_force():
+    rng = np.random.default_rng(5)
+    scanner = license_scan.Scanner()
+    lines = [x for t in license_scan.TEMPLATES.values() for x in t.split("\n")] + ["", "", "Some other words. More of them."]
+    for _ in range(60):
+        text = "\n".join(lines[i] for i in rng.integers(0, len(lines), 12)).encode()
+        if rng.random() < 0.5:
+            text = b"It is. " + FULL["MIT"].encode() + b"\n" + text
+        pieces = license_scan._sentences(text)
+        want = set()
+        for i, (start, *_) in enumerate(pieces):
+            for _, end, *_ in pieces[i:]:
+                grams = license_scan.bigrams(license_scan.words_of(text[start:end]))
+                want |= {(n, license_scan.dice(grams, g), start, end) for _, n, g in scanner.templates
+                         if license_scan.dice(grams, g) >= scanner.min_dice}
+        assert {(m.license, m.dice, m.start, m.end) for m in scanner.runs(text, license_scan.words_of(text))} == want
+
+
 def test_many_notices_in_one_text():
     """A very long text with a notice on every line: each is found once, in order, in little time."""
     line = b"Released under the MIT License.\n"
