@@ -1,7 +1,8 @@
 """Secret scans: candidates by shape, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a word's run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/=_-]`` that holds a digit or a change
-from lower to upper case. Its features are its length and class shares, character transitions (changes of class, and
+A candidate is any of a word's runs of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/=_-]`` that holds a digit or a
+change from lower to upper case; of a run with ``=`` inside, its parts of such length and kind stand instead, if there are
+any. Its features are its length and class shares, character transitions (changes of class, and
 the mean log-probability of its letter pairs under the corpus dictionary), dictionary coverage (the share of its
 characters inside runs of letters that are dictionary words), path signs (``/``, ``.``, ``@``, ``:`` in the word) and
 whether the word itself or a neighbouring word names a credential. The dictionary is every word of the corpus that at least
@@ -16,6 +17,8 @@ tables give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,6 +38,7 @@ CREDENTIAL_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "a
 FEATURES = ["length", "digit_share", "upper_share", "hex_share", "class_changes", "pair_logp", "dictionary_share",
             "path_signs", "named_here", "named_near", "quoted"]
 _CORE = rf"[A-Za-z0-9+/=_-]{{{MIN_LENGTH},}}"
+_CHUNK = "(?:[^A-Za-z0-9+/=_-]*+[A-Za-z0-9+/=_-]++){1,200}+[^A-Za-z0-9+/=_-]*+"
 
 
 def _words(text: Column) -> Column:
@@ -43,7 +47,9 @@ def _words(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, word_no, value, word, before, after``: every candidate with its word and neighbouring words."""
+    """``doc_id, word_no, value, offset, word, before, after``: every candidate with its place in its word, the word
+    and its neighbouring words. A word with several candidates is divided among them at their ends, and its neighbours go
+    to the first and the last one."""
     held = docs.select("doc_id", _words(F.col("text")).alias("_w"))
     # a cheap test per word first: long enough, and a digit or a lower-to-upper change
     near = lambda i, d: F.coalesce(F.get("_w", i + d), F.lit(""))                   # noqa: E731
@@ -52,11 +58,43 @@ def candidates(docs: DataFrame) -> DataFrame:
         i.alias("word_no"), w.alias("word"), F.concat_ws(" ", near(i, -2), near(i, -1)).alias("before"),
         near(i, 1).alias("after")))), lambda s: s.isNotNull())
     found = held.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*")
-    # an assignment's value stands after its first "=" or ":"; trailing "=" is padding
-    body = F.regexp_replace("word", r"^[^=:]*[=:](?=.)", "")
-    value = F.when(body.rlike(_CORE), F.regexp_extract(body, _CORE, 0)).otherwise(F.regexp_extract("word", _CORE, 0))
-    return (found.withColumn("value", value).where(F.col("value").rlike(r"[0-9]|[a-z][A-Z]"))
-            .select("doc_id", "word_no", "value", "word", "before", "after"))
+    # long words in chunks of whole runs, so that no step is quadratic in a word's length
+    chunks = F.regexp_extract_all("word", F.lit(_CHUNK), F.lit(0))
+    starts = lambda k: F.aggregate(k, F.array(F.lit(0)), lambda a, c: F.concat(         # noqa: E731
+        a, F.array(F.get(a, F.size(a) - 1) + F.length(c))))
+    placed = _let(chunks, lambda k: _let(starts(k), lambda at: F.flatten(F.transform(k, lambda c, i: F.transform(
+        _placed(c), lambda s: s.withField("offset", s["offset"] + F.get(at, i)))))))
+    own = _let(placed, lambda p: F.transform(p, lambda s, i: F.struct(
+        s["value"].alias("value"), s["offset"].alias("offset"), s["word"].alias("word"),
+        F.when(i == 0, F.col("before")).otherwise("").alias("before"),
+        F.when(i == F.size(p) - 1, F.col("after")).otherwise("").alias("after"))))
+    return found.select("doc_id", "word_no", F.explode(own).alias("_c")).select("doc_id", "word_no", "_c.*")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _placed(text: Column) -> Column:
+    """The candidates of a piece of a word in order: value, offset, and the piece's text from the end of the candidate
+    before to their own end (the last one's to the end of the piece)."""
+    good = lambda v: (F.length(v) >= MIN_LENGTH) & v.rlike(r"[0-9]|[a-z][A-Z]")     # noqa: E731
+    # "=" assigns inside a run and pads at its end
+    parts = lambda r: F.filter(F.regexp_extract_all(r, F.lit("[^=]+(?:=+$)?"), F.lit(0)), good)     # noqa: E731
+    values = F.flatten(F.transform(F.filter(F.regexp_extract_all(text, F.lit(_CORE), F.lit(0)), good), lambda r: _let(
+        parts(r), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(r)))))
+
+    def place(done: Column, v: Column) -> Column:
+        end = _let(F.get(done, F.size(done) - 1), lambda o: F.coalesce(o["offset"] + F.length(o["value"]), F.lit(0)))
+        # a value's text can't occur between the candidate before and itself: it would be a candidate there
+        return _let(end, lambda e: _let(F.call_function("locate", v, text, e + 1) - 1, lambda at: F.concat(
+            done, F.array(F.struct(v.alias("value"), at.alias("offset"),
+                                   F.substring(text, e + 1, at - e + F.length(v)).alias("word"))))))
+
+    found = F.aggregate(values, F.array().cast("array<struct<value:string,offset:int,word:string>>"), place)
+    return _let(found, lambda f: F.transform(f, lambda s, i: F.when(i < F.size(f) - 1, s).otherwise(
+        s.withField("word", F.concat(s["word"], F.substring(text, s["offset"] + F.length(s["value"]) + 1, F.length(text)))))))
 
 
 def dictionary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -94,7 +132,7 @@ def features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     likely = (pair_of.join(F.broadcast(pairs), "pair", "left").groupBy("value")
               .agg(F.avg(F.coalesce("logp", F.lit(-8.0))).alias("pair_logp")))
     return (found.join(covered, "value", "left").join(likely, "value", "left").select(
-        "doc_id", "word_no", "value", "word", "before", "after", n.cast("double").alias("length"),
+        "doc_id", "word_no", "value", "offset", "word", "before", "after", n.cast("double").alias("length"),
         share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"),
         share("[0-9a-fA-F]").alias("hex_share"), (F.length(runs) / n).alias("class_changes"),
         F.coalesce("pair_logp", F.lit(-8.0)).alias("pair_logp"),
@@ -107,19 +145,21 @@ def features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def weak_labels(rows: DataFrame) -> DataFrame:
     """Labels for a corpus without reviewed findings: 1 for known key formats and values assigned to a credential name,
-    0 for numbers, mail addresses and urls; other candidates have no label."""
+    (passwords of connection strings included), 0 for numbers, mail addresses and urls; other candidates have no label."""
     known = F.col("value").rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})$")
     names = "(?i)(" + "|".join(CREDENTIAL_WORDS) + ")"
     assigned = F.col("word").rlike(names + "[\"']?[=:]") | F.col("before").rlike(names + "\\S* [=:]+$")
+    password = F.col("word").contains(F.concat(F.lit(":"), "value", F.lit("@")))      # of a connection string
     harmless = F.col("value").rlike("^[0-9-]+$") | F.col("word").rlike("@|://")
-    return rows.withColumn("label", F.when(known | assigned, 1.0).when(harmless, 0.0)).where("label is not null")
+    assigned = assigned | password & F.col("word").contains("://")
+    return rows.withColumn("label", F.when(known | assigned, 1.0).when(harmless & ~password, 0.0)).where("label is not null")
 
 
 def train(labelled: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 30, depth: int = 6):
     """A forest over ``FEATURES`` fitted on labelled findings (column ``label``: 1.0 secret, 0.0 not), or the single
     class that occurs (0.0 without any)."""
-    sample = written(labelled.where("label in (0.0, 1.0)").orderBy(F.xxhash64("value", "word"), "doc_id", "word_no")
-                     .limit(max_findings).select("label", *FEATURES), "secret-sample")
+    sample = written(labelled.where("label in (0.0, 1.0)").orderBy(
+        F.xxhash64("value", "word"), "doc_id", "word_no", "offset").limit(max_findings).select("label", *FEATURES), "secret-sample")
     low, high = sample.agg(F.min("label"), F.max("label")).first()
     if low is None or low == high:
         return low or 0.0
@@ -129,21 +169,25 @@ def train(labelled: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 30
 
 
 def score(rows: DataFrame, model, min_score: float = MIN_SCORE) -> DataFrame:
-    """``doc_id, word_no, value, score, is_secret`` per candidate with features."""
+    """``doc_id, word_no, value, score, is_secret, offset`` per candidate with features."""
     if isinstance(model, float):
         scored = rows.withColumn("score", F.lit(model))
     else:
         x = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows)
         scored = model.transform(x).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select("doc_id", "word_no", "value", "score", (F.col("score") >= min_score).alias("is_secret"))
+    return scored.select("doc_id", "word_no", "value", "score", (F.col("score") >= min_score).alias("is_secret"),
+                         "offset")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """Scores every candidate of the whole texts. ``labelled``: ``doc_id, word_no, label`` of reviewed findings; without
-    it ``weak_labels`` is used."""
+    """Scores every candidate of the whole texts. ``labelled``: ``doc_id, word_no, label`` of reviewed findings, and
+    ``offset`` where a word's candidates have labels of their own (else the label holds for each of them); without it
+    ``weak_labels`` is used."""
     found = written(candidates(docs), "secret-candidates")
     words = written(dictionary(docs), "secret-words")
     rows = written(features(found, words, written(letter_pairs(words), "secret-pairs")), "secret-features")
-    known = weak_labels(rows) if labelled is None else rows.join(
-        labelled.select("doc_id", "word_no", "label").distinct(), ["doc_id", "word_no"])
+    if labelled is None:
+        return score(rows, train(weak_labels(rows)))
+    keys = ["doc_id", "word_no", *(["offset"] if "offset" in labelled.columns else [])]
+    known = rows.join(labelled.select(*keys, "label").distinct(), keys)
     return score(rows, train(known))
