@@ -8,7 +8,8 @@
    so no bucket emits its pairs and none is read by one task.
 
 The number of bands follows from the threshold: a pair exactly at it is missed with a probability of at most
-``max_miss``; every pair that shares a band is confirmed on full sets or is already connected.
+``max_miss`` (low thresholds get shorter bands; one that can't be held raises ValueError); every pair that shares a band
+is confirmed on full sets or is already connected.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are one
 document; their links are pooled. A null doc_id takes no part: component_id is null and kept is true. An empty table
@@ -31,16 +32,26 @@ from newsloom.llm.components import connected_components
 from newsloom.llm.shingles import WordHashes, band_hashes, overlap, shingle_set, signatures, words_of
 
 ROWS = 5                                        # slots of a band
+MAX_BANDS = 51
 SLICE_BYTES = 8 << 20                           # text handled at once
 BLOCK_SHINGLES = 500_000                        # weight of one block of an unresolved bucket
 
 
-def bands_for(percent: int, max_miss: float = 1e-6) -> int:
-    """Bands of ``ROWS`` slots so that a pair at the threshold is missed with at most ``max_miss``."""
-    return min(51, math.ceil(math.log(max_miss) / math.log1p(-((percent / 100) ** ROWS))))
+def bands_for(percent: int, max_miss: float = 1e-6, rows: int = ROWS) -> int:
+    """Bands of ``rows`` slots so that a pair at the threshold is missed with at most ``max_miss``."""
+    return math.ceil(math.log(max_miss) / math.log1p(-((percent / 100) ** rows)))
 
 
-def fingerprints(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+def layout(percent: int, max_miss: float = 1e-6) -> tuple[int, int]:
+    """Bands, and slots of a band: ``ROWS``, or fewer for thresholds that need more than ``MAX_BANDS`` bands of them."""
+    for rows in range(ROWS, 0, -1):
+        bands = bands_for(percent, max_miss, rows)
+        if bands <= MAX_BANDS:
+            return bands, rows
+    raise ValueError(f"{MAX_BANDS} bands can't reach a miss of {max_miss} at {percent} percent")
+
+
+def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, digest, bands`` per row; digest and bands are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
             for lo, hi in slices([len(t or b"") for t in texts], SLICE_BYTES):
                 words = [words_of(t) for t in texts[lo:hi]]
                 sets = [shingle_set(w, shingle, memo) for w in words]
-                hashes = band_hashes(signatures(sets, bands * ROWS), bands, ROWS)
+                hashes = band_hashes(signatures(sets, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int64()),
@@ -134,7 +145,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, max_mi
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``: documents whose shingle sets have a Jaccard
     similarity of at least ``percent`` / 100 are linked; ``component_id`` is the smallest doc_id reachable."""
     small_batches(docs.sparkSession)
-    fp = written(fingerprints(docs, shingle, bands_for(percent, max_miss)), "near-fp")
+    fp = written(fingerprints(docs, shingle, *layout(percent, max_miss)), "near-fp")
     nodes = written(fp.where("digest is not null and doc_id is not null").groupBy("digest")
                     .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
                          F.first("bands").alias("bands")), "near-nodes")

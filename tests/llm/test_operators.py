@@ -51,6 +51,21 @@ def test_near_duplicates_equal_brute_force(spark, docs, k, percent):
                 assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
+def test_low_thresholds_hold_the_bound_or_raise(spark):
+    assert near_dup.layout(85) == (24, 5) and near_dup.layout(80) == (35, 5)
+    for percent in (75, 60, 50, 30):
+        bands, rows = near_dup.layout(percent)
+        assert bands <= 51 and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    with pytest.raises(ValueError):
+        near_dup.layout(10)
+    rows = [(2 * i + j, " ".join([*(f"d{i}w{k}" for k in range(202)), *(f"d{i}{j}e{k}" for k in range(98))]))
+            for i in range(40) for j in range(2)]                               # pairs just above a similarity of one half
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = fx.components(rows, 3, 50)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(table, 50, 3).collect()} == {
+        d: c for d, (_, c) in want.items()} and len({c for _, c in want.values()}) == 40
+
+
 def test_open_buckets_link_members_that_miss_the_leader(spark):
     """A chain: each text is near the next, but not near the bucket's smallest node."""
     base = [f"w{i}" for i in range(120)]
