@@ -7,8 +7,8 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import (bpe, license_scan, near_dup, packing, pii, quality_classifier, quality_rules, secrets, topk,
-                          url_filter)
+from newsloom.llm import (bpe, forest_ann, license_scan, near_dup, packing, pii, prefix_trie, quality_classifier, quality_rules,
+                          secrets, topk, url_filter, vector_codes)
 from newsloom.sources.tables import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,5 +63,18 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, shingle=3)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_url_filter, op4_pii, op5_licenses, op6_packing, op7_bpe,
-                                   op8_topk, op9_quality_rules, op10_near_dup)}
+                                   op8_topk, op9_quality_rules, op10_near_dup, op11_vector_codes, op12_prefix_trie,
+                                   op13_forest_ann)}
