@@ -1,8 +1,9 @@
 """Extraction prompts and response validation as column expressions.
 
-The model call itself is outside service work; prompts and replies are columns. Replies are
-parsed with ``from_json`` against the declared extraction schema, checked with higher-order
-functions, and routed into valid / quarantine frames.
+The model call itself is outside service work; prompts and replies are columns. A reply is
+parsed once, into a VARIANT; its lists are checked field by field by the types that occur
+(``schema_of_variant``), cast to the declared extraction schema with higher-order functions, and
+the replies are routed into valid / quarantine frames.
 """
 
 from __future__ import annotations
@@ -48,8 +49,23 @@ EXTRACTION = T.StructType([
 VERDICT = T.StructType([T.StructField("status", _S), T.StructField("reasoning", _S),
                         T.StructField("suggested_correction", _S)])
 
-METRIC_TEXTS = T.StructType([T.StructField("runs", T.ArrayType(T.StructType([
-    T.StructField("metrics", T.MapType(_S, _S))])))])
+# What the reply schema takes per field. Kinds: ``text`` (a JSON string), ``optional`` (a string or null), ``count`` (a whole
+# number, also as 2.0, as text or as a boolean), ``numbers`` (an object of numbers, also as text or booleans), ``values`` (an
+# object of anything), ``instant`` (a timestamp text or a number). The fields of REQUIRED must be present; no field but an
+# optional one may be null.
+FIELD_KINDS = {
+    "models": {"id": "text", "name": "text", "version": "text", "framework": "text", "description": "optional",
+               "type": "text", "created_at": "instant"},
+    "experiments": {"id": "text", "name": "text", "status": "text", "type": "text", "created_at": "instant"},
+    "runs": {"id": "text", "name": "text", "status": "text", "metrics": "numbers", "parameters": "values",
+             "type": "text", "created_at": "instant"},
+    "deployments": {"id": "text", "name": "text", "cluster": "text", "image": "text", "replicas": "count",
+                    "type": "text", "created_at": "instant"},
+    "relationships": {"source_id": "text", "target_id": "text", "type": "text", "properties": "values"}}
+REQUIRED = {"models": ("id", "name", "version"), "experiments": ("id", "name"), "runs": ("id", "name"),
+            "deployments": ("id", "name", "image"), "relationships": ("source_id", "target_id", "type")}
+# Marks the end of the wrapped text, see _whole_json. A reply that holds it is junk.
+END_MARK = "newsloom:end-of-reply"
 
 # Properties of single labels: Model description, Run metrics and parameters, Deployment image and replicas.
 NODE_PROPERTIES = {"description": "string", "metrics": "map<string,double>", "parameters": "map<string,string>",
@@ -70,60 +86,109 @@ def judge_prompt(source_name, rel_type, target_name) -> Column:
                     F.lit(" -["), rel_type, F.lit("]-> "), F.coalesce(target_name, F.lit("?")))
 
 
-def _missing(arr: str, fields: tuple[str, ...]) -> Column:
-    a = F.coalesce(F.col(arr), F.array())
-    return F.exists(a, lambda e: F.greatest(*[e[f].isNull() for f in fields]) if len(fields) > 1
-                    else e[fields[0]].isNull())
+def _whole_json(body: Column) -> Column:
+    """The text as one VARIANT, NULL unless all of it is one JSON value. The parser ignores what follows the first value, so
+    the text is parsed as the first of two elements: trailing text breaks the array or changes its length."""
+    pair = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{END_MARK}"]')))
+    return F.when(~F.contains(body, F.lit(END_MARK)), pair)
+
+
+def _kind_of(v: Column) -> Column:
+    """STRING, BIGINT, DOUBLE, DECIMAL, BOOLEAN, VOID (JSON null), OBJECT or ARRAY; NULL for an absent value."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _as(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+NUMBER = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
+WHOLE_TEXT = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+
+
+def _taken(v: Column, kind: str) -> Column:
+    """Whether a present field has a type that the reply schema takes."""
+    k = _kind_of(v)
+    if kind == "text":
+        return k == "STRING"
+    if kind == "optional":
+        return k.isin("STRING", "VOID")
+    if kind == "count":
+        number = _as(v, "double")
+        return (k.isin("BIGINT", "BOOLEAN") | (k.isin("DECIMAL", "DOUBLE", "FLOAT") & (number == F.floor(number)))
+                | ((k == "STRING") & _as(v, "string").rlike(WHOLE_TEXT) & _count(v).isNotNull()))
+    if kind == "values":
+        return k == "OBJECT"
+    if kind == "numbers":
+        each = F.map_values(_as(v, "map<string,variant>"))
+        fits = lambda x: _kind_of(x).isin(*NUMBER) | ((_kind_of(x) == "STRING") & _as(x, "double").isNotNull())     # noqa: E731
+        return (k == "OBJECT") & F.forall(each, fits)
+    return k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") | ((k == "STRING") & _as(v, "timestamp").isNotNull())
+
+
+def _count(v: Column) -> Column:
+    """A whole number, whichever way it is written."""
+    text = F.regexp_extract(_as(v, "string"), r"^\s*([+-]?[0-9]+)", 1)
+    return F.when(_kind_of(v) == "STRING", text.try_cast("bigint")).otherwise(_as(v, "bigint"))
+
+
+def _value(v: Column, kind: str) -> Column:
+    if kind == "count":
+        return _count(v)
+    return _as(v, {"numbers": "map<string,double>", "values": "map<string,string>"}.get(kind, "string"))
+
+
+def _checked(root: Column, name: str) -> Column:
+    """The list ``name`` as an array of (declared fields, _wrong, _missing); NULL where it isn't an array."""
+    fields = EXTRACTION[name].dataType.elementType.fieldNames()
+
+    def element(e: Column) -> Column:
+        at = {f: F.try_variant_get(e, f"$.{f}", "variant") for f in FIELD_KINDS[name]}
+        wrong, missing = ~F.coalesce(_kind_of(e) == "OBJECT", F.lit(False)), F.lit(False)
+        for f, kind in FIELD_KINDS[name].items():
+            wrong = wrong | (at[f].isNotNull() & ~F.coalesce(_taken(at[f], kind), F.lit(False)))
+        for f in REQUIRED[name]:
+            missing = missing | at[f].isNull()
+        return F.struct(*[_value(at[f], FIELD_KINDS[name][f]).alias(f) for f in fields], wrong.alias("_wrong"), missing.alias("_missing"))
+
+    return F.transform(F.try_variant_get(root, f"$.{name}", "array<variant>"), element)
 
 
 def parse_responses(responses: DataFrame, text_col: str = "response") -> DataFrame:
-    """Fence strip -> JSON -> schema checks -> status and reason.
+    """Fence strip -> JSON -> typed checks -> status and reason.
 
-    ``status``: ``junk`` (not JSON), ``invalid`` (no JSON object, a list or field of the
-    wrong type, or a required field missing), ``rejected``
-    (denylisted model name), else ``valid``. Junk is detected with ``try_parse_json`` because a
-    PERMISSIVE ``from_json`` turns junk and ``{}`` alike into an all-NULL struct.
+    ``status``: ``junk`` (the whole text isn't one JSON value), ``invalid`` (no JSON object, a list or field of a type that
+    the schema doesn't take, or a required field absent), ``rejected`` (denylisted model name), else ``valid``. Of a repeated
+    key the last one counts (``spark.sql.variant.allowDuplicateKeys``, see session.py). Unknown keys are ignored.
     """
-    body = strip_fence(F.col(text_col))
-    df = responses.withColumn("_body", body)
-    df = df.withColumn("_ok", F.try_parse_json("_body").isNotNull()) \
-           .withColumn("_x", F.when(F.col("_ok"), F.from_json("_body", EXTRACTION)))
-    df = df.select("*", F.try_parse_json("_body").alias("_v"),
-                   *[F.col(f"_x.{k}").alias(k) for k in EXTRACTION.fieldNames()])
-    # a list that the JSON holds but the schema can't read has the wrong type; so has one with an unreadable element
-    is_object = F.col("_body").startswith("{")
-    mistyped = F.lit(False)
-    for k in EXTRACTION.fieldNames():
-        present = F.try_variant_get("_v", f"$.{k}", "variant").isNotNull()
-        mistyped = mistyped | (is_object & present & F.col(k).isNull()) | F.exists(
-            F.coalesce(F.col(k), F.array()), lambda e: e.isNull())
-    # metric values must be numbers: read as text, each must cast
-    values = F.flatten(F.transform(F.coalesce(F.from_json("_body", METRIC_TEXTS)["runs"], F.array()),
-                                   lambda r: F.coalesce(F.map_values(r["metrics"]), F.array())))
-    mistyped = mistyped | (is_object & F.exists(values, lambda v: v.try_cast("double").isNull()))
-    missing = (_missing("models", ("id", "name", "version")) | _missing("experiments", ("id", "name"))
-               | _missing("runs", ("id", "name")) | _missing("deployments", ("id", "name", "image"))
-               | _missing("relationships", ("source_id", "target_id", "type")))
+    lists = EXTRACTION.fieldNames()
+    df = responses.withColumn("_pair", _whole_json(strip_fence(F.col(text_col))))
+    two = F.coalesce((F.size(F.try_variant_get("_pair", "$", "array<variant>")) == 2)
+                     & (F.try_variant_get("_pair", "$[1]", "string") == END_MARK), F.lit(False))
+    df = df.withColumn("_v", F.when(two, F.try_variant_get("_pair", "$[0]", "variant")))
+    df = df.select(*responses.columns, F.col("_v").isNotNull().alias("_ok"), F.coalesce(_kind_of(F.col("_v")) == "OBJECT", F.lit(False)).alias("_object"),
+                   *[_checked(F.col("_v"), k).alias(f"_{k}") for k in lists],
+                   *[F.try_variant_get("_v", f"$.{k}", "variant").isNotNull().alias(f"_has_{k}") for k in lists])
+    wrong, missing = F.lit(False), F.lit(False)
+    for k in lists:
+        wrong = wrong | (F.col(f"_has_{k}") & F.col(f"_{k}").isNull()) | F.exists(F.coalesce(F.col(f"_{k}"), F.array()), lambda e: e["_wrong"])
+        missing = missing | F.exists(F.coalesce(F.col(f"_{k}"), F.array()), lambda e: e["_missing"])
     deny = F.lit(False)
     for term in DENYLIST:
-        deny = deny | F.exists(F.coalesce(F.col("models"), F.array()),
-                               lambda m: F.coalesce(contains_ci(m["name"], term), F.lit(False)))
-    status = (F.when(~F.col("_ok"), "junk").when(~is_object | mistyped | missing, "invalid").when(deny, "rejected").otherwise("valid"))
+        deny = deny | F.exists(F.coalesce(F.col("_models"), F.array()), lambda m: F.coalesce(contains_ci(m["name"], term), F.lit(False)))
     reason = (F.when(~F.col("_ok"), "response is not JSON")
-              .when(~is_object, "response is not a JSON object")
-              .when(mistyped, "a field has the wrong type")
+              .when(~F.col("_object"), "response is not a JSON object")
+              .when(wrong, "a field has the wrong type")
               .when(missing, "a required field is missing")
-              .when(deny, "denylisted model name")
-              .otherwise(None))
+              .when(deny, "denylisted model name"))
+    df = df.select(*responses.columns, "_ok", reason.alias("reason"), *[f"_{k}" for k in lists])
+    status = (F.when(~F.col("_ok"), "junk").when(F.col("reason").isNull(), "valid")
+              .when(F.col("reason") == "denylisted model name", "rejected").otherwise("invalid"))
     # NULL arrays count 0 (explicitly: with ANSI off, size(NULL) is -1 rather than NULL)
-    sizes = {k: F.when(F.col(k).isNull(), F.lit(0)).otherwise(F.size(F.col(k))).cast("bigint")
-             for k in EXTRACTION.fieldNames()}
-    return df.select(
-        *[c for c in responses.columns],
-        status.alias("status"), reason.alias("reason"),
-        F.length(F.col(text_col)).cast("bigint").alias("response_chars"),
-        *[v.alias(f"n_{k}") for k, v in sizes.items()],
-        *EXTRACTION.fieldNames())
+    sizes = [F.when(F.col(f"_{k}").isNull(), F.lit(0)).otherwise(F.size(f"_{k}")).cast("bigint").alias(f"n_{k}") for k in lists]
+    declared = lambda k: F.transform(f"_{k}", lambda e: F.struct(*[e[f].alias(f) for f in EXTRACTION[k].dataType.elementType.fieldNames()]))
+    return df.select(*responses.columns, status.alias("status"), "reason", F.length(text_col).cast("bigint").alias("response_chars"),
+                     *sizes, *[declared(k).alias(k) for k in lists])
 
 
 def route(parsed: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -255,36 +255,62 @@ _shape = ('{"models":[{"id":"VARCHAR","name":"VARCHAR","version":"VARCHAR","fram
           '"relationships":[{"source_id":"VARCHAR","target_id":"VARCHAR","type":"VARCHAR"}]}')
 
 
-def _miss(lst, fields):
-    cond = " OR ".join(f"e.{f} IS NULL" for f in fields)
-    return f"coalesce(list_bool_or(list_transform(j.{lst}, lambda e: {cond})), false)"
+_INT = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+_NUMERIC = "('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE', 'BOOLEAN')"
 
 
+def _fits(field, kind):
+    """What the reply schema takes, by the JSON type of ``e.field``."""
+    t, text = f"json_type(e, '$.{field}')", f"json_extract_string(e, '$.{field}')"
+    if kind == "text":
+        return f"{t} = 'VARCHAR'"
+    if kind == "optional":
+        return f"{t} IN ('VARCHAR', 'NULL')"
+    if kind == "count":
+        return (f"({t} IN ('UBIGINT', 'BIGINT', 'BOOLEAN') OR ({t} = 'DOUBLE' AND TRY_CAST({text} AS DOUBLE) = floor(TRY_CAST({text} AS DOUBLE)))"
+                f" OR ({t} = 'VARCHAR' AND regexp_matches({text}, '{_INT}')))")
+    if kind == "values":
+        return f"{t} = 'OBJECT'"
+    if kind == "numbers":
+        return (f"({t} = 'OBJECT' AND coalesce(list_bool_and(list_transform(json_extract(e, '$.{field}.*'), lambda m: json_type(m) IN {_NUMERIC}"
+                f" OR (json_type(m) = 'VARCHAR' AND TRY_CAST(json_extract_string(m, '$') AS DOUBLE) IS NOT NULL))), true))")
+    return f"({t} IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR ({t} = 'VARCHAR' AND TRY_CAST({text} AS TIMESTAMP) IS NOT NULL))"
+
+
+def _any(lst, cond):
+    return (f"coalesce(list_bool_or(list_transform(CASE WHEN json_type(body, '$.{lst}') = 'ARRAY' THEN json_extract(body, '$.{lst}[*]') END,"
+            f" lambda e: {cond})), false)")
+
+
+def _wrong(lst):
+    bad = " OR ".join(f"(json_type(e, '$.{f}') IS NOT NULL AND NOT coalesce({_fits(f, k)}, false))" for f, k in _X.FIELD_KINDS[lst].items())
+    element = f"json_type(e) <> 'OBJECT' OR {bad}"
+    return f"coalesce(json_type(body, '$.{lst}') <> 'ARRAY', false) OR {_any(lst, element)}"
+
+
+def _absent(lst):
+    return _any(lst, " OR ".join(f"json_type(e, '$.{f}') IS NULL" for f in _X.REQUIRED[lst]))
+
+
+_LISTS = _X.EXTRACTION.fieldNames()
+_sizes = ", ".join(f"CAST(CASE WHEN json_type(body, '$.{k}') = 'ARRAY' THEN json_array_length(body, '$.{k}') ELSE 0 END AS BIGINT) AS n_{k}"
+                   for k in _LISTS)
 PARSED = f"""r AS ({adapter_sql('responses')}),
-s AS (SELECT doc_id, response, {_fence} AS body FROM r),
-x AS (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN json_type(body) END AS kind, CASE WHEN json_valid(body) THEN from_json(body, '{_shape}') END AS j FROM s),
-g AS (SELECT *, coalesce(kind, '') = 'OBJECT' AS is_object,
-  CASE WHEN kind = 'OBJECT' THEN list_bool_or([coalesce(json_type(body, p), 'ARRAY') <> 'ARRAY' FOR p IN
-    ['$.models', '$.experiments', '$.runs', '$.deployments', '$.relationships']]) ELSE false END AS mistyped,
-  CASE WHEN kind = 'OBJECT' THEN coalesce(list_bool_or([json_type(v) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT')
-    FOR v IN json_extract(body, '$.runs[*].metrics.*')]), false) ELSE false END AS bad_metric FROM x),
-f AS (SELECT *,
-  (NOT is_object OR mistyped OR bad_metric OR {_miss('models', ('id', 'name', 'version'))} OR {_miss('experiments', ('id', 'name'))} OR {_miss('runs', ('id', 'name'))}
-   OR {_miss('deployments', ('id', 'name', 'image'))} OR {_miss('relationships', ('source_id', 'target_id', 'type'))}) AS missing,
+s AS (SELECT doc_id, response, {_fence} AS text FROM r),
+x AS (SELECT doc_id, response, json_valid(text) AS ok, CASE WHEN json_valid(text) THEN text ELSE 'null' END AS body FROM s),
+g AS (SELECT *, json_type(body) = 'OBJECT' AS is_object, from_json(body, '{_shape}') AS j FROM x),
+f AS (SELECT *, {" OR ".join(_wrong(k) for k in _LISTS)} AS mistyped, {" OR ".join(_absent(k) for k in _LISTS)} AS absent,
   coalesce(list_bool_or(list_transform(j.models, lambda m: coalesce(contains(lower(m.name), 'flux capacitor'), false))), false) AS deny
   FROM g),
 parsed AS (SELECT doc_id,
-  CASE WHEN NOT ok THEN 'junk' WHEN missing THEN 'invalid' WHEN deny THEN 'rejected' ELSE 'valid' END AS status,
+  CASE WHEN NOT ok THEN 'junk' WHEN NOT is_object OR mistyped OR absent THEN 'invalid' WHEN deny THEN 'rejected' ELSE 'valid' END AS status,
   CASE WHEN NOT ok THEN 'response is not JSON' WHEN NOT is_object THEN 'response is not a JSON object'
-       WHEN mistyped OR bad_metric THEN 'a field has the wrong type' WHEN missing THEN 'a required field is missing'
+       WHEN mistyped THEN 'a field has the wrong type' WHEN absent THEN 'a required field is missing'
        WHEN deny THEN 'denylisted model name' END AS reason,
-  CAST(length(response) AS BIGINT) AS response_chars,
-  CAST(coalesce(len(j.models), 0) AS BIGINT) AS n_models, CAST(coalesce(len(j.experiments), 0) AS BIGINT) AS n_experiments,
-  CAST(coalesce(len(j.runs), 0) AS BIGINT) AS n_runs, CAST(coalesce(len(j.deployments), 0) AS BIGINT) AS n_deployments,
-  CAST(coalesce(len(j.relationships), 0) AS BIGINT) AS n_relationships
+  CAST(length(response) AS BIGINT) AS response_chars, {_sizes}, response
   FROM f)"""
 
-ORACLE["parse_responses"] = f"WITH {PARSED} SELECT * FROM parsed"
+ORACLE["parse_responses"] = f"WITH {PARSED} SELECT * EXCLUDE (response) FROM parsed"
 ORACLE["extraction_counts"] = f"""WITH {PARSED}
 SELECT status, count(*) AS responses, CAST(sum(n_models + n_runs + n_deployments) AS BIGINT) AS entity_count,
   CAST(sum(n_relationships) AS BIGINT) AS relationship_count, CAST(sum(response_chars) AS BIGINT) AS response_chars
@@ -513,8 +539,8 @@ ORACLE["raw_table"] = f"""WITH {RAW}
 SELECT article_id, title, source_name, description, content, url, published_at, fetched_at, query, language, batch_id FROM raw"""
 ORACLE["source_pages"] = f"""WITH items AS ({adapter_sql('items')})
 SELECT source_name, title, url, published_at_text, author, description, content FROM items"""
-ORACLE["corrupt_lines"] = """SELECT CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id AS VARCHAR) END AS article_id,
-  CASE WHEN doc_id % 9 <> 0 THEN text END AS content, CASE WHEN doc_id % 9 = 0 THEN 'broken {' || doc_id END AS line FROM documents"""
+ORACLE["corrupt_lines"] = """SELECT CAST(doc_id AS VARCHAR) AS article_id, text AS content, NULL AS line FROM documents
+UNION ALL SELECT NULL, NULL, 'broken {' || doc_id FROM documents WHERE doc_id % 9 = 0"""
 ORACLE["mark_read"] = f"""SELECT 'click' AS name, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS stored,
   date_trunc('second', max(ts)) AS since, 'stored' AS mark_source FROM events WHERE event_type = 'click'
 UNION ALL SELECT 'signup', '12:30', {D.ts(P.AS_OF)} - INTERVAL 24 HOUR, 'invalid_stored'
@@ -523,13 +549,14 @@ ORACLE["required_columns"] = f"""WITH {RAW},
 r AS (SELECT concat_ws(',', CASE WHEN article_id IS NULL THEN 'article_id' END, CASE WHEN title IS NULL THEN 'title' END,
   CASE WHEN content IS NULL THEN 'content' END) AS m FROM raw)
 SELECT CASE WHEN m = '' THEN 'ok' ELSE 'missing required: ' || m END AS reason, count(*) AS n FROM r GROUP BY 1"""
-ORACLE["quarantine_artifact"] = f"""WITH {PARSED} SELECT doc_id, status, reason FROM parsed WHERE status <> 'valid'"""
+ORACLE["quarantine_artifact"] = f"""WITH {PARSED} SELECT doc_id, status, reason, response FROM parsed WHERE status <> 'valid'"""
 _reply_body = _fence.replace("response", "reply")
 ORACLE["judge_verdicts"] = f"""WITH r AS ({adapter_sql('judge_replies')}),
 b AS (SELECT source_id, target_id, {_reply_body} AS body FROM r),
 v AS (SELECT *, CASE WHEN json_valid(body) THEN upper(trim(json_extract_string(body, '$.status'))) END AS st,
-  CASE WHEN json_valid(body) THEN json_extract_string(body, '$.reasoning') END AS reasoning FROM b)
-SELECT source_id, target_id, CASE WHEN st IN ('PASS', 'FAIL', 'WARN') THEN st END AS status, reasoning FROM v"""
+  CASE WHEN json_valid(body) THEN json_extract_string(body, '$.reasoning') END AS reasoning,
+  CASE WHEN json_valid(body) THEN json_extract_string(body, '$.suggested_correction') END AS suggested_correction FROM b)
+SELECT source_id, target_id, CASE WHEN st IN ('PASS', 'FAIL', 'WARN') THEN st END AS status, reasoning, suggested_correction FROM v"""
 ORACLE["unsupported_edges"] = f"""WITH {EDGES}, v AS ({adapter_sql('verdicts')})
 SELECT source_id, target_id, type FROM edges e
 WHERE NOT EXISTS (SELECT 1 FROM v WHERE in_truth AND v.source_id = e.source_id AND v.target_id = e.target_id AND v.type = e.type)"""
@@ -539,17 +566,23 @@ produced AS (SELECT * FROM {_typed('PRODUCED_BY', 'Model', 'Run', 'model_id', 'r
 belongs AS (SELECT * FROM {_typed('BELONGS_TO', 'Run', 'Experiment', 'run_id', 'experiment_id')})
 SELECT deployment_id, model_id, run_id, experiment_id FROM serves JOIN produced USING (model_id) JOIN belongs USING (run_id)
 WHERE deployment_id = '{P.LINEAGE_DEPLOYMENT}'"""
-ORACLE["node_properties"] = f"""WITH {PARSED.replace("parsed AS (SELECT doc_id,", "parsed AS (SELECT doc_id, j,")},
-valid AS (SELECT j FROM parsed WHERE status = 'valid')
+ORACLE["node_properties"] = f"""WITH {PARSED.replace("parsed AS (SELECT doc_id,", "parsed AS (SELECT doc_id, j, body,")},
+valid AS (SELECT doc_id, j, body FROM parsed WHERE status = 'valid'),
+runs AS (SELECT doc_id, unnest(json_extract(body, '$.runs[*]')) AS e FROM valid),
+n AS (
 SELECT 'Model' AS label, m.id AS id, m.name AS name, m.version AS a1, coalesce(m.framework, 'pytorch') AS a2,
   m.description AS description, NULL AS image, CAST(NULL AS BIGINT) AS replicas, CAST(NULL AS DOUBLE) AS accuracy,
-  CAST(NULL AS INTEGER) AS n_parameters FROM (SELECT unnest(j.models) AS m FROM valid)
-UNION ALL SELECT 'Experiment', e.id, e.name, coalesce(e.status, 'active'), NULL, NULL, NULL, NULL, NULL, NULL
-  FROM (SELECT unnest(j.experiments) AS e FROM valid)
-UNION ALL SELECT 'Run', r.id, r.name, coalesce(r.status, 'completed'), NULL, NULL, NULL, NULL, 0.9, 0
-  FROM (SELECT unnest(j.runs) AS r FROM valid)
-UNION ALL SELECT 'Deployment', p.id, p.name, coalesce(p.cluster, 'local-k8s'), NULL, NULL, p.image, coalesce(p.replicas, 1), NULL, NULL
-  FROM (SELECT unnest(j.deployments) AS p FROM valid)"""
+  CAST(NULL AS INTEGER) AS n_parameters, doc_id FROM (SELECT doc_id, unnest(j.models) AS m FROM valid)
+UNION ALL SELECT 'Experiment', e.id, e.name, coalesce(e.status, 'active'), NULL, NULL, NULL, NULL, NULL, NULL, doc_id
+  FROM (SELECT doc_id, unnest(j.experiments) AS e FROM valid)
+UNION ALL SELECT 'Run', json_extract_string(e, '$.id'), json_extract_string(e, '$.name'), coalesce(json_extract_string(e, '$.status'), 'completed'),
+  NULL, NULL, NULL, NULL, CASE json_type(json_extract(e, '$.metrics.*')[1]) WHEN 'BOOLEAN' THEN
+    CASE WHEN json_extract_string(json_extract(e, '$.metrics.*')[1], '$') = 'true' THEN 1.0 ELSE 0.0 END
+    ELSE TRY_CAST(json_extract_string(json_extract(e, '$.metrics.*')[1], '$') AS DOUBLE) END,
+  CAST(coalesce(len(json_keys(e, '$.parameters')), 0) AS INTEGER), doc_id FROM runs
+UNION ALL SELECT 'Deployment', p.id, p.name, coalesce(p.cluster, 'local-k8s'), NULL, NULL, p.image, coalesce(p.replicas, 1), NULL, NULL, doc_id
+  FROM (SELECT doc_id, unnest(j.deployments) AS p FROM valid))
+SELECT * EXCLUDE (doc_id) FROM n QUALIFY row_number() OVER (PARTITION BY label, id ORDER BY doc_id DESC) = 1"""
 
 ORACLE["ml_scored"] = f"""SELECT vec_id, label, 'v20240202000000' AS model_version, true AS in_domain
 FROM ({ORACLE["ml_split"]}) WHERE split = 'test'"""

@@ -741,9 +741,9 @@ def q_corrupt_lines(spark, d):
     """Landed lines that are not JSON go to quarantine, the rest are loaded."""
     path = scratch_path(spark, "lines")
     docs = read_table(spark, d, "documents")
-    good = F.to_json(F.struct(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("content")))
-    docs.select(F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("broken {"), F.col("doc_id"))).otherwise(good)
-                .alias("value")).write.text(path)
+    good = docs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("content"))).alias("value"))
+    broken = docs.where("doc_id % 9 = 0").select(F.concat(F.lit("broken {"), F.col("doc_id")).alias("value"))
+    good.unionAll(broken).write.text(path)
     ok, bad = landing.split_corrupt(landing.load_jsonl(spark, path))
     return (ok.select("article_id", "content", F.lit(None).cast("string").alias("line"))
             .unionByName(bad.select(F.lit(None).cast("string").alias("article_id"), F.lit(None).cast("string").alias("content"),
@@ -774,14 +774,15 @@ def q_quarantine_artifact(spark, d):
     """Failed replies written as the review artifact and read back."""
     _, review = extract.route(parsed_responses(spark, d))
     path = scratch_path(spark, "quarantine")
-    audit.write_quarantine(review.select("doc_id", "status", "reason"), path)
-    return spark.read.schema("doc_id long, status string, reason string").json(path)
+    audit.write_quarantine(review.select("doc_id", "status", "reason", "response"), path)
+    return spark.read.schema("doc_id long, status string, reason string, response string").json(path)
 
 
 @register("judge_verdicts")
 def q_judge_verdicts(spark, d):
-    """Judge replies -> status, reasoning."""
-    return extract.parse_verdicts(fx.adapter(spark, d, "judge_replies")).select("source_id", "target_id", "status", "reasoning")
+    """Judge replies -> status, reasoning, correction."""
+    return extract.parse_verdicts(fx.adapter(spark, d, "judge_replies")).select("source_id", "target_id", "status", "reasoning",
+                                                                               "suggested_correction")
 
 
 @register("unsupported_edges")

@@ -19,6 +19,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # of a repeated key of a JSON object the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Broadcast policy: never broadcast on a planning-time estimate (a compressed file size is
     # no bound on the in-memory size); AQE converts a join to a broadcast join only when the
     # measured size of a materialised shuffle stage is below the adaptive threshold.

@@ -94,7 +94,8 @@ SELECT 'dep_' || CAST(l_suppkey AS STRING) AS source_id, 'model_' || CAST(l_part
        ELSE CASE WHEN l_partkey % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '{{"status":"'
          || CASE WHEN l_partkey % 11 = 0 THEN 'maybe' WHEN max(l_linenumber) = 7 THEN 'fail' WHEN max(l_linenumber) = 6 THEN ' Warn '
                  ELSE 'PASS' END
-         || '","reasoning":"' || CAST(count(*) AS STRING) || ' lines"}}'
+         || '","reasoning":"' || CAST(count(*) AS STRING) || ' lines"'
+         || CASE WHEN max(l_linenumber) = 7 THEN ',"suggested_correction":"drop ' || CAST(l_partkey AS STRING) || '"' ELSE '' END || '}}'
          || CASE WHEN l_partkey % 2 = 0 THEN chr(10) || '```' ELSE '' END END AS reply
 FROM {lineitem} GROUP BY l_suppkey, l_partkey
 """
@@ -108,10 +109,10 @@ DISEASES = """
 SELECT 'disease_' || CAST(p_partkey AS STRING) AS id, p_name AS name FROM {part}
 """
 
-# Replies about real texts: the description is the document's whole text, escaped for JSON; all five lists occur, and some
-# replies are junk, of the wrong type, fenced, denylisted or lack a required field.
-RESPONSES = """
-WITH escaped AS (
+# One whole reply per document: the description is its text, escaped for JSON; all five lists occur. Some are fenced, name a
+# denylisted model or lack a required field.
+WHOLE_REPLIES = """
+escaped AS (
   SELECT doc_id, source, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
     chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS body FROM {documents}),
 parts AS (
@@ -123,20 +124,53 @@ parts AS (
     '"experiments":[' || CASE WHEN doc_id % 3 = 0 THEN '{{"id":"e' || CAST(doc_id AS STRING) || '","name":"' || source || '"}}'
       ELSE '' END || ']' AS experiments,
     '"deployments":[' || CASE WHEN doc_id % 4 = 0 THEN '{{"id":"d' || CAST(doc_id AS STRING) || '","name":"Serving","image":"img:'
-      || CAST(doc_id % 7 AS STRING) || '","replicas":2}}' ELSE '' END || ']' AS deployments
-  FROM escaped)
-SELECT doc_id,
-  CASE WHEN doc_id % 11 = 0 THEN 'no json here'
-       WHEN doc_id % 13 = 0 THEN '{{}}'
-       WHEN doc_id % 41 = 1 THEN '[]' WHEN doc_id % 41 = 2 THEN '5' WHEN doc_id % 41 = 3 THEN '"text"'
-       WHEN doc_id % 41 = 4 THEN 'null' WHEN doc_id % 41 = 5 THEN '{{"models":"abc"}}'
-       ELSE CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) ELSE '' END
-         || '{{' || models || ',' || experiments || ',"runs":[{{"id":"r' || k || '","name":"Run","metrics":{{"accuracy":'
-         || CASE WHEN doc_id % 41 = 6 THEN '"high"' ELSE '0.9' END || '}}}}],' || deployments
-         || ',"relationships":[{{"source_id":"m' || k || '","target_id":"r' || k || '","type":"PRODUCED_BY"}}]}}'
-         || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END
-  END AS response
-FROM parts
+      || CAST(doc_id % 7 AS STRING) || '","replicas":' || CASE WHEN doc_id % 8 = 0 THEN '2' ELSE '"3"' END || '}}' ELSE '' END
+      || ']' AS deployments
+  FROM escaped),
+whole AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) ELSE '' END
+    || '{{' || models || ',' || experiments || ',"runs":[{{"id":"r' || k || '","name":"Run","metrics":{{"accuracy":'
+    || CASE WHEN doc_id % 5 = 0 THEN '"0.9"' ELSE '0.9' END || '}}}}],' || deployments
+    || ',"relationships":[{{"source_id":"m' || k || '","target_id":"r' || k || '","type":"PRODUCED_BY"}}]}}'
+    || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END AS response
+  FROM parts)"""
+
+# Faulty and unusual replies: a list with one element of the given fields, or a whole text.
+_ELEMENT = {"models": '"id":"x","name":"X","version":"v"', "experiments": '"id":"x","name":"X"', "runs": '"id":"x","name":"X"',
+            "deployments": '"id":"x","name":"X","image":"i"', "relationships": '"source_id":"x","target_id":"y","type":"SERVES"'}
+
+
+def _reply(kind: str, *fields: str) -> str:
+    return '{"' + kind + '":[{' + ",".join((_ELEMENT[kind], *fields)) + "}]}"
+
+
+ODD_REPLIES = [
+    "no json here", "", "{}", "[]", "5", '"text"', "null", "true", '{"models":"abc"}', '{"models":null}', '{"models":{}}',
+    '{"runs":[5]}', '{"runs":[null]}', '{"models":[{"id":5,"name":"X","version":"v"}]}', '{"models":[{"id":"x","name":true,"version":"v"}]}',
+    '{"models":[{"id":"x","name":{"x":1},"version":"v"}]}', '{"models":[{"id":"x","name":"X"}]}', '{"models":[{"id":"x","name":"X","version":null}]}',
+    _reply("models", '"description":4'), _reply("models", '"description":null'), _reply("models", '"framework":null'),
+    _reply("models", '"type":7'), _reply("models", '"created_at":"2024-01-05T10:00:00Z"'), _reply("models", '"created_at":"soon"'),
+    _reply("models", '"other":[1,{"a":null}]'), _reply("experiments", '"status":null'), _reply("experiments", '"status":7'),
+    _reply("runs", '"status":"done"'), _reply("runs", '"metrics":{"acc":"0.9"}'), _reply("runs", '"metrics":{"acc":"high"}'),
+    _reply("runs", '"metrics":{"acc":true,"n":3}'), _reply("runs", '"metrics":{"acc":null}'), _reply("runs", '"metrics":{"acc":[1]}'),
+    _reply("runs", '"metrics":[]'), _reply("runs", '"metrics":null'), _reply("runs", '"parameters":{"lr":0.001,"on":true,"name":"x","none":null}'),
+    _reply("runs", '"parameters":"x"'), _reply("deployments", '"replicas":"two"'), _reply("deployments", '"replicas":2.5'),
+    _reply("deployments", '"replicas":2.0'), _reply("deployments", '"replicas":" 4 "'), _reply("deployments", '"replicas":null'),
+    _reply("deployments", '"replicas":true'), '{"deployments":[{"id":"x","name":"X"}]}', _reply("relationships", '"properties":"x"'),
+    _reply("relationships", '"properties":{"w":1}'), '{"relationships":[{"source_id":"x","type":"SERVES"}]}',
+    _reply("models") + " trailing", _reply("models") + _reply("models"), _reply("models") + "," + _reply("models"), _reply("models") + "]",
+    "```json " + _reply("models") + " ``` and more", "  " + _reply("runs") + "  ", '{"models":[', "{'models':[]}",
+]
+_BRACES = str.maketrans({"{": "{{", "}": "}}"})
+_ODD_ROWS = ", ".join(f"({k}, '{r.replace(chr(39), chr(39) * 2).translate(_BRACES)}')" for k, r in enumerate(ODD_REPLIES))
+
+# Whole replies, and odd ones under ids of their own: one for every third document, each kind as often as the next.
+RESPONSES = "WITH " + WHOLE_REPLIES + f""",
+odd AS (SELECT k, reply FROM (VALUES {_ODD_ROWS}) AS v(k, reply))
+SELECT doc_id, response FROM whole
+UNION ALL
+SELECT -1 - doc_id AS doc_id, reply AS response
+FROM {{documents}} JOIN odd ON doc_id % 3 = 0 AND CAST(floor(doc_id / 3) AS BIGINT) % {len(ODD_REPLIES)} = k
 """
 
 REQUESTS = """

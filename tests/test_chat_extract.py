@@ -49,3 +49,43 @@ def test_reply_sizes_do_not_depend_on_ansi_mode(spark):
             assert got == {1: (0, 0), 2: (0, 0)}, mode
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+MODEL = '"id":"m","name":"N","version":"1"'
+TYPED = [
+    ('{"models":[{' + MODEL + '}]}', "valid"), ('{"models":[{"id":5,"name":"N","version":"1"}]}', "invalid"),
+    ('{"models":[{"id":"m","name":true,"version":"1"}]}', "invalid"), ('{"models":[{' + MODEL + ',"description":null}]}', "valid"),
+    ('{"models":[{' + MODEL + ',"description":4}]}', "invalid"), ('{"models":[{' + MODEL + ',"created_at":"2024-01-05T10:00:00Z"}]}', "valid"),
+    ('{"models":[{' + MODEL + '}]} trailing', "junk"), ('{"models":[]}{"models":[]}', "junk"), ('{"models":[]},{"models":[]}', "junk"),
+    ('{"models":[]}],[{}', "junk"), ('```json\n{"models":[]}\n``` more', "junk"), ('[{"models":[]}]', "invalid"), ("5", "invalid"), ("", "junk"),
+    ('{"models":[5]}', "invalid"), ('{"models":{}}', "invalid"), ('{"models":null}', "invalid"), ('{"runs":[{"id":"r","name":"R","status":7}]}', "invalid"),
+    ('{"runs":[{"id":"r","name":"R","status":null}]}', "invalid"), ('{"runs":[{"id":"r","name":"R","metrics":{"a":[1]}}]}', "invalid"),
+    ('{"relationships":[{"source_id":"a","target_id":"b","type":"T","properties":"x"}]}', "invalid"),
+    ('{"models":[{"id":"m","name":"flux capacitor","name":"N","version":"1"}]}', "valid"),      # the last of a repeated key counts
+    ('{"models":[{"id":"m","name":"N","name":"Flux Capacitor","version":"1"}]}', "rejected"),
+    ('{"models":[{"id":"m","name":"newsloom:end-of-reply","version":"1"}]}', "junk"),
+]
+
+
+def test_replies_are_checked_by_type(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(TYPED)], "doc_id long, response string")
+    got = {r.doc_id: r.status for r in extract.parse_responses(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(TYPED)}
+
+
+def test_values_survive_however_they_are_written(spark):
+    deployment = '{"deployments":[{"id":"d","name":"D","image":"i","replicas":%s}]}'
+    rows = [(i, deployment % v) for i, v in enumerate(['3', '"3"', '2.0', '" +4 "', 'true', '"two"', '2.5', 'null', '"2.5"', '1e2', '"99999999999999999999"'])]
+    df = extract.parse_responses(spark.createDataFrame(rows, "doc_id long, response string"))
+    got = {r.doc_id: (r.status, r.deployments[0].replicas) for r in df.collect()}
+    assert [got[i][1] for i in range(5)] == [3, 3, 2, 4, 1] and got[9] == ("valid", 100)
+    assert {got[i][0] for i in range(5)} == {"valid"} and {got[i][0] for i in (5, 6, 7, 8, 10)} == {"invalid"}
+    run = '{"runs":[{"id":"r","name":"R","metrics":{"a":"0.9","b":1,"c":true},"parameters":{"lr":0.001,"x":{"y":[1]},"n":null}}]}'
+    r = extract.parse_responses(spark.createDataFrame([(1, run)], "doc_id long, response string")).first().runs[0]
+    assert r.metrics == {"a": 0.9, "b": 1.0, "c": 1.0} and r.parameters == {"lr": "0.001", "x": '{"y":[1]}', "n": None}
+
+
+def test_a_reply_is_parsed_once(spark):
+    df = extract.parse_responses(spark.createDataFrame([(1, "{}")], "doc_id long, response string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("tryparsejson") + plan.lower().count("parsejson(") + plan.lower().count("parse_json(") <= 1 and "from_json" not in plan
