@@ -602,3 +602,4 @@ ORACLE["upsert_rows"] = f"""WITH {RAW}
 SELECT article_id, title, content, batch_id FROM raw WHERE batch_id = 'batch_2'
 UNION ALL SELECT article_id, title, content, batch_id FROM raw r WHERE batch_id = 'batch_1'
   AND NOT EXISTS (SELECT 1 FROM raw s WHERE s.batch_id = 'batch_2' AND s.article_id = r.article_id)"""
+ORACLE["upsert_compacted"] = f"SELECT *, 'v000000000002' AS version FROM ({ORACLE['elt_upsert']})"

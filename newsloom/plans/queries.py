@@ -18,7 +18,7 @@ from newsloom.plans import params as P
 from newsloom.plans.output import finalize
 from newsloom.session import ensure_session_defaults, scratch_path
 from newsloom.sources import fixtures as fx
-from newsloom.sources import audit, landing, storage
+from newsloom.sources import audit, landing, storage, versions
 from newsloom.sources.tables import read_table
 from newsloom.streaming import audit as s_audit
 from newsloom.streaming import ingest as s_ingest
@@ -199,14 +199,26 @@ DAYS_SQL = "SELECT published_date, count(*) AS staged_rows FROM IDENTIFIER(:stg_
 
 @register("elt_upsert")
 def q_elt_upsert(spark, d):
-    """Batch 2 upserted onto the processed table of batch 1, partition-scoped."""
+    """Batch 1, then batch 2 as versions of the processed table; its view holds the newest row per id."""
     raw = fx.raw_landed(spark, d)
     path = scratch_path(spark, "processed")
-    first = transform.elt_source(raw.filter(F.col("batch_id") == "batch_1"))
-    first.write.mode("overwrite").partitionBy("published_date").parquet(path)
-    second = transform.elt_source(raw.filter(F.col("batch_id") == "batch_2"))
-    storage.upsert_partitioned(spark, path, second)
-    return spark.read.parquet(path)
+    for n, batch in enumerate(("batch_1", "batch_2"), 1):
+        source = transform.elt_source(raw.filter(F.col("batch_id") == batch))
+        versions.upsert(spark, path, source, versions.version_name(n))
+    rows = versions.all_versions(spark, path, source.schema)
+    return versions.newest(rows, "article_id").drop(versions.VERSION)
+
+
+@register("upsert_compacted")
+def q_upsert_compacted(spark, d):
+    """The same table after the compaction job, which writes the newest rows to a new place."""
+    raw = fx.raw_landed(spark, d)
+    path = scratch_path(spark, "processed")
+    for n, batch in enumerate(("batch_1", "batch_2"), 1):
+        source = transform.elt_source(raw.filter(F.col("batch_id") == batch))
+        versions.upsert(spark, path, source, versions.version_name(n))
+    small = versions.compact(spark, path, scratch_path(spark, "compacted"), source.schema, "article_id", partition_col="published_date")
+    return versions.all_versions(spark, small, source.schema)
 
 
 @register("batch_replace")
@@ -590,14 +602,14 @@ def _incremental(spark, d):
 def q_stream_ingest(spark, d):
     """ST1: items landed in four arrivals, merged per micro-batch into the processed table."""
     processed_path, _ = _incremental(spark, d)
-    return spark.read.parquet(processed_path).drop("item_ord")
+    return s_ingest.processed_view(spark, processed_path).drop("item_ord")
 
 
 @register("stream_daily_counts")
 def q_stream_daily_counts(spark, d):
     """ST1, A1: daily counts maintained per micro-batch for the touched dates only."""
     _, daily_path = _incremental(spark, d)
-    return spark.read.parquet(daily_path)
+    return s_ingest.daily_view(spark, daily_path)
 
 
 @register("stream_raw_epochs")
@@ -626,7 +638,7 @@ def _rate_table(spark, d):
     s_tel.land_by_time(reqs, landing_path)
     s_tel.rate_stream(spark, landing_path, reqs.schema, result, scratch_path(spark, "ckpt"),
                       length=P.RATE_WINDOW, step=P.RATE_STEP)
-    return spark.read.parquet(result)
+    return s_tel.rate_view(spark, result)
 
 
 @register("stream_request_rate")

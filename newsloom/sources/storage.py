@@ -1,4 +1,4 @@
-"""Table writes: batch replace, partition-scoped upsert, rebuilds, DDL, mark state, retention."""
+"""Table writes: batch replace, rebuilds, DDL, mark state, retention. The upsert is in ``versions.py``."""
 
 from __future__ import annotations
 
@@ -32,71 +32,6 @@ def append(df: DataFrame, path: str, partition_col: str | None = None) -> None:
     w.parquet(path)
 
 
-def in_partitions(df: DataFrame, partition_col: str, values: list) -> DataFrame:
-    """The rows of the given partition values, NULL included: a literal filter, which prunes files at planning time."""
-    known = [v for v in values if v is not None]
-    cond = F.col(partition_col).isin(known) if known else F.lit(False)
-    return df.filter(F.coalesce(cond, F.lit(False)) | F.col(partition_col).isNull() if len(known) < len(values) else cond)
-
-
-def write_partitions(df: DataFrame, path: str, partition_col: str) -> None:
-    """Dynamic partition overwrite; a rebalance by the partition column lets AQE split a large date over many tasks."""
-    (df.hint("rebalance", F.col(partition_col)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
-
-
-def merge_partitions(spark: SparkSession, target_path: str, source: DataFrame, keys, partition_col: str,
-                     target_schema=None, keys_can_move: bool = True) -> None:
-    """``MERGE ON keys``: anti-join + union of ``source`` into the partitions of ``target_path`` it touches.
-
-    Touched are the partitions of the source's rows and those where the target holds one of its keys (a key whose
-    partition value changed leaves its old partition; that search reads only the key and partition columns of the
-    target, and callers whose partition value is a function of the key turn it off with ``keys_can_move``). Their
-    values, which the driver also knows from the file listing, become a literal filter; the dynamic overwrite then
-    replaces just those partitions, removing old files only at job commit. NULL is a partition like any other.
-    ``source`` should be materialised by the caller, since it is read more than once.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    reader = spark.read.schema(target_schema) if target_schema is not None else spark.read
-    target = reader.parquet(target_path)
-    touched = source.select(partition_col)
-    if keys_can_move:
-        held = target.select(*{*keys, partition_col}).join(source.select(*keys), keys, "left_semi")
-        touched = touched.unionByName(held.select(partition_col))
-    values = [r[0] for r in touched.distinct().collect()]                         # partition values only
-    if not values:
-        return
-    kept = in_partitions(target, partition_col, values).join(source.select(*keys), keys, "left_anti")
-    merged = kept.unionByName(source.select(*target.columns))
-    write_partitions(merged, target_path, partition_col)
-    if keys_can_move:
-        _drop_emptied(spark, reader.parquet(target_path), target_path, source, keys, partition_col, values)
-
-
-def _drop_emptied(spark: SparkSession, target: DataFrame, path: str, source: DataFrame, keys: list[str],
-                  partition_col: str, values: list) -> None:
-    """Removes partitions whose last rows all moved away: a dynamic overwrite only replaces partitions it writes to."""
-    mine = source.select(*keys, F.col(partition_col).alias("_now"))
-    stale = (in_partitions(target, partition_col, values).join(mine, keys)
-             .filter(~F.col(partition_col).eqNullSafe(F.col("_now"))).select(partition_col).distinct().collect())
-    jvm = spark.sparkContext._jvm
-    for (value,) in stale:
-        name = ("__HIVE_DEFAULT_PARTITION__" if value is None else
-                jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value)))
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_col}={name}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def upsert_partitioned(spark: SparkSession, target_path: str, source: DataFrame, key="article_id",
-                       partition_col: str = "published_date") -> None:
-    """``MERGE ON key`` (update all columns / insert) as a partition-scoped anti-join + union.
-
-    ``source`` must be unique by key; it is cut from its lineage with a reliable checkpoint first
-    (shared checkpoint folder), so a lost executor never recomputes the source.
-    """
-    merge_partitions(spark, target_path, source.checkpoint(eager=True), key, partition_col)
-
-
 def upsert_frames(target: DataFrame, source: DataFrame, key: str = "article_id") -> DataFrame:
     """J1 as a pure DataFrame function (no write): target rows not in source, plus source."""
     return target.join(source.select(key), key, "left_anti").unionByName(source.select(*target.columns))

@@ -1,9 +1,8 @@
 """ST1/ST2: incremental article ingestion on Structured Streaming.
 
 Landed item files are the stream; the file source's checkpoint replaces the stored
-high-water mark (S12/S13), so late-arriving files are still ingested. Each micro-batch is
-written idempotently (dynamic overwrite of its own epoch partition), so a retried epoch
-replaces exactly what it wrote.
+high-water mark (S12/S13), so late-arriving files are still ingested. Each micro-batch writes
+a version of its own, so a retried epoch replaces exactly what it wrote.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import types as T
 
 from newsloom.operators.ingest import build_raw_articles, keep_first_by_id, reclean_raw
 from newsloom.operators.transform import daily_counts, processed_rows
-from newsloom.sources.storage import in_partitions, write_partitions
+from newsloom.sources import versions
 from newsloom.streaming import BYTES_PER_TRIGGER, rocksdb_state
 
 # Flat landed item (one JSON object per line).
@@ -74,39 +73,52 @@ def dedup_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     return q
 
 
+PROCESSED_KEY, DAILY_KEY = "article_id", ["published_date", "source_name"]
+
+
+def _schemas(spark: SparkSession, fetched_at) -> tuple[T.StructType, T.StructType]:
+    empty = processed_rows(reclean_raw(build_raw_articles(spark.createDataFrame([], FLAT_ITEM_SCHEMA), fetched_at=fetched_at)),
+                           carry=("item_ord",))
+    return empty.schema, daily_counts(empty).schema
+
+
+def processed_view(spark: SparkSession, path: str, where=None) -> DataFrame:
+    """The processed table of the stream: of an id the newest row, then the lowest item ordinal (the keep-first rule),
+    whichever epoch brought it."""
+    schema, _ = _schemas(spark, None)
+    order = [F.unix_micros("published_at"), -F.col("item_ord")]
+    return versions.newest(versions.all_versions(spark, path, schema), PROCESSED_KEY, order, where).drop(versions.VERSION)
+
+
+def daily_view(spark: SparkSession, path: str) -> DataFrame:
+    """The daily counts of the stream: the newest count of a day and source. Counts only grow, so the largest is the newest."""
+    _, schema = _schemas(spark, None)
+    return versions.newest(versions.all_versions(spark, path, schema), DAILY_KEY, [F.col("article_count")]).drop(versions.VERSION)
+
+
 def incremental_ingest(spark: SparkSession, landing: str, processed_path: str, daily_path: str, checkpoint: str, *,
                        since=None, fetched_at=None, bytes_per_trigger: int = BYTES_PER_TRIGGER):
-    """ST1 with incremental ELT: each micro-batch touches only the dates it brings.
+    """ST1 with incremental ELT, merge-on-read.
 
-    Per epoch: items -> raw rows (P1-P4) -> processed rows (P5, P6) -> merged into the processed
-    table partition by partition with the keep-first rule (the lowest item ordinal of an id wins,
-    whichever epoch brought it) -> daily counts (A1) recounted for the touched dates only. Both
-    writes are dynamic partition overwrites, so a retried epoch converges to the same tables.
+    Per epoch: items -> raw rows (P1-P4) -> processed rows (P5, P6), appended as the epoch's version -> daily counts (A1) of
+    the touched days, appended likewise. Tables are read through :func:`processed_view` and :func:`daily_view`. A version
+    bears the name of its epoch and of the run (one checkpoint), so an epoch that failed at any point and is repeated writes
+    the same two versions again, and nothing else is ever touched.
     """
-    empty = processed_rows(reclean_raw(keep_first_by_id(build_raw_articles(
-        spark.createDataFrame([], FLAT_ITEM_SCHEMA), fetched_at=fetched_at))), carry=("item_ord",))
-    proc_schema, daily_schema = empty.schema, daily_counts(empty).schema
-    empty.write.mode("ignore").partitionBy("published_date").parquet(processed_path)
-    spark.createDataFrame([], daily_schema).write.mode("ignore").partitionBy("published_date").parquet(daily_path)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    schema, daily_schema = _schemas(spark, fetched_at)
+    for path, s, keys, part in ((processed_path, schema, PROCESSED_KEY, "published_date"), (daily_path, daily_schema, DAILY_KEY, None)):
+        versions.append_version(spark.createDataFrame([], s), path, versions.version_name(0, "empty"), keys, part)
 
     def epoch(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()     # read more than once; recomputed from the same offsets if lost
-        try:
-            raw = build_raw_articles(batch, since=since, fetched_at=fetched_at)
-            new = processed_rows(reclean_raw(keep_first_by_id(raw)), carry=("item_ord",)).persist()
-            dates = [r[0] for r in new.select("published_date").distinct().collect()]     # partition values only
-            if not dates:       # empty epoch (or nothing new): no partition to touch
-                new.unpersist()
-                return
-            target = spark.read.schema(proc_schema).parquet(processed_path)
-            scoped = in_partitions(target, "published_date", dates)
-            merged = keep_first_by_id(scoped.unionByName(new.select(*target.columns)))
-            write_partitions(merged, processed_path, "published_date")
-            new.unpersist()
-            touched = in_partitions(spark.read.schema(proc_schema).parquet(processed_path), "published_date", dates)
-            write_partitions(daily_counts(touched), daily_path, "published_date")
-        finally:
-            batch.unpersist()
+        name = versions.version_name(epoch_id + 1, run)
+        new = processed_rows(reclean_raw(build_raw_articles(batch, since=since, fetched_at=fetched_at)), carry=("item_ord",))
+        versions.append_version(keep_first_by_id(new), processed_path, name, PROCESSED_KEY, "published_date")
+        mine = spark.read.schema(schema).parquet(f"{processed_path}/{versions.VERSION}={name}")
+        days = [r[0] for r in mine.select("published_date").distinct().collect()]          # partition values only
+        if days:
+            touched = processed_view(spark, processed_path, F.col("published_date").isin(days))
+            versions.append_version(daily_counts(touched), daily_path, name, DAILY_KEY)
 
     q = (item_stream(spark, landing, bytes_per_trigger).writeStream.foreachBatch(epoch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

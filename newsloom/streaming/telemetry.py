@@ -1,20 +1,23 @@
 """ST3: streaming request rate with a watermark, merged into a windowed result table.
 
-Update mode emits every window whose count changed in a micro-batch; each epoch upserts
-those rows (keyed by window and group) into a table partitioned by the window's date, so
-only touched partitions are rewritten and a retried epoch converges to the same table. The
-watermark bounds the state: windows older than it are finalised and dropped from state.
+Update mode emits every window whose count changed in a micro-batch; each epoch appends those
+rows (keyed by window and group) as a version of the result table, whose view takes the newest
+row of each window. A retried epoch replaces its own version only. The watermark bounds the
+state: windows older than it are finalised and dropped from state.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import label_regex_match
 from newsloom.operators.telemetry import DEFAULT_BUCKETS, histogram_quantile, window_seconds
-from newsloom.sources.storage import merge_partitions
-from newsloom.streaming import BYTES_PER_TRIGGER
+from newsloom.sources import versions
+from newsloom.streaming import BYTES_PER_TRIGGER, rocksdb_state
 
 
 # Longest time span of one arrival of land_by_time, and a margin.
@@ -40,8 +43,7 @@ def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoi
     :func:`quantile_from` sum the groups per window. Files of one arrival are read in any order and may fall into
     several micro-batches, so ``delay`` must cover the time span of an arrival; then no event comes late.
     """
-    # State here is bounded by the watermark (a few open windows per group), so the default
-    # heap-backed state store fits; the id dedup of ST2 is the stream that needs RocksDB.
+    # The delay keeps a week of windows open (10,080 a group, each with its sums), so the state lives in RocksDB, not on the heap.
     secs = window_seconds(length)
     events = (spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(landing)
               .withColumn("ts", F.col("ts").cast("timestamp")))
@@ -52,32 +54,41 @@ def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoi
                    F.count_if(label_regex_match(F.col("status").cast("string"), status_regex)).alias("errors"),
                    F.sum(lat).alias("latency_sum"), F.count(lat).alias("latency_count"),
                    *[F.count_if(lat <= F.lit(b)).alias(f"_c{i}") for i, b in enumerate(buckets)]))
-    key = ["window_start", *group_cols]
-    result_schema = (f"window_start timestamp, window_end timestamp, "
-                     + "".join(f"{g} string, " for g in group_cols)
-                     + "requests bigint, rate double, errors bigint, latency_sum double, latency_count bigint, "
-                     + "".join(f"_c{i} bigint, " for i in range(len(buckets)))
-                     + "window_date date")
-    spark.createDataFrame([], result_schema).write.mode("ignore").partitionBy("window_date").parquet(result)
-
-    def merge_epoch(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()     # read three times below; recomputed from the same offsets if lost
+    key, run = ["window_start", *group_cols], hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    versions.append_version(spark.createDataFrame([], result_schema(group_cols, buckets)), result,
+                            versions.version_name(0, "empty"), key, "window_date")
+
+    def append_epoch(batch: DataFrame, epoch_id: int) -> None:
+        upd = (batch.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                            *group_cols, "requests", F.round(F.col("requests") / F.lit(secs), 9).alias("rate"),
+                            "errors", "latency_sum", "latency_count", *[f"_c{i}" for i in range(len(buckets))])
+               .withColumn("window_date", F.to_date("window_start")))
+        batch.persist()     # the key check and the write read it; recomputed from the same offsets if lost
         try:
-            # a watermark-only epoch has no rows, hence no touched dates: merge_partitions returns
-            upd = (batch.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                                *group_cols, "requests", F.round(F.col("requests") / F.lit(secs), 9).alias("rate"),
-                                "errors", "latency_sum", "latency_count", *[f"_c{i}" for i in range(len(buckets))])
-                   .withColumn("window_date", F.to_date("window_start")))
-            merge_partitions(spark, result, upd, key, "window_date", result_schema, keys_can_move=False)
+            versions.append_version(upd, result, versions.version_name(epoch_id + 1, run), key, "window_date")
         finally:
             batch.unpersist()
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(merge_epoch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with rocksdb_state(spark):
+        q = (counts.writeStream.outputMode("update").foreachBatch(append_epoch)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
+def result_schema(group_cols=("endpoint",), buckets=DEFAULT_BUCKETS) -> T.StructType:
+    groups = "".join(f"{g} string, " for g in group_cols)
+    bounds = "".join(f"_c{i} bigint, " for i in range(len(buckets)))
+    return T.StructType.fromDDL(f"window_start timestamp, window_end timestamp, {groups}requests bigint, rate double, errors bigint, "
+                                f"latency_sum double, latency_count bigint, {bounds}window_date date")
+
+
+def rate_view(spark: SparkSession, result: str, group_cols=("endpoint",), buckets=DEFAULT_BUCKETS) -> DataFrame:
+    """The result table of :func:`rate_stream`. A window's count only grows, so its largest row is the newest."""
+    rows = versions.all_versions(spark, result, result_schema(group_cols, buckets))
+    return versions.newest(rows, ["window_start", *group_cols], [F.col("requests")]).drop(versions.VERSION)
+
+
 def error_rate_from(result: DataFrame, length: str = "5 minutes") -> DataFrame:
     """W6 over the streamed window table: 5xx per window summed over groups (windows with errors)."""
     secs = window_seconds(length)

@@ -4,12 +4,13 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import chat_role
 from newsloom.functions.time import parse_instant
 from newsloom.operators import extract, graph, ml, telemetry
 from newsloom.session import scratch_path
-from newsloom.sources import storage
+from newsloom.sources import versions
 from newsloom.streaming import telemetry as s_tel
 
 SCHEMA = "article_id string, title string, published_date date"
@@ -26,9 +27,10 @@ D1, D2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
 ])
 def test_upsert_keeps_null_partitions_and_moves_keys(spark, target, source, want):
     path = scratch_path(spark, "t-moved")
-    spark.createDataFrame(target, SCHEMA).write.partitionBy("published_date").parquet(path)
-    storage.upsert_partitioned(spark, path, spark.createDataFrame(source, SCHEMA))
-    got = [tuple(r) for r in spark.read.schema(SCHEMA).parquet(path).select("article_id", "title", "published_date").collect()]
+    for n, rows in enumerate((target, source)):
+        versions.upsert(spark, path, spark.createDataFrame(rows, SCHEMA), versions.version_name(n))
+    table = versions.all_versions(spark, path, T.StructType.fromDDL(SCHEMA))
+    got = [tuple(r) for r in versions.newest(table, "article_id").select("article_id", "title", "published_date").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
