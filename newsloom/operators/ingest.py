@@ -16,6 +16,7 @@ from newsloom.functions.text import (
     clean_or_default, clean_or_null, clean_text, normalize_batch_id, split_list,
 )
 from newsloom.functions.time import as_timestamp, iso_format, parse_instant
+from newsloom.operators.late import pick_rows
 
 # ---- fixed values ------------------------------------------------------------------------
 DEFAULT_QUERY = "technology OR artificial intelligence OR machine learning"
@@ -134,18 +135,24 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(*order)
 
 
+def _first_order(raw: DataFrame) -> list[Column]:
+    return [-F.unix_micros("published_at")] + ([F.col("item_ord")] if "item_ord" in raw.columns else [])
+
+
 def keep_first_by_id(raw: DataFrame, key: str = "article_id") -> DataFrame:
-    """Newest first (stable), keep the first row per ``article_id``.
+    """Newest first (stable), keep the first row per ``article_id``; for rows that carry texts.
 
-    Expressed as ``min_by(row, (-published_at, item_ord))`` so the shuffle on the key carries
-    at most one row per key per map task (partial aggregation): a hot key cannot pile its
-    rows into one task. ``dropDuplicates`` would keep an arbitrary row.
+    The losers are found on (id, published_at, ordinal) and only their identities meet the wide rows, so no aggregate or sort
+    ever holds a text. A hot id ships one narrow row per map task. Ordinals should be unique; of rows that share one, any stays.
     """
-    order_parts = [-F.unix_micros("published_at")]
-    if "item_ord" in raw.columns:
-        order_parts.append(F.col("item_ord"))
-    packed = F.struct(*[F.col(c) for c in raw.columns])
-    return (raw.groupBy(key).agg(F.min_by(packed, F.struct(*order_parts)).alias("_row"))
+    return pick_rows(raw, key, _first_order(raw))
+
+
+def keep_first_narrow(rows: DataFrame, key: str = "article_id") -> DataFrame:
+    """W1 in one pass, for rows without texts (counts, metadata): ``min_by(row, (-published_at, item_ord))``, an aggregate
+    with map-side combine, so the shuffle carries at most one row per key and map task."""
+    packed = F.struct(*[F.col(c) for c in rows.columns])
+    return (rows.groupBy(key).agg(F.min_by(packed, F.struct(*_first_order(rows))).alias("_row"))
             .select("_row.*"))
 
 

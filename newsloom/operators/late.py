@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.session import checkpoint_dir
@@ -31,3 +31,26 @@ def drop_rows(wide: DataFrame, losers: DataFrame, on: list[str]) -> DataFrame:
         same = wide[c].eqNullSafe(F.col(f"_l_{c}"))
         cond = same if cond is None else cond & same
     return wide.join(losers, cond, "left_anti")
+
+
+def pick_rows(wide: DataFrame, key: str, order: list[Column], largest: bool = False) -> DataFrame:
+    """One row per ``key`` (NULL is a value): that of the least (or largest) ``order``.
+
+    Only keys with several rows are looked at further, and only on ``key`` and ``order``. Rows that share both are one row
+    if ``order`` is total; end it with a digest of the row where it isn't.
+    """
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    ranked = wide.withColumn("_rank", rank)
+    narrow = ranked.select(F.col(key).alias("_key"), "_rank")
+    best = (narrow.groupBy("_key").agg((F.max if largest else F.min)("_rank").alias("_best"), F.count("*").alias("_n"))
+            .where("_n > 1").withColumnRenamed("_key", "_k"))
+    several = narrow.join(best, F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "_rank", (F.col("_rank") == F.col("_best")).alias("_won"))
+    checkpoint_dir(wide.sparkSession)
+    several = several.groupBy("_key", "_rank", "_won").count().checkpoint(eager=True)
+    kept = drop_rows(ranked, several.where("not _won").select(F.col("_key").alias(key), "_rank"), [key, "_rank"])
+    twice = several.where("_won and count > 1").select(F.col("_key").alias(key))
+    if twice.isEmpty():
+        return kept.drop("_rank")
+    same = F.col(key).eqNullSafe(F.col("_t"))
+    again = kept.join(twice.withColumnRenamed(key, "_t"), same, "left_semi").dropDuplicates([key])
+    return drop_rows(kept, twice, [key]).unionByName(again).drop("_rank")

@@ -46,8 +46,6 @@ def raw_items(spark, d) -> DataFrame:
 
 
 def clean_items(spark, d) -> DataFrame:
-    # raw_payload is dropped before the dedup: inside the packed min_by row Catalyst could not
-    # prune it, so it would be built (a to_json of the whole item) and shuffled for nothing.
     return ingest.reclean_raw(ingest.keep_first_by_id(raw_items(spark, d).drop("raw_payload")))
 
 
@@ -55,6 +53,12 @@ def processed_items(spark, d) -> DataFrame:
     return transform.processed_rows(clean_items(spark, d))
 
 
+def processed_narrow(spark, d) -> DataFrame:
+    """The processed rows without their texts: the projection, lengths included, comes before the dedup."""
+    rows = transform.processed_rows(ingest.reclean_raw(raw_items(spark, d)), carry=("item_ord",))
+    return ingest.keep_first_narrow(rows.drop("title", "content", "description", "url"))
+
+
 @register("raw_articles")
 def q_raw_articles(spark, d):
     """Source items -> raw article rows."""
@@ -76,7 +80,7 @@ def q_processed_articles(spark, d):
 @register("daily_counts")
 def q_daily_counts(spark, d):
     """A1: daily counts per source over the processed rows."""
-    return transform.daily_counts(processed_items(spark, d))
+    return transform.daily_counts(processed_narrow(spark, d))
 
 
 @register("newest_items_topk")
@@ -89,7 +93,7 @@ def q_newest_items_topk(spark, d):
 @register("batch_summary")
 def q_batch_summary(spark, d):
     """Count, distinct sources, sorted source list, newest instant as ISO."""
-    s = transform.batch_summary(processed_items(spark, d))
+    s = transform.batch_summary(processed_narrow(spark, d))
     return s.select("article_count", "source_count", F.to_json("sources").alias("sources_json"),
                     "latest_published_at")
 
@@ -98,19 +102,19 @@ def q_batch_summary(spark, d):
 def q_quality_summary(spark, d):
     """Raw vs cleaned counts and the dedup rate."""
     raw = raw_items(spark, d)
-    return transform.quality_summary(raw, ingest.keep_first_by_id(raw))
+    return transform.quality_summary(raw, ingest.keep_first_narrow(raw.select("article_id", "published_at", "item_ord")))
 
 
 @register("training_metadata")
 def q_training_metadata(spark, d):
     """Training hand-off metadata."""
-    return transform.training_metadata(processed_items(spark, d))
+    return transform.training_metadata(processed_narrow(spark, d))
 
 
 @register("training_snapshot")
 def q_training_snapshot(spark, d):
     """The training snapshot rows."""
-    return transform.training_snapshot(processed_items(spark, d))
+    return transform.training_snapshot(processed_narrow(spark, d))
 
 
 @register("keyword_filter")
@@ -673,7 +677,7 @@ def q_stream_audit(spark, d):
 @register("elt_daily_counts")
 def q_elt_daily_counts(spark, d):
     """A2: daily counts rebuilt over the ELT-processed table (both batches merged, latest wins)."""
-    return transform.daily_counts(transform.elt_source(fx.raw_landed(spark, d)))
+    return transform.daily_counts(transform.elt_narrow(fx.raw_landed(spark, d)))
 
 
 @register("extracted_entities")

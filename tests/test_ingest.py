@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import ingest, transform
+from newsloom.operators import ingest, late, transform
 
 ITEM_COLS = ("item_ord long, source_name string, title string, url string, published_at_text string, "
              "author string, description string, content string, language string, run_id string")
@@ -103,3 +103,21 @@ def test_newest_first_is_stable(spark):
             for i in range(1, 6)]
     out = [r.item_ord for r in ingest.newest_first(ingest.with_published_at(items(spark, rows))).collect()]
     assert out == [2, 4, 1, 3, 5]
+
+
+def test_pick_rows_is_one_row_per_key_in_any_order(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", 1, "z"), (None, 3, "n"), (None, 4, "m"), ("c", None, "p"), ("c", 1, "q")]
+    order = [F.col("v"), F.col("t")]
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "k string, v int, t string").repartition(n)
+        top = sorted((tuple(r) for r in late.pick_rows(df, "k", order, largest=True).collect()), key=repr)
+        assert top == sorted([("a", 2, "y"), ("b", 1, "z"), (None, 4, "m"), ("c", 1, "q")], key=repr)
+        least = sorted((tuple(r) for r in late.pick_rows(df, "k", order).collect()), key=repr)
+        assert least == sorted([("a", 1, "x"), ("b", 1, "z"), (None, 3, "n"), ("c", None, "p")], key=repr)
+    assert late.pick_rows(df.limit(0), "k", order).collect() == []
+
+
+def test_equal_loads_pick_the_same_row_however_dealt(spark):
+    rows = [("a", "t%d" % i, "2024-01-01 00:00:00", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "article_id string, title string, fetched_at string, batch_id string")
+    assert len({transform.latest_per_id(df.repartition(n)).first().title for n in (1, 3, 7)}) == 1
