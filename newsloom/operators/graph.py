@@ -8,7 +8,7 @@ into a broadcast join only when the runtime size of a side is below the threshol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.maps import merge_properties
@@ -32,9 +32,17 @@ def project_nodes(nodes: DataFrame) -> DataFrame:
 
     Model(name, version, framework, description), Experiment(name, status),
     Run(name, status, metrics, parameters), Deployment(name, cluster, image, replicas).
-    The generic ``a1``/``a2`` slots hold version/framework, status, segment or cluster.
+    The generic ``a1``/``a2`` slots hold version/framework, status, segment or cluster. The other properties come from
+    columns of their names (as the upsert keeps them) or from ``props``, the open property set as a VARIANT.
     """
     label = F.col("label")
+
+    def prop(name: str, kind: str, of: str) -> Column:
+        if name in nodes.columns:
+            value = F.col(name)
+        else:
+            value = F.try_variant_get("props", f"$.{name}", kind) if "props" in nodes.columns else F.lit(None)
+        return F.when(label == of, value.cast(kind))
     return nodes.select(
         "id", "label", "name", slugify("name").alias("slug"),
         F.when(label == "Model", F.col("a1")).alias("version"),
@@ -42,7 +50,14 @@ def project_nodes(nodes: DataFrame) -> DataFrame:
         F.when(label == "Experiment", F.coalesce(canonical_status("a1"), F.lit(DEFAULT_EXPERIMENT_STATUS)))
          .when(label == "Run", F.coalesce(canonical_status("a1"), F.lit(DEFAULT_RUN_STATUS))).alias("status"),
         F.when(label == "Deployment", F.coalesce(F.col("a1"), F.lit(DEFAULT_CLUSTER))).alias("cluster"),
-        F.when(label == "Deployment", F.lit(DEFAULT_REPLICAS).cast("bigint")).alias("replicas"))
+        prop("description", "string", "Model").alias("description"),
+        F.when(label == "Run", F.coalesce(prop("metrics", "map<string,double>", "Run"), F.create_map().cast("map<string,double>")))
+         .alias("metrics"),
+        F.when(label == "Run", F.coalesce(prop("parameters", "map<string,string>", "Run"), F.create_map().cast("map<string,string>")))
+         .alias("parameters"),
+        prop("image", "string", "Deployment").alias("image"),
+        F.when(label == "Deployment", F.coalesce(prop("replicas", "bigint", "Deployment"), F.lit(DEFAULT_REPLICAS).cast("bigint")))
+         .alias("replicas"))
 
 
 def last_per_id(batch: DataFrame, key=("label", "id"), order="ord") -> DataFrame:
@@ -237,12 +252,26 @@ def graph_schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def label_properties(nodes: DataFrame) -> DataFrame:
-    """Labels with the properties that are set on at least one node."""
+    """Labels with the number of nodes that set each of the fixed properties."""
     return nodes.groupBy("label").agg(
         F.count(F.lit(1)).alias("node_count"),
         F.count("name").alias("with_name"), F.count("a1").alias("with_a1"), F.count("a2").alias("with_a2"))
 
 
+def property_report(nodes: DataFrame, fixed=("name", "a1", "a2")) -> DataFrame:
+    """Per label every property that occurs, fixed column or key of the open set ``props`` (a VARIANT), with the number
+    of nodes that set it and the merged type of its values. JSON null counts as not set.
+
+    One pass: a row per node and property, aggregated map-side; the result has a row per label and property.
+    """
+    column = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").cast("variant").alias("value")) for c in fixed]
+    open_ = F.coalesce(F.map_entries(F.try_variant_get("props", "$", "map<string,variant>")), F.array())
+    every = F.concat(F.array(*column), F.transform(open_, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    rows = nodes.select("label", F.inline(every)).where(F.col("value").isNotNull()).where(~F.is_variant_null("value"))
+    return rows.groupBy("label", F.col("key").alias("property")).agg(
+        F.count(F.lit(1)).alias("nodes"), F.schema_of_variant_agg("value").alias("type"))
+
+
 def label_scan(nodes: DataFrame, label: str, limit: int = 25, columns=("id", "name", "a1")) -> DataFrame:
     """``MATCH (m:Label) RETURN ... LIMIT n`` with an id order for determinism."""
     return nodes.filter(F.col("label") == label).select(*columns).orderBy("id").limit(limit)
@@ -269,10 +298,12 @@ def judge_metrics(verdicts: DataFrame) -> DataFrame:
 
 def hallucination_rate(relationships: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Share of relationships not in ground truth (J9 anti join) or rejected (FAIL)."""
-    v = verdicts.select(*EDGE_KEY, "status", "in_truth")
+    # a relationship counts once, however many verdicts it has: supported if any says so, rejected if any rejects it
+    v = verdicts.groupBy(*EDGE_KEY).agg(F.max("in_truth").alias("in_truth"),
+                                        F.max(F.upper(F.trim("status")) == "FAIL").alias("_failed"))
     j = relationships.select(*EDGE_KEY).join(v, EDGE_KEY, "left")
     unsupported = ~F.coalesce(F.col("in_truth"), F.lit(False))
-    rejected = F.coalesce(F.upper(F.col("status")) == "FAIL", F.lit(False))
+    rejected = F.coalesce(F.col("_failed"), F.lit(False))
     return j.agg(
         F.count(F.lit(1)).alias("n_relationships"),
         F.count_if(unsupported).alias("n_unsupported"),

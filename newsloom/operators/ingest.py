@@ -77,7 +77,8 @@ def build_raw_articles(items: DataFrame, *, since=None, run_id=None, query: str
     * P4: only ``published_at > since`` (strict). The page loop of a paged source stops at the
       first old item of a newest-first page; the declarative filter keeps every newer item,
       which is the same set on newest-first input and a superset otherwise.
-    * P1: texts cleaned (F1), ``source_name`` defaults to ``unknown``, empty
+    * P1: ``raw_payload`` is the whole source item where the scan kept it (``landing.page_items``), else its known fields;
+      texts cleaned (F1), ``source_name`` defaults to ``unknown``, empty
       author/description/content -> NULL, fingerprint id (F5), constants.
     * P2: rows whose cleaned title or url is empty are dropped.
     ``run_id``/``language`` default to the item's own ``run_id``/``language`` columns.
@@ -88,7 +89,7 @@ def build_raw_articles(items: DataFrame, *, since=None, run_id=None, query: str
     df = df.filter(F.col("published_at").isNotNull())
     if since is not None:
         df = df.filter(F.col("published_at") > as_timestamp(since))
-    payload = F.to_json(F.struct(
+    whole = F.col("raw_payload") if "raw_payload" in df.columns else F.to_json(F.struct(
         F.struct(F.col("source_id").alias("id"), F.col("source_name").alias("name")).alias("source"),
         "title", "url", "author", "description", "content", F.col("published_at_text").alias("publishedAt")))
     cleaned = df.select(
@@ -105,7 +106,7 @@ def build_raw_articles(items: DataFrame, *, since=None, run_id=None, query: str
         F.lit(query).alias("query"),
         normalize_batch_id(F.lit(run_id) if run_id is not None else F.col("run_id")).alias("batch_id"),
         (F.lit(language) if language is not None else F.col("language")).alias("language"),
-        payload.alias("raw_payload"),
+        whole.alias("raw_payload"),
     ).filter((F.col("title") != "") & (F.col("url") != ""))
     out = cleaned.withColumn("article_id", article_fingerprint("source_name", "title", "url", "published_at"))
     extra = ["item_ord"] if "item_ord" in out.columns else []
@@ -119,6 +120,30 @@ def malformed_timestamps(items: DataFrame, text_col: str = "published_at_text")
             .withColumn("reason", F.lit("unparseable publishedAt")))
 
 
+def until_stop(pages: DataFrame, *, since, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES) -> DataFrame:
+    """The pages a paged fetch would read, cut where it would stop.
+
+    A run asks for pages 1, 2, ... up to ``max_pages``. It stops before an empty or absent page, after a page of fewer than
+    ``page_size`` items, and inside a page at its first item that is not newer than ``since``; items without a readable
+    timestamp don't stop it. No loop runs: every page says for itself whether it stops the run, the smallest such page and
+    the first gap give each run's end, and the pages up to it stay. These steps see only (run, page, flags).
+    """
+    item_time = lambda a: parse_instant(F.try_variant_get(a, "$.publishedAt", "string"))            # noqa: E731
+    old = F.transform(F.coalesce("articles", F.array()), lambda a: F.coalesce(item_time(a) <= as_timestamp(since), F.lit(False)))
+    wanted = (pages.where(F.col("page").between(1, max_pages)).withColumn("articles", F.coalesce("articles", F.array()))
+              .withColumn("_old", F.array_position(old, True).cast("int")))
+    size = F.size("articles")
+    flags = wanted.select("run_id", "page", ((size < page_size) | (F.col("_old") > 0)).alias("stops"))
+    asked = flags.select("run_id", (F.col("page") + 1).alias("page")).unionAll(flags.select("run_id", F.lit(1).alias("page")).distinct())
+    absent = (asked.join(flags.select("run_id", "page"), ["run_id", "page"], "left_anti")
+              .select("run_id", (F.col("page") - 1).alias("last")))
+    ends = (flags.where("stops").select("run_id", F.col("page").alias("last")).unionAll(absent)
+            .groupBy("run_id").agg(F.min("last").alias("last")))
+    kept = wanted.join(ends, "run_id").where("page <= last")
+    cut = F.when(F.col("_old") > 0, F.slice("articles", F.lit(1), F.col("_old") - 1)).otherwise(F.col("articles"))
+    return kept.select("run_id", "page", cut.alias("articles"))
+
+
 def newest_items(items: DataFrame, k: int = PAGE_SIZE * MAX_PAGES) -> DataFrame:
     """The ``k`` newest source items (NULL timestamps last, then item order).
 

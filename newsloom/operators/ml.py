@@ -87,5 +87,6 @@ def gate(runs: DataFrame, threshold: float = ACCURACY_GATE, run_id: str = "run_i
 
 
 def gate_each(runs: DataFrame, threshold: float = ACCURACY_GATE, metric: str = "accuracy") -> DataFrame:
-    """P17 per run: the branch each run would take."""
-    return runs.withColumn("next_task", F.when(F.col(metric) >= F.lit(threshold), PASS_TASK).otherwise(FAIL_TASK))
+    """P17 per run: the branch each run would take. A NULL or NaN metric never passes."""
+    measured = F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double"))
+    return runs.withColumn("next_task", F.when(measured & (F.col(metric) >= F.lit(threshold)), PASS_TASK).otherwise(FAIL_TASK))

@@ -8,7 +8,7 @@ inverted index as a table for repeated lookups (explode + write partitioned by t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import tokens
@@ -57,3 +57,52 @@ def write_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     p = p.repartitionByRange(files, "term", id_col) if files else p.repartitionByRange("term", id_col)
     p.sortWithinPartitions("term", id_col).write.parquet(path)
     return path
+
+
+# ---- ranked search: BM25 over several fields ------------------------------------------------------
+
+# ---- fixed values: the usual saturation and length weights of BM25
+K1, B = 1.2, 0.75
+# ---------------------------------------------------------------------------------------------------
+
+
+def scored_postings(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+    """``(term, field, id, tf, length)``: how often a token occurs in a field of a document, and how many tokens the field has.
+
+    Occurrences of one document are counted in the task that reads it (partial aggregation), so the shuffle carries one
+    row per distinct token.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")         # noqa: E731
+    each = F.array(*[F.struct(F.lit(name).alias("field"), words(c).alias("words")) for name, c in fields.items()])
+    rows = (docs.select(id_col, F.inline(each)).where("words is not null")
+            .select(id_col, "field", F.size("words").cast("bigint").alias("length"), F.explode("words").alias("term")))
+    return rows.groupBy("term", "field", id_col, "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def write_scored_index(docs: DataFrame, fields: dict[str, Column], path: str, id_col: str = "doc_id") -> str:
+    """The scored postings, range-partitioned and sorted by (term, id) as in :func:`write_postings`, and the field totals."""
+    p = scored_postings(docs, fields, id_col)
+    p.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.parquet(f"{path}/postings")
+    lengths = docs.sparkSession.read.parquet(f"{path}/postings").select("field", id_col, "length").distinct()
+    lengths.groupBy("field").agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length")).write.parquet(f"{path}/fields")
+    return path
+
+
+def ranked(postings_: DataFrame, totals: DataFrame, terms, k: int = 20, weights: dict[str, float] | None = None,
+           id_col: str = "doc_id") -> DataFrame:
+    """The ``k`` documents of the highest BM25 score over all fields (ties: smaller id), ``(id, score)``.
+
+    A field's score is its weight times the sum over the query's terms of
+    ``ln(1 + (N - n + 0.5) / (n + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))``, with N the documents
+    that have the field and n those in which the term occurs there. Only the terms' postings are read; the totals have a row per field.
+    """
+    hits = postings_.where(F.col("term").isin(*[t.lower() for t in dict.fromkeys(terms)]))
+    rarity = (hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("n")).join(totals, "field")
+              .select("term", "field", "mean_length", F.log(1 + (F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf")))
+    weight = F.lit(1.0)
+    for field, w in (weights or {}).items():
+        weight = F.when(F.col("field") == field, F.lit(float(w))).otherwise(weight)
+    tf = F.col("tf").cast("double")
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    scored = hits.join(rarity, ["term", "field"]).groupBy(id_col).agg(F.sum(weight * F.col("idf") * gain).alias("score"))
+    return scored.orderBy(F.col("score").desc(), id_col).limit(k)

@@ -215,14 +215,18 @@ FROM serves s LEFT JOIN produced p USING (model_id) LEFT JOIN belongs b USING (r
 
 _status_case = ("CASE lower(trim(a1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_SYNONYMS.items())
                 + " ELSE a1 END")
-ORACLE["node_projection"] = f"""WITH {NODES}
+ORACLE["node_projection"] = f"""WITH nodes AS ({adapter_sql('open_nodes')})
 SELECT id, label, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
   CASE WHEN label = 'Model' THEN a1 END AS version,
   CASE WHEN label = 'Model' THEN coalesce(a2, 'pytorch') END AS framework,
   CASE WHEN label = 'Experiment' THEN coalesce({_status_case}, 'active')
        WHEN label = 'Run' THEN coalesce({_status_case}, 'completed') END AS status,
   CASE WHEN label = 'Deployment' THEN coalesce(a1, 'local-k8s') END AS cluster,
-  CASE WHEN label = 'Deployment' THEN CAST(1 AS BIGINT) END AS replicas
+  CASE WHEN label = 'Model' THEN json_extract_string(props_text, '$.description') END AS description,
+  CASE WHEN label = 'Deployment' THEN json_extract_string(props_text, '$.image') END AS image,
+  CASE WHEN label = 'Deployment' THEN coalesce(CAST(json_extract_string(props_text, '$.replicas') AS BIGINT), 1) END AS replicas,
+  CASE WHEN label = 'Run' THEN CAST(json_extract_string(props_text, '$.metrics.accuracy') AS DOUBLE) END AS accuracy,
+  CASE WHEN label = 'Run' THEN json_extract_string(props_text, '$.parameters.user') END AS parameter_user
 FROM nodes"""
 
 ORACLE["name_lookup"] = f"WITH {NODES} SELECT id, label, name, a1 FROM nodes WHERE name = '{P.LOOKUP_NAME}'"
@@ -319,7 +323,7 @@ ORACLE["schema_compliance"] = f"""WITH {PARSED}
 SELECT count(*) AS responses, count(*) FILTER (WHERE status IN ('valid', 'rejected')) AS compliant,
   round(avg(CASE WHEN status IN ('valid', 'rejected') THEN 1.0 ELSE 0.0 END), 6) AS compliance_rate FROM parsed"""
 
-ORACLE["judge_metrics"] = f"""WITH v AS ({adapter_sql('verdicts')})
+ORACLE["judge_metrics"] = f"""WITH v AS ({adapter_sql('all_verdicts')})
 SELECT type, count(*) AS n, count(*) FILTER (WHERE upper(trim(status)) = 'PASS') AS n_pass,
   count(*) FILTER (WHERE upper(trim(status)) = 'WARN') AS n_warn,
   count(*) FILTER (WHERE upper(trim(status)) = 'FAIL') AS n_fail,
@@ -327,9 +331,10 @@ SELECT type, count(*) AS n, count(*) FILTER (WHERE upper(trim(status)) = 'PASS')
   round(avg(CASE WHEN upper(trim(status)) = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate
 FROM v GROUP BY 1"""
 
-ORACLE["hallucination_rate"] = f"""WITH {EDGES}, v AS ({adapter_sql('verdicts')}),
-j AS (SELECT NOT coalesce(v.in_truth, false) AS unsup, coalesce(upper(v.status) = 'FAIL', false) AS rej
-      FROM edges e LEFT JOIN v USING (source_id, type, target_id) WHERE e.type = 'SERVES')
+ORACLE["hallucination_rate"] = f"""WITH {EDGES}, v AS ({adapter_sql('all_verdicts')}),
+w AS (SELECT source_id, type, target_id, bool_or(in_truth) AS in_truth, bool_or(upper(trim(status)) = 'FAIL') AS failed FROM v GROUP BY ALL),
+j AS (SELECT NOT coalesce(w.in_truth, false) AS unsup, coalesce(w.failed, false) AS rej
+      FROM edges e LEFT JOIN w USING (source_id, type, target_id))
 SELECT count(*) AS n_relationships, count(*) FILTER (WHERE unsup) AS n_unsupported,
   count(*) FILTER (WHERE rej) AS n_rejected,
   round(avg(CASE WHEN unsup OR rej THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate FROM j"""
@@ -537,7 +542,7 @@ ORACLE["node_upsert_bucketed"] = ORACLE["node_upsert"]
 
 ORACLE["raw_table"] = f"""WITH {RAW}
 SELECT article_id, title, source_name, description, content, url, published_at, fetched_at, query, language, batch_id FROM raw"""
-ORACLE["source_pages"] = f"""WITH items AS ({adapter_sql('items')})
+ORACLE["landed_items"] = f"""WITH items AS ({adapter_sql('items')})
 SELECT source_name, title, url, published_at_text, author, description, content FROM items"""
 ORACLE["corrupt_lines"] = """SELECT CAST(doc_id AS VARCHAR) AS article_id, text AS content, NULL AS line FROM documents
 UNION ALL SELECT NULL, NULL, 'broken {' || doc_id FROM documents WHERE doc_id % 9 = 0"""
@@ -590,9 +595,9 @@ FROM ({ORACLE["ml_split"]}) WHERE split = 'test'"""
 ORACLE["malformed_items"] = f"""WITH items AS ({adapter_sql('items')})
 SELECT item_ord, published_at_text, 'unparseable publishedAt' AS reason FROM items
 WHERE NULLIF(trim(published_at_text), '') IS NOT NULL AND NOT regexp_matches(trim(published_at_text), '^\\d{{4}}-\\d{{2}}-\\d{{2}}')"""
-ORACLE["gate_each_run"] = f"""WITH runs AS ({adapter_sql('runs')})
-SELECT CASE WHEN accuracy >= {P.ACCURACY_GATE} THEN 'register_model' ELSE 'notify_training_failure' END AS next_task, count(*) AS n
-FROM runs GROUP BY 1"""
+ORACLE["gate_each_run"] = f"""WITH runs AS ({adapter_sql('checked_runs')})
+SELECT CASE WHEN accuracy >= {P.ACCURACY_GATE} AND NOT isnan(accuracy) THEN 'register_model' ELSE 'notify_training_failure' END AS next_task,
+  count(*) AS n FROM runs GROUP BY 1"""
 ORACLE["without_batch"] = f"WITH {RAW} SELECT article_id, title, content, batch_id FROM raw WHERE batch_id IS DISTINCT FROM 'batch_2'"
 ORACLE["append_messages"] = "SELECT conv_id, turn, role, text FROM conversations"
 
@@ -603,3 +608,57 @@ SELECT article_id, title, content, batch_id FROM raw WHERE batch_id = 'batch_2'
 UNION ALL SELECT article_id, title, content, batch_id FROM raw r WHERE batch_id = 'batch_1'
   AND NOT EXISTS (SELECT 1 FROM raw s WHERE s.batch_id = 'batch_2' AND s.article_id = r.article_id)"""
 ORACLE["upsert_compacted"] = f"SELECT *, 'v000000000002' AS version FROM ({ORACLE['elt_upsert']})"
+
+ORACLE["graph_properties"] = f"""WITH nodes AS ({adapter_sql('open_nodes')}),
+p AS (SELECT label, unnest(['name', 'a1', 'a2']) AS property, unnest([name, a1, a2]) AS v, 'STRING' AS type FROM nodes
+  UNION ALL SELECT label, property, CAST(json_extract(props_text, '$.' || property) AS VARCHAR),
+    CASE property WHEN 'size' THEN 'BIGINT' WHEN 'replicas' THEN 'BIGINT' WHEN 'tags' THEN 'ARRAY<STRING>' WHEN 'canary' THEN 'BOOLEAN'
+      WHEN 'metrics' THEN 'OBJECT<accuracy: BIGINT>' WHEN 'parameters' THEN 'OBJECT<user: STRING>' ELSE 'STRING' END
+  FROM (SELECT label, props_text, unnest(json_keys(props_text)) AS property FROM nodes)
+  WHERE json_type(props_text, '$.' || property) <> 'NULL')
+SELECT label, property, count(*) AS nodes, any_value(type) AS type FROM p WHERE v IS NOT NULL GROUP BY 1, 2"""
+
+_PAGES = f"""i AS ({adapter_sql('paged_items')}),
+t AS (SELECT *, row_number() OVER (PARTITION BY run_id, page ORDER BY item_ord) - 1 AS pos,
+  TRY_CAST(NULLIF(trim(published_at_text), '') AS TIMESTAMP) AS published_at FROM i)"""
+ORACLE["source_pages"] = f"""WITH {_PAGES},
+pages AS (SELECT run_id, page, count(*) AS n, min(pos) FILTER (WHERE published_at <= {D.ts(P.PAGE_SINCE)}) AS old_at FROM t GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT run_id, 2, 0, NULL FROM t WHERE CAST(regexp_extract(run_id, '([0-9]+)', 1) AS BIGINT) % 5 = 2),
+walk AS (SELECT *, row_number() OVER w = page AS whole, coalesce(bool_or(n < {P.PAGE_ITEMS} OR old_at IS NOT NULL)
+    OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped
+  FROM pages WHERE page <= 5 WINDOW w AS (PARTITION BY run_id ORDER BY page))
+SELECT t.run_id, t.page, CAST(pos AS INTEGER) AS pos, source_name, title, url, published_at_text, author, description, content,
+  'img-' || item_ord AS image
+FROM t JOIN walk w ON t.run_id = w.run_id AND t.page = w.page WHERE whole AND NOT stopped AND (old_at IS NULL OR pos < old_at)"""
+ORACLE["raw_payloads"] = f"""WITH {RAW_ITEMS}
+SELECT r.article_id, i.title, i.url, i.published_at_text, i.source_name, i.content, 'img-' || i.item_ord AS image
+FROM raw r JOIN items i ON r.item_ord = i.item_ord"""
+
+_fields = "(SELECT doc_id, 'title' AS field, 2.0 AS weight, split_part(text, chr(10), 1) AS body FROM documents UNION ALL SELECT doc_id, 'text', 1.0, text FROM documents)"
+ORACLE["fulltext_ranked"] = f"""WITH w AS (SELECT doc_id, field, weight, list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'),
+    lambda x: x <> '') AS words FROM {_fields}),
+f AS (SELECT field, count(*) AS documents, avg(len(words)) AS mean_length FROM w WHERE len(words) > 0 GROUP BY 1),
+h AS (SELECT doc_id, field, weight, len(words) AS length, term, len(list_filter(words, lambda x: x = term)) AS tf
+  FROM w, (SELECT unnest([{", ".join(f"'{t}'" for t in P.RANKED_TERMS)}]) AS term)),
+p AS (SELECT * FROM h WHERE tf > 0), n AS (SELECT term, field, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT doc_id, round(sum(weight * ln(1 + (documents - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score
+FROM p JOIN n USING (term, field) JOIN f USING (field) GROUP BY doc_id ORDER BY sum(weight * ln(1 + (documents - n + 0.5) / (n + 0.5)) * tf * 2.2
+  / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) DESC, doc_id LIMIT {P.RANKED_K}"""
+
+ORACLE["run_report"] = f"""WITH a AS (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM ({adapter_sql('audit')})),
+g AS (SELECT *, coalesce(epoch_us(t) - lag(epoch_us(t)) OVER (PARTITION BY pipeline ORDER BY t) > {P.RUN_GAP_SECONDS} * 1000000, true) AS starts FROM a),
+r AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY pipeline ORDER BY t ROWS UNBOUNDED PRECEDING) AS run_no FROM g),
+s AS (SELECT pipeline, run_no, stage, min(t) AS first FROM r GROUP BY 1, 2, 3),
+o AS (SELECT pipeline, run_no, string_agg(stage, '>' ORDER BY first, stage) AS stages FROM s GROUP BY 1, 2),
+k AS (SELECT pipeline, run_no, arg_min(stage, (t, stage)) FILTER (WHERE status = 'failed') AS first_failed_stage, min(t) AS run_start, max(t) AS run_end,
+    count(*) AS events, count(*) FILTER (WHERE status = 'failed') AS failures FROM r GROUP BY 1, 2),
+z AS (SELECT *, coalesce(max(CASE WHEN failures = 0 THEN run_no END) OVER (PARTITION BY pipeline ORDER BY run_no ROWS UNBOUNDED PRECEDING), 0) AS good FROM k)
+SELECT z.pipeline, CAST(z.run_no AS BIGINT) AS run_no, run_start, run_end, (epoch_us(run_end) - epoch_us(run_start)) / 1000000 AS seconds, events, failures,
+  stages, first_failed_stage, CAST(z.run_no - good AS BIGINT) AS failing_runs FROM z JOIN o USING (pipeline, run_no)"""
+ORACLE["run_log_texts"] = f"""WITH runs AS ({adapter_sql('runs')})
+SELECT run_id, '{P.ACCURACY_GATE}' AS gate, 'run ' || run_id AS note FROM runs"""
+ORACLE["load_branch"] = f"""WITH {RAW}
+SELECT b AS batch_id, CASE WHEN EXISTS (SELECT 1 FROM raw WHERE batch_id = b) THEN 'load' ELSE 'skip' END AS next_task
+FROM (SELECT unnest(['batch_1', 'batch_2', 'batch_9']) AS b)"""
+ORACLE["ml_evaluate"] = """SELECT count(*) AS processed, round(avg(CASE WHEN CAST(length(text) > 500 AS INTEGER) = quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"""

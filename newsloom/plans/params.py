@@ -26,3 +26,9 @@ COUNTER_WINDOW = "1 hour"
 DASHBOARD_NOW = "2024-01-30 12:00:00"
 DASHBOARD_HOURS = 6
 FRESHNESS_AS_OF = "2024-02-03 12:00:00"
+PAGE_SINCE = "2024-01-01 05:00:00"     # mark of the paged runs
+PAGE_ITEMS = 30                        # page size of the paged runs
+RUN_GAP_SECONDS = 120
+RANKED_TERMS = ("tion", "ond", "th", "der", "river")
+RANKED_K = 50
+TITLE_WEIGHT = 2.0

@@ -317,7 +317,20 @@ def q_lineage(spark, d):
 @register("node_projection")
 def q_node_projection(spark, d):
     """Per-label properties with defaults, slug ids, canonical status."""
-    return graph.project_nodes(graph_nodes(spark, d))
+    p = graph.project_nodes(open_nodes(spark, d))
+    return p.select(*[c for c in p.columns if c not in ("metrics", "parameters")], F.element_at("metrics", "accuracy").alias("accuracy"),
+                    F.element_at("parameters", "user").alias("parameter_user"))
+
+
+def open_nodes(spark, d):
+    n = fx.adapter(spark, d, "open_nodes")
+    return n.select("id", "label", "name", "a1", "a2", F.try_parse_json("props_text").alias("props"))
+
+
+@register("graph_properties")
+def q_graph_properties(spark, d):
+    """Every property that occurs per label, fixed or open, with the nodes that set it and its type."""
+    return graph.property_report(open_nodes(spark, d))
 
 
 @register("name_lookup")
@@ -382,14 +395,13 @@ def q_schema_compliance(spark, d):
 @register("judge_metrics")
 def q_judge_metrics(spark, d):
     """Verdict counts and pass rate."""
-    return graph.judge_metrics(fx.adapter(spark, d, "verdicts"))
+    return graph.judge_metrics(fx.adapter(spark, d, "all_verdicts"))
 
 
 @register("hallucination_rate")
 def q_hallucination_rate(spark, d):
     """Relationships not in ground truth or rejected."""
-    rel = graph_edges(spark, d).filter(F.col("type") == "SERVES")
-    return graph.hallucination_rate(rel, fx.adapter(spark, d, "verdicts"))
+    return graph.hallucination_rate(graph_edges(spark, d), fx.adapter(spark, d, "all_verdicts"))
 
 
 @register("coverage")
@@ -741,8 +753,8 @@ def q_raw_table(spark, d):
     return spark.table(name).drop("raw_payload", "source_id", "author")
 
 
-@register("source_pages")
-def q_source_pages(spark, d):
+@register("landed_items")
+def q_landed_items(spark, d):
     """Items landed as nested JSON pages, scanned with the declared schema."""
     path = scratch_path(spark, "pages")
     i = fx.items(spark, d)
@@ -752,6 +764,38 @@ def q_source_pages(spark, d):
                                                   "description", "content")
 
 
+def _landed_pages(spark, d):
+    """The paged items landed as one JSON record per page, with a field that no schema names, and the empty pages."""
+    i = fx.adapter(spark, d, "paged_items")
+    item = F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.col("source_name").alias("name")).alias("source"), "title", "url",
+                    "author", "description", "content", F.col("published_at_text").alias("publishedAt"),
+                    F.concat(F.lit("img-"), F.col("item_ord")).alias("urlToImage"))
+    full = (i.groupBy("run_id", "page").agg(F.sort_array(F.collect_list(F.struct("item_ord", item.alias("item")))).alias("x"))
+            .select("run_id", "page", F.transform("x", lambda e: e["item"]).alias("articles")))
+    runs = i.select("run_id").distinct().where(F.regexp_extract("run_id", "([0-9]+)", 1).cast("bigint") % 5 == 2)
+    empty = runs.select("run_id", F.lit(2).alias("page"), F.array().cast(full.schema["articles"].dataType).alias("articles"))
+    path = scratch_path(spark, "pages")
+    full.unionByName(empty).write.option("ignoreNullFields", "false").json(path)
+    return landing.read_pages(spark, path)
+
+
+@register("source_pages")
+def q_source_pages(spark, d):
+    """Landed pages read up to where a paged fetch would stop: an empty, absent or short page, or an old item."""
+    kept = ingest.until_stop(_landed_pages(spark, d), since=P.PAGE_SINCE, page_size=P.PAGE_ITEMS)
+    return landing.page_items(kept).select("run_id", "page", "pos", "source_name", "title", "url", "published_at_text", "author",
+                                           "description", "content", F.get_json_object("raw_payload", "$.urlToImage").alias("image"))
+
+
+@register("raw_payloads")
+def q_raw_payloads(spark, d):
+    """The raw rows of the landed pages with the whole source item, told by the fields found in it."""
+    raw = ingest.build_raw_articles(landing.page_items(_landed_pages(spark, d)), since=P.SINCE, fetched_at=P.AS_OF, language="en")
+    part = lambda path, name: F.get_json_object("raw_payload", path).alias(name)                    # noqa: E731
+    return raw.select("article_id", part("$.title", "title"), part("$.url", "url"), part("$.publishedAt", "published_at_text"),
+                      part("$.source.name", "source_name"), part("$.content", "content"), part("$.urlToImage", "image"))
+
+
 @register("corrupt_lines")
 def q_corrupt_lines(spark, d):
     """Landed lines that are not JSON go to quarantine, the rest are loaded."""
@@ -844,7 +888,7 @@ def q_malformed_items(spark, d):
 @register("gate_each_run")
 def q_gate_each_run(spark, d):
     """The branch each run takes at the accuracy gate."""
-    return ml.gate_each(fx.adapter(spark, d, "runs"), P.ACCURACY_GATE).groupBy("next_task").agg(F.count(F.lit(1)).alias("n"))
+    return ml.gate_each(fx.adapter(spark, d, "checked_runs"), P.ACCURACY_GATE).groupBy("next_task").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("without_batch")
@@ -880,3 +924,44 @@ def q_upsert_rows(spark, d):
     """J1 without a table: the first batch with the second merged in by id."""
     raw = fx.raw_landed(spark, d).select("article_id", "title", "content", "batch_id")
     return storage.upsert_frames(raw.filter("batch_id = 'batch_1'"), raw.filter("batch_id = 'batch_2'"))
+
+
+@register("fulltext_ranked")
+def q_fulltext_ranked(spark, d):
+    """The best documents by BM25 over two fields, title (first line, double weight) and text, through the scored index."""
+    fields = {"title": F.split_part("text", F.lit("\n"), F.lit(1)), "text": F.col("text")}
+    path = search.write_scored_index(read_table(spark, d, "documents"), fields, scratch_path(spark, "scored"))
+    read = spark.read.parquet
+    top = search.ranked(read(f"{path}/postings"), read(f"{path}/fields"), P.RANKED_TERMS, P.RANKED_K, {"title": P.TITLE_WEIGHT})
+    return top.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("run_report")
+def q_run_report(spark, d):
+    """Audit events cut into runs: order of stages, duration, first failing stage, failing runs in a row."""
+    return audit.run_report(audit.audit_events(fx.adapter(spark, d, "audit")), P.RUN_GAP_SECONDS)
+
+
+@register("run_log_texts")
+def q_run_log_texts(spark, d):
+    """Parameters and texts of the run log, pivoted back to columns."""
+    runs = fx.adapter(spark, d, "runs")
+    log = audit.run_log(runs, "run_id", {"accuracy": "accuracy"}, ts="finished_at", params={"gate": F.lit(P.ACCURACY_GATE)},
+                        texts={"note": F.concat(F.lit("run "), F.col("run_id"))})
+    return audit.pivot_run_log(log, ["gate"], "param").join(audit.pivot_run_log(log, ["note"], "text"), "run_id")
+
+
+@register("load_branch")
+def q_load_branch(spark, d):
+    """The branch a load takes, by a one-row probe of its batch."""
+    raw = fx.raw_landed(spark, d)
+    taken = [(b, "load" if ingest.has_rows(raw.filter(F.col("batch_id") == b)) else "skip") for b in ("batch_1", "batch_2", "batch_9")]
+    return spark.createDataFrame(taken, "batch_id string, next_task string")
+
+
+@register("ml_evaluate")
+def q_ml_evaluate(spark, d):
+    """Processed count and accuracy of predictions that SQL can state (a document of over 500 characters is good)."""
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels").where("quality is not null")
+    p = docs.join(labels, "doc_id").select((F.length("text") > 500).cast("int").alias("prediction"), F.col("quality").alias("label"))
+    return ml.accuracy(p)

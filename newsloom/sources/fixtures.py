@@ -100,6 +100,51 @@ SELECT 'dep_' || CAST(l_suppkey AS STRING) AS source_id, 'model_' || CAST(l_part
 FROM {lineitem} GROUP BY l_suppkey, l_partkey
 """
 
+# Verdicts about every edge type; every seventh edge has a second verdict, which may disagree.
+ALL_VERDICTS = """
+WITH first AS (
+  SELECT 'dep_' || CAST(l_suppkey AS STRING) AS source_id, 'model_' || CAST(l_partkey AS STRING) AS target_id, 'SERVES' AS type,
+    max(l_linenumber) AS a, max(l_partkey) AS b FROM {lineitem} GROUP BY l_suppkey, l_partkey
+  UNION ALL
+  SELECT 'model_' || CAST(l_partkey AS STRING), 'run_' || CAST(l_orderkey AS STRING), 'PRODUCED_BY', max(l_linenumber), max(l_orderkey)
+  FROM {lineitem} GROUP BY l_partkey, l_orderkey
+  UNION ALL
+  SELECT 'run_' || CAST(o_orderkey AS STRING), 'exp_' || CAST(o_custkey AS STRING), 'BELONGS_TO', o_orderkey % 8, o_custkey FROM {orders})
+SELECT source_id, target_id, type, CASE WHEN a = 7 THEN 'FAIL' WHEN a = 6 THEN 'WARN' ELSE 'PASS' END AS status, b % 5 <> 0 AS in_truth FROM first
+UNION ALL
+SELECT source_id, target_id, type, CASE WHEN b % 2 = 0 THEN 'FAIL' ELSE ' pass ' END, b % 3 = 0 FROM first WHERE b % 7 = 0
+"""
+
+# Nodes with an open property set as JSON text: descriptions, metrics, parameters, images and replicas, and keys of no schema.
+OPEN_NODES = """
+SELECT 'model_' || CAST(p_partkey AS STRING) AS id, 'Model' AS label, p_name AS name, p_brand AS a1, p_type AS a2,
+  '{{"description":"' || p_name || ' of type ' || p_type || '","size":' || CAST(p_size AS STRING)
+    || CASE WHEN p_partkey % 4 = 0 THEN ',"tags":["a","b"]' WHEN p_partkey % 4 = 1 THEN ',"tags":null' ELSE '' END || '}}' AS props_text FROM {part}
+UNION ALL SELECT 'run_' || CAST(o_orderkey AS STRING), 'Run', o_orderpriority, o_orderstatus, NULL,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '{{"metrics":{{"accuracy":' || CAST(o_orderkey % 100 AS STRING) || '}},"parameters":{{"user":"'
+    || CAST(o_custkey AS STRING) || '"}}}}' END FROM {orders}
+UNION ALL SELECT 'exp_' || CAST(c_custkey AS STRING), 'Experiment', c_name, c_mktsegment, NULL, '{{}}' FROM {customer}
+UNION ALL SELECT 'dep_' || CAST(s_suppkey AS STRING), 'Deployment', s_name, 'cluster_' || CAST(s_nationkey AS STRING), NULL,
+  '{{"image":"img:' || CAST(s_nationkey AS STRING) || '"' || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE ',"replicas":' || CAST(s_suppkey % 7 AS STRING) END
+    || CASE WHEN s_suppkey % 6 = 0 THEN ',"canary":true' ELSE '' END || '}}' FROM {supplier}
+"""
+
+# The runs, and some whose accuracy is not a number or absent.
+CHECKED_RUNS = """
+SELECT 'run_' || CAST(o_orderkey AS STRING) AS run_id, CAST(0.75 + (o_orderkey % 25) / 100.0 AS DOUBLE) AS accuracy FROM {orders}
+UNION ALL SELECT 'bad_' || CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN CAST('NaN' AS DOUBLE) END FROM {orders} WHERE o_orderkey % 10 < 2
+"""
+
+# Pages of a paged source: 300 item ordinals are a run, 60 a page. Some runs hold an empty page, some lack one.
+PAGED_ITEMS = """
+WITH i AS (""" + ITEMS + """),
+p AS (SELECT *, CAST(floor(item_ord / 300) AS BIGINT) AS r, CAST(floor((item_ord % 300) / 60) AS INT) AS q FROM i)
+SELECT item_ord, 'run_' || CAST(r AS STRING) AS run_id,
+  CAST(1 + q + CASE WHEN r % 5 = 2 AND q >= 1 THEN 1 WHEN r % 7 = 3 AND q >= 2 THEN 1 ELSE 0 END AS INT) AS page,
+  source_name, title, url, published_at_text, author, description, content
+FROM p
+"""
+
 COVERS = """
 SELECT DISTINCT 'lo_' || CAST(l_suppkey AS STRING) AS source_id, 'disease_' || CAST(l_partkey AS STRING) AS target_id
 FROM {lineitem} WHERE l_quantity >= 50
@@ -211,7 +256,7 @@ ADAPTERS = {
 
 
 def _tables_of(text: str) -> list[str]:
-    return sorted(set(re.findall(r"\{([a-z]+)\}", text)))
+    return sorted(set(re.findall(r"(?<!\{)\{([a-z]+)\}(?!\})", text)))
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -282,3 +327,4 @@ FROM {lineitem}
 """
 
 ADAPTERS.update({"node_batch": NODE_BATCH, "edge_batch": EDGE_BATCH})
+ADAPTERS.update({"all_verdicts": ALL_VERDICTS, "open_nodes": OPEN_NODES, "checked_runs": CHECKED_RUNS, "paged_items": PAGED_ITEMS})

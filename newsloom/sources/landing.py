@@ -18,6 +18,10 @@ ITEM_SCHEMA = T.StructType([
     T.StructField("content", T.StringType()),
 ])
 
+# One landed page of a run: its items in source order. Items are VARIANT, so fields that no schema names survive.
+PAGE_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("page", T.IntegerType()),
+                            T.StructField("articles", T.ArrayType(T.VariantType()))])
+
 # Declared schema of the raw article table (the load schema; never inferred).
 RAW_SCHEMA = T.StructType([
     T.StructField("article_id", T.StringType()),
@@ -57,6 +61,20 @@ def read_items(spark: SparkSession, path: str, pages: bool = True) -> DataFrame:
     return df.drop("_start")
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages, one JSON record per run and page (``run_id, page, articles``); a page holds at most a page size."""
+    return spark.read.schema(PAGE_SCHEMA).json(path)
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """One row per item of the pages, with its position and, as ``raw_payload``, the whole source item."""
+    text = lambda path, name: F.try_variant_get("_item", path, "string").alias(name)        # noqa: E731
+    return pages.select("run_id", "page", F.posexplode("articles").alias("pos", "_item")).select(
+        "run_id", "page", "pos", text("$.source.name", "source_name"), text("$.source.id", "source_id"), text("$.title", "title"),
+        text("$.url", "url"), text("$.publishedAt", "published_at_text"), text("$.author", "author"),
+        text("$.description", "description"), text("$.content", "content"), F.to_json("_item").alias("raw_payload"))
+
+
 def write_jsonl(df: DataFrame, path: str, partition_by: str | None = "batch_id", mode: str = "append") -> None:
     """One JSON object per line, instants as UTC ISO text, appended per batch."""
     w = df.write.mode(mode).option("timestampFormat", JSON_TIMESTAMP_FORMAT).option("ignoreNullFields", "false")
