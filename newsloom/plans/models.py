@@ -3,6 +3,9 @@
 A model is a function of its upstream DataFrames or a parameterised SQL text that names
 its upstreams through ``IDENTIFIER(:name)``. Views become temp views, tables are written to
 a fresh location and read back. Resolution is a plain depth-first walk over declared refs.
+
+Models may declare column tests (Q9). ``build`` then runs them and skips every model behind a
+failed one.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from newsloom.operators.quality import unique
 from newsloom.session import scratch_path
 
 
@@ -23,6 +28,7 @@ class Model:
     build: Callable[..., DataFrame] | str
     materialized: str = "view"          # "view" | "table"
     args: dict = field(default_factory=dict)
+    tests: dict = field(default_factory=dict)           # column -> ("not_null", "unique")
 
 
 class ModelRegistry:
@@ -33,13 +39,15 @@ class ModelRegistry:
         self.built: dict[str, DataFrame] = {}
         self.view_names: dict[str, str] = {}
         self.suffix = uuid.uuid4().hex[:8]
+        self.nulls: dict[str, int] = {}     # NULLs in the not_null columns of a table, counted while it was written
 
     def source(self, name: str, df: DataFrame) -> "ModelRegistry":
         self.sources[name] = df
         return self
 
-    def model(self, name: str, refs: list[str], build, materialized: str = "view", **args) -> "ModelRegistry":
-        self.models[name] = Model(name, refs, build, materialized, args)
+    def model(self, name: str, refs: list[str], build, materialized: str = "view", tests: dict | None = None,
+              **args) -> "ModelRegistry":
+        self.models[name] = Model(name, refs, build, materialized, args, tests or {})
         return self
 
     def _view(self, name: str, df: DataFrame) -> str:
@@ -68,8 +76,55 @@ class ModelRegistry:
             df = m.build(*ups)
         if m.materialized == "table":
             path = scratch_path(self.spark, m.name)
-            df.write.parquet(path)
+            required, seen = _required(m), Observation()
+            watched = df.observe(seen, *_null_counts(required)) if required else df
+            watched.write.parquet(path)
+            self.nulls[name] = sum(seen.get.values()) if required else 0
             df = self.spark.read.parquet(path)
         self._view(name, df)
         self.built[name] = df
         return df
+
+    def build(self) -> DataFrame:
+        """Q9: builds every model, in the order of its refs, and tests it before anything that reads it is built.
+
+        Rows: ``model, status, failures, blocked_by``; the status is ``pass``, ``fail``, or ``skipped`` for a model that reads,
+        directly or not, from a failed one (``blocked_by`` names it). A table's NULLs are counted while it is written; a view's,
+        and repeated values, by one aggregate each over the tested columns.
+        """
+        report: dict[str, tuple] = {}
+
+        def visit(name: str) -> str | None:
+            """The failed model that blocks ``name`` and what reads it, if any."""
+            if name in self.sources:
+                return None
+            if name not in report:
+                m = self.models[name]
+                blockers = [b for b in map(visit, m.refs) if b]
+                if blockers:
+                    report[name] = (name, "skipped", None, blockers[0])
+                else:
+                    failures = self._failures(m)
+                    report[name] = (name, "fail" if failures else "pass", failures, None)
+            _, status, _, blocker = report[name]
+            return blocker if status == "skipped" else name if status == "fail" else None
+
+        for name in self.models:
+            visit(name)
+        return self.spark.createDataFrame(list(report.values()), "model string, status string, failures bigint, blocked_by string")
+
+    def _failures(self, m: Model) -> int:
+        df = self.ref(m.name)
+        found = self.nulls.get(m.name)
+        if found is None:
+            required = _required(m)
+            found = sum(df.agg(*_null_counts(required)).first()) if required else 0
+        return found + sum(unique(df, m.name, c).first().failures for c, kinds in m.tests.items() if "unique" in kinds)
+
+
+def _required(m: Model) -> list[str]:
+    return [c for c, kinds in m.tests.items() if "not_null" in kinds]
+
+
+def _null_counts(columns: list[str]) -> list:
+    return [F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)]

@@ -662,3 +662,16 @@ SELECT b AS batch_id, CASE WHEN EXISTS (SELECT 1 FROM raw WHERE batch_id = b) TH
 FROM (SELECT unnest(['batch_1', 'batch_2', 'batch_9']) AS b)"""
 ORACLE["ml_evaluate"] = """SELECT count(*) AS processed, round(avg(CASE WHEN CAST(length(text) > 500 AS INTEGER) = quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"""
+
+_stage_nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in ("article_id", "title", "source_name", "url", "published_at", "batch_id"))
+ORACLE["model_gate"] = f"""WITH {RAW},
+f AS (SELECT CAST((SELECT {_stage_nulls} FROM raw) + (SELECT count(*) FROM (SELECT article_id FROM raw WHERE article_id IS NOT NULL
+  GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS n)
+SELECT 'stg_news_articles' AS model, 'fail' AS status, n AS failures, NULL AS blocked_by FROM f
+UNION ALL SELECT 'fct_daily_article_counts', 'skipped', NULL, 'stg_news_articles'
+UNION ALL SELECT 'mart_sources', 'skipped', NULL, 'stg_news_articles'
+UNION ALL SELECT 'required_rows', 'pass', 0, NULL UNION ALL SELECT 'required_sources', 'pass', 0, NULL"""
+ORACLE["fct_incremental"] = ORACLE["fct_daily_counts"]
+ORACLE["processed_table"] = f"""WITH {RAW}, p AS ({elt_sql('raw')})
+SELECT published_date, source_name, count(*) AS article_count, count(*) FILTER (WHERE content_length > 0) AS sentiment_ready_count,
+  CAST(sum(content_length) AS BIGINT) AS characters FROM p GROUP BY 1, 2"""

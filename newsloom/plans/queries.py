@@ -335,8 +335,9 @@ def q_graph_properties(spark, d):
 
 @register("name_lookup")
 def q_name_lookup(spark, d):
-    """Nodes by name."""
-    return graph.name_lookup(graph_nodes(spark, d), P.LOOKUP_NAME).select("id", "label", "name", "a1")
+    """Nodes by name, from files sorted by name with bloom filters on name and id."""
+    path = storage.write_indexed(graph_nodes(spark, d), scratch_path(spark, "nodes"), ["name", "id"], ("name", "id"))
+    return graph.name_lookup(spark.read.parquet(path), P.LOOKUP_NAME).select("id", "label", "name", "a1")
 
 
 @register("graph_schema")
@@ -965,3 +966,50 @@ def q_ml_evaluate(spark, d):
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels").where("quality is not null")
     p = docs.join(labels, "doc_id").select((F.length("text") > 500).cast("int").alias("prediction"), F.col("quality").alias("label"))
     return ml.accuracy(p)
+
+
+@register("model_gate")
+def q_model_gate(spark, d):
+    """Models tested as they are built; what lies behind a failed test is skipped."""
+    def counts(rows):
+        return rows.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+
+    def required(raw):
+        return transform.elt_required(raw).select("article_id", "source_name", "published_at")
+
+    kept = {c: ("not_null",) for c in ("article_id", "source_name", "published_at")}
+    reg = (models.ModelRegistry(spark).source("raw", fx.raw_landed(spark, d))
+           .model("stg_news_articles", ["raw"], transform.staging, "table", quality.STAGING_TESTS)
+           .model("fct_daily_article_counts", ["stg_news_articles"], transform.daily_mart, "table", quality.MART_TESTS)
+           .model("mart_sources", ["fct_daily_article_counts"], counts, "view")
+           .model("required_rows", ["raw"], required, "view", kept)
+           .model("required_sources", ["required_rows"], counts, "table", {"source_name": ("not_null", "unique"), "n": ("not_null",)}))
+    return reg.build()
+
+
+@register("fct_incremental")
+def q_fct_incremental(spark, d):
+    """A3: the daily mart maintained by arrival, its distinct ids without a rescan."""
+    staged = transform.staging(fx.raw_landed(spark, d))
+    ids, deltas = scratch_path(spark, "mart-ids"), scratch_path(spark, "mart-deltas")
+    versions.create_mart(spark, ids, deltas)
+    for n in range(3):
+        arrival = staged.where(F.pmod(F.xxhash64("article_id", "batch_id"), F.lit(3)) == n)
+        versions.add_arrival(spark, arrival, ids, deltas, versions.version_name(n))
+    return versions.mart(spark, deltas)
+
+
+@register("processed_table")
+def q_processed_table(spark, d):
+    """The processed and the daily table by their DDL (partitioned by day, clustered by source), filled and read back."""
+    path = scratch_path(spark, "ddl")
+    names = {t: f"{t}_{path.rsplit('-', 1)[1]}" for t in ("processed", "daily")}
+    storage.create_table(spark, storage.PROCESSED_DDL, names["processed"], f"{path}/processed")
+    storage.create_table(spark, storage.DAILY_DDL, names["daily"], f"{path}/daily")
+    processed = spark.table(names["processed"])
+    transform.elt_source(fx.raw_landed(spark, d)).select(*processed.columns).write.insertInto(names["processed"])
+    processed, daily = spark.table(names["processed"]), spark.table(names["daily"])
+    transform.daily_counts(processed).select(*daily.columns).write.insertInto(names["daily"])
+    day = ["published_date", "source_name"]
+    lengths = spark.table(names["processed"]).groupBy(*day).agg(F.sum("content_length").alias("characters"))
+    return spark.table(names["daily"]).join(lengths, day)

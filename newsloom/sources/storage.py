@@ -129,6 +129,18 @@ def apply_retention(spark: SparkSession, path: str, new_path: str, now=None, day
     return rebuild(retention_filter(spark.read.parquet(path), now, days, ts_col), new_path, partition_col)
 
 
+def write_indexed(df: DataFrame, path: str, sort_by, bloom=(), files: int | None = None) -> str:
+    """Files sorted by ``sort_by`` (range-partitioned, so a value lies in few files and row groups) with Parquet
+    bloom filters on the ``bloom`` columns: an equality lookup skips the row groups whose bounds or filters exclude it."""
+    keys = [sort_by] if isinstance(sort_by, str) else list(sort_by)
+    dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    w = dealt.sortWithinPartitions(*keys).write
+    for c in bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.parquet(path)
+    return path
+
+
 def write_bucketed(df: DataFrame, name: str, path: str, keys, buckets: int) -> DataFrame:
     """A table bucketed and sorted by ``keys`` (catalog table at ``path``).
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators.late import drop_rows
+from newsloom.operators.transform import mart_delta, mart_total
+from newsloom.session import checkpoint_dir
 
 VERSION = "version"
 
@@ -33,6 +35,12 @@ def append_version(rows: DataFrame, path: str, version: str, keys, partition_col
     w.parquet(f"{path}/{VERSION}={version}")
 
 
+def create(spark: SparkSession, path: str, schema: T.StructType, keys, partition_col: str | None = None) -> str:
+    """An empty table: a first version without rows, partitioned like those that follow."""
+    append_version(spark.createDataFrame([], schema), path, version_name(0, "empty"), keys, partition_col)
+    return path
+
+
 def all_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The rows of every version, with ``version``."""
     with_version = T.StructType([f for f in schema.fields if f.name != VERSION] + [T.StructField(VERSION, T.StringType())])
@@ -69,3 +77,35 @@ def compact(spark: SparkSession, path: str, new_path: str, schema: T.StructType,
     last = rows.agg(F.max(VERSION)).first()[0] or version_name(0)
     append_version(newest(rows, keys, order), new_path, last, keys, partition_col)
     return new_path
+
+
+IDS_SCHEMA = T.StructType([T.StructField("published_date", T.DateType()), T.StructField("source_name", T.StringType()),
+                           T.StructField("article_id", T.StringType())])
+DELTA_SCHEMA = T.StructType(IDS_SCHEMA.fields[:2] + [T.StructField(c, T.LongType()) for c in (
+    "article_count", "sentiment_ready_count", "distinct_article_count")])
+
+
+DAY = ["published_date", "source_name"]
+
+
+def create_mart(spark: SparkSession, ids_path: str, deltas_path: str) -> None:
+    create(spark, ids_path, IDS_SCHEMA, [*DAY, "article_id"])
+    create(spark, deltas_path, DELTA_SCHEMA, DAY)
+
+
+def add_arrival(spark: SparkSession, staged: DataFrame, ids_path: str, deltas_path: str, version: str) -> None:
+    """A3 incrementally: one arrival's new ids and its delta become a version of either table; nothing is counted again.
+
+    A repeated arrival replaces its own versions: its ids are compared with those of the other versions only.
+    """
+    known = all_versions(spark, ids_path, IDS_SCHEMA).where(F.col(VERSION) != version)
+    checkpoint_dir(spark)
+    new, delta = mart_delta(staged, known)
+    delta = delta.checkpoint(eager=True)                # before the ids of this arrival are there
+    append_version(new, ids_path, version, [*DAY, "article_id"])
+    append_version(delta, deltas_path, version, DAY)
+
+
+def mart(spark: SparkSession, deltas_path: str) -> DataFrame:
+    """A3: the mart after all arrivals."""
+    return mart_total(all_versions(spark, deltas_path, DELTA_SCHEMA))

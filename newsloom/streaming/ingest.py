@@ -108,7 +108,7 @@ def incremental_ingest(spark: SparkSession, landing: str, processed_path: str, d
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     schema, daily_schema = _schemas(spark, fetched_at)
     for path, s, keys, part in ((processed_path, schema, PROCESSED_KEY, "published_date"), (daily_path, daily_schema, DAILY_KEY, None)):
-        versions.append_version(spark.createDataFrame([], s), path, versions.version_name(0, "empty"), keys, part)
+        versions.create(spark, path, s, keys, part)
 
     def epoch(batch: DataFrame, epoch_id: int) -> None:
         name = versions.version_name(epoch_id + 1, run)

@@ -55,8 +55,7 @@ def rate_stream(spark: SparkSession, landing: str, schema, result: str, checkpoi
                    F.sum(lat).alias("latency_sum"), F.count(lat).alias("latency_count"),
                    *[F.count_if(lat <= F.lit(b)).alias(f"_c{i}") for i, b in enumerate(buckets)]))
     key, run = ["window_start", *group_cols], hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
-    versions.append_version(spark.createDataFrame([], result_schema(group_cols, buckets)), result,
-                            versions.version_name(0, "empty"), key, "window_date")
+    versions.create(spark, result, result_schema(group_cols, buckets), key, "window_date")
 
     def append_epoch(batch: DataFrame, epoch_id: int) -> None:
         upd = (batch.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
