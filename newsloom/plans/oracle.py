@@ -675,3 +675,19 @@ ORACLE["fct_incremental"] = ORACLE["fct_daily_counts"]
 ORACLE["processed_table"] = f"""WITH {RAW}, p AS ({elt_sql('raw')})
 SELECT published_date, source_name, count(*) AS article_count, count(*) FILTER (WHERE content_length > 0) AS sentiment_ready_count,
   CAST(sum(content_length) AS BIGINT) AS characters FROM p GROUP BY 1, 2"""
+
+_valid = PARSED.replace("parsed AS (SELECT doc_id,", "parsed AS (SELECT doc_id, j, body,")
+ORACLE["extracted_rows"] = f"""WITH {_valid},
+valid AS (SELECT doc_id, j, body FROM parsed WHERE status = 'valid'),
+runs AS (SELECT doc_id, unnest(json_extract(body, '$.runs[*]')) AS e FROM valid)
+SELECT doc_id, 'models' AS kind, m.id AS id, m.name AS name, m.version AS value FROM (SELECT doc_id, unnest(j.models) AS m FROM valid)
+UNION ALL SELECT doc_id, 'experiments', e.id, e.name, e.status FROM (SELECT doc_id, unnest(j.experiments) AS e FROM valid)
+UNION ALL SELECT doc_id, 'runs', json_extract_string(e, '$.id'), json_extract_string(e, '$.name'), json_extract_string(e, '$.metrics.accuracy') FROM runs
+UNION ALL SELECT doc_id, 'deployments', p.id, p.name, CAST(p.replicas AS VARCHAR) FROM (SELECT doc_id, unnest(j.deployments) AS p FROM valid)
+UNION ALL SELECT doc_id, 'relationships', x.source_id, x.target_id, x.type FROM (SELECT doc_id, unnest(j.relationships) AS x FROM valid)"""
+ORACLE["next_step"] = ORACLE["last_message"].replace("'end' AS next_step",
+    "CASE WHEN len(regexp_extract_all(text, '[A-Z][a-z]+ble')) > 0 THEN 'continue' ELSE 'end' END AS next_step")
+ORACLE["raw_appended"] = f"WITH {RAW} SELECT article_id, title, content, url, batch_id FROM raw"
+ORACLE["configured_items"] = f"""WITH {RAW_ITEMS}
+SELECT article_id, source_name, language, title FROM raw
+WHERE source_name IN ('src1', 'src3', 'src5') AND language = '{P.LANGUAGE}' AND ({_kw_pred})"""

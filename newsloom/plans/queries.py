@@ -1013,3 +1013,44 @@ def q_processed_table(spark, d):
     day = ["published_date", "source_name"]
     lengths = spark.table(names["processed"]).groupBy(*day).agg(F.sum("content_length").alias("characters"))
     return spark.table(names["daily"]).join(lengths, day)
+
+
+@register("extracted_rows")
+def q_extracted_rows(spark, d):
+    """Every entity and relationship of the valid replies, one row each, with typed metrics and replicas."""
+    valid, _ = extract.route(parsed_responses(spark, d))
+    values = {"models": F.col("version"), "experiments": F.col("status"), "runs": F.element_at("metrics", "accuracy").cast("string"),
+              "deployments": F.col("replicas").cast("string")}
+    parts = [extract.explode_entities(valid, kind).select("doc_id", F.lit(kind).alias("kind"), "id", "name", v.alias("value"))
+             for kind, v in values.items()]
+    parts.append(extract.explode_entities(valid, "relationships").select(
+        "doc_id", F.lit("relationships").alias("kind"), F.col("source_id").alias("id"), F.col("target_id").alias("name"), F.col("type").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("next_step")
+def q_next_step(spark, d):
+    """The next step where messages may ask for tools (here: words that end in "ble" after a capital)."""
+    messages = read_table(spark, d, "conversations")
+    return chat.last_message(messages.withColumn("tool_calls", F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ble"), 0)))
+
+
+@register("raw_appended")
+def q_raw_appended(spark, d):
+    """Batches appended one after another to a table partitioned by batch."""
+    path = scratch_path(spark, "appended")
+    raw = fx.raw_landed(spark, d)
+    for batch in ("batch_1", "batch_2"):
+        storage.append(raw.filter(F.col("batch_id") == batch), path, "batch_id")
+    return spark.read.schema(raw.schema).parquet(path).select("article_id", "title", "content", "url", "batch_id")
+
+
+@register("configured_items")
+def q_configured_items(spark, d):
+    """One run configuration applied to the raw rows: sources, language and keywords together."""
+    c = ingest.PipelineConfig(query=P.KEYWORDS, language=P.LANGUAGE, sources=ingest.PipelineConfig.parse_sources(P.SOURCE_LIST))
+    raw = ingest.filter_language(ingest.filter_sources(raw_items(spark, d), ",".join(c.sources)), c.language)
+    return ingest.filter_keywords(raw, c.query).select("article_id", "source_name", "language", "title")
