@@ -3,9 +3,10 @@
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit digest of its word sequence
    and one hash per band. Texts with equal digests are one *node* (its smallest doc_id stands for it).
 2. Nodes that share a band hash form a bucket. Each member is compared with the bucket's smallest node on full sets.
-3. Buckets whose members are not yet all in one component are compared inside tasks, block against block of bounded
-   weight, skipping pairs already connected and pairs that an earlier common band covers. Only links leave a task,
-   so no bucket emits its pairs and none is read by one task.
+3. Buckets whose other members are not yet all in one component are compared inside tasks, block against block of
+   bounded weight, skipping pairs already connected and pairs that an earlier common band covers. The smallest node has
+   been compared with all and is left out, and of buckets with equal other members the one of the earliest band stands
+   for all. Only links leave a task, so no bucket emits its pairs and none is read by one task.
 
 The number of bands follows from the threshold: a pair exactly at it is missed with a probability of at most
 ``max_miss`` (low thresholds get shorter bands; one that can't be held raises ValueError); every pair that shares a band
@@ -150,9 +151,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, max_mi
                     .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
                          F.first("bands").alias("bands")), "near-nodes")
 
-    spread = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    lead = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other"),
-                                        F.sum("n_shingles").alias("weight")).where("leader != other").drop("other")
+    spread = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    lead = (spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
+            .where("leader != other").drop("other"))
     members = written(spread.join(lead, "bucket"), "near-members")
 
     pairs = members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -162,10 +163,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, max_mi
     links = written(_verified(pairs, texts, shingle, percent), "near-links")
     labels = connected_components(links)
 
-    labelled = (members.join(labels, "node", "left")
+    labelled = (members.where("node != leader").join(labels, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")).drop("leader"))
-    unsettled = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo != hi").select("bucket"))
+    exact = lambda c: F.sum(c.cast("decimal(38,0)"))                                    # noqa: E731
+    unsettled = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                                F.min("band").alias("band"), F.sum("n_shingles").alias("weight"),
+                                                F.count("*").alias("n"), exact(F.xxhash64("node")).alias("set_a"),
+                                                exact(F.xxhash64(F.lit(1), "node")).alias("set_b"))
+                 .where("lo != hi").groupBy("n", "set_a", "set_b")
+                 .agg(F.min_by("bucket", "band").alias("bucket"), F.first("weight").alias("weight")).select("bucket", "weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
     cut = (labelled.join(unsettled, "bucket").withColumn("blocks", blocks)
            .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
