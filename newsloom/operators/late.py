@@ -4,33 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.session import checkpoint_dir
 
-# Losers up to this many bytes are broadcast, so that the wide rows aren't shuffled at all; more of them meet by a shuffle.
+# A list of row identities up to this many bytes is broadcast, so that the wide rows aren't shuffled at all; a longer one
+# meets them by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
-def drop_rows(wide: DataFrame, losers: DataFrame, on: list[str]) -> DataFrame:
-    """``wide`` without the rows whose ``on`` columns (NULL is a value) are among ``losers``.
-
-    The losers are computed once into a reliable checkpoint, and their measured size decides how they meet the wide rows.
-    """
-    checkpoint_dir(losers.sparkSession)
-    losers = losers.select(*[F.col(c).alias(f"_l_{c}") for c in on]).checkpoint(eager=True)
-    width = F.lit(16)
-    for c in losers.columns:
-        width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16
-    n, size = losers.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+def _meet(wide: DataFrame, rows: DataFrame, on: list[str], how: str, empty: DataFrame) -> DataFrame:
+    """The rows are computed once into a reliable checkpoint, and their measured size decides how they meet the wide ones."""
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.select(*[F.col(c).alias(f"_l_{c}") for c in on]).checkpoint(eager=True)
+    width = F.lit(8)
+    for f in rows.schema.fields:
+        fixed = isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType))
+        width = width + (F.lit(8) if fixed else F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     if not n:
-        return wide
+        return empty
     if size <= BROADCAST_BYTES:
-        losers = F.broadcast(losers)
+        rows = F.broadcast(rows)
     cond = None
     for c in on:
         same = wide[c].eqNullSafe(F.col(f"_l_{c}"))
         cond = same if cond is None else cond & same
-    return wide.join(losers, cond, "left_anti")
+    return wide.join(rows, cond, how)
+
+
+def drop_rows(wide: DataFrame, losers: DataFrame, on: list[str]) -> DataFrame:
+    """``wide`` without the rows whose ``on`` columns (NULL is a value) are among ``losers``."""
+    return _meet(wide, losers, on, "left_anti", wide)
+
+
+def keep_rows(wide: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``wide`` whose ``on`` columns (NULL is a value) are among ``winners``."""
+    return _meet(wide, winners, on, "left_semi", wide.limit(0))
 
 
 def pick_rows(wide: DataFrame, key: str, order: list[Column], largest: bool = False) -> DataFrame:
