@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.arrow import slices, small_batches, text_bytes, written
 from newsloom.llm.components import connected_components
 from newsloom.llm.shingles import WordHashes, band_hashes, overlap, shingle_set, signatures, words_of
+from newsloom.operators.late import drop_rows, keep_rows
 
 ROWS = 5                                        # slots of a band
 MAX_BANDS = 51
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, max_mi
     pairs = members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     docs_text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     wanted = members.select("node").distinct()
-    texts = written(docs_text.join(wanted, "node", "left_semi"), "near-texts")
+    texts = written(keep_rows(docs_text, wanted, ["node"]), "near-texts")
     links = written(_verified(pairs, texts, shingle, percent), "near-links")
     labels = connected_components(links)
 
@@ -198,8 +199,10 @@ def deduplicate(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     verdict = near_duplicates(docs, percent, shingle).where("doc_id is not null")
     ids = written(verdict.groupBy("doc_id").agg(F.min("component_id").alias("component_id"),
                                                 F.count("*").alias("n")), "near-kept")
-    ids = ids.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"), F.col("n").alias("_kept_n"))
-    key = docs["doc_id"].cast("long")
-    once = docs.join(ids.where("_kept_n = 1"), key == ids["_kept_id"], "left_semi")
-    again = docs.join(ids.where("_kept_n > 1"), key == ids["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("__near_dup_id", F.col("doc_id").cast("long"))
+    left = drop_rows(keyed, ids.where("doc_id != component_id").select(F.col("doc_id").alias("__near_dup_id")), ["__near_dup_id"])
+    repeated = ids.where("doc_id = component_id and n > 1").select(F.col("doc_id").alias("__near_dup_id"))
+    if repeated.isEmpty():
+        return left.drop("__near_dup_id")
+    again = keep_rows(left, repeated, ["__near_dup_id"]).dropDuplicates(["__near_dup_id"])
+    return drop_rows(left, repeated, ["__near_dup_id"]).unionByName(again).drop("__near_dup_id")
