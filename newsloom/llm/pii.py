@@ -14,13 +14,14 @@ Phone numbers keep their country code and the 0 or 1 dialled before an area; mon
 Defined cases: a null text stays null with 0 findings; texts without a digit or ``@`` are passed on unread; overlapping
 candidates are taken left to right, the longest kind first; numbers that fail their check are left alone, and the scan goes
 on behind their first group. A run of digit groups is read at every group border, customary card layouts before any other;
-an IBAN ends where its country's length says. The key is a parameter; the default is for tests. Rows, ids and extra columns are kept as they are; an empty table gives no rows.
+an IBAN ends where its country's length says. The key is a required parameter; ``session_key`` reads it from the session's settings. Rows, ids and extra columns are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 import re
 import struct
 import unicodedata
@@ -28,12 +29,14 @@ from collections.abc import Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import small_batches, text_bytes
 
-DEFAULT_KEY = b"newsloom test key"
+# The session setting that holds the key, in hexadecimal. Its name is one that Spark redacts in logs.
+KEY_SETTING = "spark.newsloom.pii.secret"
+_RANDOM_KEY = os.urandom(32)                    # of this driver, where the session names none
 ROUNDS = 8
 LONG = 64                                       # letters and digits above which a local part is permuted digit by digit
 KINDS = ("email", "iban", "ipv4", "phone", "date", "ssn", "card")
@@ -327,7 +330,7 @@ def pseudonym(kind: str, found: str, key: bytes) -> str | None:
 _SPANS = {"iban": _iban_span, "phone": _phone_span, "card": _card_span}
 
 
-def replace_all(text: bytes | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, dict[str, int]]:
+def replace_all(text: bytes | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind."""
     if text is None:
         return None, {}
@@ -350,7 +353,14 @@ def replace_all(text: bytes | None, key: bytes = DEFAULT_KEY) -> tuple[str | Non
     return "".join([*out, whole[done:]]), n
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that ``KEY_SETTING`` names, else a random one of this driver: pseudonyms are then linked within one
+    application, and nobody can invert them afterwards. Set one to link texts of several runs."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(named) if named else _RANDOM_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text`` (replaced) and ``n_<kind>`` per kind, one row per row of ``docs``."""
     small_batches(docs.sparkSession)
 
@@ -367,7 +377,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         run, f"doc_id {kind}, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
-def rewrite(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def rewrite(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with replaced texts and all its other columns; ``n_chars``, where present, follows the new text."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")

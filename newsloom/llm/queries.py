@@ -31,7 +31,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

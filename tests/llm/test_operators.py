@@ -178,14 +178,14 @@ def test_pseudonyms_stay_valid(kind, value):
 
 
 def test_pii_links_equal_values_and_leaves_the_rest(spark, docs):
-    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, b"key").collect()}
     src = {d: t for d, t, *_ in fx.rows()}
     a, b = got[14], got[15]
     assert (a.n_email, a.n_card, a.n_ipv4, a.n_date, a.n_phone) == (1, 1, 1, 1, 1)
     assert a.text.split()[1] == b.text.split()[1] != "ann.b@mail.example.com,"
     assert b.n_card == b.n_ipv4 == b.n_date == 0 and "4952935900253053" in b.text and "2023-02-29" in b.text
     assert all(got[d].text == src[d] for d in (0, 4, 5, 6, 11, 12, 18))
-    out = pii.rewrite(docs)
+    out = pii.rewrite(docs, b"key")
     assert out.columns == docs.columns and out.where("text is not null and n_chars != length(text)").count() == 0
     assert "ann.b@mail.example.com" not in (pii.replace_all(b"ANN.B@MAIL.EXAMPLE.COM 1", b"k")[0] or "").lower()
 
@@ -239,7 +239,7 @@ def test_phone_forms_of_one_number_stay_linked_and_end_before_other_values():
     assert digits("+33 6 12 34 56 78") == digits("+33612345678") == "33" + digits("06 12 34 56 78")[1:]
     assert digits("+1 (603) 555-8791") == "1" + digits("(603) 555-8791") == "1" + digits("603-555-8791")
     text = "+33 6 12 34 56 78 12 +49 30 1234567 2024-02-28 +49 30 1234567 10.0.0.1 +44 20 7946 0958 4111 1111 1111 1111"
-    assert pii.replace_all(text.encode())[1] == {"phone": 4, "date": 1, "ipv4": 1, "card": 1}
+    assert pii.replace_all(text.encode(), b"key")[1] == {"phone": 4, "date": 1, "ipv4": 1, "card": 1}
 
 
 def test_timestamps_and_month_first_dates():
@@ -255,22 +255,22 @@ def test_local_parts_of_other_scripts_are_replaced():
     for local in ("josé", decomposed, "иван", "张三", "__"):
         new, n = pii.replace_all(f"{local}@x.com 1".encode(), b"key")
         assert n == {"email": 1} and new.isascii() and new.endswith("@x.com 1") and "jos" not in new
-    assert pii.replace_all("JOSÉ@x.com".encode()) == pii.replace_all(f"{decomposed}@x.com".encode())
+    assert pii.replace_all("JOSÉ@x.com".encode(), b"key") == pii.replace_all(f"{decomposed}@x.com".encode(), b"key")
 
 
 def test_digit_tables_take_linear_time():
     import time
     start = time.monotonic()
     for text in (b"0" * 200_000, b"+33 6 12 " * 10_000, b"01-" * 50_000, b"AB12 " * 10_000):
-        pii.replace_all(text)
+        pii.replace_all(text, b"key")
     assert time.monotonic() - start < 20
 
 
 def test_ibans_keep_to_their_length_and_rejected_groups_stay():
     for text in ("DE89370400440532013001", "4111 1111 1111 1112", "2023-02-30", "300.1.1.1"):
-        assert pii.replace_all(text.encode()) == (text, {})
+        assert pii.replace_all(text.encode(), b"key") == (text, {})
     text = "2023-02-30 4111 1111 1111 1111 2024-02-29 4111 1111 1111 1111"
-    assert pii.replace_all(text.encode())[1] == {"card": 2, "date": 1}
+    assert pii.replace_all(text.encode(), b"key")[1] == {"card": 2, "date": 1}
 
 
 # ---- 6: packing ------------------------------------------------------------------------------------

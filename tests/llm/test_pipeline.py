@@ -14,7 +14,7 @@ def test_pipeline_equals_brute_force(spark):
     kept = {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
     rows = [(d, t) for d, t in rows if d in kept]
     groups = fx.components(rows, 5, 80)
-    rows = {d: pii.replace_all(t.encode())[0] for d, t in rows if groups[d][1] == d}
+    rows = {d: pii.replace_all(t.encode(), pii.session_key(spark))[0] for d, t in rows if groups[d][1] == d}
     got = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {d: len(fx.words(t)) for d, t in rows.items()}
     assert len(got) == len(rows)
