@@ -17,27 +17,35 @@ ORACLE_SQL: str | None = None
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: drops documents predicted to be of low quality."""
+    """Operator 2: drops documents predicted to be of low quality.
+
+    Null and empty texts are scored like any other. Rows that repeat an id are scored each for itself. Without labels, or
+    with labels of one kind only, the model gives one score to all. An empty table gives no rows.
+    """
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: drops documents that fail the threshold table."""
+    """Operator 9: drops documents that fail the threshold table. Null and empty texts have no words and fail; equal rows
+    fare alike; an empty table gives no rows; other columns pass whatever their names."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group stays (five words, similarity 0.8)."""
+    """Operator 10: one document of each group stays (five words, similarity 0.8), that of the smallest id. Texts without
+    words are in no group; of rows that repeat an id one stays; rows without an id all stay."""
     return near_dup.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: replaces personal data by pseudonyms."""
-    return pii.rewrite(docs)
+    """Operator 4: replaces personal data by pseudonyms under the session's key. Null texts stay null; equal values get equal
+    pseudonyms in every row; ids and other columns stay."""
+    return pii.rewrite(docs, pii.session_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: assigns every document to a bucket, a batch and a slot."""
+    """Operator 6: assigns every row to a bucket, a batch and a slot, those of null and empty texts (no words) and repeated
+    rows too. An empty table gives no rows."""
     return packing.pack(docs)
 
 
