@@ -6,7 +6,7 @@ any. Its features are its length and class shares, character transitions (change
 the mean log-probability of its letter pairs under the corpus dictionary), dictionary coverage (the share of its
 characters inside runs of letters that are dictionary words), path signs (``/``, ``.``, ``@``, ``:`` in the word) and
 whether the word itself or a neighbouring word names a credential. The dictionary is every word of the corpus that at least
-``MIN_DOCS`` documents hold; the letter pairs are counted over it.
+``MIN_SHARE`` of the distinct texts hold (``LEAST_TEXTS`` of them at least); the letter pairs are counted over it.
 
 The forest is Spark ML's, fitted on at most ``MAX_FINDINGS`` labelled findings (those of smallest hash).
 
@@ -29,7 +29,8 @@ from newsloom.llm.arrow import written
 from newsloom.llm.quality_rules import BLANK
 
 MIN_LENGTH = 16
-MIN_DOCS = 5
+MIN_SHARE = 0.0005                              # of the distinct texts, so the dictionary is alike at every size
+LEAST_TEXTS = 2
 MAX_FINDINGS = 50_000
 MIN_SCORE = 0.5
 # Words that name a credential.
@@ -97,11 +98,15 @@ def _placed(text: Column) -> Column:
         s.withField("word", F.concat(s["word"], F.substring(text, s["offset"] + F.length(s["value"]) + 1, F.length(text)))))))
 
 
-def dictionary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``term, n``: lower-cased words of letters (ASCII) that at least ``min_docs`` documents hold."""
-    terms = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^a-z]+"))
-    return (docs.select(F.explode(terms).alias("term")).where(F.length("term") >= 3)
-            .groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
+def dictionary(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """``term, n``: lower-cased words of letters (ASCII) that at least ``min_share`` of the distinct texts hold; ``n`` counts
+    texts, each once however many copies it has."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    terms = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
+    digest = F.xxhash64(text).alias("digest")
+    total = docs.select(digest).distinct().count()
+    held = docs.select(digest, F.explode(terms).alias("term")).where(F.length("term") >= 3).distinct()
+    return held.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST_TEXTS, min_share * total))
 
 
 def letter_pairs(words: DataFrame) -> DataFrame:
