@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import written
 from newsloom.llm.quality_rules import BLANK
+from newsloom.operators.late import drop_rows, keep_rows
 
 MIN_LENGTH = 16
 MIN_SHARE = 0.0005                              # of the distinct texts, so the dictionary is alike at every size
@@ -101,12 +102,17 @@ def _placed(text: Column) -> Column:
 def dictionary(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """``term, n``: lower-cased words of letters (ASCII) that at least ``min_share`` of the distinct texts hold; ``n`` counts
     texts, each once however many copies it has."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    terms = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
-    digest = F.xxhash64(text).alias("digest")
-    total = docs.select(digest).distinct().count()
-    held = docs.select(digest, F.explode(terms).alias("term")).where(F.length("term") >= 3).distinct()
-    return held.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST_TEXTS, min_share * total))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.xxhash64("text"))
+    copies = written(texts.groupBy("digest").count(), "secret-texts")
+    total, repeated = copies.count(), copies.where("count > 1")
+    term = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")
+    # texts that occur once need no digest in the shuffle; only the terms of repeated ones are told apart by it
+    single = drop_rows(texts, repeated, ["digest"]).select(term).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n"))
+    shared = (keep_rows(texts, repeated, ["digest"]).select("digest", term).where(F.length("term") >= 3).distinct()
+              .groupBy("term").agg(F.count("*").alias("n")))
+    return (single.unionAll(shared).groupBy("term").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= max(LEAST_TEXTS, min_share * total)))
 
 
 def letter_pairs(words: DataFrame) -> DataFrame:
