@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.time import version_string
+from newsloom.operators import forest
+from newsloom.operators.forest import Forest
 
 # ---- fixed values ------------------------------------------------------------------------------
 TRAIN_PERCENT = 80
@@ -18,6 +22,8 @@ ACCURACY_GATE = 0.82
 PASS_TASK = "register_model"
 FAIL_TASK = "notify_training_failure"
 MAX_DEPTH = 30          # the deepest trees Spark grows
+PLAIN_ROWS = 2000       # training rows up to which Spark ML grows whole trees
+SUBTREE_ROWS = 4096     # training rows of one subtree of more rows, if cuts halve them
 # -------------------------------------------------------------------------------------------------
 
 
@@ -35,25 +41,36 @@ def with_features(df: DataFrame, array_col: str = "embedding") -> DataFrame:
 
 
 def train_forest(train: DataFrame, label: str = "label", num_trees: int = NUM_TREES, seed: int = SEED,
-                 max_depth: int = MAX_DEPTH) -> PipelineModel:
-    """M2: random forest, 100 trees grown to purity (or Spark's deepest level), fixed seed, on ``features``."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, seed=seed, maxDepth=max_depth,
+                 max_depth: int = MAX_DEPTH, plain_rows: int = PLAIN_ROWS, subtree_rows: int = SUBTREE_ROWS) -> PipelineModel | Forest:
+    """M2: random forest, 100 trees grown to purity (or Spark's deepest level), fixed seed, on ``features``.
+
+    Above ``plain_rows`` rows Spark ML grows the tops and tasks the subtrees below them, see :mod:`newsloom.operators.forest`.
+    """
+    rows = train.count()
+    whole = rows <= plain_rows
+    depth = max_depth if whole else min(max_depth, max(1, math.ceil(math.log2(rows / subtree_rows))))
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, seed=seed, maxDepth=depth,
                                 minInstancesPerNode=1)
-    return Pipeline(stages=[rf]).fit(train.withColumn(label, F.col(label).cast("double")))
+    train = train.withColumn(label, F.col(label).cast("double"))
+    model = Pipeline(stages=[rf]).fit(train)
+    return model if whole else Forest(model, forest.subtrees(model, train, label, seed, max_depth - depth, num_trees > 1))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """Persist the fitted pipeline."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | Forest, path: str) -> str:
+    """Persist the fitted model."""
+    if isinstance(model, Forest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | Forest:
     """Load; a missing model raises."""
-    return PipelineModel.load(path)
+    return forest.load(SparkSession.active(), path) or PipelineModel.load(path)
 
 
-def batch_predict(model: PipelineModel, df: DataFrame, id_col: str, version: str) -> DataFrame:
+def batch_predict(model: PipelineModel | Forest, df: DataFrame, id_col: str, version: str) -> DataFrame:
     """M4/M5: class (BIGINT) and model version per input row."""
     scored = model.transform(df)
     keep = [c for c in df.columns if c not in ("features",)]
