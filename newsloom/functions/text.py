@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # The code points Python's ``str.split()`` treats as whitespace: \t \n \v \f \r,
 # U+001C..U+001F, space, U+0085, and every Unicode separator (Zs, Zl, Zp).
 WHITESPACE_CLASS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+WHITESPACE = ("\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 # Characters kept by the batch-id normaliser.
 BATCH_ID_KEEP = r"[^A-Za-z0-9_-]+"
 # Markdown code fence and the language tag that may follow it.
@@ -46,8 +48,8 @@ def clean_or_default(x, default: str) -> Column:
 
 
 def unicode_trim(x) -> Column:
-    """Warehouse ``TRIM(x)``: strip Unicode whitespace at both ends, NULL stays NULL."""
-    return F.regexp_replace(_c(x), f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
+    """Warehouse ``TRIM(x)``: strip Unicode whitespace at both ends (only the ends are read), NULL stays NULL."""
+    return F.btrim(_c(x), F.lit(WHITESPACE))
 
 
 def trim_or_null(x) -> Column:
