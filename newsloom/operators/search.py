@@ -66,16 +66,21 @@ K1, B = 1.2, 0.75
 # ---------------------------------------------------------------------------------------------------
 
 
+def field_words(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+    """``(id, field, words, length)``: the tokens of each field in order, and their number."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")         # noqa: E731
+    each = F.array(*[F.struct(F.lit(name).alias("field"), words(c).alias("words")) for name, c in fields.items()])
+    return (docs.select(id_col, F.inline(each)).where("words is not null")
+            .select(id_col, "field", "words", F.size("words").cast("bigint").alias("length")))
+
+
 def scored_postings(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
     """``(term, field, id, tf, length)``: how often a token occurs in a field of a document, and how many tokens the field has.
 
     Occurrences of one document are counted in the task that reads it (partial aggregation), so the shuffle carries one
     row per distinct token.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")         # noqa: E731
-    each = F.array(*[F.struct(F.lit(name).alias("field"), words(c).alias("words")) for name, c in fields.items()])
-    rows = (docs.select(id_col, F.inline(each)).where("words is not null")
-            .select(id_col, "field", F.size("words").cast("bigint").alias("length"), F.explode("words").alias("term")))
+    rows = field_words(docs, fields, id_col).select(id_col, "field", "length", F.explode("words").alias("term"))
     return rows.groupBy("term", "field", id_col, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -83,7 +88,8 @@ def write_scored_index(docs: DataFrame, fields: dict[str, Column], path: str, id
     """The scored postings, range-partitioned and sorted by (term, id) as in :func:`write_postings`, and the field totals."""
     p = scored_postings(docs, fields, id_col)
     p.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.parquet(f"{path}/postings")
-    lengths = docs.sparkSession.read.parquet(f"{path}/postings").select("field", id_col, "length").distinct()
+    # from the documents: every part of the postings holds nearly every document, so a distinct over them grows with both
+    lengths = field_words(docs, fields, id_col).where("length > 0").select("field", id_col, "length").distinct()
     lengths.groupBy("field").agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length")).write.parquet(f"{path}/fields")
     return path
 
