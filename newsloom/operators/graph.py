@@ -25,6 +25,7 @@ LABELS = ("Model", "Experiment", "Run", "Deployment")
 # -----------------------------------------------------------------------------------------------
 
 EDGE_KEY = ["source_id", "type", "target_id"]
+EDGE_HASH = "_edge_hash"
 
 
 def project_nodes(nodes: DataFrame) -> DataFrame:
@@ -132,14 +133,15 @@ def fold_properties(batch: DataFrame, order="ord") -> DataFrame:
     Per (edge, property key) the value of the last update wins (equal orders: the larger value),
     NULL included, so a later NULL still removes the key when merged. One aggregate over the
     exploded entries with map-side combine, then one small collect per edge (bounded by the
-    number of distinct property keys, not by the number of updates).
+    number of distinct property keys, not by the number of updates). A hash of the edge leads the keys: edges share long
+    prefixes of their ids, and a sort by the hash seldom compares texts.
     """
     order = [order] if isinstance(order, str) else list(order)
-    e = batch.select(*EDGE_KEY, F.struct(*[F.col(o) for o in order]).alias("_ord"),
+    e = batch.select(F.xxhash64(*EDGE_KEY).alias(EDGE_HASH), *EDGE_KEY, F.struct(*[F.col(o) for o in order]).alias("_ord"),
                      F.explode_outer(F.map_entries(F.col("properties"))).alias("_e"))
-    per_key = (e.groupBy(*EDGE_KEY, F.col("_e.key").alias("k"))
+    per_key = (e.groupBy(EDGE_HASH, *EDGE_KEY, F.col("_e.key").alias("k"))
                .agg(F.max_by(F.struct(F.col("_e.value").alias("v")), F.struct("_ord", F.col("_e.value"))).alias("_w")))
-    return per_key.groupBy(*EDGE_KEY).agg(
+    return per_key.groupBy(EDGE_HASH, *EDGE_KEY).agg(
         F.map_from_entries(F.filter(F.collect_list(F.struct(F.col("k"), F.col("_w.v").alias("v"))),
                                     lambda x: x["k"].isNotNull())).alias("_update"))
 
@@ -156,7 +158,7 @@ def upsert_edges(target: DataFrame, batch: DataFrame, nodes: DataFrame, as_of=No
     resolved = (batch.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
                 .join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
     updates = fold_properties(resolved, order).withColumn("_touched", F.lit(True))
-    j = target.join(updates, EDGE_KEY, "full_outer")
+    j = target.withColumn(EDGE_HASH, F.xxhash64(*EDGE_KEY)).join(updates, [EDGE_HASH, *EDGE_KEY], "full_outer")
     touched = F.coalesce(F.col("_touched"), F.lit(False))
     return j.select(*EDGE_KEY,
                     F.when(touched, merge_properties(F.col("properties"), F.col("_update")))
