@@ -23,10 +23,14 @@ def version_name(number: int, run: str = "") -> str:
     return f"v{number:012d}{'-' + run if run else ''}"
 
 
-def append_version(rows: DataFrame, path: str, version: str, keys, partition_col: str | None = None) -> None:
-    """Writes ``rows`` as one version. As in MERGE, a key that the rows hold twice is an error (NULL counts as a value)."""
+def append_version(rows: DataFrame, path: str, version: str, keys, partition_col: str | None = None, unique: bool = False) -> None:
+    """Writes ``rows`` as one version. As in MERGE, a key that the rows hold twice is an error (NULL counts as a value).
+
+    ``unique`` says that ``rows`` are one per key by their making (a grouping by the keys), so they are not computed a
+    second time to find that out.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    twice = rows.groupBy(*keys).count().where("count > 1").first()
+    twice = None if unique else rows.groupBy(*keys).count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"the source holds a key {twice['count']} times: {', '.join(f'{k}={twice[k]!r}' for k in keys)}")
     w = rows.drop(VERSION).write.mode("overwrite")
