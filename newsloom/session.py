@@ -26,6 +26,9 @@ RUNTIME_DEFAULTS = {
     # measured size of a materialised shuffle stage is below the adaptive threshold.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # Joins by long text keys: where every partition of a side is measured below this, AQE hashes that side instead of
+    # sorting both.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
