@@ -64,3 +64,16 @@ def pick_rows(wide: DataFrame, key: str, order: list[Column], largest: bool = Fa
     same = F.col(key).eqNullSafe(F.col("_t"))
     again = kept.join(twice.withColumnRenamed(key, "_t"), same, "left_semi").dropDuplicates([key])
     return drop_rows(kept, twice, [key]).unionByName(again).drop("_rank")
+
+
+def distinct_rows(wide: DataFrame) -> DataFrame:
+    """``wide.distinct()`` where few rows repeat: only rows whose 64-bit hash occurs again meet in a shuffle and are compared
+    whole, so rows that share a hash by chance stay apart."""
+    hashed = wide.withColumn("_row_hash", F.xxhash64(*wide.columns))
+    again = hashed.groupBy("_row_hash").count().where("count > 1").select("_row_hash")
+    checkpoint_dir(wide.sparkSession)
+    again = again.checkpoint(eager=True)
+    if again.isEmpty():
+        return wide
+    once = drop_rows(hashed, again, ["_row_hash"]).drop("_row_hash")
+    return once.unionByName(keep_rows(hashed, again, ["_row_hash"]).drop("_row_hash").distinct())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import unicode_trim
 from newsloom.operators import chat, extract, graph, ingest, ml, quality, search, telemetry, transform
+from newsloom.operators.late import distinct_rows
 from newsloom.plans import models
 from newsloom.plans import params as P
 from newsloom.plans.output import finalize
@@ -182,7 +183,7 @@ def q_landing_roundtrip(spark, d):
     path = scratch_path(spark, "landing")
     landing.write_jsonl(raw, path)                                        # one folder per run
     back = landing.load_jsonl(spark, path)
-    return back.drop("raw_payload", "_corrupt").distinct()
+    return distinct_rows(back.drop("raw_payload", "_corrupt"))
 
 
 @register("model_build")
