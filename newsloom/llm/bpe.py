@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import slices, small_batches, text_bytes
 
-MEMO_CHUNKS = 200_000
-MEMO_PAIRS = 2_000_000
-SLICE_BYTES = 4 << 20
+MEMO_CHUNKS = 160_000
+MEMO_PAIRS = 500_000
+SLICE_BYTES = 2 << 20
 
 
 class TrieEncoder:
@@ -77,16 +77,16 @@ class TrieEncoder:
             node[1] = token
         self.follows: dict[int, dict[int, bool]] = {}          # by the token before, then the token
         self.pairs = 0
-        # packed ids and decoded text of pre-tokenised words, and of chunks between blanks; what was used since the
-        # memo last filled up is young, the rest is old and goes when it fills up again
+        # packed ids and decoded text of chunks between blanks, and of pre-tokenised words that aren't plain (a plain word is
+        # a chunk of its own); what was used since the memo last filled up is young, the rest is old and goes when it
+        # fills up again
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunk_ids: dict[str, bytes] = {}
-        self.chunk_text: dict[str, str] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
         self._age()
 
     def _age(self) -> None:
-        self.old_words, self.old_ids, self.old_text = self.words, self.chunk_ids, self.chunk_text
-        self.words, self.chunk_ids, self.chunk_text = {}, {}, {}
+        self.old_words, self.old_chunks = self.words, self.chunks
+        self.words, self.chunks = {}, {}
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Merging by rank, leftmost first; only used on the symbols of two tokens."""
@@ -177,32 +177,37 @@ class TrieEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds chunks to the memos; their new words go through one trie."""
-        for c in chunks & self.old_ids.keys():
-            self.chunk_ids[c], self.chunk_text[c] = self.old_ids[c], self.old_text[c]
-        pieces = {c: self._pieces(c) for c in chunks - self.chunk_ids.keys()}
-        new = {w for p in pieces.values() for w in p if type(w) is str} - self.words.keys()
-        for w in new & self.old_words.keys():
-            self.words[w] = self.old_words[w]
-        new -= self.words.keys()
-        for w, ids in self.encode_words(new).items():
-            self.words[w] = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+        for c in chunks & self.old_chunks.keys():
+            self.chunks[c] = self.old_chunks[c]
+        pieces = {c: self._pieces(c) for c in chunks - self.chunks.keys()}
+        words = {w for p in pieces.values() for w in p if type(w) is str}
+        plain = {w for w in words if w.isascii() and w.isalpha() and w.islower()}
+        for memo, old, mine in ((self.chunks, self.old_chunks, plain), (self.words, self.old_words, words - plain)):
+            new = mine - memo.keys()
+            for w in new & old.keys():
+                memo[w] = old[w]
+            for w, ids in self.encode_words(new - old.keys()).items():
+                memo[w] = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
         for chunk, parts in pieces.items():
-            got = [self.words[p] if type(p) is str else (array("I", [p]).tobytes(), self.names[p]) for p in parts]
-            if len(got) == 1:
-                self.chunk_ids[chunk], self.chunk_text[chunk] = got[0]
-            else:
-                self.chunk_ids[chunk] = b"".join([g[0] for g in got])
-                self.chunk_text[chunk] = " ".join([g[1] for g in got])
+            if chunk in self.chunks:
+                continue
+            got = [(self.chunks if p in plain else self.words)[p] if type(p) is str else (array("I", [p]).tobytes(), self.names[p])
+                   for p in parts]
+            self.chunks[chunk] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """Per text: ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        if len(self.chunk_ids) > MEMO_CHUNKS:
+        if len(self.chunks) > MEMO_CHUNKS:
             self._age()
         split = [list(filter(None, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
                  for t in texts]
-        self._learn(set().union(*split) - self.chunk_ids.keys())
-        ids_of, text_of = self.chunk_ids.__getitem__, self.chunk_text.__getitem__
-        return ([b"".join(map(ids_of, c)) for c in split], [" ".join(filter(None, map(text_of, c))) for c in split])
+        self._learn(set().union(*split) - self.chunks.keys())
+        ids, decoded = [], []
+        for chunks in split:
+            got = [self.chunks[c] for c in chunks]
+            ids.append(b"".join([g[0] for g in got]))
+            decoded.append(" ".join([g[1] for g in got if g[1]]))
+        return ids, decoded
 
     def decode(self, ids: bytes | None) -> str:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
