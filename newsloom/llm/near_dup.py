@@ -35,7 +35,8 @@ from newsloom.operators.late import drop_rows, keep_rows
 
 ROWS = 5                                        # slots of a band
 MAX_BANDS = 51
-SLICE_BYTES = 8 << 20                           # text handled at once
+SLICE_BYTES = 2 << 20                           # text handled at once
+MEMO_WORDS = 200_000                            # word hashes that a task holds
 BLOCK_SHINGLES = 500_000                        # weight of one block of an unresolved bucket
 
 
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int = ROWS) ->
     """``doc_id, n_shingles, digest, bands`` per row; digest and bands are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = WordHashes(MEMO_WORDS)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for lo, hi in slices([len(t or b"") for t in texts], SLICE_BYTES):
@@ -87,7 +88,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """The pairs ``(a, b)`` whose full sets reach the threshold. Rows arrive grouped by ``b``, whose set is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, last, held = WordHashes(), None, None
+        memo, last, held = WordHashes(MEMO_WORDS), None, None
         for batch in batches:
             keep = []
             for ta, tb in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
@@ -107,7 +108,7 @@ def _open_links(members: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, i, j = (k.as_py() for k in key)
-        memo = WordHashes()
+        memo = WordHashes(MEMO_WORDS)
         block = np.array(table["block"].to_pylist())
         node = table["node"].to_pylist()
         comp = table["component"].to_pylist()
