@@ -113,12 +113,12 @@ def incremental_ingest(spark: SparkSession, landing: str, processed_path: str, d
     def epoch(batch: DataFrame, epoch_id: int) -> None:
         name = versions.version_name(epoch_id + 1, run)
         new = processed_rows(reclean_raw(build_raw_articles(batch, since=since, fetched_at=fetched_at)), carry=("item_ord",))
-        versions.append_version(keep_first_by_id(new), processed_path, name, PROCESSED_KEY, "published_date", unique=True)
+        versions.append_version(keep_first_by_id(new), processed_path, name, PROCESSED_KEY, "published_date", True)
         mine = spark.read.schema(schema).parquet(f"{processed_path}/{versions.VERSION}={name}")
         days = [r[0] for r in mine.select("published_date").distinct().collect()]          # partition values only
         if days:
             touched = processed_view(spark, processed_path, F.col("published_date").isin(days))
-            versions.append_version(daily_counts(touched), daily_path, name, DAILY_KEY, unique=True)
+            versions.append_version(daily_counts(touched), daily_path, name, DAILY_KEY, None, True)
 
     q = (item_stream(spark, landing, bytes_per_trigger).writeStream.foreachBatch(epoch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
